@@ -8,14 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import identify
+from .packing import pack
+from .quality import classify_quality
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .token_count import count_tokens
 
 #: Where the tokenizers' vocabulary files are; never copied.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), WORD_BPE).drop("ids")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -24,8 +40,12 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scan, op6_simhash_components)}
+    return {f.__name__: f for f in (op1_site_quality, op2_language_mixture, op3_hilbert_packing, op5_secret_scan, op6_simhash_components, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -171,3 +171,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(classes, "class_components")
     out = fps.join(classes, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bits: int = 3) -> DataFrame:
+    """docs with one row of each component, the one with the smallest id.
+
+    Rows with a null id stay. Of rows that repeat an id one stays.
+    """
+    found = materialize(simhash_components(docs, id_col, text_col, k, max_bits).select(id_col, "component_id"), "components")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
