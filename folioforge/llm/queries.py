@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .langid import identify
 from .packing import pack
@@ -14,6 +15,7 @@ from .quality import classify_quality
 from .secrets import scan_secrets
 from .simhash import simhash_components
 from .token_count import count_tokens
+from .vector_dedup import vector_components
 
 #: Where the tokenizers' vocabulary files are; never copied.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +34,10 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_BPE).drop("ids")
 
 
+def op4_cross_polytope_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -40,12 +46,16 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_quality, op2_language_mixture, op3_hilbert_packing, op5_secret_scan, op6_simhash_components, op10_token_count)}
+    return {f.__name__: f for f in (op1_site_quality, op2_language_mixture, op3_hilbert_packing, op4_cross_polytope_components, op5_secret_scan, op6_simhash_components, op8_posting_list_neighbours, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
