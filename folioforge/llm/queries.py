@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import table
 from .langid import identify
+from .licenses import scan_licenses
+from .nbest import segment
 from .packing import pack
 from .quality import classify_quality
 from .secrets import scan_secrets
@@ -46,16 +48,28 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op8_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_quality, op2_language_mixture, op3_hilbert_packing, op4_cross_polytope_components, op5_secret_scan, op6_simhash_components, op8_posting_list_neighbours, op10_token_count)}
+    every = (
+        op1_site_quality, op2_language_mixture, op3_hilbert_packing, op4_cross_polytope_components, op5_secret_scan,
+        op6_simhash_components, op7_nbest_pieces, op8_posting_list_neighbours, op9_license_scan, op10_token_count,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
