@@ -1,10 +1,715 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL.
+
+The TPC-H-like tables are read as a library: orders are publications,
+suppliers (through lineitem) their authors, parts keywords and titles, lineitem
+also the citation edges, nations and regions sources, documents, pages and
+conversations free text, events the harvest stream.
+"""
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import names, text, values
+from .operators import difftree, fts, match, stats, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_fold(x: str) -> str:
+    for k, v in text.LONG_FOLDS.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    a, b = text.fold_pairs()
+    return f"translate({x}, '{a}', '{b}')"
+
+
+def sql_squeezed(x: str) -> str:
+    gone = string.punctuation + text.CONTROLS
+    return f"trim(regexp_replace(lower(translate({sql_fold(x)}, {quoted(gone)}, '')), ' +', ' ', 'g'))"
+
+
+def sql_title(x: str) -> str:
+    return sql_squeezed(f"replace({x}, '-', ' ')")
+
+
+def sql_author(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({sql_squeezed(f"replace(replace({x}, '-', ' '), '.', ' ')")}, ' '), lambda w: CASE WHEN length(w) = 2 THEN w || 'x' ELSE w END), ' ')"
+
+
+def sql_similarity(a: str, b: str) -> str:
+    return f"CAST(floor((1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE)) * 100) AS BIGINT)"
+
+
+STOP_SQL = ", ".join(quoted(w) for w in text.STOP_WORDS)
+AMBIGUOUS_SQL = ", ".join(quoted(w) for w in text.AMBIGUOUS_NAMES)
+PAGE_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+long_ = lambda c: (F.col(c) if isinstance(c, str) else c).cast("bigint")
+counted = lambda df, k: df.select(k, long_("counter").alias("counter"))
+
+
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+# ---- text functions ---------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {sql_title('text')} AS title FROM documents")
+def title_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize_title("text").alias("title"))
+
+
+@query(f"SELECT conv_id, turn, {sql_author('text')} AS name FROM conversations")
+def author_normalize(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", text.normalize_author("text").alias("name"))
+
+
+@query("SELECT s_suppkey, trim(regexp_replace(s_name || ' ' || CAST(1000 + s_nationkey AS VARCHAR), '\\d{4}', '', 'g')) AS name FROM supplier")
+def strip_years(spark, d):
+    named = F.concat("s_name", F.lit(" "), (F.col("s_nationkey") + 1000).cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", text.strip_years(named).alias("name"))
+
+
+AUTHOR_LISTS = "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ';' ORDER BY l_linenumber, l_suppkey) || ';' AS authors FROM lineitem GROUP BY 1"
+
+
+def author_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(l_orderkey, authors): a publication's authors as an ``a;b;`` list."""
+    each = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
+    return each.select("l_orderkey", text.join_list(F.transform("x", lambda v: v["l_suppkey"].cast("string"))).alias("authors"))
+
+
+@query(f"SELECT l_orderkey, CAST(len(string_split(authors, ';')) - 1 AS BIGINT) AS n, string_split(authors, ';')[1] AS first, string_split(authors, ';')[-2] AS last, authors FROM ({AUTHOR_LISTS})")
+def split_author_list(spark, d):
+    parts = author_lists(spark, d).withColumn("p", text.split_authors("authors"))
+    return parts.select("l_orderkey", long_(F.size("p")).alias("n"), F.element_at("p", 1).alias("first"), F.element_at("p", -1).alias("last"), "authors")
+
+
+PAGES_OF = "CASE l_linenumber % 3 WHEN 0 THEN l_partkey || '-' || (l_partkey + 9) WHEN 1 THEN CAST(l_partkey AS VARCHAR) ELSE l_partkey || '-' || l_suppkey || '-x' END"
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, pages, CASE len(p) WHEN 1 THEN p[1] WHEN 2 THEN p[1] END AS first_page, CASE len(p) WHEN 1 THEN p[1] WHEN 2 THEN p[2] END AS last_page
+    FROM (SELECT l_orderkey, l_linenumber, {PAGES_OF} AS pages, string_split({PAGES_OF}, '-') AS p FROM lineitem)"""
+)
+def pages_parse(spark, d):
+    k = F.col("l_linenumber") % 3
+    s = lambda c: F.col(c).cast("string")
+    pages = F.when(k == 0, F.concat(s("l_partkey"), F.lit("-"), (F.col("l_partkey") + 9).cast("string"))).when(k == 1, s("l_partkey")).otherwise(F.concat(s("l_partkey"), F.lit("-"), s("l_suppkey"), F.lit("-x")))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pages.alias("pages"))
+    p = text.parse_pages("pages")
+    return rows.select("l_orderkey", "l_linenumber", "pages", p["first"].alias("first_page"), p["last"].alias("last_page"))
+
+
+WORDS_SQL = f"""
+words AS (SELECT page_id, title, unnest(string_split(title, ' ')) AS w, generate_subscripts(string_split(title, ' '), 1) AS i FROM (SELECT page_id, {sql_title(PAGE_TITLE)} AS title FROM pages)),
+picked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(w) DESC, i DESC) AS r FROM words WHERE w NOT IN ({STOP_SQL})),
+best AS (SELECT page_id, title, string_agg(w, ' ' ORDER BY r) AS words, bool_and(length(w) < 4) AS short FROM picked WHERE r <= 3 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {WORDS_SQL} SELECT p.page_id, coalesce(b.words, '') AS words FROM pages p LEFT JOIN best b USING (page_id)")
+def relevant_words(spark, d):
+    return page_titles(spark, d).select("page_id", F.array_join(text.relevant_words(text.normalize_title("title")), " ").alias("words"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT page_id, CASE WHEN b.short IS NULL OR b.short THEN t.title ELSE b.words END AS query FROM (SELECT DISTINCT page_id, title FROM words) t LEFT JOIN best b USING (page_id)")
+def search_query_build(spark, d):
+    return page_titles(spark, d).select("page_id", text.search_query(text.normalize_title("title")).alias("query"))
+
+
+@query(
+    f"""WITH w AS (SELECT page_id, unnest(string_split(n, ' ')) AS w, generate_subscripts(string_split(n, ' '), 1) AS i FROM (SELECT page_id, {sql_author(PAGE_TITLE)} AS n FROM pages)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(w) DESC, i DESC) AS r, CASE WHEN w IN ({AMBIGUOUS_SQL}) THEN 0 ELSE 1 END AS clear FROM w WHERE length(w) > 1),
+    b AS (SELECT *, coalesce(sum(clear) OVER (PARTITION BY page_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+    SELECT p.page_id, coalesce(q.query, '') AS query FROM pages p LEFT JOIN (SELECT page_id, string_agg('+' || w, ' ' ORDER BY r) AS query FROM b WHERE before < 3 GROUP BY 1) q USING (page_id)"""
+)
+def author_query_build(spark, d):
+    return page_titles(spark, d).select("page_id", text.author_query(text.normalize_author("title")).alias("query"))
+
+
+@query("SELECT o_orderkey, printf('%08X', o_orderkey) AS hex, o_orderkey AS back FROM orders")
+def hex_roundtrip(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", values.to_hex8("o_orderkey").alias("hex")).withColumn("back", values.from_hex("hex"))
+
+
+@query(
+    "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS node, epoch_ms(date_trunc('second', ts)) AS back_ms, CAST(year(ts) AS BIGINT) AS y, strftime(make_date(CAST(year(ts) AS BIGINT), 1, 1), '%Y-%m-%d') AS jan, "
+    "strftime(least(CAST(ts AS DATE) + 6, DATE '2024-01-20'), '%Y-%m-%d') AS until FROM events"
+)
+def date_functions(spark, d):
+    rows = table(spark, d, "events").withColumn("node", values.node_time("ts"))
+    back = F.unix_millis(values.parse_node_time("node").cast("timestamp"))
+    return rows.select("event_id", "node", back.alias("back_ms"), long_(F.year("ts")).alias("y"), values.year_date(F.year("ts")).cast("string").alias("jan"), F.least(F.date_add(F.to_date("ts"), 6), F.lit("2024-01-20").cast("date")).cast("string").alias("until"))
+
+
+@query("SELECT p_partkey, bits, array_to_string(list_filter(range(0, 63), lambda i: (bits >> i) & 1 = 1), ',') AS indexes FROM (SELECT p_partkey, p_partkey * 7 + p_size AS bits FROM part)")
+def bit_lists(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 7 + F.col("p_size")).alias("bits"))
+    return rows.select("p_partkey", "bits", F.array_join(values.bit_indexes("bits").cast("array<string>"), ",").alias("indexes"))
+
+
+@query()
+def author_similarity(spark, d):
+    """Pairs of name forms of each part's name, with both similarity rules."""
+    n = F.split("p_name", " ")
+    forms = F.array(F.col("p_name"), F.concat(F.substring(n[0], 1, 1), F.lit(" "), n[1]), F.concat(n[1], F.lit(" "), n[0]), F.concat(n[0], F.lit(" q "), n[1]))
+    rows = table(spark, d, "part").select("p_partkey", text.normalize_author("p_name").alias("name"), F.explode(forms).alias("other"))
+    return rows.select("p_partkey", "name", "other", names.same_author("name", "other").alias("same"), names.same_author_scored("name", "other").alias("same_scored"))
+
+
+@query()
+def phonetic_names(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", text.normalize_author("p_name").alias("name"))
+    return rows.select("p_partkey", "name", names.metaphone_name("name").alias("metaphone"), names.name_block("name").alias("block"))
+
+
+# ---- joins and matching ---------------------------------------------------------------------
+
+
+@query(f"SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM (SELECT doc_id, {sql_title('text')} AS t FROM documents WHERE source = 'src0') a JOIN (SELECT doc_id, {sql_title('text')} AS t FROM documents WHERE source <> 'src0') b USING (t)")
+def exact_title_link(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", text.normalize_title("text").alias("t"))
+    a = docs.where("source = 'src0'").select(F.col("doc_id").alias("a_id"), "t")
+    b = docs.where("source <> 'src0'").select(F.col("doc_id").alias("b_id"), "t")
+    return a.join(b, "t").select("a_id", "b_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def dup_skip(spark, d):
+    return match.skip_known(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"])
+
+
+def types(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "F"), (2, "misc"), (3, "O")], "id long, name string")
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 3 ELSE 2 END AS BIGINT) AS type_id FROM orders")
+def type_default(spark, d):
+    return match.match_type(table(spark, d, "orders"), "o_orderkey", "o_orderstatus", types(spark))
+
+
+ASKED_SQL = "SELECT p_partkey, p_name || ' Brand#' || (p_size % 30) AS name FROM part"
+ALIASES_SQL = "SELECT p_name || ' ' || p_brand AS alias, p_partkey AS id FROM part"
+OUTCOME_SQL = "CASE WHEN n <= 1 THEN 'SAFE' ELSE 'LIMBO' END AS status, CASE n WHEN 0 THEN 'NO_MATCH' WHEN 1 THEN 'SINGLE_MATCH' ELSE 'MULTI_MATCH' END AS match, CASE n WHEN 1 THEN hit END AS id"
+
+
+def asked_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" Brand#"), (F.col("p_size") % 30).cast("string")).alias("name"))
+
+
+def part_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("alias"), F.col("p_partkey").alias("id"))
+
+
+@query(f"SELECT p_partkey, {OUTCOME_SQL}, CASE WHEN n > 1 THEN 'AMB_ALIAS' END AS reason FROM (SELECT q.p_partkey, count(DISTINCT a.id) AS n, min(a.id) AS hit FROM ({ASKED_SQL}) q LEFT JOIN ({ALIASES_SQL}) a ON q.name = a.alias GROUP BY 1)")
+def alias_match_outcome(spark, d):
+    return match.match_alias(asked_names(spark, d), "p_partkey", "name", part_aliases(spark, d))
+
+
+LADDER_SQL = f"""
+WITH q AS (SELECT p_partkey, name, {sql_title('name')} AS block FROM ({ASKED_SQL})), e AS (SELECT id, {sql_title('alias')} AS block, alias FROM ({ALIASES_SQL})),
+b AS (SELECT block, count(*) AS n, min(id) AS id FROM e GROUP BY 1), x AS (SELECT alias, id FROM e WHERE id % 2 = 0), """
+
+
+@query(
+    LADDER_SQL
+    + """a AS (SELECT x.alias, e.block, count(DISTINCT x.id) AS n, min(x.id) AS id FROM x JOIN e USING (id) GROUP BY 1, 2)
+    SELECT p_partkey, CASE how WHEN 'alias' THEN aid WHEN 'block' THEN bid END AS id, how FROM (SELECT q.p_partkey, a.id AS aid, b.id AS bid, CASE WHEN b.n = 1 THEN 'block' WHEN b.n > 1 AND a.n = 1 THEN 'alias' ELSE 'create' END AS how
+    FROM q LEFT JOIN b USING (block) LEFT JOIN a ON a.alias = q.name AND a.block = q.block)"""
+)
+def medium_ladder(spark, d):
+    return _ladder(spark, d, False)
+
+
+@query(
+    LADDER_SQL
+    + """a AS (SELECT alias, count(DISTINCT id) AS n, min(id) AS id FROM x GROUP BY 1)
+    SELECT p_partkey, CASE how WHEN 'alias' THEN aid WHEN 'block' THEN bid END AS id, how FROM (SELECT q.p_partkey, a.id AS aid, b.id AS bid, CASE WHEN coalesce(a.n, 0) = 1 THEN 'alias' WHEN coalesce(a.n, 0) = 0 AND b.n = 1 THEN 'block' ELSE 'create' END AS how
+    FROM q LEFT JOIN b USING (block) LEFT JOIN a ON a.alias = q.name)"""
+)
+def medium_ladder_alias_first(spark, d):
+    return _ladder(spark, d, True)
+
+
+def _ladder(spark: SparkSession, d: str, alias_first: bool) -> DataFrame:
+    a = part_aliases(spark, d)
+    entities = a.select("id", text.normalize_title("alias").alias("block_name"))
+    return match.block_ladder(asked_names(spark, d), "p_partkey", "name", entities, a.where("id % 2 = 0"), alias_first)
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), e AS (SELECT min(p_partkey) AS id, {sql_title('word')} AS block FROM k GROUP BY block)
+    SELECT k.p_partkey, k.word, e.id, 'block' AS how FROM k JOIN e ON e.block = {sql_title('k.word')}"""
+)
+def keyword_ladder(spark, d):
+    k = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    entities = k.groupBy(text.normalize_title("word").alias("block_name")).agg(F.min("p_partkey").alias("id"))
+    rows = k.withColumn("key", F.struct("p_partkey", "word"))
+    found = match.block_ladder(rows, "key", "word", entities, spark.createDataFrame([], "alias string, id long"))
+    return found.select("key.p_partkey", "key.word", "id", "how")
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({sql_title('text')}, '(^| )(license|pathetic)($| )')")
+def fts_natural(spark, d):
+    return fts.search(table(spark, d, "documents"), ["text"], "license pathetic").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({sql_title('text')}, '(^| )licensed($| )') AND regexp_matches({sql_title('text')}, '(^| )under($| )') AND NOT regexp_matches({sql_title('text')}, '(^| )apache($| )')")
+def fts_boolean(spark, d):
+    return fts.search(table(spark, d, "documents"), ["text"], "+licensed +under -apache").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || {sql_title('text')} || ' ', ' mit license ')")
+def fts_phrase(spark, d):
+    return fts.search(table(spark, d, "documents"), ["text"], '"MIT License"').select("doc_id")
+
+
+@query(f"SELECT w AS token, doc_id FROM (SELECT DISTINCT doc_id, unnest(string_split({sql_title('text')}, ' ')) AS w FROM documents) WHERE w <> ''")
+def token_index(spark, d):
+    return fts.token_index(table(spark, d, "documents"), "doc_id", "text").select("token", "doc_id")
+
+
+@query(
+    f"""WITH i AS (SELECT * FROM (SELECT DISTINCT doc_id, unnest(string_split({sql_title('text')}, ' ')) AS w FROM documents) WHERE w <> ''), n AS (SELECT count(*) AS total FROM documents),
+    weight AS (SELECT w, ln(1 + (SELECT total FROM n) / CAST(count(*) AS DOUBLE)) AS x FROM i GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(string_split({sql_title('text')}, ' ')) AS w FROM benchmark),
+    s AS (SELECT item_id, doc_id, round(sum(x), 6) AS score FROM q JOIN i USING (w) JOIN weight USING (w) GROUP BY 1, 2)
+    SELECT item_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 5"""
+)
+def fts_ranked(spark, d):
+    docs = table(spark, d, "documents")
+    asked = table(spark, d, "benchmark").select("item_id", F.split(text.normalize_title("text"), " ").alias("words"))
+    found = fts.best_matches(asked, "item_id", "words", fts.token_index(docs, "doc_id", "text"), "doc_id", docs.count(), 5)
+    return found.select("item_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy(text.normalize_title("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+def asked_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the titles as they are, half with a letter too many."""
+    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("s"))).alias("title"))
+
+
+CANDIDATES_SQL = f"""
+c AS (SELECT {sql_title('p_name')} AS name, min(p_partkey) AS id FROM part GROUP BY 1), ix AS (SELECT DISTINCT id, unnest(string_split(name, ' ')) AS w FROM c),
+wt AS (SELECT w, ln(1 + (SELECT count(*) FROM c) / CAST(count(*) AS DOUBLE)) AS x FROM ix GROUP BY 1),
+t AS (SELECT p_partkey, {sql_title("CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || 's' END")} AS norm FROM part),
+tw0 AS (SELECT p_partkey, unnest(string_split(norm, ' ')) AS w, generate_subscripts(string_split(norm, ' '), 1) AS i FROM t),
+tw1 AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY length(w) DESC, i DESC) AS r FROM tw0 WHERE w NOT IN ({STOP_SQL})),
+short AS (SELECT p_partkey, bool_and(length(w) < 4) AS s FROM tw1 WHERE r <= 3 GROUP BY 1),
+tw AS (SELECT DISTINCT p_partkey, w FROM tw1 WHERE r <= 3 AND p_partkey NOT IN (SELECT p_partkey FROM short WHERE s) UNION SELECT p_partkey, w FROM tw0 WHERE p_partkey IN (SELECT p_partkey FROM short WHERE s)),
+sc AS (SELECT p_partkey, id, round(sum(x), 6) AS score FROM tw JOIN ix USING (w) JOIN wt USING (w) GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5),
+sim AS (SELECT top.p_partkey, top.id AS cluster_id, {sql_similarity('t.norm', 'c.name')} AS similarity, t.norm = c.name AS exact FROM top JOIN t USING (p_partkey) JOIN c ON c.id = top.id),
+cand AS (SELECT * FROM (SELECT *, max(exact) OVER (PARTITION BY p_partkey) AS any_exact FROM sim WHERE similarity >= 80) WHERE exact OR NOT any_exact)"""
+
+
+@query(f"WITH {CANDIDATES_SQL} SELECT p_partkey, cluster_id, similarity, exact FROM cand")
+def fuzzy_title_topk(spark, d):
+    found = match.title_candidates(asked_titles(spark, d), "p_partkey", "title", clusters(spark, d))
+    return found.select("p_partkey", "cluster_id", long_("similarity").alias("similarity"), "exact")
+
+
+DECISION_SQL = f"""{CANDIDATES_SQL},
+pubs AS (SELECT c.id AS cluster_id, count(*) AS pubs FROM part p JOIN c ON c.name = {sql_title('p.p_name')} WHERE p.p_size = 1 GROUP BY 1),
+f AS (SELECT p_partkey, count(DISTINCT cand.cluster_id) AS n, min(cand.cluster_id) AS hit, coalesce(min(pubs), 0) AS pubs FROM cand LEFT JOIN pubs USING (cluster_id) GROUP BY 1),
+decision AS (SELECT p.p_partkey, CASE WHEN coalesce(n, 0) = 0 OR n = 1 AND pubs = 1 THEN 'SAFE' ELSE 'LIMBO' END AS status, CASE WHEN coalesce(n, 0) = 0 THEN 'NO_MATCH' WHEN n = 1 AND pubs = 1 THEN 'SINGLE_MATCH' ELSE 'MULTI_MATCH' END AS match,
+CASE WHEN n = 1 AND pubs = 1 THEN hit END AS id, CASE WHEN n = 1 AND pubs <> 1 THEN 'AMB_PUB' WHEN n > 1 THEN 'AMB_CLUSTER' END AS reason FROM part p LEFT JOIN f USING (p_partkey))"""
+
+
+@query(f"WITH {DECISION_SQL} SELECT * FROM decision")
+def title_match_decision(spark, d):
+    titles, known = asked_titles(spark, d), clusters(spark, d)
+    pubs = table(spark, d, "part").where("p_size = 1").select(text.normalize_title("p_name").alias("name")).join(known, "name").select(F.col("id").alias("cluster_id"))
+    return match.decide_title(titles, "p_partkey", match.title_candidates(titles, "p_partkey", "title", known), pubs)
+
+
+@query(
+    f"""WITH c AS (SELECT {sql_title('p_name')} AS name, min(p_partkey) AS id FROM part GROUP BY 1), q AS (SELECT p_partkey, {sql_title("CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || 's' END")} AS name FROM part),
+    pubs AS (SELECT c.id, count(*) AS pubs FROM part p JOIN c ON c.name = {sql_title('p.p_name')} WHERE p_size = 1 GROUP BY 1)
+    SELECT q.p_partkey, CASE WHEN c.id IS NULL OR pubs = 1 THEN 'SAFE' ELSE 'LIMBO' END AS status, CASE WHEN c.id IS NULL THEN 'NO_MATCH' WHEN pubs = 1 THEN 'SINGLE_MATCH' ELSE 'MULTI_MATCH' END AS match,
+    CASE WHEN pubs = 1 THEN c.id END AS id, CASE WHEN c.id IS NOT NULL AND coalesce(pubs, 0) <> 1 THEN 'AMB_PUB' END AS reason FROM q LEFT JOIN c USING (name) LEFT JOIN pubs ON pubs.id = c.id"""
+)
+def title_match_exact(spark, d):
+    known = clusters(spark, d)
+    pubs = table(spark, d, "part").where("p_size = 1").select(text.normalize_title("p_name").alias("name")).join(known, "name").select(F.col("id").alias("cluster_id"))
+    return match.match_exact_title(asked_titles(spark, d), "p_partkey", "title", known, pubs)
+
+
+@query()
+def author_match_outcome(spark, d):
+    """Authors of each part name, by alias and then by name block."""
+    rows = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"), text.normalize_author("p_name").alias("normal"))
+    known = table(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("id"), text.normalize_author("p_name").alias("block_name"), F.concat_ws(" ", "p_name", "p_brand").alias("alias"))
+    return match.match_authors(rows, "p_partkey", "name", "normal", known.select("id", "block_name"), known.select("alias", "id"))
+
+
+@query(
+    f"""WITH l AS (SELECT DISTINCT p_name, {sql_title('p_name')} AS t FROM part), r AS (SELECT doc_id, ' ' || {sql_title('text')} || ' ' AS t FROM documents), extra AS (SELECT w AS p_name, w AS t FROM (VALUES ('mit license'), ('apache license'), ('the'), ('general public license')) v(w))
+    SELECT p_name, max(doc_id) AS doc_id FROM (SELECT * FROM l UNION ALL SELECT * FROM extra) x JOIN r ON contains(r.t, ' ' || x.t || ' ') GROUP BY 1"""
+)
+def phrase_link(spark, d):
+    more = spark.createDataFrame([("mit license",), ("apache license",), ("the",), ("general public license",)], "p_name string")
+    left = table(spark, d, "part").select("p_name").distinct().unionByName(more)
+    return match.link_by_phrase(left, "p_name", "p_name", table(spark, d, "documents"), "doc_id", "text")
+
+
+# ---- citations -------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) > 10)")
+def popular_references(spark, d):
+    return stats.rows_of_popular(table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey"), "l_partkey").select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query("SELECT l_partkey, count(*) AS counter FROM lineitem GROUP BY 1 HAVING count(*) > 10 ORDER BY 2 DESC, 1")
+def popular_reference_counts(spark, d):
+    return counted(stats.popular(table(spark, d, "lineitem"), "l_partkey"), "l_partkey").orderBy(F.desc("counter"), "l_partkey")
+
+
+@query(
+    """WITH ids AS (SELECT printf('%08X', o_orderkey) AS hex FROM orders WHERE o_orderstatus = 'F'), e AS (SELECT printf('%08X', l_orderkey) AS src, printf('%08X', l_partkey) AS ref, l_linenumber AS n, l_suppkey AS s FROM lineitem),
+    hits AS (SELECT 'source' AS role, src AS hex, src, ref, n, s FROM e WHERE src IN (SELECT hex FROM ids) UNION ALL SELECT 'reference', ref, src, ref, n, s FROM e WHERE ref IN (SELECT hex FROM ids))
+    SELECT role, hex, src, ref FROM (SELECT *, row_number() OVER (PARTITION BY role, hex ORDER BY src, ref, n, s) AS r FROM hits) WHERE r = 1"""
+)
+def resolve_ids(spark, d):
+    ids = table(spark, d, "orders").where("o_orderstatus = 'F'").select(values.to_hex8("o_orderkey").alias("hex"))
+    e = table(spark, d, "lineitem").select(values.to_hex8("l_orderkey").alias("src"), values.to_hex8("l_partkey").alias("ref"))
+    both = e.select(F.lit("source").alias("role"), F.col("src").alias("hex"), "src", "ref").unionByName(e.select(F.lit("reference").alias("role"), F.col("ref").alias("hex"), "src", "ref"))
+    return upsert.first_per_key(both.join(ids, "hex", "left_semi"), ["role", "hex"], [F.col("src"), F.col("ref")])
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 25), p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.05),
+    n AS (SELECT (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM p)) AS tp, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM t)) AS fp, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM p)) AS missing),
+    m AS (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS a, tp / CAST(tp + 63 AS DOUBLE) AS b FROM n) SELECT tp, fp, missing, round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS f1 FROM m"""
+)
+def link_quality(spark, d):
+    li = table(spark, d, "lineitem")
+    return stats.link_quality(li.where("l_quantity > 25"), li.where("l_discount < 0.05"), ["l_orderkey", "l_partkey"])
+
+
+SWEEP = [(100, 36, 0), (90, 53, 1), (80, 54, 1), (70, 55, 2), (60, 57, 7), (50, 62, 33), (40, 63, 169), (30, 50, 594)]
+
+
+@query(
+    f"SELECT threshold, tp, fp, round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS f1 FROM (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS a, tp / CAST(tp + 63 AS DOUBLE) AS b FROM (SELECT CAST(t AS BIGINT) AS threshold, CAST(x AS BIGINT) AS tp, CAST(y AS BIGINT) AS fp FROM (VALUES {', '.join(map(str, SWEEP))}) v(t, x, y)))"
+)
+def quality_sweep(spark, d):
+    return stats.quality_measures(spark.createDataFrame(SWEEP, "threshold long, tp long, fp long"))
+
+
+@query("SELECT DISTINCT l.l_orderkey, l.l_partkey, p.p_name FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey")
+def citations_out(spark, d):
+    edges = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    return edges.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select("l_orderkey", "l_partkey", "p_name")
+
+
+@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS cited_by, min(l_orderkey) AS first_citing FROM lineitem GROUP BY 1")
+def citations_in(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("cited_by"), F.min("l_orderkey").alias("first_citing"))
+
+
+@query(
+    f"""WITH {CANDIDATES_SQL}, f AS (SELECT p.p_partkey, p.p_size % 6 AS tries, count(DISTINCT cluster_id) AS n, coalesce(bool_or(exact), false) AS exact, min(cluster_id) AS hit FROM part p LEFT JOIN cand USING (p_partkey) GROUP BY 1, 2)
+    SELECT p_partkey, CASE WHEN n = 1 THEN 'FIN' WHEN n = 0 AND tries + 1 < 5 THEN 'INC' ELSE 'LIM' END AS status, CAST(CASE WHEN n = 0 THEN tries + 1 ELSE tries END AS BIGINT) AS tries, CASE WHEN n = 1 THEN hit END AS cluster_id FROM f"""
+)
+def reference_state(spark, d):
+    from .plans.weave import resolve_references  # noqa: PLC0415
+
+    refs = asked_titles(spark, d).join(table(spark, d, "part").select("p_partkey", (F.col("p_size") % 6).alias("tries")), "p_partkey")
+    found = resolve_references(refs.withColumn("status", F.lit("OP")), "p_partkey", "title", clusters(spark, d))
+    return found.select("p_partkey", "status", long_("tries").alias("tries"), "cluster_id")
+
+
+# ---- statistics ---------------------------------------------------------------------------
+
+
+@query("SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS counter FROM orders GROUP BY 1")
+def pub_year_hist(spark, d):
+    return counted(stats.histogram(table(spark, d, "orders"), long_(F.year("o_orderdate")), "year"), "year")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS mdate, count(*) AS counter FROM orders GROUP BY 1")
+def mdate_hist(spark, d):
+    return counted(stats.histogram(table(spark, d, "orders"), F.to_date("o_orderdate").cast("string"), "mdate"), "mdate")
+
+
+@query(f"SELECT CAST(length({sql_title('text')}) AS BIGINT) AS k, count(*) AS counter FROM documents GROUP BY 1")
+def title_length_hist(spark, d):
+    return counted(stats.histogram(table(spark, d, "documents"), long_(F.length(text.normalize_title("text")))), "k")
+
+
+@query(f"SELECT word, count(*) AS counter FROM (SELECT unnest(string_split({sql_title('text')}, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
+def word_freq(spark, d):
+    return counted(stats.word_counts(table(spark, d, "documents"), "text"), "word")
+
+
+@query(f"SELECT token, count(*) AS counter FROM (SELECT unnest(string_split({sql_author('text')}, ' ')) AS token FROM conversations) WHERE length(token) <> 1 AND token <> '' AND TRY_CAST(token AS BIGINT) IS NULL GROUP BY 1")
+def name_token_freq(spark, d):
+    return counted(stats.name_token_counts(table(spark, d, "conversations"), "text"), "token")
+
+
+PAIRS = "(SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)"
+
+
+def author_edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+
+
+@query(f"SELECT n AS k, count(*) AS counter FROM (SELECT l_orderkey, count(*) AS n FROM {PAIRS} GROUP BY 1) GROUP BY 1")
+def authors_per_pub(spark, d):
+    return counted(stats.histogram_of(author_edges(spark, d), "l_orderkey"), "k")
+
+
+@query(f"SELECT l_suppkey AS author, count(*) AS counter FROM {PAIRS} GROUP BY 1")
+def pubs_per_author(spark, d):
+    return counted(stats.histogram(author_edges(spark, d), F.col("l_suppkey"), "author"), "author")
+
+
+@query(f"SELECT n AS k, count(*) AS counter FROM (SELECT l_suppkey, count(*) AS n FROM {PAIRS} GROUP BY 1) GROUP BY 1")
+def amount_of_pub(spark, d):
+    return counted(stats.histogram_of(author_edges(spark, d), "l_suppkey"), "k")
+
+
+CAREER = f"(SELECT l_suppkey AS author, CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS counter FROM {PAIRS} JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+LENGTHS = f"(SELECT k, count(*) AS authors FROM (SELECT author, max(year) - min(year) AS k FROM {CAREER} GROUP BY 1) GROUP BY 1)"
+
+
+def careers(spark: SparkSession, d: str) -> DataFrame:
+    years = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), long_(F.year("o_orderdate")).alias("year"))
+    return stats.career(author_edges(spark, d).join(years, "l_orderkey"), "l_suppkey", "year")
+
+
+@query(f"SELECT * FROM {CAREER}")
+def career(spark, d):
+    return careers(spark, d)
+
+
+@query(f"SELECT * FROM {LENGTHS}")
+def career_length(spark, d):
+    return stats.career_length(careers(spark, d))
+
+
+BY_YEAR = f"(SELECT c.year - f.first AS k, CAST(sum(counter) AS BIGINT) AS publications, count(*) AS authors FROM {CAREER} c JOIN (SELECT author, min(year) AS first FROM {CAREER} GROUP BY 1) f USING (author) GROUP BY 1)"
+
+
+@query(f"SELECT k, publications FROM {BY_YEAR}")
+def career_by_year(spark, d):
+    return stats.career_by_year(careers(spark, d)).select("k", "publications")
+
+
+@query(f"SELECT k, authors, round(publications / CAST(authors AS DOUBLE), 6) AS mean FROM {BY_YEAR}")
+def career_mean(spark, d):
+    return stats.career_by_year(careers(spark, d)).select("k", "authors", "mean")
+
+
+@query(f"SELECT k, CAST(CASE k WHEN 0 THEN sum(authors) OVER () ELSE coalesce(sum(authors) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) END AS BIGINT) AS authors FROM {LENGTHS}")
+def career_continuation(spark, d):
+    return stats.career_continuation(stats.career_length(careers(spark, d)))
+
+
+@query(f"SELECT k, round(authors / CAST(first(authors) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE), 6) AS share FROM (SELECT k, authors FROM {BY_YEAR})")
+def career_share(spark, d):
+    return stats.normalized_by_first(stats.career_by_year(careers(spark, d)), "k", "authors")
+
+
+@query("SELECT round(sum(y * c) / CAST(sum(c) AS DOUBLE), 6) AS mean FROM (SELECT year(o_orderdate) AS y, count(*) AS c FROM orders GROUP BY 1)")
+def weighted_mean(spark, d):
+    return stats.weighted_mean(pub_year_hist(spark, d), "year", "counter")
+
+
+@query("SELECT y AS k, c AS counter FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS c FROM orders GROUP BY 1) ORDER BY c DESC, y LIMIT 1")
+def hist_argmax(spark, d):
+    return stats.arg_max(pub_year_hist(spark, d), "year", "counter")
+
+
+@query("SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) FILTER (o_orderstatus = 'F') AS book, count(*) FILTER (o_orderstatus = 'O') AS proceedings FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 2016 GROUP BY 1")
+def kinds_by_year(spark, d):
+    rows = table(spark, d, "orders").withColumn("year", long_(F.year("o_orderdate"))).where(F.col("year").between(1990, 2016))
+    return rows.groupBy("year").agg(F.count_if(F.col("o_orderstatus") == "F").alias("book"), F.count_if(F.col("o_orderstatus") == "O").alias("proceedings"))
+
+
+# ---- harvest, upserts, windows -------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_upsert(spark, d):
+    return upsert.latest_per_key(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def insert_ignore(spark, d):
+    return upsert.first_per_key(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id")])
+
+
+@query(
+    """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events WHERE ts < TIMESTAMP '2024-01-15') WHERE r = 1),
+    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-15') WHERE r = 1)
+    SELECT user_id, event_type, coalesce(n.value, o.value) AS value, coalesce(o.props, n.props) AS props FROM o FULL JOIN n USING (user_id, event_type)"""
+)
+def selective_upsert(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "props", "ts")
+    last = lambda x: upsert.latest_per_key(x.drop("ts"), ["user_id", "event_type"], [F.col("event_id")]).drop("event_id")
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    old, new = last(rows.where(F.col("ts").cast("timestamp_ntz") < cut)), last(rows.where(F.col("ts").cast("timestamp_ntz") >= cut))
+    return upsert.upsert(old, new, ["user_id", "event_type"], keep=["props"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)")
+def incremental_scan(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", F.lit(None).cast("string").alias("last_harvested"), "event_type", "value")
+    done = rows.where("event_type = 'error' and value > 90")
+    return upsert.mark_harvested(rows, done, ["user_id"], F.lit("now")).where("last_harvested is null").select("event_id", "user_id")
+
+
+@query("SELECT 'XX' || CAST(event_id AS VARCHAR) AS key, event_type FROM events WHERE event_type <> 'view'")
+def replay_scan(spark, d):
+    return table(spark, d, "events").where("event_type <> 'view'").select(F.concat(F.lit("XX"), F.col("event_id").cast("string")).alias("key"), "event_type")
+
+
+@query("SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def window_harvest(spark, d):
+    w = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "7 days").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return w.select(F.unix_timestamp("w.start").alias("start_s"), "event_type", "n", "total")
+
+
+@query("SELECT event_type, bucket, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_type, event_id, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 500) * 500 AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
+def track_buckets(spark, d):
+    rows = upsert.running_index(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], [F.col("event_id")])
+    return rows.groupBy("event_type", long_("bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+# ---- difference trees ----------------------------------------------------------------------
+
+TREE_ATTRS = ["title", "pages", "number"]
+TREE_SQL = """
+rows AS (SELECT user_id AS pub, event_type AS url, event_id AS seq, props AS title, CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR) AS pages, CAST(event_id % 7 AS VARCHAR) AS number FROM events),
+places AS (SELECT pub, url, row_number() OVER (PARTITION BY pub ORDER BY f, url) - 1 AS place FROM (SELECT pub, url, min(seq) AS f FROM rows GROUP BY 1, 2)),
+melted AS (SELECT pub, url, seq, 'title' AS attr, title AS value FROM rows UNION ALL SELECT pub, url, seq, 'pages', pages FROM rows UNION ALL SELECT pub, url, seq, 'number', number FROM rows),
+grouped AS (SELECT pub, attr, value, CAST(0 AS BIGINT) AS votes, bit_or(CAST(1 AS BIGINT) << CAST(place AS INTEGER)) AS bitvector, min(seq) AS ord FROM melted JOIN places USING (pub, url) WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+nodes AS (SELECT pub, attr, value, votes, bitvector, row_number() OVER (PARTITION BY pub, attr ORDER BY ord) - 1 AS pos FROM grouped)"""
+
+
+def tree_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("pub"), F.col("event_type").alias("url"), F.col("event_id").alias("seq"), F.col("props").alias("title"), F.floor(F.col("value") / 20).cast("bigint").cast("string").alias("pages"), (F.col("event_id") % 7).cast("string").alias("number"))
+
+
+def trees(spark: SparkSession, d: str) -> DataFrame:
+    return difftree.merge(tree_rows(spark, d), "pub", "url", "seq", TREE_ATTRS)
+
+
+@query(f"WITH {TREE_SQL} SELECT pub, attr, pos, value, votes, bitvector FROM nodes")
+def difftree_merge(spark, d):
+    return difftree.nodes(trees(spark, d)).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
+
+
+@query(f"WITH {TREE_SQL} SELECT pub, max(value) FILTER (attr = 'title') AS title, max(value) FILTER (attr = 'pages') AS pages, max(value) FILTER (attr = 'number') AS number FROM nodes WHERE pos = 0 GROUP BY 1")
+def difftree_defaults(spark, d):
+    return difftree.defaults(trees(spark, d), TREE_ATTRS)
+
+
+@query("WITH " + TREE_SQL + " SELECT m.pub, m.url, m.attr, string_agg(m.value, '|' ORDER BY n.pos) AS vals FROM (SELECT DISTINCT pub, url, attr, value FROM melted WHERE value IS NOT NULL) m JOIN nodes n USING (pub, attr, value) GROUP BY 1, 2, 3")
+def difftree_sources(spark, d):
+    return difftree.per_source(trees(spark, d)).select("pub", F.col("url_id").alias("url"), "attr", F.array_join("values", "|").alias("vals"))
+
+
+@query(
+    f"""WITH {TREE_SQL}, voted AS (SELECT *, CASE WHEN attr = 'number' AND value = '3' THEN 2 ELSE 0 END AS v FROM nodes)
+    SELECT pub, attr, value, CAST(v AS BIGINT) AS votes, CASE WHEN w.p3 IS NULL OR w.p3 = 0 THEN n.pos WHEN n.pos = 0 THEN w.p3 WHEN n.pos = w.p3 THEN 0 ELSE n.pos END AS pos
+    FROM voted n LEFT JOIN (SELECT pub, attr, pos AS p3 FROM nodes WHERE attr = 'number' AND value = '3') w USING (pub, attr)"""
+)
+def difftree_votes(spark, d):
+    t = trees(spark, d)
+    cast = t.select("pub", F.lit("number").alias("attr"), F.lit("3").alias("value"), F.lit(2).alias("votes"))
+    return difftree.nodes(difftree.apply_votes(t, cast)).select("pub", "attr", "value", long_("votes").alias("votes"), long_("at").alias("pos"))
+
+
+@query(f"WITH {TREE_SQL} SELECT pub, attr, pos, value, votes, bitvector FROM nodes")
+def difftree_insert(spark, d):
+    """The later half of the stream inserted into the tree of the earlier half gives the same tree."""
+    rows = tree_rows(spark, d)
+    mid = rows.agg(F.expr("percentile_approx(seq, 0.5)").alias("m"))
+    early, late = (rows.join(F.broadcast(mid), F.col("seq") <= F.col("m") if first else F.col("seq") > F.col("m")).drop("m") for first in (True, False))
+    t = difftree.insert(difftree.merge(early, "pub", "url", "seq", TREE_ATTRS), late, "pub", "url", "seq", TREE_ATTRS)
+    return difftree.nodes(t).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
+
+
+@query(f"WITH {TREE_SQL} SELECT pub, attr, pos, value, votes, bitvector FROM nodes")
+def difftree_json(spark, d):
+    back = difftree.from_json(difftree.to_json(trees(spark, d)), "string")
+    return difftree.nodes(back).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
+
+
+# ---- quarantine, search, views ---------------------------------------------------------------
+
+
+@query(f"WITH {DECISION_SQL} SELECT d.p_partkey, p.p_name AS title, d.reason FROM decision d JOIN part p USING (p_partkey) WHERE status = 'LIMBO'")
+def limbo_split(spark, d):
+    found = title_match_decision(spark, d).where("status = 'LIMBO'")
+    return found.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title")), "p_partkey").select("p_partkey", "title", "reason")
+
+
+@query(f"WITH {DECISION_SQL} SELECT CASE WHEN status = 'LIMBO' THEN 'limbo' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1) THEN 'duplicate' ELSE 'added' END AS outcome, count(*) AS n FROM decision GROUP BY 1")
+def ingest_outcome_counts(spark, d):
+    known = table(spark, d, "lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("known", F.lit(True))
+    o = F.when(F.col("status") == "LIMBO", "limbo").when(F.col("known"), "duplicate").otherwise("added")
+    return title_match_decision(spark, d).join(known, "p_partkey", "left").groupBy(o.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'mit license') ORDER BY doc_id LIMIT 10 OFFSET 0")
+def pub_search(spark, d):
+    from .plans.serve import search_publications  # noqa: PLC0415
+
+    return search_publications(table(spark, d, "documents"), "text", "MIT License", "doc_id", page=1).select("doc_id", "source")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '0007') ORDER BY s_suppkey LIMIT 10")
+def author_search(spark, d):
+    from .plans.serve import search_publications  # noqa: PLC0415
+
+    return search_publications(table(spark, d, "supplier"), "s_name", "0007", "s_suppkey", page=1).select("s_suppkey", "s_name")
+
+
+@query("SELECT s.s_suppkey, n.n_name || '/' || r.r_name || '/' || s.s_name AS url, count(DISTINCT l.l_orderkey) AS publications FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey JOIN lineitem l ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2")
+def source_detail(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws("/", "n_name", "r_name", "s_name").alias("url"))
+    pubs = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_orderkey").alias("publications"))
+    return s.join(pubs, "s_suppkey").select("s_suppkey", "url", "publications")
+
+
+@query("SELECT l_suppkey AS author, l_orderkey AS pub, min(l_linenumber) - 1 AS priority FROM lineitem GROUP BY 1, 2")
+def author_detail(spark, d):
+    lists = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_linenumber").alias("n"))
+    return lists.select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("pub"), (F.col("n") - 1).alias("priority"))
+
+
+def window_first(c: Column, by: list[str], order: str) -> Column:
+    return F.first(c).over(W.partitionBy(*by).orderBy(order))

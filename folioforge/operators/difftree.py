@@ -26,11 +26,15 @@ def melt(rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str]) -
         if a in rows.columns:
             c = F.col(a)
             values = c.cast("array<string>") if rows.schema[a].dataType.typeName() == "array" else F.array(c.cast("string"))
-            parts.append(F.transform(values, lambda v, i, a=a: F.struct(F.lit(a).alias("attr"), v.alias("value"), i.alias("at"))))
+            parts.append(F.transform(values, _entry(a)))
     each = rows.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), F.col(seq).alias("seq"), F.explode(F.flatten(F.array(*parts))).alias("x"))
     return each.select("pub", "url_id", "seq", "x.attr", "x.value", "x.at").where("value is not null")
 
 
+def _entry(attr: str):
+    return lambda v, i: F.struct(F.lit(attr).alias("attr"), v.alias("value"), i.alias("at"))
+
+
 def source_bits(rows: DataFrame, pub: str, url: str, seq: str) -> DataFrame:
     """(pub, url_ids, url_id, place): sources by first arrival. The sources of a
     record are at most 63, so that a record's list is bounded."""
@@ -60,7 +64,8 @@ def insert(trees: DataFrame, rows: DataFrame, pub: str, url: str, seq: str, attr
     """Trees with the values of more rows: the old tree is read back as rows
     that arrived before, so that old nodes keep their order; votes stay."""
     old_nodes = nodes(trees)
-    back = old_nodes.select("pub", F.get("url_ids", F.explode(bit_indexes("bitvector"))).alias("url_id"), F.lit(-1).cast("long").alias("seq"), "attr", "value", F.col("at"))
+    back = old_nodes.withColumn("i", F.explode(bit_indexes("bitvector")))
+    back = back.select("pub", F.get("url_ids", F.col("i")).alias("url_id"), F.lit(-1).cast("long").alias("seq"), "attr", "value", "at")
     places = trees.select("pub", F.posexplode("url_ids").alias("p", "url_id")).select("pub", "url_id", (F.col("p") - 1_000_000).cast("long").alias("seq"))
     fresh = melt(rows, pub, url, seq, attributes).withColumn("seq", F.col("seq").cast("long"))
     arrivals = places.unionByName(rows.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), F.col(seq).cast("long").alias("seq")))

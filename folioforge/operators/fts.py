@@ -102,5 +102,5 @@ def all_tokens_match(queries: DataFrame, qkey: str, qtokens: str, rows: DataFram
     asked = queries.select(qkey, F.array_distinct(qtokens).alias("need")).where(F.size("need") > 0)
     rare = asked.select(qkey, "need", F.explode("need").alias("token")).join(freq, "token", "left")
     rare = rare.groupBy(qkey).agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"), F.first("need").alias("need"))
-    found = rare.join(rows.select(key, F.col(tokens).alias("has")).withColumn("token", F.explode(F.array_distinct("has"))), "token")
+    found = rare.join(index, "token").select(qkey, "need", key).join(rows.select(key, F.col(tokens).alias("has")), key)
     return found.where(F.forall("need", lambda t: F.array_contains(F.col("has"), t))).select(qkey, key)
