@@ -157,8 +157,8 @@ def _sites(scored: DataFrame, rate: float) -> tuple[DataFrame, float, float, flo
 
 
 def _decided(scored: DataFrame, rate: float, base: DataFrame, threshold: float) -> DataFrame:
-    """scored with host_posterior, path_posterior, quality_score and keep; site
-    statistics come from base (the same documents, materialised)."""
+    """scored with the posteriors, the score and the decision under private
+    names; site statistics come from base (the same documents, materialised)."""
     sites, mean, a, b = _sites(base, rate)
     sites = sites.select(HOST, PATH, F.struct("n", "s", "hn", "hs").alias("__site"))
     share = F.coalesce(SHARE, F.lit(0.0))
@@ -166,11 +166,11 @@ def _decided(scored: DataFrame, rate: float, base: DataFrame, threshold: float)
     n0 = lambda c: F.coalesce(F.col(f"__site.{c}"), F.lit(0))
     bound = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     out = scored.join(sites, [HOST, PATH], "left")
-    out = out.withColumn("host_posterior", bound((n0("hs") - share + a * mean) / (n0("hn") - one + a)))
-    out = out.withColumn("path_posterior", bound((n0("s") - share + b * F.col("host_posterior")) / (n0("n") - one + b)))
-    logit = F.col(EVIDENCE) + F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))
-    out = out.withColumn("quality_score", F.when(F.col(EVIDENCE).isNull(), 0.0).otherwise(1 / (1 + F.exp(-logit))))
-    return out.withColumn("keep", F.col(EVIDENCE).isNotNull() & (F.col("quality_score") >= threshold))
+    out = out.withColumn("__host_posterior", bound((n0("hs") - share + a * mean) / (n0("hn") - one + a)))
+    out = out.withColumn("__path_posterior", bound((n0("s") - share + b * F.col("__host_posterior")) / (n0("n") - one + b)))
+    logit = F.col(EVIDENCE) + F.log(F.col("__path_posterior") / (1 - F.col("__path_posterior")))
+    out = out.withColumn("__score", F.when(F.col(EVIDENCE).isNull(), 0.0).otherwise(1 / (1 + F.exp(-logit))))
+    return out.withColumn("__keep", F.col(EVIDENCE).isNotNull() & (F.col("__score") >= threshold))
 
 
 def _site_key(col: str) -> F.Column:
@@ -195,7 +195,7 @@ def classify_quality(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), _site_key(host_col).alias(HOST), _site_key(path_col).alias(PATH), F.col(text_col).cast("string").alias("text"))
     scored = materialize(_with_evidence(rows, "text", model).drop("text"), "evidence")
     out = _decided(scored, model["rate"], scored, threshold)
-    return out.select(F.col("id").alias(id_col), F.col(EVIDENCE).alias("evidence"), "host_posterior", "path_posterior", "quality_score", "keep")
+    return out.select(F.col("id").alias(id_col), *[F.col(f"__{c}").alias(n) for c, n in (("evidence", "evidence"), ("host_posterior", "host_posterior"), ("path_posterior", "path_posterior"), ("score", "quality_score"), ("keep", "keep"))])
 
 
 def keep_quality(
@@ -209,4 +209,4 @@ def keep_quality(
     model = train(docs, labels, id_col, text_col, label_col, max_labelled)
     rows = docs.withColumns({HOST: _site_key(host_col), PATH: _site_key(path_col)})
     base = materialize(_with_evidence(rows.select(HOST, PATH, F.col(text_col).cast("string").alias("text")), "text", model).drop("text"), "evidence")
-    return _decided(_with_evidence(rows, text_col, model), model["rate"], base, threshold).where("keep").select(*docs.columns)
+    return _decided(_with_evidence(rows, text_col, model), model["rate"], base, threshold).where("__keep").select(*docs.columns)
