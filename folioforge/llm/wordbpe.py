@@ -205,7 +205,7 @@ class WordBPE:
             moved = np.cumsum(keep) - 1
             sym, word, rank = sym[keep], word[keep], rank[keep]
             at = moved[at]
-            again = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            again = np.concatenate([at, at[at > 0] - 1])  # some twice, with the same result
             inside = again[again + 1 < len(sym)]
             same = word[inside] == word[inside + 1]
             rank[again] = none
