@@ -25,7 +25,7 @@ def melt(rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str]) -
     for a in attributes:
         if a in rows.columns:
             c = F.col(a)
-            values = c.cast("array<string>") if rows.schema[a].dataType.typeName() == "array" else F.array(c.cast("string"))
+            values = F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")) if rows.schema[a].dataType.typeName() == "array" else F.array(c.cast("string"))
             parts.append(F.transform(values, _entry(a)))
     each = rows.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), F.col(seq).alias("seq"), F.explode(F.flatten(F.array(*parts))).alias("x"))
     return each.select("pub", "url_id", "seq", "x.attr", "x.value", "x.at").where("value is not null")
