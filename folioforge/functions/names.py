@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import AMBIGUOUS_NAMES, fold_ascii, normalize_title
+from .text import AMBIGUOUS_NAMES, normalize_title
 
 #: Words of a surname that stand before its main word, and suffixes.
 PARTICLES = ["da", "de", "del", "della", "den", "der", "di", "dos", "du", "el", "la", "le", "st", "te", "ten", "ter", "van", "vel", "von", "zu"]
@@ -62,6 +62,11 @@ def rotate(words: Column, by: int) -> Column:
     return F.concat(F.slice(words, k + 1, n), F.slice(words, F.lit(1), k))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once; lambdas share no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def aligned(a: Column, b: Column, most_extra: Column | int = 1, abbreviations: Column | bool = True) -> Column:
     """Whether two word lists align in one pass.
 
@@ -80,11 +85,14 @@ def aligned(a: Column, b: Column, most_extra: Column | int = 1, abbreviations: C
         fits = lambda y: (x == y) | (short & (((F.length(x) == 1) & F.startswith(y, x)) | ((F.length(y) == 1) & F.startswith(x, y))))
         free = F.when(s["next"] < n, F.sequence(s["next"], n - 1)).otherwise(F.array().cast("array<int>"))
         at = F.get(F.filter(free, lambda i: fits(F.get(b, i))), F.lit(0))
-        y = F.get(b, at)
-        hit, differs = at.isNotNull(), at.isNotNull() & (x != y)
+        return _let(at, lambda i: _let(F.get(b, i), lambda y: step(s, x, i, y)))
+
+    def step(s: Column, x: Column, at: Column, y: Column) -> Column:
+        hit = at.isNotNull()
+        differs = F.coalesce(x != y, F.lit(False))
         shortens = differs & (F.length(x) == 1)
         return F.struct(
-            F.when(hit, at + 1).otherwise(n).alias("next"),
+            F.coalesce(at + 1, n).alias("next"),
             (s["hits"] + hit.cast("int")).alias("hits"),
             (s["shortens"] + shortens.cast("int")).alias("shortens"),
             (s["lengthens"] + (differs & ~shortens).cast("int")).alias("lengthens"),
@@ -201,5 +209,3 @@ def metaphone_name(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in names:
         yield s.map(lambda n: None if n is None else " ".join(known.setdefault(w, metaphone(w)) if len(known) < 100_000 else metaphone(w) for w in n.split()))
 
-
-__all__ = ["aligned", "fold_ascii", "is_western", "metaphone", "metaphone_name", "name_block", "name_score", "rotate", "same_author", "same_author_scored"]

@@ -106,10 +106,11 @@ def block_ladder(rows: DataFrame, key: str, name: str, entities: DataFrame, alia
 
 
 def match_type(rows: DataFrame, key: str, name: str, types: DataFrame, default: str = "misc") -> DataFrame:
-    """(key, type_id): the type of that name, else the default's; types(id, name) is a small dimension."""
-    known = F.broadcast(types.select(F.col("name").alias("_name"), F.col("id").alias("_id")).limit(1000))
-    other = F.broadcast(types.where(F.col("name") == default).select(F.col("id").alias("_default")).limit(1))
-    return rows.join(known, F.col(name) == F.col("_name"), "left").join(other, how="left").select(key, F.coalesce("_id", "_default").alias("type_id"))
+    """(key, type_id): the type of that name, else the default's. types(id, name)
+    is a small dimension; Spark broadcasts it by its size."""
+    other = types.where(F.col("name") == default).agg(F.min("id").alias("id")).first()["id"]
+    known = types.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_id"))
+    return rows.join(known, F.col(name) == F.col("_name"), "left").select(key, F.coalesce("_id", F.lit(other).cast(types.schema["id"].dataType)).alias("type_id"))
 
 
 def skip_known(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
