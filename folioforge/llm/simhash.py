@@ -180,7 +180,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = materialize(simhash_components(docs, id_col, text_col, k, max_bits).select(id_col, "component_id"), "components")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # Always the same plan: texts are shuffled once, at any number of duplicates.
+    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
     if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
