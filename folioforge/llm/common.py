@@ -79,7 +79,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[list[list]], list]) -> Da
     return df.mapInArrow(run, schema)
 
 
-def by_bytes(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row slices of about ``limit`` bytes, so that very long
     texts do not gather in one Python list."""
     if batch.num_rows < 2 or batch.nbytes <= limit:
