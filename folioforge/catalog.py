@@ -378,6 +378,17 @@ def phrase_link(spark, d):
     return match.link_by_phrase(left, "p_name", "p_name", table(spark, d, "documents"), "doc_id", "text")
 
 
+@query()
+def similar_names(spark, d):
+    """Name forms of the suppliers and parts that are alike, with the number of rows of either name."""
+    n = F.split("p_name", " ")
+    forms = F.array(F.col("p_name"), F.concat(F.substring(n[0], 1, 1), F.lit(". "), n[1]), F.concat(n[0], F.lit(" q. "), n[1]))
+    rows = table(spark, d, "part").select((F.col("p_partkey") * 3).alias("k"), F.posexplode(forms).alias("i", "name")).select((F.col("k") + F.col("i")).alias("key"), "name")
+    pairs, members = match.similar_names(rows, "key", "name")
+    size = members.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    return pairs.join(size, "id").join(size.select(F.col("id").alias("other"), F.col("rows").alias("other_rows")), "other").select("id", "other", "rows", "other_rows")
+
+
 # ---- citations -------------------------------------------------------------------------------
 
 
@@ -413,6 +424,22 @@ def link_quality(spark, d):
     return stats.link_quality(li.where("l_quantity > 25"), li.where("l_discount < 0.05"), ["l_orderkey", "l_partkey"])
 
 
+OUTCOMES_SQL = """t AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 25), p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.05),
+    o AS (SELECT *, 'correct' AS outcome FROM (SELECT * FROM t INTERSECT SELECT * FROM p) UNION ALL SELECT *, 'false' FROM (SELECT * FROM p EXCEPT SELECT * FROM t) UNION ALL SELECT *, 'missing' FROM (SELECT * FROM t EXCEPT SELECT * FROM p))"""
+
+
+@query(f"WITH {OUTCOMES_SQL} SELECT l_orderkey, l_partkey, outcome FROM o")
+def link_outcomes(spark, d):
+    li = table(spark, d, "lineitem")
+    return stats.link_outcomes(li.where("l_quantity > 25"), li.where("l_discount < 0.05"), ["l_orderkey", "l_partkey"])
+
+
+@query(f"WITH {OUTCOMES_SQL} SELECT outcome, '(' || l_orderkey || ',' || a.p_name || ')-->(' || l_partkey || ',' || b.p_name || ')' AS line FROM o JOIN part a ON a.p_partkey = l_orderkey JOIN part b ON b.p_partkey = l_partkey")
+def link_report(spark, d):
+    titles = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return stats.link_report(link_outcomes(spark, d), "l_orderkey", "l_partkey", titles)
+
+
 SWEEP = [(100, 36, 0), (90, 53, 1), (80, 54, 1), (70, 55, 2), (60, 57, 7), (50, 62, 33), (40, 63, 169), (30, 50, 594)]
 
 
@@ -446,6 +473,30 @@ def reference_state(spark, d):
     return found.select("p_partkey", "status", long_("tries").alias("tries"), "cluster_id")
 
 
+ROUND_SQL = """q AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 404 ELSE 204 END ELSE 403 END AS http_status, o_orderkey % 4 AS tries FROM orders),
+    e AS (SELECT max(id) AS last FROM (SELECT id FROM q WHERE http_status < 400 ORDER BY id LIMIT 1000) HAVING count(*) = 1000), r AS (SELECT q.*, CASE WHEN id <= coalesce((SELECT last FROM e), id) THEN http_status END AS got FROM q)"""
+
+
+def download_round_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A download round over the orders that ends with its 1000th answer."""
+    from .plans.weave import after_download, attempted  # noqa: PLC0415
+
+    key = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", F.when(key % 2 == 0, 404).otherwise(204)).otherwise(403)
+    rows = table(spark, d, "orders").select(key.alias("id"), key.alias("source"), (key % 4).alias("tries"), F.lit(None).cast("timestamp").alias("last_try"), status.alias("http_status"))
+    return after_download(rows.drop("http_status"), attempted(rows.select("id", "source", "http_status"), 1000), F.lit("2024-01-01").cast("timestamp"))
+
+
+@query(f"WITH {ROUND_SQL} SELECT id, CAST(CASE WHEN got IS NULL THEN tries ELSE tries + 1 END AS BIGINT) AS tries, got IS NOT NULL AS tried FROM r WHERE got IS NULL OR got NOT IN (200, 204, 404)")
+def download_queue(spark, d):
+    return download_round_of(spark, d)[0].select("id", long_("tries").alias("tries"), F.col("last_try").isNotNull().alias("tried"))
+
+
+@query(f"WITH {ROUND_SQL} SELECT CASE WHEN got < 400 THEN 'successful' WHEN got = 404 THEN 'invalid' ELSE 'skipped' END AS outcome, count(*) AS n FROM r WHERE got IS NOT NULL GROUP BY 1")
+def download_summary(spark, d):
+    return download_round_of(spark, d)[1]
+
+
 # ---- statistics ---------------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import metaphone_name
 from ..functions.text import normalize_author, normalize_title
 from .match import NO_MATCH
 from .upsert import insert_absent, numbered
@@ -45,3 +46,9 @@ def create_publications(records: DataFrame, publications: DataFrame) -> DataFram
 def clusters_of_log(log: DataFrame) -> DataFrame:
     """(id, name): clusters of an evaluation log's (kind, id, title) lines."""
     return log.select(F.conv("id", 16, 10).cast("bigint").alias("id"), normalize_title("title").alias("name")).dropDuplicates(["id"])
+
+
+def name_table(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, main_name, normal_name, metaphone_name); null and empty names are left out."""
+    named = rows.where(F.length(name) > 0).select(key, F.col(name).alias("main_name"), normalize_author(name).alias("normal_name"))
+    return named.withColumn("metaphone_name", metaphone_name("normal_name"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import same_author
-from ..functions.text import author_tokens, near_length, normalize_title, relevant_words, title_similarity
+from ..functions.text import author_tokens, near_length, normalize_author, normalize_title, relevant_words, search_query, title_similarity
 from .fts import all_tokens_match, best_matches, token_index
 
 #: Outcome names shared by all matchers.
@@ -83,6 +85,22 @@ def match_authors(rows: DataFrame, key: str, name: str, normal: str, authors: Da
     return first.where(F.col("match") != NO_MATCH).unionByName(second)
 
 
+def similar_names(names: DataFrame, key: str, name: str, transform: Callable[[str], Column] = normalize_author) -> tuple[DataFrame, DataFrame]:
+    """Which names of a table are alike: pairs (id, other) between classes of
+    equal transformed names, and membership (key, id) in them; a class goes by
+    its smallest key. The other name has one of the search words of the first
+    and passes same_author, so pairs are directed. Similarity is a condition of
+    the join by word: only pairs that are alike leave it. Null and blank names
+    have none.
+    """
+    rows = names.where(F.length(F.trim(name)) > 0).select(key, transform(name).alias("normal")).where("normal != ''")
+    classes = rows.groupBy("normal").agg(F.min(key).alias("id"))
+    asked = classes.select("id", "normal", F.explode(F.array_distinct(F.split(search_query("normal"), " "))).alias("word")).alias("a")
+    held = classes.select(F.col("id").alias("other"), F.col("normal").alias("other_name"), F.explode(F.array_distinct(F.split("normal", " "))).alias("word")).alias("b")
+    alike = (F.col("a.word") == F.col("b.word")) & (F.col("id") != F.col("other")) & same_author("normal", "other_name")
+    return asked.join(held, alike).select("id", "other").distinct(), rows.join(classes, "normal").select(key, "id")
+
+
 def block_ladder(rows: DataFrame, key: str, name: str, entities: DataFrame, aliases: DataFrame, alias_first: bool = False) -> DataFrame:
     """(key, id, how) for media and keywords; id null where one is to be created.
 

@@ -78,6 +78,23 @@ def rows_of_popular(df: DataFrame, key: str, more_than: int = 10) -> DataFrame:
     return df.join(popular(df, key, more_than).select(key), key, "left_semi")
 
 
+def link_outcomes(truth: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Every link of either side once, with its outcome: correct, false (found
+    but not true) or missing."""
+    t = truth.select(*on).distinct().withColumn("_t", F.lit(True))
+    p = found.select(*on).distinct().withColumn("_p", F.lit(True))
+    outcome = F.when(F.col("_t").isNull(), "false").when(F.col("_p").isNull(), "missing").otherwise("correct")
+    return t.join(p, on, "full_outer").select(*on, outcome.alias("outcome"))
+
+
+def link_report(outcomes: DataFrame, source: str, reference: str, titles: DataFrame) -> DataFrame:
+    """(outcome, line): readable lines of link outcomes; titles(id, title). A
+    link whose end has no title has no line."""
+    s, r = (titles.groupBy(F.col("id").alias(c)).agg(F.trim(F.min("title")).alias(f"_{n}")) for c, n in ((source, "s"), (reference, "r")))
+    end = lambda i, t: F.concat(F.lit("("), F.col(i).cast("string"), F.lit(","), F.col(t), F.lit(")"))
+    return outcomes.join(s, source).join(r, reference).select("outcome", F.concat(end(source, "_s"), F.lit("-->"), end(reference, "_r")).alias("line"))
+
+
 def link_quality(truth: DataFrame, found: DataFrame, on: list[str], missed: int = 63) -> DataFrame:
     """tp, fp, missing and precision, recall, f1. Recall divides by tp + missed,
     a constant of the published evaluation; None uses the missing links."""

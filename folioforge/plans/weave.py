@@ -11,6 +11,8 @@ from ..operators.match import title_candidates
 #: States of a reference, and the tries after which it is given up.
 OPEN, INCOMPLETE, LIMIT, FINISHED = "OP", "INC", "LIM", "FIN"
 MAX_TRIES = 5
+#: The lowest status of a failed request, and that of a missing file.
+BAD, MISSING = 400, 404
 
 
 def resolve_references(refs: DataFrame, key: str, title: str, clusters: DataFrame, threshold: int = 80) -> DataFrame:
@@ -44,13 +46,28 @@ def next_in_queue(queue: DataFrame, now: Column, limit: int = 10) -> DataFrame:
     return queue.where(F.col("last_try").isNull() | (F.col("last_try") < now)).orderBy("id").limit(limit)
 
 
+def attempted(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """The results(id, http_status) of a round that ends with its ``limit``-th
+    answered request, in the order of id. Refused and missing files do not count
+    against the limit. Only the last id of the round comes to the driver."""
+    if limit is None:
+        return results
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    answered = results.where(F.col("http_status") < BAD).orderBy("id").limit(limit)
+    end = answered.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).first()
+    return results.where(F.col("id") <= end["last"]) if end["n"] == limit else results
+
+
 def after_download(queue: DataFrame, results: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The queue after results(source, http_status), and their counts: 200 leaves
-    as successful, 404 as invalid, anything else is tried again later."""
-    q = queue.join(results, "source", "left")
-    outcome = F.when(F.col("http_status") == 200, "successful").when(F.col("http_status") == 404, "invalid").when(F.col("http_status").isNotNull(), "skipped")
+    """The queue after results(source, http_status), and their counts: an answer
+    below 400 leaves as successful, 404 as invalid, anything else is tried again
+    later."""
+    q = queue.join(results.select("source", "http_status"), "source", "left")
+    status = F.col("http_status")
+    outcome = F.when(status < BAD, "successful").when(status == MISSING, "invalid").when(status.isNotNull(), "skipped")
     q = q.withColumn("outcome", outcome)
-    again = F.col("outcome") == "skipped"
+    again = F.coalesce(F.col("outcome") == "skipped", F.lit(False))
     kept = q.where(F.col("outcome").isNull() | again)
     kept = kept.withColumn("tries", F.when(again, F.col("tries") + 1).otherwise(F.col("tries"))).withColumn("last_try", F.when(again, now).otherwise(F.col("last_try")))
     return kept.select(*queue.columns), q.where("outcome is not null").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -51,5 +51,10 @@ def write_id_lists(df: DataFrame, key: str, ids: str, path: str) -> None:
     df.select(key, F.array_join(F.col(ids).cast("array<string>"), " ").alias("ids")).write.mode("overwrite").csv(path)
 
 
+def write_reports(df: DataFrame, path: str) -> None:
+    """Text files of df(outcome, line), a folder for each outcome."""
+    df.select("outcome", "line").write.mode("overwrite").partitionBy("outcome").text(path)
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)

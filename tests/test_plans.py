@@ -163,3 +163,47 @@ def test_continuation_identity(spark):
 def test_clusters_of_log(spark):
     log = spark.createDataFrame([("SOURCE", "0A", "Big-Title"), ("REF", "0A", "Big title")], "kind string, id string, title string")
     assert [tuple(r) for r in entities.clusters_of_log(log).collect()] == [(10, "big title")]
+
+
+def test_download_round_counts_only_answers(spark):
+    queue = spark.createDataFrame([(i, f"s{i}", 0, None) for i in range(1, 8)], "id long, source string, tries int, last_try timestamp")
+    results = spark.createDataFrame([(1, "s1", 403), (2, "s2", 404), (3, "s3", 204), (4, "s4", 500), (5, "s5", 200), (6, "s6", 200), (7, "s7", 404)], "id long, source string, http_status int")
+    assert sorted(r["id"] for r in weave.attempted(results, 2).collect()) == [1, 2, 3, 4, 5]
+    assert weave.attempted(results, 4).count() == 7
+    with pytest.raises(ValueError):
+        weave.attempted(results, 0)
+    kept, counts = weave.after_download(queue, weave.attempted(results, 2), F.current_timestamp())
+    assert sorted((r["id"], r["tries"]) for r in kept.collect()) == [(1, 1), (4, 1), (6, 0), (7, 0)]
+    assert {r["outcome"]: r["n"] for r in counts.collect()} == {"successful": 2, "invalid": 1, "skipped": 2}
+
+
+def test_similar_names_equals_brute_force(spark):
+    given = ["Anna Smithson", "A. Smithson", "anna smithson", "Anna M. Smithson", "Bob Hallberg", "Hallberg", "Anna Hallberg", None, " ", "Smithson Anna"]
+    rows = spark.createDataFrame(list(enumerate(given)), "key long, name string")
+    pairs, members = match.similar_names(rows, "key", "name")
+    normal = {r["key"]: r["n"] for r in rows.select("key", match.normalize_author("name").alias("n")).collect() if r["n"] and r["n"].strip()}
+    first = {}
+    for k, n in sorted(normal.items()):
+        first.setdefault(n, k)
+    assert {r["key"]: r["id"] for r in members.collect()} == {k: first[n] for k, n in normal.items()}
+    both = spark.createDataFrame([(i, j, a, b) for a, i in first.items() for b, j in first.items() if i != j and set(a.split()) & set(b.split())], "i long, j long, a string, b string")
+    want = {(r["i"], r["j"]) for r in both.where(match.same_author("a", "b")).collect()}
+    assert want and {tuple(r) for r in pairs.collect()} == want
+
+
+def test_link_reports(spark, tmp_path):
+    from folioforge.sources.delimited import write_reports
+
+    truth = spark.createDataFrame([(1, 2), (1, 3)], "s long, r long")
+    found = spark.createDataFrame([(1, 2), (2, 3), (2, 3)], "s long, r long")
+    out = stats.link_outcomes(truth, found, ["s", "r"])
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "correct"), (1, 3, "missing"), (2, 3, "false")]
+    titles = spark.createDataFrame([(1, "one "), (2, "two")], "id long, title string")
+    write_reports(stats.link_report(out, "s", "r", titles), str(tmp_path / "report"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report" / "outcome=correct")).collect()] == ["(1,one)-->(2,two)"]
+
+
+def test_name_table_skips_empty_names(spark):
+    rows = spark.createDataFrame([(1, "Ann Smith"), (2, ""), (3, None)], "k int, name string")
+    got = entities.name_table(rows, "k", "name").collect()
+    assert [(r["k"], r["main_name"], r["normal_name"]) for r in got] == [(1, "Ann Smith", "ann smith")]
