@@ -89,16 +89,31 @@ def similar_names(names: DataFrame, key: str, name: str, transform: Callable[[st
     """Which names of a table are alike: pairs (id, other) between classes of
     equal transformed names, and membership (key, id) in them; a class goes by
     its smallest key. The other name has one of the search words of the first
-    and passes same_author, so pairs are directed. Similarity is a condition of
-    the join by word: only pairs that are alike leave it. Null and blank names
-    have none.
+    and passes same_author, so pairs are directed. The join is by word and
+    initials, with similarity as its condition: only pairs that are alike leave
+    it. Null and blank names have none.
     """
     rows = names.where(F.length(F.trim(name)) > 0).select(key, transform(name).alias("normal")).where("normal != ''")
-    classes = rows.groupBy("normal").agg(F.min(key).alias("id"))
-    asked = classes.select("id", "normal", F.explode(F.array_distinct(F.split(search_query("normal"), " "))).alias("word")).alias("a")
-    held = classes.select(F.col("id").alias("other"), F.col("normal").alias("other_name"), F.explode(F.array_distinct(F.split("normal", " "))).alias("word")).alias("b")
-    alike = (F.col("a.word") == F.col("b.word")) & (F.col("id") != F.col("other")) & same_author("normal", "other_name")
-    return asked.join(held, alike).select("id", "other").distinct(), rows.join(classes, "normal").select(key, "id")
+    classes = rows.groupBy("normal").agg(F.min(key).alias("id")).withColumn("words", F.split("normal", " "))
+    own, less = _initials("words")
+    kind = lambda n, sig: F.transform(sig, lambda x: F.struct(F.lit(n).alias("kind"), x.alias("sig")))
+    asked = classes.select("id", "normal", F.array_distinct(F.split(search_query("normal"), " ")).alias("words"), F.concat(kind(0, own), kind(1, own), kind(2, less)).alias("keys"))
+    held = classes.select(F.col("id").alias("other"), F.col("normal").alias("other_name"), F.array_distinct("words").alias("words"), F.concat(kind(0, own), kind(1, less), kind(2, own)).alias("keys"))
+    by_word = lambda df, *kept: df.select(*kept, "keys", F.explode("words").alias("word")).select(*kept, "word", F.explode("keys").alias("by")).select(*kept, "word", "by.kind", "by.sig")
+    a, b = by_word(asked, "id", "normal").alias("a"), by_word(held, "other", "other_name").alias("b")
+    same_key = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("word", "kind", "sig")]
+    alike = same_key[0] & same_key[1] & same_key[2] & (F.col("id") != F.col("other")) & same_author("normal", "other_name")
+    return a.join(b, alike).select("id", "other").distinct(), rows.join(classes, "normal").select(key, "id")
+
+
+def _initials(words: str) -> tuple[Column, Column]:
+    """Signatures that bound name pairs: the sorted initials, as an array of one,
+    and those with one left out. Names that align have at most one word more on
+    one side, and all other words have equal initials in pairs; so their sorted
+    initials are equal, or equal once one is left out of the longer."""
+    letters = F.array_sort(F.transform(words, lambda w: F.substring(w, 1, 1)))
+    without = lambda i: F.array_join(F.filter(letters, lambda _, j: j != i), ",")
+    return F.array(F.array_join(letters, ",")), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 1), without))
 
 
 def block_ladder(rows: DataFrame, key: str, name: str, entities: DataFrame, aliases: DataFrame, alias_first: bool = False) -> DataFrame:
