@@ -178,7 +178,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id stay. Of rows that repeat an id one stays.
     """
-    found = materialize(simhash_components(docs, id_col, text_col, k, max_bits).select(id_col, "component_id"), "components")
+    return keep_smallest(docs, simhash_components(docs, id_col, text_col, k, max_bits).select(id_col, "component_id"), id_col)
+
+
+def keep_smallest(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
+    """docs with the row of the smallest id of each of components(id_col, component_id)."""
+    found = materialize(components, "components")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
     # Always the same plan: texts are shuffled once, at any number of duplicates.
     kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)

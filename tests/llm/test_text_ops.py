@@ -11,7 +11,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from folioforge.llm import langid, licenses, nbest, packing, quality, secrets, simhash, token_count, wordbpe
+from folioforge.llm import langid, licenses, nbest, packing, quality, secrets, simhash, similar, token_count, wordbpe
 from folioforge.llm.queries import PIECE_BPE, WORD_BPE
 
 SMALL = "/root/testdata/sf0.001"
@@ -116,6 +116,43 @@ def test_simhash_edges(odd_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "7", "8", "None"]
 
 
+def word_grams(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_brute_force(spark, odd_docs, no_docs):
+    rng = random.Random(7)
+    texts = []
+    for n in [3, 5, 9, 40, 80, 200]:
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, n // 40))):
+                own[rng.randrange(n)] = f"n{rng.randrange(5000)}"
+            texts.append(" ".join(own))
+    line = " ".join(f"l{i}" for i in range(30))  # many texts share it and nothing else
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(25)) + " " + line for _ in range(40)]
+    rng.shuffle(texts)
+    grams, root, far = [word_grams(t) for t in texts], list(range(len(texts))), 0
+    prints = [simhash.fingerprint(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) - 1e-9:
+            far += (prints[i] ^ prints[j]).bit_count() > 3
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert far > 100  # pairs that op6's setting does not compare
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_components(docs).collect()} == dict(enumerate(root))
+    import corpus_pipeline
+
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(root))
+    kept = similar.keep_distinct(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "7", "8", "None"]
+    assert similar.keep_distinct(no_docs).count() == 0
+
+
 # ---- secrets ------------------------------------------------------------------------------
 
 
