@@ -370,6 +370,25 @@ def test_nbest_round_trip(docs, odd_docs, no_docs):
     assert nbest.segment(no_docs, PIECE_BPE).count() == 0
 
 
+def test_nbest_runs_of_spaces():
+    p = nbest.loaded(PIECE_BPE)
+    for text in ["x     y", "    if a", "a\n   b  ", "1   2"]:
+        words = p.split(text)
+        assert "".join(words) == p.normalize(text)
+        p.learn(set(words))
+        ways = [way for part in p.normalize(text).split("\n") for way in [all_ways(p, part)]]
+        glue = [p.pieces["\n"] if "\n" in p.pieces else (p.byte[10], p.worst)] if "\n" in text else []
+        want = sorted((sum(c[0] for c in way) + sum(s for _, s in glue) for way in itertools.product(*ways)), reverse=True)[:4]
+        assert p.text_nbest(words, 4)[0] == pytest.approx(want)
+    many = [len(p.text[i]) for i in p.best_two(p.normalize("x" + " " * 16 + "y"))[1]]
+    assert max(many) > 2  # pieces of several marks are used
+    word = "▁" * 37
+    ways = all_ways(p, "▁" * 12)
+    assert p.nbest("▁" * 12, 6) == [(pytest.approx(s), ids) for s, ids in ways[:6]]
+    assert len(p.nbest(word * 40, 4)) == 4  # equal orders of the same pieces do not multiply
+    assert p.decode(p.best_two("▁" + word)[1]) == " " * 37
+
+
 def test_licenses(spark, odd_docs, no_docs):
     mit = licenses.TEMPLATES["mit/permission"]
     worn = mit.replace("free of charge, ", "").replace("merge, ", "combine, ")
