@@ -4,10 +4,16 @@ Templates are split into words; of each window of word k-gram hashes the
 smallest is kept in an inverted index. A text's k-grams are looked up there,
 hits on about the same diagonal form a candidate, and a banded alignment of the
 template with the words around it gives matched words and the span.
+
+Fingerprints alone would miss matches with changed words. So every place where
+a template's words stand densely enough for a match is a candidate as well: a
+diagonal around which as many of its words occur, within the band, as a match
+needs. No alignment with enough words can lack one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -46,6 +52,7 @@ TEMPLATES = {
     "cc-by-sa/line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "isc/permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+EPS = 1e-9
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
@@ -64,6 +71,9 @@ class Index:
             for i in sorted(picked):
                 self.postings.setdefault(int(grams[i]), []).append((t, i))
         self.known = np.array(sorted(self.postings), dtype=np.int64)
+        self.share = np.zeros((len(self.tokens), len(self.words) + 1), dtype=np.int64)  # places of a word in a template
+        for t, tokens in enumerate(self.tokens):
+            np.add.at(self.share[t], tokens, 1)
 
     def grams(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens) - self.k + 1
@@ -79,31 +89,24 @@ class Index:
         words = WORD.findall(low)
         get = self.words.get
         tokens = np.array([get(w, 0) for w in words], dtype=np.int64)
-        if np.count_nonzero(tokens) < self.k:
-            return []
-        some = tokens != 0
-        n = len(tokens) - self.k + 1
-        full = np.flatnonzero(np.logical_and.reduce([some[i : i + n] for i in range(self.k)]))
-        if not len(full):
-            return []
-        full = full[np.isin(h := self.grams(tokens)[full], self.known)] if len(self.known) else full[:0]
-        if not len(full):
+        begins = self.candidates(tokens, least)
+        if not begins:
             return []
-        h = self.grams(tokens)[full]
-        begins: dict[int, set[int]] = {}
-        for at, gram in zip(full.tolist(), h.tolist(), strict=True):
-            for t, i in self.postings[gram]:
-                begins.setdefault(t, set()).add(at - i)
         found = []
         for t, starts in begins.items():
-            last = None
-            for s in sorted(starts):
-                if last is not None and s - last <= self.band:
-                    continue  # within the band of a candidate
-                last = s
-                matched, a, b = self.align(self.tokens[t], tokens, s)
-                if matched >= least * len(self.tokens[t]):
-                    found.append((matched, matched / len(self.tokens[t]), self.names[t], a, b))
+            size = len(self.tokens[t])
+            spans: list[tuple[int, int]] = []
+            for s in starts:
+                if any(a <= s < b for a, b in spans):
+                    continue  # inside an aligned span
+                lo, hi = max([b for _, b in spans if b <= s], default=0), min([a for a, _ in spans if a > s], default=len(tokens))
+                while self.near(self.tokens[t], tokens, np.array([s]), lo, hi)[0] >= least * size - EPS:  # left of a match the band may hold another
+                    matched, a, b = self.align(self.tokens[t], tokens, s, lo, hi)
+                    if not matched or matched < least * size - EPS:
+                        break
+                    spans.append((a, b))
+                    found.append((matched, matched / size, self.names[t], a, b))
+                    hi = a
         found.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
         kept: list[tuple] = []
         for f in found:
@@ -118,16 +121,64 @@ class Index:
         top = len(spans) - 1
         return sorted([(name, cov, spans[min(a, top)][0], spans[min(b - 1, top)][1]) for _, cov, name, a, b in kept], key=lambda x: (x[2], x[3], x[0]))
 
-    def align(self, t: np.ndarray, doc: np.ndarray, start: int) -> tuple[int, int, int]:
+    def candidates(self, tokens: np.ndarray, least: float) -> dict[int, list[int]]:
+        """For each template the starts around which a match can lie: those with
+        fingerprints first, then by their words in the band and on the diagonal."""
+        hits: dict[int, set[int]] = {}
+        h = self.grams(tokens)
+        at_gram = np.flatnonzero(np.isin(h, self.known)) if len(h) and len(self.known) else []
+        for at in at_gram:
+            for t, i in self.postings[int(h[at])]:
+                hits.setdefault(t, set()).add(int(at) - i)
+        some = np.flatnonzero(tokens)
+        if not len(some):
+            return {}
+        present = np.zeros(len(self.words) + 1, dtype=np.int64)
+        present[tokens[some]] = 1
+        begins: dict[int, list[int]] = {}
+        need = [max(1, math.ceil(least * len(t) - EPS)) for t in self.tokens]
+        for t in np.flatnonzero(self.share @ present >= need).tolist():
+            size, least_words = len(self.tokens[t]), need[t]
+            at = some[self.share[t][tokens[some]] > 0]
+            if len(at) < least_words:
+                continue
+            dense = np.flatnonzero(at[least_words - 1 :] - at[: len(at) - least_words + 1] < size + 2 * self.band)
+            live = np.zeros(len(at) + 1, dtype=np.int64)
+            np.add.at(live, dense, 1)
+            np.add.at(live, dense + least_words, -1)
+            at = at[np.cumsum(live[:-1]) > 0]
+            if not len(at):
+                continue
+            hit, place = np.nonzero(tokens[at][:, None] == self.tokens[t][None, :])
+            starts, exact = np.unique(at[hit] - place, return_counts=True)
+            near = self.near(self.tokens[t], tokens, starts, 0, len(tokens))
+            ok, printed = near >= least_words, hits.get(t, ())
+            if ok.any():
+                ranked = sorted((s not in printed, -n, -e, s) for s, n, e in zip(starts[ok].tolist(), near[ok].tolist(), exact[ok].tolist(), strict=True))
+                begins[t] = [x[3] for x in ranked]
+        return begins
+
+    def near(self, t: np.ndarray, doc: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """How many words of the template occur in their band around each start."""
+        found = np.zeros((len(starts), len(t)), dtype=bool)
+        where = starts[:, None] + np.arange(len(t))[None, :]
+        for d in range(-self.band, self.band + 1):
+            x = where + d
+            found |= (x >= lo) & (x < hi) & (doc[np.clip(x, 0, len(doc) - 1)] == t[None, :])
+        return found.sum(axis=1)
+
+    def align(self, t: np.ndarray, doc: np.ndarray, start: int, lo: int = 0, hi: int | None = None) -> tuple[int, int, int]:
         """Matched words and the word span of the best alignment of the template
-        within ``band`` diagonals of start; words of the text outside are free."""
+        within ``band`` diagonals of start; words of the text outside are free.
+        Only the text's words from lo to before hi can match."""
+        hi = len(doc) if hi is None else hi
         b, n = self.band, len(t)
         width = 2 * b + 1
         score = np.zeros(width)
         steps = np.zeros((n + 1, width), dtype=np.int8)
         for i in range(1, n + 1):
             at = start + i - 1 + np.arange(-b, b + 1)
-            inside = (at >= 0) & (at < len(doc))
+            inside = (at >= lo) & (at < hi)
             same = inside & (doc[np.clip(at, 0, len(doc) - 1)] == t[i - 1])
             diag = score + np.where(same, 1.0, -1.0)
             up = np.append(score[1:], -np.inf) - 0.75

@@ -405,6 +405,24 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_license_lines_with_a_changed_word():
+    index = licenses.Index(licenses.TEMPLATES)
+    assert index.scan("Distributed under the MIT License", 0.8) == [("mit/line", 0.8, 12, 33)]
+    assert index.scan("Licensed under the Apache Licence, Version 2.0", 0.8) == [("apache-2.0/line", 6 / 7, 0, 46)]
+    for name in ["mit/line", "apache-2.0/line", "cc-by/line", "cc-by-nc/line", "mit/line-2"]:
+        words, index = licenses.TEMPLATES[name].split(), licenses.Index({name: licenses.TEMPLATES[name]})
+        for i in range(len(words)):
+            text = "so " + " ".join(["zzz" if i == j else w for j, w in enumerate(words)]) + " it is"
+            assert name in [f[0] for f in index.scan(text, 0.8)], text
+
+
+@pytest.mark.parametrize("name", ["mit/line", "cc-by/line", "cc-by-nc/line", "apache-2.0/line"])
+def test_license_lines_side_by_side(name):
+    line = licenses.TEMPLATES[name]
+    got = licenses.Index(licenses.TEMPLATES).scan(" ".join([line] * 5), 0.8)
+    assert [(f[0], f[2], f[3]) for f in got] == [(name, i * (len(line) + 1), i * (len(line) + 1) + len(line)) for i in range(5)]
+
+
 def test_alignment_brute_force():
     index = licenses.Index({"t": "a b c d e f g h"})
     doc = np.array([index.words.get(w, 0) for w in "x a b q c d f g h y".split()])
