@@ -24,11 +24,14 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs below 24 characters would fail anyway, and a run cannot hold another.
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Wider context than ASSIGN: more names, more separators, quoted or bare values.
+#: Wider context than ASSIGN: more names, more separators, quoted or bare values. A
+#: name may end an identifier, after a separator or digit or with its own capital.
+NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key)"
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key)"""
-    r"""["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)["']?([^\s"'<>,;]{6,})"""
+    rf"""(?ai)(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z]))){NAME}"""
+    r"""(?:["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)|(?<=bearer)\x20+)["']?([^\s"'<>,;]{6,})"""
 )
+NAMED = re.compile(rf"(?ai){NAME}(?![a-z0-9])")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -123,12 +126,14 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def guess_spans(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int, float]]:
-    """Credential-context values whose guess cost is at least ``least``."""
-    out = []
-    for m in CONTEXT.finditer(text):
+    """Credential-context values whose guess cost is at least ``least``. A value that
+    is or begins with a context name is scanned for a context of its own."""
+    out, at = [], 0
+    while m := CONTEXT.search(text, at):
         cost, _ = guess_cost(m[1].rstrip(".)]}"), ranks)
         if cost >= least:
             out.append((m.start(1), m.start(1) + len(m[1].rstrip(".)]}")), cost))
+        at = m.start(1) if NAMED.match(m[1]) else m.end()
     return out
 
 

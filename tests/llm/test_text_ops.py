@@ -176,6 +176,21 @@ def test_secret_scan(spark, odd_docs, no_docs):
     assert secrets.redact_secrets(odd_docs, WORD_BPE).select("text").collect() == odd_docs.select("text").collect()
 
 
+@pytest.mark.parametrize("text", ["DB_PASSWORD=@", "MYSQL_ROOT_PASSWORD: @", "client_secret = '@'", "dbPassword=@", "Authorization: Bearer @", "bearer @", "password is secret: @", "token=token: @"])
+def test_secret_contexts(text):
+    value = "p@x!9Kq#zz"
+    text = "so " + text.replace("@", value) + " it is"
+    ranks = secrets.word_ranks(WORD_BPE)
+    at = text.index(value)
+    assert (at, at + len(value)) in [(s, e) for s, e, _ in secrets.guess_spans(text, ranks, 8.0)]
+    assert value not in secrets.redact(text, ranks, 8.0)
+
+
+def test_secret_contexts_need_a_name():
+    ranks = secrets.word_ranks(WORD_BPE)
+    assert secrets.guess_spans("the compass is p@x!9Kq#zz, bearer of x", ranks, 8.0) == []
+
+
 def all_segmentations(n):
     for cuts in itertools.product([0, 1], repeat=n - 1):
         at = [0, *[i + 1 for i, c in enumerate(cuts) if c], n]
