@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import sentencepiece
 import tokenizers
 import xxhash
 from pyspark.sql import functions as F
@@ -365,24 +366,97 @@ def test_nbest_brute_force():
     p = nbest.loaded(PIECE_BPE)
     for word in ["▁thorough", "▁a", "▁the中é", "▁reenti", "▁x\x00y", "\n", "▁"]:
         ways = all_ways(p, word)
-        assert [x[1] for x in p.nbest(word, 6)] == [x[1] for x in ways[:6]]
-        for best, ids, more in (p.best_two(word), p.learn({word})[word]):
+        assert [x[1] for x in p.nbest((word,), 6)] == [(x[1],) for x in ways[:6]]
+        i = p.learn([word])[0]
+        for best, ids, more in (p.best_two(word), (p.best[i], p.ids_of(np.array([i])).tolist(), p.more[i])):
             assert best == pytest.approx(ways[0][0]) and tuple(ids) in [w[1] for w in ways if abs(w[0] - best) < 1e-9]
             assert more == pytest.approx(ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
-    for text in ["a b the", "the cat", "é é\nb", ""]:
+    for text in ["a b the", "the cat", "é é\nb", "a a a a a", ""]:
         words = p.split(text)
-        p.learn(set(words))
         want = sorted((sum(c[0] for c in way) for way in itertools.product(*[all_ways(p, w) for w in words])), reverse=True)[:5]
-        assert p.text_nbest(words, 5)[0] == pytest.approx(want)
+        assert p.text_nbest(words, p.learn(words), 5)[0] == pytest.approx(want)
+
+
+def test_contracted_search_is_the_search_over_the_text(docs):
+    p = nbest.loaded(PIECE_BPE)
+    texts = [t for t in (r["text"] for r in docs.select("text").collect()) if t and len(t) < 3000][:25] + ["def f():\n        return    1\n", "12 34  ab12cd", "the the the the"]
+    for text in texts:
+        words = p.split(text)
+        numbers = p.learn(words)
+        whole, (scores, changes) = p.nbest(tuple(words), 4), p.text_nbest(words, numbers, 4)
+        assert scores == pytest.approx([x[0] for x in whole])
+        best = [tuple(p.ids_of(numbers[i : i + 1]).tolist()) for i in range(len(words))]
+        for score, change in zip(scores, changes, strict=True):  # what is said to change costs what is said
+            ids = [change.get(i, own) for i, own in enumerate(best)]
+            assert sum({w[1]: w[0] for w in all_ways(p, word)}[x] for word, x in zip(words, ids, strict=True)) == pytest.approx(score)
+
+
+def unigram(path):
+    """The model's bytes with its type set to unigram, for the library's own n-best."""
+    data, out, at = open(path, "rb").read(), bytearray(), 0
+
+    def number(x, i):
+        v = s = 0
+        while True:
+            v |= (x[i] & 127) << s
+            s, i = s + 7, i + 1
+            if x[i - 1] < 128:
+                return v, i
+
+    while at < len(data):
+        tag, body = number(data, at)
+        size, body = number(data, body)
+        part = bytearray(data[body : body + size])
+        if tag >> 3 == 2:  # trainer_spec
+            i = 0
+            while i < len(part):
+                own, j = number(part, i)
+                if own & 7 == 0:
+                    if own >> 3 == 3:  # model_type, one byte
+                        part[j] = 1
+                    _, i = number(part, j)
+                elif own & 7 == 2:
+                    n, j = number(part, j)
+                    i = j + n
+                else:
+                    i = j + (4 if own & 7 == 5 else 8)
+        out += data[at:body] + part
+        at = body + size
+    return bytes(out)
+
+
+def test_nbest_equals_the_library():
+    """The library has n-best for unigram models only: the same pieces and scores, typed so."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=unigram(PIECE_BPE))
+    p = nbest.Pieces(PIECE_BPE, "model")
+    compared = 0
+    for text in ["thorough", "national", "reenacted", "misunderstood", "unbelievable", "internationally", "the cat sat", "in 1999 a new one, too"]:
+        words = p.split(text)
+        scores, changes = p.text_nbest(words, p.learn(words), 5)
+        if len(set(scores)) < 5:
+            continue  # ties come in any order
+        best = [tuple(p.ids_of(p.learn([w])).tolist()) for w in words]
+        got = [list(itertools.chain.from_iterable(c.get(i, own) for i, own in enumerate(best))) for c in changes]
+        assert got[:4] == library.nbest_encode(text, nbest_size=4, out_type=int) and got[0] == library.encode(text)
+        compared += 1
+    assert compared >= 4
 
 
 def test_nbest_round_trip(docs, odd_docs, no_docs):
-    got = nbest.segment(docs, PIECE_BPE).collect()
+    segmented = nbest.segment(docs, PIECE_BPE)
+    got = segmented.collect()
     assert all(r["round_trip"] and r["n_found"] == 4 and list(r["scores"]) == sorted(r["scores"], reverse=True) for r in got)
+    assert all(r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in got)
+    assert dict(nbest.decode(segmented, PIECE_BPE).collect()) == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     odd = nbest.segment(odd_docs, PIECE_BPE).collect()
     assert len(odd) == 9 and all(r["round_trip"] for r in odd)
     assert {r["n_pieces"] for r in odd if r["doc_id"] in (1, 2)} == {0}
-    assert nbest.segment(no_docs, PIECE_BPE).count() == 0
+    assert nbest.segment(no_docs, PIECE_BPE).count() == 0 and nbest.decode(segmented.limit(0), PIECE_BPE).count() == 0
+
+
+def test_decoding_odd_ids(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (1, [], "b"), (None, [0, 1, 99999, -3], "c"), (2, [259 + 28446, 3 + 0xE4], "d")], "doc_id long, ids array<int>, text string")
+    assert [r["text"] for r in nbest.decode(rows, PIECE_BPE).collect()] == [None, "", "", "\ufffd"]
 
 
 def test_nbest_runs_of_spaces():
@@ -390,17 +464,16 @@ def test_nbest_runs_of_spaces():
     for text in ["x     y", "    if a", "a\n   b  ", "1   2"]:
         words = p.split(text)
         assert "".join(words) == p.normalize(text)
-        p.learn(set(words))
         ways = [way for part in p.normalize(text).split("\n") for way in [all_ways(p, part)]]
         glue = [p.pieces["\n"] if "\n" in p.pieces else (p.byte[10], p.worst)] if "\n" in text else []
         want = sorted((sum(c[0] for c in way) + sum(s for _, s in glue) for way in itertools.product(*ways)), reverse=True)[:4]
-        assert p.text_nbest(words, 4)[0] == pytest.approx(want)
+        assert p.text_nbest(words, p.learn(words), 4)[0] == pytest.approx(want)
     many = [len(p.text[i]) for i in p.best_two(p.normalize("x" + " " * 16 + "y"))[1]]
     assert max(many) > 2  # pieces of several marks are used
     word = "▁" * 37
     ways = all_ways(p, "▁" * 12)
-    assert p.nbest("▁" * 12, 6) == [(pytest.approx(s), ids) for s, ids in ways[:6]]
-    assert len(p.nbest(word * 40, 4)) == 4  # equal orders of the same pieces do not multiply
+    assert p.nbest(("▁" * 12,), 6) == [(pytest.approx(s), (ids,)) for s, ids in ways[:6]]
+    assert len(p.nbest((word * 40,), 4)) == 4  # equal orders of the same pieces do not multiply
     assert p.decode(p.best_two("▁" + word)[1]) == " " * 37
 
 
