@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -153,8 +153,13 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def finite_vectors(df: DataFrame, vec: str) -> DataFrame:
-    """Only rows whose vector has entries, all of them finite and one not zero."""
+def takes_part(vec: str) -> Column:
+    """Whether a vector has entries, all of them finite and one not zero; never null."""
     x = F.col(vec)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return df.where(x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda v: v != 0))
+    return F.coalesce(x.isNotNull() & (F.size(x) > 0) & ~bad & F.exists(x, lambda v: v != 0), F.lit(False))
+
+
+def finite_vectors(df: DataFrame, vec: str) -> DataFrame:
+    """Only rows whose vector takes part."""
+    return df.where(takes_part(vec))

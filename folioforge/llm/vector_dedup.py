@@ -4,8 +4,8 @@ A vector is rotated by random sign flips and fast Hadamard transforms; its
 cross-polytope hash is the signed coordinate of largest size. Several hashes
 form the bucket of a table. A vector lives in its bucket and also visits, in
 each table, the buckets next in line (multiprobe: one hash replaced by its
-second choice). Vectors that meet are verified by their cosine in double
-precision; each pair counts once, where it meets first.
+second choice). Vectors that meet in any bucket, own or visited, are verified by
+their cosine in double precision; each pair counts once, where it meets first.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_array, finite_vectors, local_components, materialize, sorted_runs
+from .common import column_array, local_components, materialize, sorted_runs, takes_part
 from .components import connected_components
 
 TABLES, HASHES = 6, 3
@@ -77,32 +77,41 @@ def vector_components(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     rows linked directly, component_id is the smallest id reachable by links,
     kept says that it is the row's own id. Vectors that are null, empty, zero
     or hold null or non-finite components, and rows without id or label, link
-    with nothing (0 links, their own component). Equal vectors of a label form
-    a class that is hashed once and never expanded into pairs. Buckets of more
-    than BLOCK vectors are compared in blocks by many tasks, and none sends
-    its pairs on: only sums and a spanning forest. An empty table gives an
-    empty result; other columns are not read.
+    with nothing (0 links, their own component). Rows count by themselves: one
+    that repeats an id with another vector has its own links. Equal vectors of a
+    label form a class that is hashed once and never expanded into pairs.
+    Buckets of more than BLOCK vectors are compared in blocks by many tasks, and
+    none sends its pairs on: only sums and a spanning forest. An empty table
+    gives an empty result; other columns are not read.
     """
     rows = vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
-    hashed = lambda salt: F.xxhash64(F.lit(salt), "label", "vec")
-    valid = finite_vectors(rows.where("id is not null and label is not null"), "vec").select("id", "label", "vec", hashed(1).alias("h1"), hashed(2).alias("h2"))
-    members = materialize(valid.select("id", "h1", "h2"), "members")
-    classes = materialize(valid.groupBy("h1", "h2").agg(F.min_by(F.struct("label", "vec"), "id").alias("c"), F.min("id").alias("id"), F.count("id").alias("w")).select("h1", "h2", "id", "w", "c.label", "c.vec"), "classes")
+    some = F.col("id").isNotNull() & F.col("label").isNotNull() & takes_part("vec")
+    hashed = [F.when(some, F.xxhash64(F.lit(salt), "label", "vec")).alias(f"h{salt}") for salt in (1, 2)]
+    members = materialize(rows.select("id", *hashed), "members")  # h1 and h2 are null where a row takes no part
+    valid = rows.select("id", "label", "vec", *hashed).where("h1 is not null")
+    classes = valid.groupBy("h1", "h2").agg(F.min_by(F.struct("label", "vec"), "id").alias("c"), F.min("id").alias("id"), F.count("id").alias("w"))
+    # Numbered once and written: a class keeps its number, whatever runs again.
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "id", "w", "c.label", "c.vec"), "classes")
+    # Lengths that share a power of two go together, padded with zeros to the longest; a key keeps them apart.
+    power = F.ceil(F.log2(F.size("vec"))).cast("int")
     sums, edges = None, None
-    for (size,) in classes.select(F.size("vec")).distinct().collect():
-        part = _links(classes.where(F.size("vec") == size).select("id", "w", "label", "vec"), threshold)
+    for r in classes.groupBy(power.alias("power")).agg(F.max(F.size("vec")).alias("most")).collect():  # at most 32 rows
+        padded = F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(r["most"]) - F.size("vec")))
+        part = _links(classes.where(power == r["power"]).select(F.col("cls").alias("id"), "w", F.concat_ws(":", F.size("vec"), "label").alias("label"), padded.alias("vec")), threshold)
         sums = part if sums is None else sums.unionByName(part)
+    alone = [F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")]
     if sums is None:
-        return vecs.select(F.col(id_col).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    sums = materialize(sums, "links")
-    edges = sums.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    found = connected_components(edges)
-    linked = sums.groupBy("id").agg(F.sum("n").alias("n"))
-    classes = classes.select("h1", "h2", "id", "w").join(linked, "id", "left").join(found, "id", "left")
-    classes = materialize(classes.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "class_links")
-    known = members.join(classes, ["h1", "h2"]).select("id", "n_links", "component_id")
-    odd = rows.join(members.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = known.unionByName(odd)
+        out = members.select("id", *alone)
+    else:
+        sums = materialize(sums, "links")
+        edges = sums.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        found = connected_components(edges).select(F.col("id").alias("cls"), F.col("component").alias("root"))
+        found = materialize(found.join(classes.select("cls", "id"), "cls"), "linked_classes")
+        roots = found.groupBy("root").agg(F.min("id").alias("component_id"))
+        linked = sums.groupBy(F.col("id").alias("cls")).agg(F.sum("n").alias("n"))
+        classes = classes.select("cls", "h1", "h2", "id", "w").join(linked, "cls", "left").join(found.select("cls", "root").join(roots, "root").drop("root"), "cls", "left")
+        classes = materialize(classes.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "class_links")
+        out = members.join(classes, ["h1", "h2"]).select("id", "n_links", "component_id").unionByName(members.where("h1 is null").select("id", *alone))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -121,9 +130,9 @@ def _links(reps: DataFrame, threshold: float) -> DataFrame:
 
     reps = materialize(reps.mapInArrow(code, coded), "codes")
     each = F.posexplode("codes").alias("at", "code")
-    stays = reps.select("id", "label", each).select("id", "label", F.expr(f"at div {1 + PROBES}").cast("int").alias("t"), (F.col("at") % (1 + PROBES) == 0).alias("own"), "code").dropDuplicates(["id", "label", "t", "code"])
+    stays = reps.select("id", "label", each).select("id", "label", F.expr(f"at div {1 + PROBES}").cast("int").alias("t"), "code")
     key = ["label", "t", "code"]
-    busy = stays.groupBy(key).agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("some")).where("m > 1 and some")
+    busy = stays.groupBy(key).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     stays = materialize(stays.join(busy.select(*key, F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), key).select("id", *key, "parts"), "meetings")
     # The blocks (i, j), i <= j, of a bucket: each entry goes to those that hold its own block.
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -165,14 +174,13 @@ def _verify(vec: np.ndarray, cod: np.ndarray, w: np.ndarray, t: int, code: int,
         exact = (vec[a].astype(np.float64) * vec[b]).sum(axis=1) / np.sqrt((vec[a].astype(np.float64) ** 2).sum(axis=1) * (vec[b].astype(np.float64) ** 2).sum(axis=1))
         a, b = a[exact >= threshold], b[exact >= threshold]
         first = np.ones(len(a), dtype=bool)
-        for u in range(t + 1):
+        big = np.iinfo(np.int64).max
+        for u in range(t + 1):  # of all buckets that both are in, the first counts the pair
             ca, cb = cod[a, u], cod[b, u]
-            b_comes, a_comes = (cb == ca[:, :1]).any(axis=1), (ca == cb[:, :1]).any(axis=1)
-            if u < t:
-                first &= ~(a_comes | b_comes)
-            else:
-                big = np.iinfo(np.int64).max
-                first &= np.minimum(np.where(b_comes, ca[:, 0], big), np.where(a_comes, cb[:, 0], big)) == code
+            least = np.full(len(a), big)
+            for k in range(ca.shape[1]):
+                least = np.minimum(least, np.where((cb == ca[:, k : k + 1]).any(axis=1), ca[:, k], big))
+            first &= least == (code if u == t else big)
         np.add.at(sums, a[first], w[b[first]])
         np.add.at(sums, b[first], w[a[first]])
         ends_a.append(a)

@@ -41,6 +41,34 @@ def test_components_brute_force(vectors, monkeypatch, block):
     assert len(got) == len(rows) + 8
 
 
+def test_rows_count_by_themselves(spark):
+    """Repeated ids with equal, other or unusable vectors, null ids, and lengths that share a power of two."""
+    x, y = [1.0, 2.0, 3.0, 4.0], [4.0, -3.0, 2.0, -1.0]
+    rows = [(5, x, 1), (5, None, 1), (5, y, 1), (3, y, 1), (7, x, 1), (None, x, 1), (None, None, None), (9, [*x, 0.0], 1), (9, [*x, 0.0], 1), (2, [*x, 1e-9], 1), (4, x, 2)]
+    got = vector_dedup.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    want = [(5, 1, 5), (5, 0, 5), (5, 1, 3), (3, 1, 3), (7, 1, 5), (None, 0, None), (None, 0, None), (9, 2, 2), (9, 2, 2), (2, 2, 2), (4, 0, 4)]
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_planted_pairs_at_the_threshold(spark):
+    """Pairs at cosines just above 0.98 and just below, in the width of the real vectors."""
+    rng = np.random.default_rng(6)
+    rows, near = [], {}
+    for i in range(300):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.9802 + 0.0148 * (i % 100) / 99 if i % 3 else 0.9798
+        rows += [(2 * i, a.tolist(), 0), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), 0)]
+        near[2 * i] = bool(i % 3)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] == got[i + 1] == 0 for i, n in near.items() if not n)
+    assert sum(got[i] == got[i + 1] == 1 for i, n in near.items() if n) >= 198  # of 200
+
+
 def test_components_empty(vectors):
     assert vector_dedup.vector_components(vectors[0].limit(0)).count() == 0
 
