@@ -49,7 +49,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment(table(spark, sf_dir, "documents"), PIECE_BPE)
+    return segment(table(spark, sf_dir, "documents"), PIECE_BPE, with_ids=False)
 
 
 def op8_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
