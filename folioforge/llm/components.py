@@ -49,3 +49,12 @@ def _roots(parent: DataFrame) -> DataFrame:
         if parent.where(F.col("id") != F.col("parent")).join(up, "parent").where(F.col("up") != F.col("parent")).isEmpty():
             return parent
         parent = materialize(parent.join(up, "parent").select("id", F.col("up").alias("parent")), "parents")
+
+
+def smallest_ids(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cls, id, root): for each class of classes(cls, id) that edges(a, b) link
+    with another, the smallest id and the smallest class it reaches. Classes are
+    distinct, ids may be null or repeat."""
+    found = connected_components(edges).select(F.col("id").alias("cls"), F.col("component").alias("root"))
+    found = materialize(found.join(classes.select("cls", "id"), "cls"), "linked_classes")
+    return found.select("cls", "root").join(found.groupBy("root").agg(F.min("id").alias("id")), "root").select("cls", "id", "root")

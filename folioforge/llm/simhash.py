@@ -6,9 +6,10 @@ is the guaranteed minimum of the count filter. For d = 3 it is five of eight:
 split the positions into two halves of four, and one half holds three shared
 bytes. The inverted index therefore has, for each half and each three of its
 bytes, a posting (positions, three bytes): eight postings for a fingerprint,
-and every pair that can pass the filter meets in one of them. There the shared
-positional bytes of a pair are tallied, pairs below the minimum leave, and the
-rest are verified by their Hamming distance.
+and every pair that can pass the filter meets in one of them. There the tally of
+shared positional bytes is taken for each pair, pairs below the minimum leave,
+and only the rest are verified by their Hamming distance. A posting that is too
+long is indexed again by five positions, the guaranteed minimum itself.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import local_components, map_rows, materialize, sorted_runs
-from .components import connected_components
+from .components import smallest_ids
 
 BLOCK = 4096
+#: Rows of a posting that are tallied against the rest at once.
+ROWS = 256
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -55,13 +58,19 @@ def _bit_counts(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, digest): rows are told apart by their id and their text's digest."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.withColumn("digest", F.xxhash64("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, digest, fp): fp is the fingerprint as a signed long."""
 
     def run(cols: list[list]) -> list:
-        return [cols[0], np.array([fingerprint(t, k) for t in cols[1]], dtype=np.uint64).astype(np.int64)]
+        return [cols[0], cols[2], np.array([fingerprint(t, k) for t in cols[1]], dtype=np.uint64).astype(np.int64)]
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id long, fp long", run)
+    return map_rows(identified(docs, id_col, text_col), "id long, digest long, fp long", run)
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -97,7 +106,6 @@ def near_pairs_forest(reps: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the index guarantees pairs at up to 3 differing bits")
-    reps = reps.where(F.col("id").isNotNull())
     posted = reps.select("id", "fp", F.explode(_keys(TRIPLES)).alias("p")).select("p.which", "p.key", "fp", "id")
     long_ = materialize(posted.groupBy("which", "key").count().where(F.col("count") > BLOCK).drop("count"), "long_postings")
     cold = posted.join(long_, ["which", "key"], "left_anti")
@@ -120,17 +128,29 @@ def near_pairs_forest(reps: DataFrame, max_bits: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def filtered_pairs(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a < b, of one posting that pass the count filter: those that
+    share 8 - max_bits bytes or more at equal positions."""
+    bytes_ = fp.astype(">u8").view(np.uint8).reshape(-1, 8).T.copy()
+    ends_a, ends_b = [], []
+    for lo in range(0, len(fp), ROWS):
+        tally = np.zeros((len(fp[lo : lo + ROWS]), len(fp) - lo), dtype=np.uint8)
+        for own in bytes_:  # how often a pair meets in the postings of one position and byte
+            tally += own[lo : lo + ROWS, None] == own[None, lo:]
+        a, b = np.nonzero(tally >= 8 - max_bits)
+        later = a < b
+        ends_a.append(a[later] + lo)
+        ends_b.append(b[later] + lo)
+    return np.concatenate(ends_a), np.concatenate(ends_b)
+
+
 def near_components(fp: np.ndarray, max_bits: int) -> np.ndarray:
     """For fingerprints of one posting: the first index linked with each."""
     n = len(fp)
     if n <= BLOCK:
-        x = fp[:, None] ^ fp[None, :]
-        other = x.view(np.uint8).reshape(n, n, 8) if n <= 64 else None
-        near = np.bitwise_count(x) <= max_bits
-        if other is not None:  # the tally of shared positional bytes; implied by the distance, and cheap for short postings
-            near &= (other == 0).sum(axis=2) >= 8 - max_bits
-        a, b = np.nonzero(np.triu(near, 1))
-        return local_components(n, a, b)
+        a, b = filtered_pairs(fp, max_bits)
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
+        return local_components(n, a[near], b[near])
     differing = np.bitwise_or.reduce(fp ^ fp[0])
     bits = [np.uint64(1) << np.uint64(i) for i in range(64) if int(differing) >> i & 1]
     order = np.argsort(fp)
@@ -164,29 +184,45 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows stay. An empty table gives an empty result; other columns of docs are
     not read.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")), "classes")
-    linked = connected_components(near_pairs_forest(reps, max_bits))
-    classes = reps.join(linked, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    classes = materialize(classes, "class_components")
+    fps, classes = _classes(docs, id_col, text_col, k, max_bits)
     out = fps.join(classes, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, digest, fp) of the rows, and (fp, component_id, root) of the classes."""
+    fps = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")), "classes")
+    edges = near_pairs_forest(reps.select(F.col("fp").alias("id"), "fp"), max_bits)
+    linked = smallest_ids(reps.select(F.col("fp").alias("cls"), "id"), edges).select(F.col("cls").alias("fp"), F.col("id").alias("component_id"), "root")
+    classes = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return fps, materialize(classes, "class_components")
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_bits: int = 3) -> DataFrame:
-    """docs with one row of each component, the one with the smallest id.
+    """docs with one row of each component: see keep_first."""
+    fps, classes = _classes(docs, id_col, text_col, k, max_bits)
+    return keep_first(docs, fps.join(classes, "fp").select("id", "digest", "root"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group of found(id, digest, root).
 
-    Rows with a null id stay. Of rows that repeat an id one stays.
+    The row with the smallest id stays, a null id after all others; of equal ids
+    the one with the smallest text digest, of equal texts the one whose columns
+    come first (any, if a column has no order). Rows that repeat an id with a
+    text of another group stay. Texts are shuffled once: rows are first combined
+    by id and text, then those that go are joined away by the same partitioning,
+    with one plan at any number of them.
     """
-    return keep_smallest(docs, simhash_components(docs, id_col, text_col, k, max_bits).select(id_col, "component_id"), id_col)
-
-
-def keep_smallest(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
-    """docs with the row of the smallest id of each of components(id_col, component_id)."""
-    found = materialize(components, "components")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    # Always the same plan: texts are shuffled once, at any number of duplicates.
-    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
-    if found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    found = materialize(found, "groups")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    first = found.groupBy("root").agg(F.min(order).alias("first"))
+    gone = found.join(first, "root").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))))
+    key = [F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__digest")]
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    some = F.any_value(whole) if any("map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" for f in docs.schema) else F.min(whole)
+    rows = docs.groupBy(*key).agg(some.alias("__row"))
+    gone = gone.select(F.col("id").alias("__gone"), F.col("digest").alias("__digest")).distinct().hint("merge")
+    rows = rows.join(gone, rows["__digest"].eqNullSafe(gone["__digest"]) & rows["__id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return rows.select("__row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column_array, local_components, materialize, sorted_runs, takes_part
-from .components import connected_components
+from .components import smallest_ids
 
 TABLES, HASHES = 6, 3
 PROBES = HASHES
@@ -105,11 +105,9 @@ def vector_components(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     else:
         sums = materialize(sums, "links")
         edges = sums.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))
-        found = connected_components(edges).select(F.col("id").alias("cls"), F.col("component").alias("root"))
-        found = materialize(found.join(classes.select("cls", "id"), "cls"), "linked_classes")
-        roots = found.groupBy("root").agg(F.min("id").alias("component_id"))
+        found = smallest_ids(classes, edges).select("cls", F.col("id").alias("component_id"))
         linked = sums.groupBy(F.col("id").alias("cls")).agg(F.sum("n").alias("n"))
-        classes = classes.select("cls", "h1", "h2", "id", "w").join(linked, "cls", "left").join(found.select("cls", "root").join(roots, "root").drop("root"), "cls", "left")
+        classes = classes.select("cls", "h1", "h2", "id", "w").join(linked, "cls", "left").join(found, "cls", "left")
         classes = materialize(classes.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "class_links")
         out = members.join(classes, ["h1", "h2"]).select("id", "n_links", "component_id").unionByName(members.where("h1 is null").select("id", *alone))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

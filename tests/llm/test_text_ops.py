@@ -114,7 +114,32 @@ def test_simhash_edges(odd_docs, no_docs):
     assert simhash.simhash_components(no_docs).count() == 0
     kept = simhash.keep_representatives(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "7", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "7", "8"]
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_representatives, similar.keep_distinct])
+def test_one_row_of_each_group_stays(spark, keep):
+    """Ids that repeat with another text, rows that repeat whole, null ids and texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, 7), (3, a, 1), (3, b, 9), (3, b, 4), (3, b, 4), (None, b, 0), (None, c, 2), (None, c, 1), (8, None, 5), (6, "", 3), (None, d, None), (1, d, 8)]
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, root int, m map<string,int>")
+    got = [tuple(r) for r in keep(docs.drop("m")).collect()]
+    assert sorted(got, key=str) == sorted([(1, a, 7), (3, b, 4), (None, c, 1), (6, "", 3), (1, d, 8)], key=str)
+    assert keep(docs).count() == 5  # a map has no order
+
+
+def test_count_filter_removes_pairs():
+    """Of the pairs of a posting only those that share five bytes are verified, and none that links is lost."""
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    fp[1:350] = fp[0] ^ (rng.integers(0, 1 << 24, 349).astype(np.uint64) & rng.integers(0, 1 << 24, 349).astype(np.uint64))
+    a, b = simhash.filtered_pairs(fp, 3)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    shared = lambda x, y: sum((x ^ y) >> 8 * i & 255 == 0 for i in range(8))
+    ints = [int(x) for x in fp]
+    every = list(itertools.combinations(range(700), 2))
+    assert got == {(i, j) for i, j in every if shared(ints[i], ints[j]) >= 5}
+    assert len(got) < len(every) and {(i, j) for i, j in every if (ints[i] ^ ints[j]).bit_count() <= 3} <= got
 
 
 def word_grams(text):
@@ -150,7 +175,7 @@ def test_near_copies_brute_force(spark, odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(root))
     kept = similar.keep_distinct(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "7", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "7", "8"]
     assert similar.keep_distinct(no_docs).count() == 0
 
 
