@@ -90,6 +90,25 @@ def by_bytes(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordB
         yield batch.slice(i, step)
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they come; ``new`` has the latest."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The words' numbers, in order, and which words are new."""
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        new, self.new = self.new, []
+        return numbers, new
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple[int, int, list[np.ndarray]]]]:
     """From batches sorted by their first n_keys integer columns, yield lists of
     (start, end, columns) for runs of equal keys with two rows or more.

@@ -1,18 +1,24 @@
 """A word-level BPE tokenizer compiled to a finite-state transducer.
 
 The pre-tokenizer's pattern is compiled to a deterministic automaton over a few
-character classes; its transitions say where words begin. Texts are cut into
-chunks of equal length and all chunks advance together, one character a step,
-from every state at once. That gives each chunk a map from entry state to exit
-state; a prefix scan composes the maps, so that each chunk learns its true
-entry state, and a second pass reads off the words. The transition that closes
-a word emits the word's token ids (or their count), which merges in rank order
-give once for each distinct word, for all new words of a batch together.
+character classes; its transitions say where words begin and, with that, where
+the word before is closed. The transition that closes a word emits how many
+tokens the word has (or, to encode, its ids): merges in rank order say so once
+for each distinct word, for all new words of a batch together.
+
+Texts are cut into chunks of equal length, and all chunks advance together, one
+character a step. First each chunk starts from every state at once, which gives
+its map from entry state to exit state; a prefix scan composes the maps, so that
+each chunk learns its true entry state. Then each chunk runs from that state,
+and its closing transitions' counts add up to what it emits; a second scan
+composes those sums, so that the count of a text is a difference of two prefixes.
+The counts on the paths from other entry states are never needed.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -20,6 +26,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import Numbers
+
 #: Classes and states of the compiled pre-tokenizer pattern.
 #: 's|'t|'re|'ve|'m|'ll|'d | letters | one number | what is neither nor white space
 C_SPACE, C_LETTER, C_NUMBER, C_OTHER, C_APOSTROPHE, C_STMD, C_R, C_V, C_L, C_E = range(10)
@@ -29,7 +37,6 @@ N_STATES, N_CLASSES = 9, 10
 C_UNKNOWN = 10
 #: Emissions: a word begins here; one began at the character before; both.
 HERE, BEFORE = 1, 2
-SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 CHUNK = 2048
 
 
@@ -97,11 +104,14 @@ def compose(maps: np.ndarray) -> np.ndarray:
     return out
 
 
+def chunk_width(n: int) -> int:
+    return max(1, min(CHUNK, -(-n // 64)))
+
+
 def word_starts(classes: np.ndarray) -> np.ndarray:
     """Where words or white space begin in a character-class array that starts
     and ends with white space; by chunk state maps and their prefix scan."""
-    n = len(classes)
-    width = max(1, min(CHUNK, -(-n // 64)))
+    n, width = len(classes), chunk_width(len(classes))
     rows = -(-n // width)
     grid = np.zeros(rows * width, dtype=np.uint8)  # padded with white space
     grid[:n] = classes
@@ -134,6 +144,19 @@ def word_starts(classes: np.ndarray) -> np.ndarray:
     return starts
 
 
+def emitted_before(at: np.ndarray, closes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens the transitions before each of the (rising) positions
+    ``at`` of n emit. closes: where words are closed, rising; counts: what these
+    transitions emit. Whole chunks come from the scan of the chunks' sums."""
+    width = chunk_width(n)
+    sums = np.bincount(closes // width, weights=counts, minlength=-(-n // width) + 1).astype(np.int64)
+    before = np.cumsum(sums) - sums
+    inside = np.concatenate([[0], np.cumsum(counts)])
+    chunk = at // width
+    first, last = np.searchsorted(closes, chunk * width), np.searchsorted(closes, at)
+    return before[chunk] + inside[last] - inside[first]
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -153,12 +176,15 @@ class WordBPE:
         self.first = np.array([vocab.get(c, -1) for c in chars], dtype=np.int64)
         self.last = np.array([vocab.get(c + end, -1) for c in chars], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.is_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.mark = os.path.commonprefix(list(self.special))  # what every special string begins with
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.most_words, self.words, self.odd = most_words, {}, set()
+        self.number, self.counts = Numbers(), np.zeros(0, dtype=np.int64)
         self.library = Tokenizer.from_file(path)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -166,8 +192,9 @@ class WordBPE:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.rank[at], len(self.rank))
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each word, all words together."""
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What merging leaves of all words together: symbols, in order within
+        their word, and the number of the word each belongs to."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -211,40 +238,56 @@ class WordBPE:
             rank[again] = none
             inside = inside[same]
             rank[inside] = self._ranks(sym[inside], sym[inside + 1])
-        sym, word = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        return tuple(np.concatenate([d[i] for d in done]) for i in (0, 1))
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 16-bit ids of each word, all words together."""
+        sym, word = self.merged(words)
         order = np.argsort(word, kind="stable")
         flat, ends = sym[order].astype("<u2").tobytes(), np.cumsum(np.bincount(word, minlength=len(words)))
         return [flat[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def split(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text; a special string stands as a word of its own.
-        Texts with code points of unknown class are noted in ``odd``."""
+    def parts(self, texts: list[str | None]) -> tuple[list[str], list[int]]:
+        """Normalised texts, cut at special strings, and whose each part is; a
+        special string's part has the owner -i - 1."""
         parts, owner = [], []
         for i, t in enumerate(texts):
             at = 0
-            for m in SPECIAL.finditer(t) if t and "<|" in t else ():
+            for m in self.is_special.finditer(t) if t and self.mark in t else ():
                 parts += [normalize(t[at : m.start()]), m[0]]
                 owner += [i, -i - 1]
                 at = m.end()
             parts.append(normalize(t[at:] if at else t or ""))
             owner.append(i)
-        out: list[list[str]] = [[] for _ in texts]
-        joined = " " + " ".join(["" if o < 0 else p for p, o in zip(parts, owner, strict=True)]) + " "
+        return parts, owner
+
+    def closed(self, parts: list[str], owner: list[int]) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+        """All words, where each is closed, the bounds of the parts, and the length
+        of the joined text. Owners with code points of unknown class are noted in
+        ``odd``."""
+        plain = ["" if o < 0 else p for p, o in zip(parts, owner, strict=True)]
+        joined = " " + " ".join(plain) + " "
         classes = char_class()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         unknown = np.flatnonzero(classes == C_UNKNOWN)
         classes[unknown] = C_OTHER
         starts = np.flatnonzero(word_starts(classes))
-        words = starts[classes[starts] != C_SPACE]
-        ends = np.append(starts[1:], len(classes))[classes[starts] != C_SPACE]
-        cut = np.searchsorted(words, bounds := np.cumsum([1, *(1 + len("" if o < 0 else p) for p, o in zip(parts, owner, strict=True))]))
+        some = classes[starts] != C_SPACE
+        words, ends = starts[some], np.append(starts[1:], len(classes))[some]
+        bounds = np.cumsum([1, *(1 + len(p) for p in plain)])
         self.odd = {owner[k] if owner[k] >= 0 else -owner[k] - 1 for k in np.searchsorted(bounds, unknown, side="right") - 1}
-        words, ends = words.tolist(), ends.tolist()
+        return [joined[s:e] for s, e in zip(words.tolist(), ends.tolist(), strict=True)], ends, bounds, len(classes)
+
+    def split(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text; a special string stands as a word of its own."""
+        parts, owner = self.parts(texts)
+        words, closes, bounds, _ = self.closed(parts, owner)
+        cut = np.searchsorted(closes, bounds).tolist()
+        out: list[list[str]] = [[] for _ in texts]
         for k, (p, o) in enumerate(zip(parts, owner, strict=True)):
             if o < 0:
                 out[-o - 1].append(p)
             else:
-                a, b = cut[k], cut[k + 1]
-                own = [joined[s:e] for s, e in zip(words[a:b], ends[a:b], strict=True)]
+                own = words[cut[k] : cut[k + 1]]
                 out[o] = out[o] + own if out[o] else own
         return out
 
@@ -273,8 +316,28 @@ class WordBPE:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u2").tobytes()
         return out
 
+    def tokens_of(self, words: list[str]) -> np.ndarray:
+        """How many tokens each word has; no ids are made. Known words are kept up
+        to a bound, then all are forgotten, which costs time only."""
+        if len(self.number) > self.most_words:
+            self.number, self.counts = Numbers(), np.zeros(0, dtype=np.int64)
+        numbers, new = self.number.of(words)
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            self.counts = np.concatenate([self.counts, np.bincount(self.merged(part)[1], minlength=len(part))])
+        return self.counts[numbers]
+
     def count(self, texts: list[str | None]) -> list[int]:
-        return [len(x) // 2 for x in self.encode(texts)]
+        """Tokens of whole texts."""
+        parts, owner = self.parts(texts)
+        words, closes, bounds, n = self.closed(parts, owner)
+        before = emitted_before(bounds, closes, self.tokens_of(words), n)
+        out = np.zeros(len(texts), dtype=np.int64)
+        whose = np.array(owner, dtype=np.int64)
+        np.add.at(out, np.where(whose < 0, -whose - 1, whose), np.where(whose < 0, 1, np.diff(before)))
+        for i in self.odd:
+            out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
+        return out.tolist()
 
 
 @lru_cache(maxsize=2)

@@ -321,6 +321,21 @@ def test_state_maps_compose():
     assert (wordbpe.word_starts(classes) == starts).all()
 
 
+def test_counts_are_emitted_by_closing_transitions(docs, library, monkeypatch):
+    w = wordbpe.compiled(WORD_BPE)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(w, "encode_words", None)  # no ids are made
+    for chunk in (1, 7, 64, wordbpe.CHUNK):
+        monkeypatch.setattr(wordbpe, "CHUNK", chunk)
+        some = slice(0, 40 if chunk < 64 else None)
+        assert w.count(texts[some]) == want[some]
+    rng = np.random.default_rng(3)
+    closes, counts = np.sort(rng.choice(5000, 900, replace=False)), rng.integers(1, 9, 900)
+    at = np.sort(rng.integers(0, 5001, 60))
+    assert wordbpe.emitted_before(at, closes, counts, 5000).tolist() == [int(counts[closes < x].sum()) for x in at]
+
+
 def test_token_count_edges(odd_docs, no_docs, library):
     got = token_count.count_tokens(odd_docs, WORD_BPE).collect()
     want = {r["doc_id"]: r["text"] or "" for r in odd_docs.collect()}
