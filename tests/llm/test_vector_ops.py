@@ -112,6 +112,37 @@ def test_nearest_few_and_none(spark, vectors):
     assert ann.nearest(vectors[0].limit(0)).count() == 0
 
 
+def test_clustered_vectors_read_few_lists(spark):
+    """Clusters, one dense group, and vectors of no cluster: every query's recall and how many lists it reads."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 32))
+    x = np.vstack([centres[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 32)), centres[:1] + 0.02 * rng.normal(size=(400, 32)), rng.normal(size=(600, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v) for i, v in enumerate(x[rng.permutation(len(x))].tolist())]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = [len({b[0] for b in best} & got[q]) / 20 for q, best in exact(rows, 20, 20)]
+    assert np.mean(recall) > 0.97 and min(recall) >= 0.8
+    x = np.array([r[1] for r in rows])
+    index = ann.Centroids(ann.two_level_split(ann.lifted(x, 1.0), 80, rng))
+    ratios = ann.calibrate(index, x, 1.0, 20, 0.95)
+    q = x[::20]
+    scale = ann.reach(q, -np.partition(-(q @ x.T), 20, axis=1)[:, 20], 1.0)
+    lifted = np.pad(q, ((0, 0), (0, 1)))
+    reads = index.within(lifted, scale, ratios, np.full(len(index.points), 60), 20)
+    assert reads.mean() < 0.5
+    near = np.sqrt(((lifted[:, None] - index.points[None]) ** 2).sum(axis=2))
+    bound = np.maximum(near.min(axis=1) + ratios[ann.likeness(scale, near.min(axis=1))] * scale, ann.CLOSE * near.min(axis=1))
+    assert (reads == (near <= bound[:, None])).mean() > 0.99  # the graph reaches what is within the bound
+
+
+def test_repeated_ids_have_one_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, None), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (None, [5.0, 5.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 2.0), (0, 2, 0.2)]
+
+
 def test_graph_search_finds_the_nearest():
     rng = np.random.default_rng(4)
     points = rng.normal(size=(700, 8))
