@@ -1,9 +1,9 @@
 """Secrets in texts: fixed patterns, and password guess cost in credential context.
 
 The guess cost of a value is the cheapest way to build it from words of a
-ranked list, dates, repeats, keyboard walks, sequences and brute-force spans,
-found by dynamic programming over its positions (base-10 logarithms of guess
-counts add up along the segmentation). Values that stand where a credential
+ranked list, dates, repeats of blocks, keyboard walks, sequences and brute-force
+spans, found by dynamic programming over its positions (base-10 logarithms of
+guess counts add up along the segmentation). Values that stand where a credential
 stands and cost enough are reported as spans of kind ``guess``.
 """
 
@@ -13,12 +13,14 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import by_bytes, map_rows
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,41 +40,84 @@ PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 
 
+#: A repeat's block has at most so many characters.
+BLOCK = 16
+#: Starting a brute-force span costs as much as doubling the guesses.
+START = 0.3
+
+
+class Ranks(dict):
+    """Words and their ranks, and how long the longest word is."""
+
+    def __init__(self, words: list[str]) -> None:
+        super().__init__((w, i + 1) for i, w in enumerate(words))
+        self.longest = max(map(len, words), default=0)
+
+
 @lru_cache(maxsize=2)
-def word_ranks(path: str, limit: int = 20000) -> dict[str, int]:
+def word_ranks(path: str) -> Ranks:
     """Ranks of whole words of three letters or more, most common first, from the
     merge order of a public word-level BPE vocabulary."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = [w[:-4] for w, _ in sorted(vocab.items(), key=lambda x: x[1]) if w.endswith("</w>")]
-    return {w: i + 1 for i, w in enumerate([w for w in words if len(w) > 2 and w.isascii() and w.isalpha()][:limit])}
+    return Ranks([w for w in words if len(w) > 2 and w.isascii() and w.isalpha()])
 
 
 def _charset(s: str) -> int:
     return max(10, 26 * any(c.islower() for c in s) + 26 * any(c.isupper() for c in s) + 10 * any(c.isdigit() for c in s) + 33 * any(not c.isalnum() for c in s))
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str, int, int]]]:
-    """log10 of the guesses of the cheapest segmentation, and its (kind, start, end)."""
-    n = len(value)
-    low = value.lower()
+def word_cost(word: str, ranks: Ranks) -> float:
+    """Of a word of the list, as it is or with common letters for signs; else infinite."""
+    low, extra = "".join(c.lower()[0] for c in word), 0.0
+    rank = ranks.get(low)
+    if rank is None and (plain := low.translate(LEET)) != low:
+        rank, extra = ranks.get(plain), math.log10(4)
+    if rank is None:
+        return math.inf
+    caps = 0.0 if word == low else math.log10(2 if word.istitle() or word.isupper() else 2.0 ** min(len(word), 20))
+    return math.log10(rank + 1) + extra + caps
+
+
+def date_cost(n: int) -> float:
+    return math.log10(119 if n == 4 else 119 * 372)
+
+
+def walk_cost(n: int) -> float:
+    return math.log10(47 * 8 * n)
+
+
+def sequence_cost(n: int) -> float:
+    return math.log10(62 * 2 * n)
+
+
+def guess_cost(value: str, ranks: Ranks) -> tuple[float, list[tuple[str, int, int]]]:
+    """log10 of the guesses of the cheapest segmentation, and its (kind, start, end).
+
+    Walks, sequences and repeats that end at a place begin as far left as they
+    go. A repeat is three or more of one character or whole blocks of up to BLOCK
+    characters, twice or more, and costs its block and their number.
+    """
+    n, low = len(value), "".join(c.lower()[0] for c in value)  # one character each
     plain = low.translate(LEET)
     per_char = math.log10(_charset(value)) if n else 0.0
-    best = [0.0] + [math.inf] * n
+    best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
+    since = [0] * (n + 1)  # where the brute-force span begins that ends here cheapest
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if m := DATE.match(value, i):
             dates.setdefault(m.end(), []).append(i)
-    repeat = walk = line = 0  # where the repeat, walk and sequence that end here begin
+    alike = [0] * (BLOCK + 1)  # how many characters up to here equal those a block before
+    blocks: dict[str, float] = {}
+    walk = line = 0  # where the walk and the sequence that end here begin
     way: tuple[int, int] | None = None
     step = 0
     for j in range(1, n + 1):
         c = low[j - 1]
         if j > 1:
             p = low[j - 2]
-            if c != p:
-                repeat = j - 1
             at, before = PLACE.get(c), PLACE.get(p)
             now = (at[0] - before[0], at[1] - before[1]) if at and before else None
             if now is None or now == (0, 0) or max(map(abs, now)) > 1:
@@ -86,32 +131,32 @@ def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
                 line, step = j - 1, 0
             elif d != step:
                 line, step = j - 2, d
-        found = [(best[j - 1] + per_char + (0.0 if back[j - 1][0] == "brute" else 0.3), "brute", j - 1)]
+        new, on = best[j - 1] + START + per_char, brute[j - 1] + per_char
+        brute[j], since[j] = (on, since[j - 1]) if on <= new else (new, j - 1)
+        found = [(brute[j], "brute", since[j])]
         for i in dates.get(j, ()):
-            found.append((best[i] + math.log10(119 if j - i == 4 else 119 * 372), "date", i))
-        if j - repeat >= 3:
-            found.append((best[repeat] + math.log10(_charset(value[repeat]) * (j - repeat)), "repeat", repeat))
+            found.append((best[i] + date_cost(j - i), "date", i))
+        for size in range(1, min(BLOCK, j - 1) + 1):
+            alike[size] = alike[size] + 1 if c == low[j - 1 - size] else 0
+            times = alike[size] // size + 1
+            if times >= (3 if size == 1 else 2):
+                i, block = j - times * size, value[j - size : j]
+                if block not in blocks:
+                    blocks[block] = math.log10(_charset(block)) if size == 1 else guess_cost(block, ranks)[0]
+                found.append((best[i] + blocks[block] + math.log10(times), "repeat", i))
         if j - walk >= 4:
-            found.append((best[walk] + math.log10(47 * 8 * (j - walk)), "walk", walk))
+            found.append((best[walk] + walk_cost(j - walk), "walk", walk))
         if j - line >= 3:
-            found.append((best[line] + math.log10(62 * 2 * (j - line)), "sequence", line))
-        for i in range(max(0, j - 24), j - 2):
-            rank = ranks.get(low[i:j])
-            extra = 0.0
-            if rank is None and plain[i:j] != low[i:j]:
-                rank, extra = ranks.get(plain[i:j]), math.log10(4)
-            if rank is not None:
-                caps = 0.0 if value[i:j] == low[i:j] else math.log10(2 if value[i:j].istitle() or value[i:j].isupper() else 2.0 ** min(j - i, 20))
-                found.append((best[i] + math.log10(rank + 1) + extra + caps, "word", i))
+            found.append((best[line] + sequence_cost(j - line), "sequence", line))
+        for i in range(max(0, j - ranks.longest), j - 2):
+            if low[i:j] in ranks or plain[i:j] in ranks:
+                found.append((best[i] + word_cost(value[i:j], ranks), "word", i))
         best[j], kind, i = min(found)
         back[j] = (kind, i)
     spans, j = [], n
     while j:
         kind, i = back[j]
-        if kind == "brute" and spans and spans[-1][0] == "brute":
-            spans[-1] = ("brute", i, spans[-1][2])
-        else:
-            spans.append((kind, i, j))
+        spans.append((kind, i, j))
         j = i
     return best[n], spans[::-1]
 
@@ -125,7 +170,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[0], order[x[2]]))
 
 
-def guess_spans(text: str, ranks: dict[str, int], least: float) -> list[tuple[int, int, float]]:
+def guess_spans(text: str, ranks: Ranks, least: float) -> list[tuple[int, int, float]]:
     """Credential-context values whose guess cost is at least ``least``. A value that
     is or begins with a context name is scanned for a context of its own."""
     out, at = [], 0
@@ -137,12 +182,12 @@ def guess_spans(text: str, ranks: dict[str, int], least: float) -> list[tuple[in
     return out
 
 
-def scan(text: str | None, ranks: dict[str, int], least: float) -> tuple[list, list[tuple[int, int, float]]]:
+def scan(text: str | None, ranks: Ranks, least: float) -> tuple[list, list[tuple[int, int, float]]]:
     text = text or ""
     return base_spans(text), guess_spans(text, ranks, least)
 
 
-def redact(text: str | None, ranks: dict[str, int], least: float) -> str | None:
+def redact(text: str | None, ranks: Ranks, least: float) -> str | None:
     """The text with every secret value replaced; where spans overlap, by one mark."""
     if not text:
         return text
@@ -186,14 +231,19 @@ def scan_secrets(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
 
 def redact_secrets(docs: DataFrame, vocab: str, text_col: str = "text", least: float = 8.0) -> DataFrame:
-    """docs with secrets replaced in text_col; all rows and columns stay."""
+    """docs with secrets replaced in text_col; all rows and columns stay.
 
-    def run(batches):
-        import pyarrow as pa  # noqa: PLC0415
+    Null, empty and blank texts stay as they are, whole texts are read however
+    long, rows that repeat are each replaced alike, and an empty table gives an
+    empty result. One pass, no shuffle.
+    """
+    place = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = word_ranks(vocab)
-        for b in batches:
-            i = b.schema.get_field_index(text_col)
-            yield b.set_column(i, b.schema.field(i), pa.array([redact(t, ranks, least) for t in b.column(i).to_pylist()], type=b.schema.field(i).type))
+        for batch in batches:
+            for b in by_bytes(batch):
+                texts = pa.array([redact(t, ranks, least) for t in b.column(place).to_pylist()], type=b.schema.field(place).type)
+                yield b.set_column(place, b.schema.field(place), texts)
 
     return docs.mapInArrow(run, docs.schema)
