@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Notices as licences and public guides word them.
-TEMPLATES = {
+NOTICES = {
     "apache-2.0/line": "Licensed under the Apache License, Version 2.0",
     "apache-2.0/notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -51,7 +53,40 @@ TEMPLATES = {
     "cc-by-nc/line": "Licensed under CC BY-NC 4.0",
     "cc-by-sa/line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "isc/permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "cc-by/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-nc/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nc-sa/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nd/notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "lgpl/notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"
+    ),
+    "agpl/notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ),
+    "gpl-2.0/notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version"
+    ),
+    "boost-1.0/notice": "Distributed under the Boost Software License, Version 1.0",
+    "bsd/line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
 }
+#: Identifiers that stand in a line of their own kind.
+IDENTIFIERS = [
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+
+
+@lru_cache(maxsize=1)
+def all_templates() -> dict[str, str]:
+    """Whole licences, one file each in ``licences/`` beside this module, notices
+    and identifier lines."""
+    texts = {f"{p.name[:-4]}/text": p.read_text(encoding="utf-8") for p in sorted((resources.files(__package__) / "licences").iterdir(), key=lambda p: p.name)}
+    return texts | NOTICES | {f"{i.lower()}/spdx": f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS}
+
+
 EPS = 1e-9
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
@@ -65,15 +100,17 @@ class Index:
         for t, tokens in enumerate(self.tokens):
             grams = self.grams(tokens)
             picked = set()
-            for i in range(max(1, len(grams) - window + 1)):
+            for i in range(max(1, len(grams) - window + 1) if len(grams) else 0):
                 part = grams[i : i + window]
                 picked.add(i + len(part) - 1 - int(part[::-1].argmin()))  # the rightmost smallest
             for i in sorted(picked):
                 self.postings.setdefault(int(grams[i]), []).append((t, i))
         self.known = np.array(sorted(self.postings), dtype=np.int64)
         self.share = np.zeros((len(self.tokens), len(self.words) + 1), dtype=np.int64)  # places of a word in a template
+        self.places: list[tuple[np.ndarray, np.ndarray]] = []  # the places by word, and where each word's begin
         for t, tokens in enumerate(self.tokens):
             np.add.at(self.share[t], tokens, 1)
+            self.places.append((np.argsort(tokens, kind="stable"), np.cumsum(self.share[t]) - self.share[t]))
 
     def grams(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens) - self.k + 1
@@ -149,8 +186,14 @@ class Index:
             at = at[np.cumsum(live[:-1]) > 0]
             if not len(at):
                 continue
-            hit, place = np.nonzero(tokens[at][:, None] == self.tokens[t][None, :])
-            starts, exact = np.unique(at[hit] - place, return_counts=True)
+            order, first = self.places[t]
+            times = self.share[t][tokens[at]]
+            place = order[np.repeat(first[tokens[at]] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+            starts, exact = np.unique(np.repeat(at, times) - place, return_counts=True)
+            # The words in a band are on its diagonals: too few there, too few in the band.
+            upto = np.concatenate([[0], np.cumsum(exact)])
+            around = upto[np.searchsorted(starts, starts + self.band, side="right")] - upto[np.searchsorted(starts, starts - self.band)]
+            starts, exact = starts[around >= least_words], exact[around >= least_words]
             near = self.near(self.tokens[t], tokens, starts, 0, len(tokens))
             ok, printed = near >= least_words, hits.get(t, ())
             if ok.any():
@@ -160,12 +203,15 @@ class Index:
 
     def near(self, t: np.ndarray, doc: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """How many words of the template occur in their band around each start."""
-        found = np.zeros((len(starts), len(t)), dtype=bool)
-        where = starts[:, None] + np.arange(len(t))[None, :]
-        for d in range(-self.band, self.band + 1):
-            x = where + d
-            found |= (x >= lo) & (x < hi) & (doc[np.clip(x, 0, len(doc) - 1)] == t[None, :])
-        return found.sum(axis=1)
+        out, rows = np.zeros(len(starts), dtype=np.int64), max(1, (1 << 20) // max(len(t), 1))
+        for i in range(0, len(starts), rows):
+            where = starts[i : i + rows, None] + np.arange(len(t))[None, :]
+            found = np.zeros(where.shape, dtype=bool)
+            for d in range(-self.band, self.band + 1):
+                x = where + d
+                found |= (x >= lo) & (x < hi) & (doc[np.clip(x, 0, len(doc) - 1)] == t[None, :])
+            out[i : i + rows] = found.sum(axis=1)
+        return out
 
     def align(self, t: np.ndarray, doc: np.ndarray, start: int, lo: int = 0, hi: int | None = None) -> tuple[int, int, int]:
         """Matched words and the word span of the best alignment of the template
@@ -203,20 +249,26 @@ class Index:
         return matched, a or 0, e or 0
 
 
+@lru_cache(maxsize=2)
+def compiled(entries: tuple[tuple[str, str], ...]) -> Index:
+    return Index(dict(entries))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row per row of docs: (id_col, n_licenses, licenses, coverage, spans).
 
     licenses are the matched templates in text order, coverage the largest
     share of a template's words that matched (0 if none), spans their
     "template:start:end" in code points, ends exclusive, comma-joined. Every
-    word of a text is looked up. A null, empty or short text has no licences.
+    word of a text is looked up. Without ``templates`` they are all_templates():
+    whole licences, notices and identifiers. Null, empty and short texts have none.
     One pass, no shuffle; rows repeat as in docs, ids may be null; other columns
     are not read.
     """
-    templates = templates or TEMPLATES
+    entries = tuple((templates or all_templates()).items())
 
     def run(cols: list[list]) -> list:
-        index = Index(templates)
+        index = compiled(entries)
         out: list[list] = [[] for _ in range(5)]
         for doc, text in zip(*cols, strict=True):
             found = index.scan(text, least)

@@ -582,7 +582,7 @@ def test_nbest_runs_of_spaces():
 
 
 def test_licenses(spark, odd_docs, no_docs):
-    mit = licenses.TEMPLATES["mit/permission"]
+    mit = licenses.all_templates()["mit/permission"]
     worn = mit.replace("free of charge, ", "").replace("merge, ", "combine, ")
     rows = [(1, "Intro. Released under the MIT License. Bye"), (2, "x " * 500 + worn + " y" * 500), (3, "the license of the software under version 2.0 is mine"), (4, " ".join(mit.split()[:20])), (5, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.")]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -598,11 +598,11 @@ def test_licenses(spark, odd_docs, no_docs):
 
 
 def test_license_lines_with_a_changed_word():
-    index = licenses.Index(licenses.TEMPLATES)
+    index = licenses.Index(licenses.all_templates())
     assert index.scan("Distributed under the MIT License", 0.8) == [("mit/line", 0.8, 12, 33)]
     assert index.scan("Licensed under the Apache Licence, Version 2.0", 0.8) == [("apache-2.0/line", 6 / 7, 0, 46)]
     for name in ["mit/line", "apache-2.0/line", "cc-by/line", "cc-by-nc/line", "mit/line-2"]:
-        words, index = licenses.TEMPLATES[name].split(), licenses.Index({name: licenses.TEMPLATES[name]})
+        words, index = licenses.all_templates()[name].split(), licenses.Index({name: licenses.all_templates()[name]})
         for i in range(len(words)):
             text = "so " + " ".join(["zzz" if i == j else w for j, w in enumerate(words)]) + " it is"
             assert name in [f[0] for f in index.scan(text, 0.8)], text
@@ -610,12 +610,80 @@ def test_license_lines_with_a_changed_word():
 
 @pytest.mark.parametrize("name", ["mit/line", "cc-by/line", "cc-by-nc/line", "apache-2.0/line"])
 def test_license_lines_side_by_side(name):
-    line = licenses.TEMPLATES[name]
-    got = licenses.Index(licenses.TEMPLATES).scan(" ".join([line] * 5), 0.8)
+    line = licenses.all_templates()[name]
+    got = licenses.Index(licenses.all_templates()).scan(" ".join([line] * 5), 0.8)
     assert [(f[0], f[2], f[3]) for f in got] == [(name, i * (len(line) + 1), i * (len(line) + 1) + len(line)) for i in range(5)]
 
 
+def plain_alignment(t, doc):
+    """The most words of the template that stand in the text in order, by the whole
+    table; with the scores of the banded alignment: 1 a match, -1 a change, -0.75 a gap, the text's ends free."""
+    table = [[(0.0, 0)] * (len(doc) + 1)]
+    for i in range(1, len(t) + 1):
+        row = [(table[-1][0][0] - 0.75, 0)]
+        for j in range(1, len(doc) + 1):
+            same = t[i - 1] == doc[j - 1]
+            diag = (table[-1][j - 1][0] + (1.0 if same else -1.0), table[-1][j - 1][1] + same)
+            up = (table[-1][j][0] - 0.75, table[-1][j][1])
+            left = (row[-1][0] - 0.75, row[-1][1])
+            row.append(max(diag, up, left, key=lambda x: x[0]))
+        table.append(row)
+    return max(s for s, _ in table[-1])
+
+
 def test_alignment_brute_force():
     index = licenses.Index({"t": "a b c d e f g h"})
     doc = np.array([index.words.get(w, 0) for w in "x a b q c d f g h y".split()])
     assert index.align(index.tokens[0], doc, 1) == (7, 1, 9)
+
+
+def test_scan_finds_what_full_alignment_finds():
+    """Templates with changed, lost and added words in random text: a match where the
+    whole table has one within the band, with its coverage, and none elsewhere."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    index = licenses.Index({"t": " ".join(words)})
+    numbers = {w: index.words[w] for w in words}
+    for trial in range(120):
+        own, edits = list(words), rng.randint(0, 9)
+        for _ in range(edits):
+            i = rng.randrange(len(own))
+            kind = rng.choice(["change", "drop", "add"])
+            own[i : i + 1] = {"change": ["zz"], "drop": [], "add": [own[i], "yy"]}[kind] if len(own) > 20 or kind != "drop" else [own[i]]
+        text = [rng.choice([*words[:5], "q", "r"]) for _ in range(rng.randint(0, 20))] + ["."] + own + ["q"] * rng.randint(0, 20)
+        matched = sum(w in numbers for w in own)
+        got = index.scan(" ".join(text), 0.8)
+        if matched >= 24:
+            assert [f[0] for f in got] == ["t"] and got[0][1] >= matched / 30 - 1e-9, trial
+        elif matched < 19:
+            assert got == [], trial
+
+
+def test_alignment_equals_the_whole_table():
+    rng = random.Random(3)
+    index = licenses.Index({"t": " ".join(f"w{i % 9}" for i in range(14))}, band=14)
+    t = index.tokens[0]
+    for _ in range(60):
+        doc = [int(rng.choice([*t.tolist(), 0])) if rng.random() < 0.4 else int(x) for x in t if rng.random() < 0.9]
+        matched, a, b = index.align(t, np.array(doc), 0)
+        best = plain_alignment(t.tolist(), doc)
+        own = plain_alignment(t.tolist(), doc[a:b])
+        assert own == pytest.approx(best) and 0 <= matched <= min(len(doc), 14)
+
+
+def test_whole_licences():
+    index = licenses.compiled(tuple(licenses.all_templates().items()))
+    texts = licenses.all_templates()
+    names = [n for n in texts if n.endswith("/text")]
+    assert len(names) >= 14
+    rng = random.Random(2)
+    for name in names:
+        words = [w if rng.random() > 0.03 else "changed" for w in texts[name].split()]
+        own = "Copyright 2020 A. Person\n\n" + " ".join(words) + "\n\nEnd of file"
+        found = index.scan(own, 0.8)
+        assert found[0][0] == name and 0.9 < found[0][1] < 1, (name, found)
+        assert name not in [f[0] for f in index.scan(" ".join(words[: len(words) // 2]), 0.8)]
+    assert [f[0] for f in index.scan(texts["bsd-2-clause/text"], 0.8)] == ["bsd-2-clause/text"]
+    assert [f[0] for f in index.scan(texts["bsd-3-clause/text"], 0.8)] == ["bsd-3-clause/text"]
+    assert [f[0] for f in index.scan("# SPDX-License-Identifier: GPL-2.0-only\n# SPDX-License-Identifier: MIT", 0.8)] == ["gpl-2.0-only/spdx", "mit/spdx"]
+    assert index.scan("the license of this software: the mit one, version 2.0 or later, is free " * 40, 0.8) == []
