@@ -4,7 +4,8 @@ Each language has a smoothed distribution over hashed character trigrams. A
 document is a mixture of languages; expectation-maximisation estimates its
 proportions from the trigram likelihoods. The language set is grown greedily
 and a language joins only if the log-likelihood gains more than a penalty that
-grows with the logarithm of the document's length.
+grows with the logarithm of the document's length. A text is in no known language
+if trigrams of any kind, all equally likely, explain it better by the same penalty.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from .common import by_bytes, map_rows
 
 BITS = 15
 CHUNK = 1 << 20
+#: A training document counts as so many trigrams at most, whole texts read, so that
+#: a long or repetitive one does not stand for its language; sums are in 1 / UNIT.
+MOST_WEIGHT, UNIT = 4096, 1024
 
 
 @lru_cache(maxsize=1)
@@ -70,25 +74,36 @@ def em(like: np.ndarray, counts: np.ndarray, rounds: int = 25) -> tuple[np.ndarr
     return share, float(np.log(share @ like) @ counts)
 
 
-def infer(logp: np.ndarray, at: np.ndarray, counts: np.ndarray, penalty: float) -> tuple[np.ndarray, list[int]]:
-    """Proportions over all languages (0 outside the selected set), and the set."""
+def infer(logp: np.ndarray, at: np.ndarray, counts: np.ndarray, penalty: float) -> tuple[np.ndarray, list[int], float]:
+    """Proportions over all languages (0 outside the selected set), the set, and by
+    how much its log-likelihood is above that of trigrams of any kind.
+
+    The set begins with the likeliest language and grows as long as some language
+    gains more than the penalty. The log-likelihood is concave in the proportions,
+    so that a language gains at most its derivative above the number of trigrams:
+    those that cannot pass the penalty are not tried.
+    """
     part = logp[:, at]
-    like = np.exp(part - part.max(axis=0))
+    top = part.max(axis=0)
+    like = np.exp(part - top)
     single = np.log(np.maximum(like, 1e-300)) @ counts
-    full, _ = em(like, counts)
     chosen, best = [int(single.argmax())], float(single.max())
-    share = np.ones(1)
-    cost = penalty * np.log(counts.sum() + 1.0)
-    for j in np.argsort(-full):
-        if int(j) in chosen or full[j] < 0.02:
-            continue
-        new, ll = em(like[[*chosen, int(j)]], counts)
-        if ll - best <= cost:
+    share, n = np.ones(1), counts.sum()
+    cost = penalty * np.log(n + 1.0)
+    refused: set[int] = set()
+    while len(chosen) + len(refused) < len(logp):
+        most = like @ (counts / np.maximum(share @ like[chosen], 1e-300)) - n
+        j = max((j for j in range(len(logp)) if j not in chosen and j not in refused), key=lambda j: most[j])
+        if most[j] <= cost:
             break
-        chosen, best, share = [*chosen, int(j)], ll, new
+        new, ll = em(like[[*chosen, j]], counts)
+        if ll - best <= cost:
+            refused.add(j)
+            continue
+        chosen, best, share, refused = [*chosen, j], ll, new, set()
     out = np.zeros(len(logp))
     out[chosen] = share
-    return out, chosen
+    return out, chosen, best + float(top @ counts) + float(n) * BITS * np.log(2)
 
 
 def held_out(doc_id) -> F.Column:
@@ -117,26 +132,28 @@ def fit(train: DataFrame, max_per_lang: int = 5000, smoothing: float = 0.1) -> d
             for part in by_bytes(batch):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     at, counts, _ = trigrams(text)
-                    total[place[lang], at] += counts
+                    share = min(1.0, MOST_WEIGHT / max(int(counts.sum()), 1))
+                    total[place[lang], at] += np.rint(counts * share * UNIT).astype(np.int64)
         rows, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[rows, at])], names=["l", "bucket", "n"])
 
     summed = sample.mapInArrow(run, "l int, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((len(langs), 1 << BITS))
-    total[summed["l"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy()
+    total[summed["l"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy() / UNIT
     some = total.sum(axis=1) > 0
     total, langs = total[some], [k for k, s in zip(langs, some, strict=True) if s]
     return {"langs": langs, "logp": np.log((total + smoothing) / (total + smoothing).sum(axis=1, keepdims=True))}
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = 3.0, max_per_lang: int = 5000) -> DataFrame:
-    """One row per row of docs: (id_col, held_out, lang_pred, score, languages, shares).
+    """One row per row of docs: (id_col, held_out, lang_pred, score, languages,
+    shares, known).
 
     Models come from rows with a language, text and id whose crc32(id) mod 4 is
     not 2 (a bounded sample, see fit); a prediction reads only the text.
     lang_pred is the language with the largest proportion, score that
     proportion (ties: the alphabetically first), languages the selected set by
-    falling proportion. A text that is null or has no letter, and any text
+    falling proportion; known says that the text is in a known language at all. A text that is null or has no letter, and any text
     where nothing could be learned, is ``und`` with score 0. Rows repeat as in
     docs; a null id is not held out. Other columns are not read.
     """
@@ -145,27 +162,33 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     langs, logp = model["langs"], model["logp"]
 
     def run(cols: list[list]) -> list:
-        pred, score, sets, shares = [], [], [], []
+        pred, score, sets, shares, known = [], [], [], [], []
         for text in cols[1]:
             at, counts, n = trigrams(text)
             if not n or not langs:
-                pred.append("und"), score.append(0.0), sets.append([]), shares.append([])
+                pred.append("und"), score.append(0.0), sets.append([]), shares.append([]), known.append(False)
                 continue
-            share, chosen = infer(logp, at, counts, penalty)
+            share, chosen, above = infer(logp, at, counts, penalty)
+            known.append(above >= -penalty * np.log(counts.sum() + 1.0))
             chosen.sort(key=lambda j: (-share[j], langs[j]))
             pred.append(langs[chosen[0]]), score.append(min(1.0, float(share[chosen[0]])))
             sets.append([langs[j] for j in chosen]), shares.append([float(share[j]) for j in chosen])
         held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in cols[0]]
-        return [cols[0], held, pred, score, sets, shares]
+        return [cols[0], held, pred, score, sets, shares, known]
 
-    out = map_rows(rows.select("id", "text"), "id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>", run)
+    out = map_rows(rows.select("id", "text"), "id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>, known boolean", run)
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = 3.0, max_per_lang: int = 5000) -> DataFrame:
-    """The rows of docs whose text has an identified language, in one pass
-    without a shuffle; a null lang_col becomes the prediction. Rows whose
-    prediction is ``und`` go."""
+    """The rows of docs whose text is in a known language (see identify), in one
+    pass without a shuffle; a null lang_col becomes the prediction.
+
+    Null, empty and blank texts, texts without a letter and, for instance, encoded
+    bytes go; where nothing could be learned, all go. Whole texts are read however
+    long, rows that repeat are treated alike, ids may be null, and an empty table
+    gives an empty result.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = fit(rows.where(F.col("id").isNotNull() & ~held_out("id")), max_per_lang)
     langs, logp = model["langs"], model["logp"]
@@ -173,7 +196,10 @@ def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def predict(text: str | None) -> str | None:
         at, counts, n = trigrams(text)
-        return langs[infer(logp, at, counts, penalty)[0].argmax()] if n and langs else None
+        if not n or not langs:
+            return None
+        share, _, above = infer(logp, at, counts, penalty)
+        return langs[share.argmax()] if above >= -penalty * np.log(counts.sum() + 1.0) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
