@@ -319,12 +319,51 @@ def test_language_mixture():
     assert ll >= best[0] - 0.05
 
 
+def test_language_stage_rejects_what_is_no_known_language(spark, docs):
+    rng = random.Random(6)
+    junk = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/", k=400)), "Ἐν ἀρχῇ ἦν ὁ λόγος, καὶ ὁ λόγος ἦν πρὸς τὸν θεόν " * 4, "これは日本語の文章ですが、学習されたことはありません。" * 4, "zq xv wj kx qz vq jx " * 20, "0101 2020", None]
+    plain = ["and the", "de la", "x", "Der Hund."]
+    extra = spark.createDataFrame([(900_000 + i, t, None, "s", 0) for i, t in enumerate(junk + plain)], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_languages(docs.unionByName(extra)).collect()}
+    assert not kept & set(range(900_000, 900_000 + len(junk)))
+    assert kept >= {900_000 + len(junk) + i for i in range(len(plain))}
+    assert {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))} <= kept
+    pred = {r["doc_id"]: r for r in langid.identify(docs.unionByName(extra)).collect()}
+    assert all(pred[i]["known"] == (i in kept) for i in pred)
+
+
+def test_language_set_is_the_best_of_all_sets():
+    """The selected set and its proportions against every set of languages."""
+    rng = np.random.default_rng(5)
+    base = rng.dirichlet(np.full(400, 0.05), size=4) + 1e-5
+    logp = np.log(base / base.sum(axis=1, keepdims=True))
+    for trial in range(30):
+        size = 1 + trial % 3
+        true = rng.choice(4, size, replace=False)
+        share = rng.dirichlet(np.full(size, 5.0))
+        counts = rng.multinomial(600, share @ np.exp(logp[true]) / (share @ np.exp(logp[true])).sum())
+        at = np.flatnonzero(counts)
+        got, chosen, above = langid.infer(logp, at, counts[at], 3.0)
+        cost, values = 3.0 * np.log(601.0), {}
+        for n in range(1, 5):
+            for subset in itertools.combinations(range(4), n):
+                part = np.exp(logp[list(subset)][:, at])
+                values[subset] = langid.em(part, counts[at], 400)[1] - cost * n
+        best = max(values, key=values.get)
+        assert tuple(sorted(chosen)) == best
+        assert above == pytest.approx(values[best] + cost * len(best) + 600 * langid.BITS * np.log(2), abs=0.5)
+        assert got.sum() == pytest.approx(1) and (got > 0).sum() == len(chosen)
+        assert np.allclose(got[true], share, atol=0.12) or len(best) < size
+
+
 def test_language_edges(odd_docs, no_docs, spark):
     got = {r["doc_id"]: r for r in langid.identify(odd_docs).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[7]["lang_pred"] == "und" and got[5]["lang_pred"] == "en"
     assert langid.identify(no_docs).count() == 0
     kept = langid.keep_languages(odd_docs)
-    assert kept.columns == odd_docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "5", "5", "8", "None"]
+    # What is like nothing learned goes, too: 5 is held out, and a null id teaches nothing.
+    assert kept.columns == odd_docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "8"]
+    assert langid.keep_languages(no_docs).count() == 0
     blank = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.identify(blank).first()["lang_pred"] == "und"
 
@@ -349,6 +388,54 @@ def test_quality_shrinks_sparse_sites(spark):
     assert 0.2 < got[2000]["host_posterior"] < 0.9
 
 
+def test_quality_posteriors_by_plain_python(spark, docs):
+    """Site posteriors and scores from the documents' own shares, step by step."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.train(docs, labels, "doc_id", "text", "quality", 20_000)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    got = {r["doc_id"]: r for r in quality.classify_quality(docs, labels).collect()}
+    share, site = {}, {}
+    for i, r in rows.items():
+        site[i] = (r["source"], r["lang"])
+        if r["text"] and r["text"].strip():
+            e = float(quality.evidence(model, np.array([quality.features(r["text"])]))[0])
+            assert got[i]["evidence"] == pytest.approx(e)
+            share[i] = 1 / (1 + np.exp(-(e + np.log(model["rate"] / (1 - model["rate"])))))
+    p = np.array(list(share.values()))
+    mean, within = p.mean(), p.var(ddof=1)
+
+    def grouped(key):
+        out = {}
+        for i, x in share.items():
+            out.setdefault(key(i), []).append(x)
+        return out
+
+    def strength(groups, centre):
+        n = np.array([len(v) for v in groups.values()])
+        dev = sum(len(v) * (np.mean(v) - centre(k)) ** 2 for k, v in groups.items())
+        between = (dev - (len(n) - 1) * within) / max(n.sum() - (n**2).sum() / n.sum(), 1)
+        return min(1e6, max(1.0, mean * (1 - mean) / max(between, 1e-9) - 1))
+
+    hosts, paths = grouped(lambda i: site[i][0]), grouped(lambda i: site[i])
+    a = strength(hosts, lambda k: mean)
+    b = strength(paths, lambda k: (sum(hosts[k[0]]) + a * mean) / (len(hosts[k[0]]) + a))
+    for i, x in share.items():
+        host, path = hosts[site[i][0]], paths[site[i]]
+        h = (sum(host) - x + a * mean) / (len(host) - 1 + a)
+        q = (sum(path) - x + b * h) / (len(path) - 1 + b)
+        assert got[i]["host_posterior"] == pytest.approx(h, abs=1e-6) and got[i]["path_posterior"] == pytest.approx(q, abs=1e-6)
+        assert got[i]["quality_score"] == pytest.approx(1 / (1 + np.exp(-(got[i]["evidence"] + np.log(q / (1 - q))))), abs=1e-6)
+        assert got[i]["keep"] == (got[i]["quality_score"] >= 0.5)
+
+
+def test_quality_of_documents_it_was_not_trained_on(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for part in (0, 1):
+        known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 2 == part)
+        rows = quality.classify_quality(docs, known).join(labels.join(known, "doc_id", "left_anti"), "doc_id").collect()
+        assert len(rows) > 100 and np.mean([r["keep"] == bool(r["quality"]) for r in rows]) > 0.95
+
+
 def test_quality_edges(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(5, 1), (7, 0), (4, 0), (None, 1), (8, None)], "doc_id long, quality int")
     got = quality.classify_quality(odd_docs, labels).collect()
