@@ -257,7 +257,7 @@ def medium_ladder_alias_first(spark, d):
 def _ladder(spark: SparkSession, d: str, alias_first: bool) -> DataFrame:
     a = part_aliases(spark, d)
     entities = a.select("id", text.normalize_title("alias").alias("block_name"))
-    return match.block_ladder(asked_names(spark, d), "p_partkey", "name", entities, a.where("id % 2 = 0"), alias_first)
+    return match.block_ladder(asked_names(spark, d), "p_partkey", "name", entities, a.where("id % 2 = 0"), alias_first).drop("blocks")
 
 
 @query(

@@ -117,7 +117,8 @@ def _initials(words: str) -> tuple[Column, Column]:
 
 
 def block_ladder(rows: DataFrame, key: str, name: str, entities: DataFrame, aliases: DataFrame, alias_first: bool = False) -> DataFrame:
-    """(key, id, how) for media and keywords; id null where one is to be created.
+    """(key, id, how, blocks) for media and keywords; id null where one is to be
+    created; blocks says how many known entities share the name's block.
 
     entities(id, block_name), aliases(alias, id). Block first: one block match
     is used; of several, the one whose alias is equal; else create. Alias first:
@@ -135,15 +136,15 @@ def block_ladder(rows: DataFrame, key: str, name: str, entities: DataFrame, alia
         out = asked.join(blocks, "block_name", "left").join(named, ["alias", "block_name"], "left")
         how = F.when(F.col("blocks") == 1, "block").when((F.col("blocks") > 1) & (F.col("named") == 1), "alias").otherwise("create")
     out = out.withColumn("how", how)
-    return out.select(key, F.when(F.col("how") == "alias", F.col("alias_id")).when(F.col("how") == "block", F.col("block_id")).alias("id"), "how")
+    return out.select(key, F.when(F.col("how") == "alias", F.col("alias_id")).when(F.col("how") == "block", F.col("block_id")).alias("id"), "how", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
 def match_type(rows: DataFrame, key: str, name: str, types: DataFrame, default: str = "misc") -> DataFrame:
     """(key, type_id): the type of that name, else the default's. types(id, name)
     is a small dimension; Spark broadcasts it by its size."""
-    other = types.where(F.col("name") == default).agg(F.min("id").alias("id")).first()["id"]
+    other = types.where(F.col("name") == default).agg(F.min("id").alias("id"))
     known = types.groupBy(F.col("name").alias("_name")).agg(F.min("id").alias("_id"))
-    return rows.join(known, F.col(name) == F.col("_name"), "left").select(key, F.coalesce("_id", F.lit(other).cast(types.schema["id"].dataType)).alias("type_id"))
+    return rows.join(known, F.col(name) == F.col("_name"), "left").select(key, F.coalesce("_id", other.scalar()).alias("type_id"))
 
 
 def skip_known(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:

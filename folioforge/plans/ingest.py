@@ -8,8 +8,10 @@ result is the sequential one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,17 @@ STORE_SCHEMAS = {
 
 @dataclass
 class Store:
-    """The integrated store as named DataFrames."""
+    """The integrated store as named DataFrames.
+
+    On disk a batch is a partition of every table, and counts only once its
+    number is in ``commits``: a save that breaks off leaves the store as it was,
+    and the next one overwrites what it left. Only new rows are written.
+    """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    fresh: dict[str, list[DataFrame]] = field(default_factory=dict)
+    path: str | None = None
+    batches: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Store:
@@ -48,27 +58,64 @@ class Store:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Store:
-        return cls({n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in STORE_SCHEMAS.items()})
-
-    def save(self, path: str) -> None:
-        for n, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{n}")
+        """The store at a path; an empty one where none was saved."""
+        try:
+            commits = spark.read.schema("batch int").parquet(f"{path}/commits")
+            last = commits.agg(F.max("batch")).first()[0]
+        except AnalysisException:
+            last = None
+        if last is None:
+            return replace(cls.empty(spark), path=path)
+        of = lambda n, s: spark.read.schema(f"{s}, batch int").parquet(f"{path}/{n}").where(F.col("batch") <= last).drop("batch")
+        return cls({n: of(n, s) for n, s in STORE_SCHEMAS.items()}, {}, path, last + 1)
+
+    def save(self, path: str) -> Store:
+        """Write what is new since the store was loaded from this path, or all of
+        it to another one; the store as it is there now."""
+        own = path == self.path
+        if not own:
+            there = Store.load(self._spark(), path)
+            if there.batches:
+                raise ValueError(f"there is another store at {path}")
+        n = self.batches if own else 0
+        for name, df in self.tables.items():
+            new = reduce(DataFrame.unionByName, self.fresh.get(name, []), self._spark().createDataFrame([], STORE_SCHEMAS[name])) if own else df
+            new.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
+        self._spark().createDataFrame([(n,)], "batch int").write.mode("append").parquet(f"{path}/commits")
+        return Store.load(self._spark(), path)
+
+    def _spark(self) -> SparkSession:
+        return next(iter(self.tables.values())).sparkSession
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
     def plus(self, **new: DataFrame) -> Store:
-        out = dict(self.tables)
+        """The store with more rows, which are written once to the shared folder."""
+        tables, fresh = dict(self.tables), {n: list(parts) for n, parts in self.fresh.items()}
         for n, df in new.items():
-            out[n] = written(out[n].unionByName(df.select(*out[n].columns)), n)
-        return Store(out)
+            part = written(df.select(*[F.col(f.name).cast(f.dataType) for f in tables[n].schema]), n)
+            tables[n] = tables[n].unionByName(part)
+            fresh.setdefault(n, []).append(part)
+        return Store(tables, fresh, self.path, self.batches)
+
+
+def first_of(batch: DataFrame, key: str) -> DataFrame:
+    """One record of each key: the one whose columns come first."""
+    rest = [c for c in batch.columns if c != key]
+    return batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*").select(*batch.columns)
 
 
 def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFrame]:
     """The store with a batch of canonical records, and outcome counts
-    (added, limbo, duplicate)."""
+    (added, limbo, duplicate).
+
+    Values arrive in the order of batches, within one in the order of record ids.
+    Of records that repeat a url in a batch the first by its columns counts.
+    """
     spark = batch.sparkSession
-    rows = batch.dropDuplicates(["local_url"]).withColumn("source", F.lit(source)).withColumn("url_id", F.xxhash64("source", "local_url"))
+    seq = store["values"].agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("seq"))
+    rows = first_of(batch, "local_url").withColumn("source", F.lit(source)).withColumn("url_id", F.xxhash64("source", "local_url"))
     fresh = match.skip_known(rows, store["source_records"], ["source", "local_url"])
     fresh = written(fresh.withColumn("title", F.col("publication.title")).withColumn("name", normalize_title("title")), "fresh")
 
@@ -110,7 +157,7 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
         F.xxhash64("cluster_id").alias("pub"), "url_id", p["title"].alias("title"), p["pages"].alias("pages"), p["note"].alias("note"), p["doi"].alias("doi"), p["abstract"].alias("abstract"), p["copyright"].alias("copyright"),
         p["date_published"].alias("date_published"), p["volume"].alias("volume"), p["number"].alias("number"), F.col("type_id").alias("type_ids"), F.col("medium_id").alias("pub_source_ids"), "author_ids", "keyword_ids", F.col("study_fields").alias("study_field_ids"),
     )
-    wide = wide.withColumn("seq", F.unix_micros(F.current_timestamp()))
+    wide = wide.withColumn("seq", seq.scalar())
     each = difftree.melt(wide, "pub", "url_id", "seq", difftree.ATTRIBUTES).withColumnRenamed("at", "place")
 
     outcome = rows.select("url_id").join(fresh.select("url_id", F.lit(True).alias("is_new")), "url_id", "left").join(bad.withColumn("is_bad", F.lit(True)), "url_id", "left")
@@ -125,20 +172,17 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
 def _named(rows: DataFrame, key: str, known: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new entities, new aliases, (key, id)) of media or keywords by the block ladder."""
     named = rows.where(F.col("name_").isNotNull()).withColumn("k", F.struct(key, "name_"))
-    found = match.block_ladder(named, "k", "name_", known, aliases).select(F.col("k").getField(key).alias(key), "k.name_", "id", "how")
+    found = match.block_ladder(named, "k", "name_", known, aliases).select(F.col("k").getField(key).alias(key), "k.name_", "id", "how", "blocks")
     found = written(found, "found")
-    made = found.withColumn("block_name", normalize_title("name_")).withColumn("id", F.coalesce("id", F.when(F.col("how") == "create", F.xxhash64("block_name", F.when(_ambiguous(known), F.col("name_"))))))
+    # A block that nobody has gets one entity; where several share it, a name that the ladder cannot place gets its own.
+    own = F.xxhash64("block_name", F.when(F.col("blocks") > 1, F.col("name_")))
+    made = found.withColumn("block_name", normalize_title("name_")).withColumn("id", F.coalesce("id", F.when(F.col("how") == "create", own)))
     new = made.where("how = 'create'").groupBy("id", "block_name").agg(F.min("name_").alias("main_name"))
     new = upsert.insert_absent(known, new, ["id"])
     links = made.select("id", F.col("name_").alias("alias")).distinct()
     return new, upsert.insert_absent(aliases, links, ["id", "alias"]), made.select(key, "id")
 
 
-def _ambiguous(known: DataFrame) -> F.Column:
-    """Names that the ladder could not place among known ones get an entity of their own."""
-    return F.lit(not known.isEmpty())
-
-
 def trees(store: Store) -> DataFrame:
     """Difference trees of all merged publications, from the stored values."""
     v = store["values"]
@@ -152,6 +196,13 @@ def trees(store: Store) -> DataFrame:
     return places.select("pub", "url_ids").distinct().join(attrs, "pub", "left")
 
 
+def merged_only(store: Store, name: str = "source_records") -> DataFrame:
+    """Rows of a table of the store whose record was merged into a publication;
+    records in quarantine, and their rows, are left out."""
+    merged = store["source_records"].join(store["publications"].select("cluster_id"), "cluster_id", "left_semi").select("url_id").distinct()
+    return store[name].join(merged, "url_id", "left_semi")
+
+
 def merged_publications(store: Store) -> DataFrame:
     """Publications with their default values."""
     return store["publications"].join(difftree.defaults(trees(store)).withColumnRenamed("pub", "id"), "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,8 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+            pass
+
+
+atexit.register(_clean)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later steps do not run it again."""
-    path = f"{shared_dir(df.sparkSession)}/store-{uuid.uuid4().hex}/{name}"
+    """df as a table in the shared folder: later steps do not run it again. The
+    tables go when the driver exits."""
+    folder = f"{shared_dir(df.sparkSession)}/store-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _made.append((df.sparkSession, folder))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -54,6 +54,75 @@ def test_ingest_again_and_quarantine(spark, two_sources):
     assert grown["source_records"].count() == store["source_records"].count()
 
 
+@pytest.mark.parametrize("known", [[], [record("k/1", "Unrelated Known Work", ["Zoe Zimmer"], key="Other Journal", keywords=["other"])]])
+def test_one_entity_for_each_new_block(spark, known):
+    """Whether the store knows other media does not change what a batch's media become."""
+    store = ingest.Store.empty(spark)
+    if known:
+        store, _ = ingest.ingest(store, spark.createDataFrame(known, CANONICAL), "K")
+    batch = [record("a/1", "First Long Title", ["Ann Smithson"], key="Data-Base Review", keywords=["Query-Plan"]), record("a/2", "Second Other Words", ["Bob Hallberg"], key="Data Base Review", keywords=["query plan"])]
+    store, counts = ingest.ingest(store, spark.createDataFrame(batch, CANONICAL), "A")
+    assert {r["outcome"]: r["n"] for r in counts.collect()} == {"added": 2}
+    assert [r["block_name"] for r in store["media"].where("block_name like 'data%'").collect()] == ["data base review"]
+    assert sorted(r["alias"] for r in store["media_aliases"].where("alias like 'Data%'").collect()) == ["Data Base Review", "Data-Base Review"]
+    assert store["keywords"].where("block_name = 'query plan'").count() == 1
+    assert store["keyword_edges"].join(store["source_records"].where("local_url like 'a/%'"), "url_id").select("keyword_id").distinct().count() == 1
+
+
+def test_names_of_a_shared_block_get_their_own_entity(spark):
+    store = ingest.Store.empty(spark).plus(media=spark.createDataFrame([(1, "X Y", "x y"), (2, "X-Y", "x y")], "id long, main_name string, block_name string"), media_aliases=spark.createDataFrame([(1, "X Y"), (2, "X-Y")], "id long, alias string"))
+    batch = [record("a/1", "First Long Title", ["Ann Smithson"], key="X-Y"), record("a/2", "Second Other Words", ["Bob Hallberg"], key="x y!"), record("a/3", "Third Of Them All", ["Cyd Norbury"], key="x y!")]
+    store, _ = ingest.ingest(store, spark.createDataFrame(batch, CANONICAL), "A")
+    assert store["media"].count() == 3 and store["media_aliases"].count() == 3
+
+
+def test_one_batch_or_two(spark):
+    """Records of different titles and people: one batch gives the store that two give."""
+    rows = [record(f"a/{i}", t, [f"{t.split()[0]} Person"], 2000 + i, key=f"Journal of {t}", keywords=[t]) for i, t in enumerate(["Graph Colouring", "Relational Storage Layouts", "Speech", "Quantum Error Correction Codes"])]
+    one, _ = ingest.ingest(ingest.Store.empty(spark), spark.createDataFrame(rows, CANONICAL), "A")
+    two, _ = ingest.ingest(ingest.Store.empty(spark), spark.createDataFrame(rows[:2], CANONICAL), "A")
+    two, _ = ingest.ingest(two, spark.createDataFrame(rows[2:], CANONICAL), "A")
+    for name in ingest.STORE_SCHEMAS:
+        plain = lambda s: sorted(map(str, s[name].drop("seq").collect()))  # noqa: B023, E731
+        assert plain(one) == plain(two), name
+
+
+def test_of_repeated_urls_the_first_record_counts(spark):
+    rows = [record("a/1", t, ["Ann Smithson"], y) for t, y in (("Some Long Title", 2001), ("Some Long Title", 1999), ("Other Long Title", 2005))]
+    for order in (rows, rows[::-1]):
+        store, counts = ingest.ingest(ingest.Store.empty(spark), spark.createDataFrame(order, CANONICAL).repartition(3), "A")
+        assert {r["outcome"]: r["n"] for r in counts.collect()} == {"added": 1}
+        assert [r["name"] for r in store["clusters"].collect()] == ["other long title"]
+
+
+def test_store_on_disk(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = ingest.Store.load(spark, path)
+    assert store["clusters"].count() == 0
+    store, _ = ingest.ingest(store, spark.createDataFrame([record("a/1", "First Long Title", ["Ann Smithson"], key="J")], CANONICAL), "A")
+    store = store.save(path)
+    files = {f.name for f in (tmp_path / "store" / "clusters").rglob("*.parquet")}
+    store, _ = ingest.ingest(store, spark.createDataFrame([record("a/2", "Second Other Words", ["Bob Hallberg"], 2003)], CANONICAL), "A")
+    (tmp_path / "store" / "clusters" / "batch=1").mkdir()  # what a save that broke off has left does not count
+    spark.createDataFrame([(5, "lost")], "id long, name string").write.mode("overwrite").parquet(f"{path}/clusters/batch=1")
+    assert ingest.Store.load(spark, path)["clusters"].count() == 1
+    store = store.save(path)
+    assert files <= {f.name for f in (tmp_path / "store" / "clusters").rglob("*.parquet")}  # only new rows were written
+    again = ingest.Store.load(spark, path)
+    assert sorted(r["name"] for r in again["clusters"].collect()) == ["first long title", "second other words"]
+    assert sorted(r["seq"] for r in again["values"].select("seq").distinct().collect()) == [0, 1]
+    assert again.save(path)["source_records"].count() == 2
+    with pytest.raises(ValueError):
+        ingest.Store.empty(spark).save(path)
+
+
+def test_merged_records_only(spark):
+    store, _ = ingest.ingest(ingest.Store.empty(spark), spark.createDataFrame([record("a/1", "First Long Title", ["Ann Smithson"])], CANONICAL), "A")
+    more = store.plus(source_records=spark.createDataFrame([(9, "A", "a/9", 1, 99)], "url_id long, source string, local_url string, type_id long, cluster_id long"), author_edges=spark.createDataFrame([(9, 1, 0)], "url_id long, author_id long, priority int"))
+    assert [r["local_url"] for r in ingest.merged_only(more).collect()] == ["a/1"]
+    assert ingest.merged_only(more, "author_edges").count() == 1
+
+
 def test_match_author_outcomes(spark):
     authors = spark.createDataFrame([(1, "anna smithson"), (2, "anna m smithson"), (3, "bob hallberg")], "id long, block_name string")
     aliases = spark.createDataFrame([("A. S.", 1), ("A. S.", 2), ("Bob", 3)], "alias string, id long")
