@@ -148,6 +148,38 @@ def word_grams(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1, 3, 31, 32, 33, 100, 400, 900)]
+    sets += [np.unique(np.concatenate([s[: int(0.9 * len(s))], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for s in sets]
+    bits = [similar.parity_bits(s) for s in sets]
+    a, b = np.triu_indices(len(sets), 1)
+    got = similar.Bitmaps(np.array(bits, dtype=object)).apart(a, b)
+    for i, j, d in zip(a, b, got, strict=True):
+        assert d == similar.least_difference(bits[i], bits[j]) <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    """Long postings dealt in blocks give the same groups."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(60)] = f"x{i % 7}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, similar.similar_components(docs).collect()))
+    grams = [word_grams(t) for _, t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(160), 2) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) - 1e-9]
+    from folioforge.llm.common import local_components
+
+    assert [c for _, c in want] == local_components(160, *np.array(near).T).tolist()
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    assert sorted(map(tuple, similar.similar_components(docs).collect())) == want
+
+
 def test_near_copies_brute_force(spark, odd_docs, no_docs):
     rng = random.Random(7)
     texts = []
