@@ -40,10 +40,11 @@ def quoted(s: str) -> str:
 
 
 def sql_fold(x: str) -> str:
-    for k, v in text.LONG_FOLDS.items():
+    other = text.other_scripts()
+    for k, v in {**text.LONG_FOLDS, **{k: v for k, v in other.items() if len(v) != 1}}.items():
         x = f"replace({x}, '{k}', '{v}')"
-    a, b = text.fold_pairs()
-    return f"translate({x}, '{a}', '{b}')"
+    pairs = dict(zip(*text.fold_pairs(), strict=True)) | {k: v for k, v in other.items() if len(v) == 1}
+    return f"translate({x}, '{''.join(pairs)}', '{''.join(pairs.values())}')"
 
 
 def sql_squeezed(x: str) -> str:
@@ -191,10 +192,8 @@ def phonetic_names(spark, d):
 
 @query(f"SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM (SELECT doc_id, {sql_title('text')} AS t FROM documents WHERE source = 'src0') a JOIN (SELECT doc_id, {sql_title('text')} AS t FROM documents WHERE source <> 'src0') b USING (t)")
 def exact_title_link(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", text.normalize_title("text").alias("t"))
-    a = docs.where("source = 'src0'").select(F.col("doc_id").alias("a_id"), "t")
-    b = docs.where("source <> 'src0'").select(F.col("doc_id").alias("b_id"), "t")
-    return a.join(b, "t").select("a_id", "b_id")
+    docs = table(spark, d, "documents")
+    return match.equal_titles(docs.where("source = 'src0'").select(F.col("doc_id").alias("a_id"), "text"), docs.where("source <> 'src0'").select(F.col("doc_id").alias("b_id"), "text"), "text")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -287,6 +286,24 @@ def fts_phrase(spark, d):
     return fts.search(table(spark, d, "documents"), ["text"], '"MIT License"').select("doc_id")
 
 
+def sql_has(words: str) -> str:
+    return f"contains(' ' || {sql_title('text')} || ' ', '{words}')"
+
+
+FTS = {
+    '+licensed -"mit license"': f"{sql_has(' licensed ')} AND NOT {sql_has(' mit license ')}",
+    "+licens* +(mit apache)": f"{sql_has(' licens')} AND ({sql_has(' mit ')} OR {sql_has(' apache ')})",
+    "general-public >creative ~nosuchword": f"{sql_has(' general public ')} OR {sql_has(' creative ')}",
+    '+(+under -apache) +"licénsed under"': f"{sql_has(' under ')} AND NOT {sql_has(' apache ')} AND {sql_has(' licensed under ')}",
+    "-license": "false",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {quoted(q)} AS query, doc_id FROM documents WHERE {x}" for q, x in FTS.items()))
+def fts_operators(spark, d):
+    return fts.search_many(table(spark, d, "documents").select("doc_id", "text"), ["text"], list(FTS)).select("query", "doc_id")
+
+
 @query(f"SELECT w AS token, doc_id FROM (SELECT DISTINCT doc_id, unnest(string_split({sql_title('text')}, ' ')) AS w FROM documents) WHERE w <> ''")
 def token_index(spark, d):
     return fts.token_index(table(spark, d, "documents"), "doc_id", "text").select("token", "doc_id")

@@ -13,6 +13,15 @@ CONTROLS = "\t\n\r\x0b\x0c"
 LONG_FOLDS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ĳ": "ij", "Ĳ": "IJ"}
 #: Letters without a decomposition.
 SHORT_FOLDS = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i"}
+#: Latin spellings of small Greek and Cyrillic letters; a capital's begins with a capital.
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n",
+    "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t",
+    "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ї": "yi", "ґ": "g",
+}
 #: Names too common to say much alone. The third entry is two
 #: names written as one; results depend on it.
 AMBIGUOUS_NAMES = [
@@ -39,12 +48,45 @@ def fold_pairs() -> tuple[str, str]:
     return source, target
 
 
+def other_scripts() -> dict[str, str]:
+    """Greek and Cyrillic letters, with and without marks, in Latin letters."""
+    known = GREEK | CYRILLIC
+    known |= {k.upper(): v.capitalize() for k, v in known.items()}
+    for code in range(0x370, 0x460):
+        if chr(code) not in known and (base := unicodedata.normalize("NFKD", chr(code))[0]) in known:
+            known[chr(code)] = known[base]
+    return known
+
+
+def _by_length_of_fold(folds: dict[str, str]) -> tuple[str, str, dict[str, str]]:
+    """Letters of one character and theirs, in the form of translate (which drops
+    what has none), and the folds to several characters."""
+    short = {k: v for k, v in folds.items() if len(v) < 2}
+    order = sorted(short, key=lambda k: not short[k])
+    return "".join(order), "".join(short[k] for k in order), {k: v for k, v in folds.items() if len(v) > 1}
+
+
 def fold_ascii(c: Column | str) -> Column:
-    """Latin letters to their closest ASCII letters; other characters stay."""
+    """Latin, Greek and Cyrillic letters to their closest ASCII letters; other
+    characters stay. Texts without such letters are only looked through once."""
     c = F.col(c) if isinstance(c, str) else c
-    for k, v in LONG_FOLDS.items():
+    source, target, several = _by_length_of_fold(other_scripts())
+    other = latin = F.translate(_replaced(c, LONG_FOLDS), *fold_pairs())
+    other = F.translate(_replaced(other, several), source, target)
+    return F.when(c.rlike("[\\u0370-\\u045F]"), other).when(c.rlike("[^\\x00-\\x7F]"), latin).otherwise(c)
+
+
+def _replaced(c: Column, folds: dict[str, str]) -> Column:
+    for k, v in folds.items():
         c = F.replace(c, F.lit(k), F.lit(v))
-    return F.translate(c, *fold_pairs())
+    return c
+
+
+def title_words(text: str) -> list[str]:
+    """The words of a text as normalize_title has them, for queries on the driver."""
+    folds = {ord(k): v for k, v in {**LONG_FOLDS, **dict(zip(*fold_pairs(), strict=True)), **other_scripts()}.items()}
+    gone = dict.fromkeys(map(ord, string.punctuation + CONTROLS))
+    return [w for w in text.replace("-", " ").translate(folds).translate(gone).lower().split(" ") if w]
 
 
 def _squeezed(c: Column) -> Column:

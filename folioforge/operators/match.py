@@ -46,6 +46,13 @@ def title_candidates(titles: DataFrame, key: str, title: str, clusters: DataFram
     return pairs.join(exact, key).where(F.col("exact") | ~F.col("any_exact")).select(key, "cluster_id", "similarity", "exact")
 
 
+def equal_titles(left: DataFrame, right: DataFrame, title: str) -> DataFrame:
+    """All columns but the titles of rows whose normalised titles are equal; null
+    titles equal none. Rows meet by 128 bits of the title, whatever its length."""
+    keys = lambda df: df.where(F.col(title).isNotNull()).withColumn("__t", normalize_title(title)).withColumns({"__h": F.xxhash64("__t"), "__g": F.xxhash64(F.lit(1), "__t")}).drop(title, "__t")
+    return keys(left).join(keys(right), ["__h", "__g"]).drop("__h", "__g")
+
+
 def decide_title(titles: DataFrame, key: str, candidates: DataFrame, publications: DataFrame) -> DataFrame:
     """One outcome per title: no cluster, one with exactly one publication,
     one with another number (AMB_PUB), several (AMB_CLUSTER)."""

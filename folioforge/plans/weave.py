@@ -29,6 +29,15 @@ def resolve_references(refs: DataFrame, key: str, title: str, clusters: DataFram
     return done.unionByName(rest)
 
 
+def next_sources(refs: DataFrame, source: str, updated: str, today: Column, limit: int) -> DataFrame:
+    """The references of the first ``limit`` sources, by id, whose last round was
+    before ``today`` or never, and that have any left open."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    due = refs.where(F.col("status").isin(OPEN, INCOMPLETE) & (F.col(updated).isNull() | (F.col(updated) < today)))
+    return due.join(due.select(source).distinct().orderBy(source).limit(limit), source, "left_semi").select(*refs.columns)
+
+
 def citation_edges(resolved: DataFrame, source: str) -> DataFrame:
     """(source, reference): each once."""
     return resolved.where("cluster_id is not null").select(F.col(source).alias("source"), F.col("cluster_id").alias("reference")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import person_name
+from ..functions.text import dotted
 from ..functions.values import year_date
 
 PERSON = "STRUCT<forename: ARRAY<STRUCT<_VALUE: STRING, _type: STRING>>, surname: STRING>"
@@ -14,13 +14,17 @@ SCHEMA = f"analytic {PART}, monogr {PART}"
 
 
 def _name(p: Column) -> Column:
-    part = lambda kind: F.get(F.filter(p["forename"], lambda f: f["_type"] == kind), F.lit(0))["_VALUE"]
-    return F.trim(person_name(part("first"), part("middle"), p["surname"]))
+    """All forenames of type ``first``, then all others, then the surname."""
+    part = lambda first: F.array_join(F.transform(F.filter(p["forename"], lambda f: F.coalesce(f["_type"] == "first", F.lit(False)) == first), lambda f: dotted(F.trim(f["_VALUE"]))), " ")
+    return F.array_join(F.filter(F.array(part(True), part(False), F.trim(p["surname"])), lambda x: x.isNotNull() & (x != "")), " ")
 
 
 def _facts(c: Column) -> Column:
-    title = F.trim(F.get(F.filter(c["title"], lambda t: F.trim(t["_VALUE"]) != ""), F.lit(0))["_VALUE"])
-    year = F.substring(F.get(F.filter(c["imprint"]["date"], lambda d: d["_when"].isNotNull()), F.lit(0))["_when"], 1, 4).try_cast("int")
+    """The last title and the last date count."""
+    title = F.trim(F.element_at(F.filter(c["title"], lambda t: F.trim(t["_VALUE"]) != ""), -1)["_VALUE"])
+    title = F.when(F.size(F.filter(c["title"], lambda t: F.trim(t["_VALUE"]) != "")) > 0, title)
+    dates = c["imprint"]["date"]
+    year = F.substring(F.when(F.size(dates) > 0, F.element_at(dates, -1)["_when"]), 1, 4).try_cast("int")
     people = F.transform(F.filter(c["author"], lambda a: a["persName"].isNotNull()), lambda a: _name(a["persName"]))
     return F.struct(title.alias("title"), year.alias("year"), people.alias("authors"))
 

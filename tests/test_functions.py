@@ -85,6 +85,13 @@ def test_similarity(spark):
     assert [r["s"] for r in row] == [57, 100, 100]
 
 
+def test_other_scripts(spark):
+    words = ["Ελληνικά", "Ψυχή", "Щукин Ёлка объект", "Київ", "Étude Straße", "plain", "日本"]
+    want = ["ellenika", "psukhe", "shchukin iolka obekt", "kiyiv", "etude strasse", "plain", "日本"]
+    got = [r["t"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.normalize_title("w").alias("t")).collect()]
+    assert got == want == [" ".join(text.title_words(w)) for w in words]
+
+
 def test_small_text(spark):
     assert one(spark, "John Doe 0001", text.strip_years) == "John Doe"
     assert one(spark, "{ns}title", text.local_tag) == "title"

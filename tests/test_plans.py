@@ -150,6 +150,62 @@ def test_search_modes(spark):
     assert serve.SearchManager(df, ["t"]).count("cat") == 2
 
 
+def test_search_syntax(spark):
+    rows = [(1, "here is the MIT license"), (2, "here is an Apache License"), (3, "Herr Müller: state-of-the-art"), (4, "art of the state; license-free"), (5, "licensing of Ärzte"), (6, None), (7, "Война и мир"), (8, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    ids = lambda q, mode=None: sorted(r["id"] for r in fts.search(df, ["t"], q, mode).collect())
+    assert ids('+here -"mit license"') == [2] and ids('+here +"mit license"') == [1]
+    assert ids("Müller") == ids("muller") == [3] and ids("voina") == [7] and ids("+Война -мир") == []
+    assert ids("+state-of-the-art") == [3] and ids("state-of-the-art", "natural") == [1, 3, 4, 5]
+    assert ids("licens*") == [1, 2, 4, 5] and ids("+licens* -license") == [5] and ids("+license-f*") == [4]
+    assert ids("+(mit apache) +here") == [1, 2] and ids("+here -(mit (apache license))") == [] and ids("+here +(+mit -apache)") == [1]
+    assert ids("-license") == [] and ids("+") == [] and ids('""') == [] and ids("(") == [] and ids(">mit <apache ~arzte") == [1, 2, 5]
+    found = fts.search_many(df, ["t"], ["+here", "licens*", "nothing at all*"]).collect()
+    assert sorted((r["query"], r["id"]) for r in found) == [("+here", 1), ("+here", 2), ("licens*", 1), ("licens*", 2), ("licens*", 4), ("licens*", 5)] and found[0].asDict().keys() == {"query", "id", "t"}
+
+
+def test_best_matches_equal_the_plain_sums(spark):
+    """With and without the lookup of common tokens, ties and short queries included."""
+    import math
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, ["the", "of", *(["and"] if i % 3 else []), *rng.choices(words, k=6)]) for i in range(700)]
+    asked = [(i, [*rng.choices(words, k=rng.randint(0, 5)), *rng.sample(["the", "of", "and", "zz"], rng.randint(0, 3))]) for i in range(60)]
+    index = spark.createDataFrame([(w, i) for i, d in docs for w in set(d)], "token string, id long")
+    df = {w: sum(w in d for _, d in docs) for w in {w for _, d in docs for w in d}}
+    got = {}
+    for r in fts.best_matches(spark.createDataFrame(asked, "q long, words array<string>"), "q", "words", index, "id", 700).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["id"], r["score"]))
+    for q, own in asked:
+        sums = {i: round(sum(math.log(1 + 700 / df[w]) for w in set(own) & set(d)), 6) for i, d in docs if set(own) & set(d)}
+        want = sorted(sums, key=lambda i: (-sums[i], i))[:5]
+        assert [(n + 1, i, pytest.approx(sums[i], abs=2e-6)) for n, i in enumerate(want)] == sorted(got.get(q, [])), q
+
+
+def test_open_references_in_batches(spark):
+    day = dt.date(2020, 1, 2)
+    rows = [(s, i, status, at) for s, at in ((1, None), (2, day), (3, dt.date(2020, 1, 1)), (4, None)) for i, status in enumerate(["OP", "INC", "FIN"])] + [(0, 0, "LIM", None)]
+    refs = spark.createDataFrame(rows, "source long, n int, status string, last_updated date")
+    got = weave.next_sources(refs, "source", "last_updated", F.lit(day), 2).collect()
+    assert sorted((r["source"], r["n"]) for r in got) == [(1, 0), (1, 1), (3, 0), (3, 1)]
+    with pytest.raises(ValueError):
+        weave.next_sources(refs, "source", "last_updated", F.lit(day), 0)
+
+
+def test_type_of_a_record(spark):
+    types = spark.createDataFrame([(1, "article"), (2, "misc")], "id long, name string")
+    rows = spark.createDataFrame([(1, "article"), (2, "other"), (3, None)], "k int, kind string")
+    assert sorted(tuple(r) for r in match.match_type(rows, "k", "kind", types).collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_equal_titles(spark):
+    a = spark.createDataFrame([(1, "A-B  c"), (2, None), (3, "x")], "a int, t string")
+    b = spark.createDataFrame([(1, "a b C!"), (2, None), (3, "y"), (4, "a b c")], "b int, t string")
+    assert sorted(tuple(r) for r in match.equal_titles(a, b, "t").collect()) == [(1, 1), (1, 4)]
+
+
 def test_difftree_votes(spark):
     nodes = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(n).alias("votes"), F.lit(1).cast("long").alias("bitvector")) for v, n in (("a", 1), ("b", 0), ("c", 0))])
     run = lambda v, n: [x["value"] for x in spark.range(1).select(difftree.upvote(nodes, F.lit(v), F.lit(n)).alias("r")).first()["r"]]
