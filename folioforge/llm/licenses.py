@@ -112,6 +112,8 @@ class Index:
             np.add.at(self.share[t], tokens, 1)
             self.places.append((np.argsort(tokens, kind="stable"), np.cumsum(self.share[t]) - self.share[t]))
 
+        self.weight = self.share.astype(np.float32)
+
     def grams(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens) - self.k + 1
         h = np.zeros(max(n, 0), dtype=np.uint64)
@@ -162,19 +164,22 @@ class Index:
         """For each template the starts around which a match can lie: those with
         fingerprints first, then by their words in the band and on the diagonal."""
         hits: dict[int, set[int]] = {}
-        h = self.grams(tokens)
-        at_gram = np.flatnonzero(np.isin(h, self.known)) if len(h) and len(self.known) else []
-        for at in at_gram:
-            for t, i in self.postings[int(h[at])]:
-                hits.setdefault(t, set()).add(int(at) - i)
         some = np.flatnonzero(tokens)
+        inside = some[: max(0, len(some) - self.k + 1)]
+        inside = inside[some[self.k - 1 :] - inside == self.k - 1]  # grams of words that templates have
+        if len(inside) and len(self.known):
+            h = self.grams(tokens)[inside]
+            found = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            for at, gram in zip(inside[self.known[found] == h].tolist(), h[self.known[found] == h].tolist(), strict=True):
+                for t, i in self.postings[gram]:
+                    hits.setdefault(t, set()).add(at - i)
         if not len(some):
             return {}
-        present = np.zeros(len(self.words) + 1, dtype=np.int64)
+        present = np.zeros(len(self.words) + 1, dtype=np.float32)
         present[tokens[some]] = 1
         begins: dict[int, list[int]] = {}
         need = [max(1, math.ceil(least * len(t) - EPS)) for t in self.tokens]
-        for t in np.flatnonzero(self.share @ present >= need).tolist():
+        for t in np.flatnonzero(self.weight @ present >= need).tolist():
             size, least_words = len(self.tokens[t]), need[t]
             at = some[self.share[t][tokens[some]] > 0]
             if len(at) < least_words:
