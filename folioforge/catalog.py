@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .functions import names, text, values
 from .operators import difftree, fts, match, stats, upsert
+from .plans import canonical, serve
+from .schemas import RAW_DUMP
+from .streaming import harvest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -467,15 +470,18 @@ def quality_sweep(spark, d):
     return stats.quality_measures(spark.createDataFrame(SWEEP, "threshold long, tp long, fp long"))
 
 
-@query("SELECT DISTINCT l.l_orderkey, l.l_partkey, p.p_name FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey")
+def citation_edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("reference"))
+
+
+@query("SELECT DISTINCT l.l_orderkey AS source, l.l_partkey AS id, p.p_name AS name FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey")
 def citations_out(spark, d):
-    edges = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return edges.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select("l_orderkey", "l_partkey", "p_name")
+    return serve.references_of(citation_edges(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS cited_by, min(l_orderkey) AS first_citing FROM lineitem GROUP BY 1")
+@query("SELECT DISTINCT l.l_partkey AS reference, o.o_orderkey AS id, o.o_totalprice AS price FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey")
 def citations_in(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("cited_by"), F.min("l_orderkey").alias("first_citing"))
+    return serve.cited_by(citation_edges(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))
 
 
 @query(
@@ -619,7 +625,7 @@ def hist_argmax(spark, d):
 @query("SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) FILTER (o_orderstatus = 'F') AS book, count(*) FILTER (o_orderstatus = 'O') AS proceedings FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 2016 GROUP BY 1")
 def kinds_by_year(spark, d):
     rows = table(spark, d, "orders").withColumn("year", long_(F.year("o_orderdate"))).where(F.col("year").between(1990, 2016))
-    return rows.groupBy("year").agg(F.count_if(F.col("o_orderstatus") == "F").alias("book"), F.count_if(F.col("o_orderstatus") == "O").alias("proceedings"))
+    return stats.kinds_by_year(rows, "year", "o_orderstatus", {"book": "F", "proceedings": "O"})
 
 
 # ---- harvest, upserts, windows -------------------------------------------------------------
@@ -655,15 +661,19 @@ def incremental_scan(spark, d):
     return upsert.mark_harvested(rows, done, ["user_id"], F.lit("now")).where("last_harvested is null").select("event_id", "user_id")
 
 
-@query("SELECT 'XX' || CAST(event_id AS VARCHAR) AS key, event_type FROM events WHERE event_type <> 'view'")
+@query("SELECT 'XX' || CAST(event_id AS VARCHAR) AS key, props AS title, CAST(year(ts) AS BIGINT) AS added, CASE WHEN event_type = 'purchase' THEN event_type END AS journal FROM events WHERE event_type <> 'view'")
 def replay_scan(spark, d):
-    return table(spark, d, "events").where("event_type <> 'view'").select(F.concat(F.lit("XX"), F.col("event_id").cast("string")).alias("key"), "event_type")
+    ts = F.col("ts").cast("timestamp_ntz")
+    known = {"dblp_key": F.col("event_id").cast("string"), "title": F.col("props"), "journal": F.col("event_type"), "type": F.when(F.col("event_type") == "purchase", "article").otherwise("www"), "author": F.lit("A B;"), "last_harvested": F.when(F.col("event_type") != "view", ts)}
+    raw = table(spark, d, "events").select(*[known.get(f.name, F.lit(None)).cast("timestamp_ntz" if f.name == "last_harvested" else f.dataType).alias(f.name) for f in RAW_DUMP.fields])
+    again = canonical.from_dump_again(raw)
+    return again.select(F.col("local_url").alias("key"), "publication.title", long_("publication.date_added").alias("added"), F.col("pub_release.key").alias("journal"))
 
 
 @query("SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def window_harvest(spark, d):
-    w = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "7 days").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return w.select(F.unix_timestamp("w.start").alias("start_s"), "event_type", "n", "total")
+    w = harvest.windowed_counts(table(spark, d, "events"), value="value")
+    return w.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("SELECT event_type, bucket, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_type, event_id, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 500) * 500 AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
@@ -745,35 +755,70 @@ def limbo_split(spark, d):
 
 @query(f"WITH {DECISION_SQL} SELECT CASE WHEN status = 'LIMBO' THEN 'limbo' WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 1) THEN 'duplicate' ELSE 'added' END AS outcome, count(*) AS n FROM decision GROUP BY 1")
 def ingest_outcome_counts(spark, d):
-    known = table(spark, d, "lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("known", F.lit(True))
-    o = F.when(F.col("status") == "LIMBO", "limbo").when(F.col("known"), "duplicate").otherwise("added")
-    return title_match_decision(spark, d).join(known, "p_partkey", "left").groupBy(o.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    known = table(spark, d, "lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return stats.ingest_outcomes(title_match_decision(spark, d), "p_partkey", known)
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'mit license') ORDER BY doc_id LIMIT 10 OFFSET 0")
 def pub_search(spark, d):
-    from .plans.serve import search_publications  # noqa: PLC0415
-
-    return search_publications(table(spark, d, "documents"), "text", "MIT License", "doc_id", page=1).select("doc_id", "source")
+    return serve.search_publications(table(spark, d, "documents"), "text", "MIT License", "doc_id", page=1).select("doc_id", "source")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '0007') ORDER BY s_suppkey LIMIT 10")
 def author_search(spark, d):
-    from .plans.serve import search_publications  # noqa: PLC0415
+    return serve.search_publications(table(spark, d, "supplier"), "s_name", "0007", "s_suppkey", page=1).select("s_suppkey", "s_name")
 
-    return search_publications(table(spark, d, "supplier"), "s_name", "0007", "s_suppkey", page=1).select("s_suppkey", "s_name")
 
-
-@query("SELECT s.s_suppkey, n.n_name || '/' || r.r_name || '/' || s.s_name AS url, count(DISTINCT l.l_orderkey) AS publications FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey JOIN lineitem l ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2")
+@query("SELECT s.s_suppkey AS url_id, n.n_name || '/' || s.s_name AS url FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey")
 def source_detail(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws("/", "n_name", "r_name", "s_name").alias("url"))
-    pubs = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_orderkey").alias("publications"))
-    return s.join(pubs, "s_suppkey").select("s_suppkey", "url", "publications")
+    records = table(spark, d, "supplier").select(F.col("s_suppkey").alias("url_id"), F.col("s_name").alias("local_url"), F.col("s_nationkey").alias("domain_id"))
+    return serve.source_urls(records, table(spark, d, "nation").select(F.col("n_nationkey").alias("domain_id"), F.col("n_name").alias("domain")))
+
+
+def edges_by_role(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Authors and keywords of the orders."""
+    li = table(spark, d, "lineitem")
+    people = li.groupBy(F.col("l_orderkey").alias("pub_id"), F.col("l_suppkey").alias("author_id")).agg(F.min("l_linenumber").alias("priority"))
+    return people, li.select(F.col("l_orderkey").alias("pub_id"), F.col("l_partkey").alias("keyword_id")).distinct()
 
 
-@query("SELECT l_suppkey AS author, l_orderkey AS pub, min(l_linenumber) - 1 AS priority FROM lineitem GROUP BY 1, 2")
+@query("SELECT DISTINCT l.l_suppkey AS author_id, o.o_orderkey AS id, o.o_totalprice AS price FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey")
 def author_detail(spark, d):
-    lists = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_linenumber").alias("n"))
-    return lists.select(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("pub"), (F.col("n") - 1).alias("priority"))
+    return serve.author_detail(edges_by_role(spark, d)[0], table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")))
+
 
+@query(
+    """WITH a AS (SELECT l_orderkey AS id, string_agg(s_name, '|' ORDER BY n, s_name) AS authors FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2) JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+    k AS (SELECT l_orderkey AS id, string_agg(p_name, '|' ORDER BY p_name) AS keywords FROM (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1)
+    SELECT o_orderkey AS id, authors, keywords FROM orders LEFT JOIN a ON a.id = o_orderkey LEFT JOIN k ON k.id = o_orderkey"""
+)
+def publication_detail(spark, d):
+    people, words = edges_by_role(spark, d)
+    authors = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("main_name"))
+    keywords = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("main_name"))
+    found = serve.publication_detail(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), people, authors, words, keywords)
+    return found.select("id", F.array_join("authors", "|").alias("authors"), F.array_join("keywords", "|").alias("keywords"))
+
+
+@query(
+    """WITH rows AS (SELECT user_id AS pub, event_type AS url, event_id AS seq, props AS title, [event_id % 25, event_id % 30] AS ids FROM events),
+    each AS (SELECT pub, url, seq, 'title' AS attr, title AS value, 0 AS i FROM rows WHERE title IS NOT NULL UNION ALL SELECT pub, url, seq, 'author_ids', CAST(ids[1] AS VARCHAR), 0 FROM rows UNION ALL SELECT pub, url, seq, 'author_ids', CAST(ids[2] AS VARCHAR), 1 FROM rows),
+    pos AS (SELECT pub, attr, value, min(seq * 2 + i) AS o FROM each GROUP BY 1, 2, 3), named AS (SELECT DISTINCT e.pub, e.url, e.attr, p.o, CASE WHEN e.attr = 'title' THEN e.value ELSE coalesce(n_name, e.value) END AS v FROM each e JOIN pos p USING (pub, attr, value) LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = e.value)
+    SELECT pub, url, attr, string_agg(v, '|' ORDER BY o) AS vals FROM named GROUP BY 1, 2, 3"""
+)
+def provenance(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").alias("pub"), F.col("event_type").alias("url"), F.col("event_id").alias("seq"), F.col("props").alias("title"), F.array(F.col("event_id") % 25, F.col("event_id") % 30).alias("author_ids"))
+    authors = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("main_name"))
+    sources = e.select(F.col("event_type").alias("url_id"), F.concat(F.lit("x/"), "event_type").alias("url")).distinct()
+    found = serve.provenance(difftree.merge(rows, "pub", "url", "seq", ["title", "author_ids"]), sources, authors)
+    return found.select("pub", F.substring("url", 3, 100).alias("url"), "attr", F.array_join("values", "|").alias("vals"))
+
+
+@query(
+    f"""WITH {TREE_SQL}, w AS (SELECT pub, attr, pos AS p3 FROM nodes WHERE attr = 'number' AND value = '3' AND pub = 5)
+    SELECT pub, attr, value, CAST(CASE WHEN attr = 'number' AND value = '3' AND pub = 5 THEN 2 ELSE 0 END AS BIGINT) AS votes, CASE WHEN w.p3 IS NULL OR w.p3 = 0 THEN n.pos WHEN n.pos = 0 THEN w.p3 WHEN n.pos = w.p3 THEN 0 ELSE n.pos END AS pos FROM nodes n LEFT JOIN w USING (pub, attr)"""
+)
+def vote_for_value(spark, d):
+    found = difftree.nodes(serve.vote(trees(spark, d), 5, "number", "3", 2))
+    return found.select("pub", "attr", "value", long_("votes").alias("votes"), long_("at").alias("pos"))

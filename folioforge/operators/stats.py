@@ -110,3 +110,15 @@ def quality_measures(counts: DataFrame, missed: int | None = 63) -> DataFrame:
     n = counts.withColumn("precision", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp"), F.col("tp") + base))
     n = n.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return n.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+def kinds_by_year(rows: DataFrame, year: str, kind: str, kinds: dict[str, str]) -> DataFrame:
+    """(year, a column for each of kinds): how many rows of each kind a year has."""
+    return rows.groupBy(year).agg(*[F.count_if(F.col(kind) == value).alias(name) for name, value in kinds.items()])
+
+
+def ingest_outcomes(decided: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(outcome, n) of decided(key, status): limbo, duplicate for keys in known, else added."""
+    rows = decided.join(known.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    outcome = F.when(F.col("status") == "LIMBO", "limbo").when(F.col("_known"), "duplicate").otherwise("added")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,24 +32,42 @@ class SearchManager:
         return self.search(query).count()
 
 
-def publication_detail(publications: DataFrame, pub: int, author_edges: DataFrame, authors: DataFrame, keyword_edges: DataFrame, keywords: DataFrame) -> DataFrame:
-    """One publication with its authors in order and its keywords."""
-    one = publications.where(F.col("id") == pub)
-    a = author_edges.where(F.col("pub_id") == pub).join(authors.select(F.col("id").alias("author_id"), "main_name"), "author_id").groupBy("pub_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "main_name"))), lambda x: x["main_name"]).alias("authors"))
-    k = keyword_edges.where(F.col("pub_id") == pub).join(keywords.select(F.col("id").alias("keyword_id"), F.col("main_name").alias("keyword")), "keyword_id").groupBy("pub_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
-    return one.join(a, one["id"] == a["pub_id"], "left").drop("pub_id").join(k, F.col("id") == k["pub_id"], "left").drop("pub_id")
+def _only(df: DataFrame, column: str, value: int | None) -> DataFrame:
+    return df if value is None else df.where(F.col(column) == value)
 
 
-def author_detail(author: int, author_edges: DataFrame, publications: DataFrame) -> DataFrame:
-    return author_edges.where(F.col("author_id") == author).select("pub_id").distinct().join(publications, F.col("pub_id") == publications["id"]).drop("pub_id")
+def publication_detail(publications: DataFrame, author_edges: DataFrame, authors: DataFrame, keyword_edges: DataFrame, keywords: DataFrame, pub: int | None = None) -> DataFrame:
+    """Publications (one or all) with their authors in order and their keywords;
+    author_edges(pub_id, author_id, priority), keyword_edges(pub_id, keyword_id)."""
+    a = _only(author_edges, "pub_id", pub).join(authors.select(F.col("id").alias("author_id"), "main_name"), "author_id")
+    a = a.groupBy("pub_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", "main_name"))), lambda x: x["main_name"]).alias("authors"))
+    k = _only(keyword_edges, "pub_id", pub).join(keywords.select(F.col("id").alias("keyword_id"), F.col("main_name").alias("keyword")), "keyword_id")
+    k = k.groupBy("pub_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    return _only(publications, "id", pub).join(a.withColumnRenamed("pub_id", "id"), "id", "left").join(k.withColumnRenamed("pub_id", "id"), "id", "left")
 
 
-def cited_by(edges: DataFrame, publications: DataFrame, reference: int) -> DataFrame:
-    return edges.where(F.col("reference") == reference).select(F.col("source").alias("id")).distinct().join(publications, "id")
+def author_detail(author_edges: DataFrame, publications: DataFrame, author: int | None = None) -> DataFrame:
+    """(author_id, columns of publications): each publication of an author, or of all, once."""
+    own = _only(author_edges, "author_id", author).select("author_id", F.col("pub_id").alias("id")).distinct()
+    return own.join(publications, "id").select("author_id", *publications.columns)
 
 
-def references_of(edges: DataFrame, clusters: DataFrame, source: int) -> DataFrame:
-    return edges.where(F.col("source") == source).select(F.col("reference").alias("id")).distinct().join(clusters, "id")
+def cited_by(edges: DataFrame, publications: DataFrame, reference: int | None = None) -> DataFrame:
+    """(reference, columns of publications): what cites a cluster, or each of all."""
+    own = _only(edges, "reference", reference).select("reference", F.col("source").alias("id")).distinct()
+    return own.join(publications, "id").select("reference", *publications.columns)
+
+
+def references_of(edges: DataFrame, clusters: DataFrame, source: int | None = None) -> DataFrame:
+    """(source, columns of clusters): what a publication, or each of all, cites."""
+    own = _only(edges, "source", source).select("source", F.col("reference").alias("id")).distinct()
+    return own.join(clusters, "id").select("source", *clusters.columns)
+
+
+def source_urls(records: DataFrame, domains: DataFrame) -> DataFrame:
+    """(url_id, url): where each source record is, as its domain and local part;
+    records(url_id, local_url, domain_id), domains(domain_id, domain)."""
+    return records.join(domains, "domain_id").select("url_id", F.concat_ws("/", "domain", "local_url").alias("url"))
 
 
 def provenance(trees: DataFrame, sources: DataFrame, authors: DataFrame) -> DataFrame:
@@ -62,5 +80,6 @@ def provenance(trees: DataFrame, sources: DataFrame, authors: DataFrame) -> Data
 
 
 def vote(trees: DataFrame, pub: int, attr: str, value: str, votes: int = 1) -> DataFrame:
+    """All trees after votes for one value of one record."""
     cast = trees.sparkSession.createDataFrame([(pub, attr, value, votes)], "pub long, attr string, value string, votes int").withColumn("pub", F.col("pub").cast(trees.schema["pub"].dataType))
     return difftree.apply_votes(trees, cast)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,6 +63,35 @@ class Schedule:
         return min(day, self.max_date) if self.max_date else day
 
 
+class Running:
+    """Guard against overlapping runs of one schedule: whoever makes the mark of
+    ``name`` under ``path`` first has the schedule until the end of its block. A
+    mark left by a run that was killed is taken over after ``stale`` seconds."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str, stale: float = 86_400.0) -> None:
+        jvm = spark.sparkContext._jvm
+        self.folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.running")
+        self.mark = jvm.org.apache.hadoop.fs.Path(self.folder, "mark")
+        self.fs = self.folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.stale, self.held = stale, False
+
+    def __enter__(self) -> bool:
+        """Whether this run has the schedule."""
+        self.fs.mkdirs(self.folder)
+        if self.fs.exists(self.mark) and time.time() - self.fs.getFileStatus(self.mark).getModificationTime() / 1000 > self.stale:
+            self.fs.delete(self.mark, False)
+        try:
+            self.fs.create(self.mark, False).close()  # fails where it exists
+            self.held = True
+        except Py4JJavaError:
+            self.held = False
+        return self.held
+
+    def __exit__(self, *_) -> None:
+        if self.held:
+            self.fs.delete(self.folder, True)
+
+
 def in_window(df: DataFrame, column: str, schedule: Schedule) -> DataFrame:
     c = F.to_date(column)
     if schedule.start:
@@ -91,12 +122,14 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, to_batch
     return raw.writeStream.foreachBatch(to_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, time: str = "ts", late: str = "1 hour", width: str = "7 days") -> DataFrame:
-    """Counts by tumbling window and type; on a stream, rows later than ``late`` are left out."""
+def windowed_counts(events: DataFrame, time: str = "ts", late: str = "1 hour", width: str = "7 days", value: str | None = None) -> DataFrame:
+    """Counts by tumbling window and type, and sums of ``value`` if given; on a
+    stream, rows later than ``late`` are left out."""
     e = events.withColumn(time, F.col(time).cast("timestamp"))
     if e.isStreaming:
         e = e.withWatermark(time, late)
-    return e.groupBy(F.window(time, width).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    sums = [F.sum(value).alias("total")] if value else []
+    return e.groupBy(F.window(time, width).alias("window"), "event_type").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
 def new_keys(events: DataFrame, keys: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
