@@ -1,17 +1,13 @@
-"""OAI-PMH responses: saved pages, read through a Python data source or XML reader."""
+"""OAI-PMH: feeds page by page, and saved pages through Spark's XML reader."""
 
 from __future__ import annotations
 
-import glob
-import os
+import html
 import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..functions.text import join_list
 from ..functions.values import parse_mdate
@@ -27,61 +23,61 @@ CORE = {"creator": "author", "title": "title", "description": "description", "co
 CORE_LISTS = {"creator", "date", "subject", "contributor", "relation", "source", "format", "language"}
 
 
-class OaiDataSource(DataSource):
-    """``oai``: (identifier, datestamp, deleted, fields) of saved ListRecords
-    pages; one partition a page, as a resumption token pages a live feed. Pages
-    must be in a folder that all executors can open."""
+CORE_XML = f"header STRUCT<identifier: STRING, datestamp: STRING, _status: STRING>, metadata STRUCT<dc: STRUCT<{', '.join(f'`{k}`: ARRAY<STRING>' for k in CORE)}>>"
 
-    @classmethod
-    def name(cls) -> str:
-        return "oai"
 
-    def schema(self) -> str:
-        return "identifier string, datestamp string, deleted boolean, fields map<string, array<string>>"
+class Feed:
+    """A feed's ListRecords pages: ``fetch`` gives the response to a request's
+    parameters as text. Pages follow each other by resumption token."""
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return OaiReader(self.options)
+    def __init__(self, fetch: Callable[[dict[str, str]], str], prefix: str = "oai_dc") -> None:
+        self.fetch, self.prefix = fetch, prefix
 
+    def pages(self, start: str | None = None, end: str | None = None, limit: int | None = None) -> Iterator[str]:
+        """Pages of records from ``start`` until ``end`` (dates, both included),
+        until ``limit`` records or more have come; none if no record matches."""
+        if limit is not None and limit < 1:
+            raise ValueError("limit must be 1 or more")
+        asked, n = {"verb": "ListRecords", "metadataPrefix": self.prefix, **{k: v for k, v in (("from", start), ("until", end)) if v}}, 0
+        while True:
+            page = self.fetch(asked)
+            if error := re.search(r"<error\s[^>]*code=[\"'](\w+)[\"']", page):
+                if error[1] == "noRecordsMatch":
+                    return
+                raise ValueError(f"the feed answers {error[1]}")
+            yield page
+            n += len(re.findall(r"<record[\s>]", page))
+            token = re.search(r"<resumptionToken[^>]*>\s*([^<\s][^<]*?)\s*</resumptionToken>", page)
+            if token is None or limit is not None and n >= limit:
+                return
+            asked = {"verb": "ListRecords", "resumptionToken": html.unescape(token[1])}
 
-class OaiReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+    def save(self, spark: SparkSession, folder: str, start: str | None = None, end: str | None = None, limit: int | None = None) -> int:
+        """Write the pages to a folder, a file each, and say how many there were."""
+        n = 0
+        for n, page in enumerate(self.pages(start, end, limit), 1):
+            spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("append").text(folder)
+        return n
 
-    def partitions(self) -> list[InputPartition]:
-        pages = sorted(glob.glob(os.path.join(self.path, "*.xml"))) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(p) for p in pages]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        local = lambda t: re.sub(r"^\{[^}]*\}", "", t)
-        for _, el in ET.iterparse(partition.value):
-            if local(el.tag) != "record":
-                continue
-            ident, stamp, deleted, fields = None, None, False, {}
-            for part in el.iter():
-                tag, value = local(part.tag), (part.text or "").strip()
-                if tag == "header":
-                    deleted = part.get("status") == "deleted"
-                elif tag == "identifier" and ident is None:
-                    ident = value
-                elif tag == "datestamp" and stamp is None:
-                    stamp = value
-                elif tag in CORE and value:
-                    fields.setdefault(tag, []).append(value)
-            yield ident, stamp, deleted, fields
-            el.clear()
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.orderBy("identifier").limit(limit)
 
 
-def read_core(spark: SparkSession, path: str) -> DataFrame:
+def read_core(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Dublin Core records in the raw table's shape: lists as ``a;b;``, other
-    elements as their last value; deleted records left out."""
-    spark.dataSource.register(OaiDataSource)
-    rows = spark.read.format("oai").option("path", path).load().where(~F.col("deleted") & F.col("identifier").isNotNull())
-    cols = {v: join_list(F.col("fields")[k]) if k in CORE_LISTS else F.try_element_at(F.col("fields")[k], F.lit(-1)) for k, v in CORE.items()}
-    rows = rows.select("identifier", *[c.alias(k) for k, c in cols.items()], F.current_timestamp().alias("last_updated"), F.lit(None).cast("timestamp").alias("last_harvested"))
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in RAW_OAI.fields])
-
-
-def read_preprints(spark: SparkSession, path: str) -> DataFrame:
+    elements as their last value; deleted records left out. ``limit`` takes the
+    first so many by identifier."""
+    raw = spark.read.format("xml").option("rowTag", "record").option("attributePrefix", "_").option("ignoreNamespace", "true").schema(CORE_XML).load(path)
+    m = F.col("metadata.dc")
+    rows = raw.where(m.isNotNull() & F.col("header.identifier").isNotNull() & ~F.col("header._status").eqNullSafe("deleted"))
+    some = lambda k: F.filter(F.transform(m[k], lambda v: F.trim(v)), lambda v: v != "")
+    cols = {v: join_list(some(k)) if k in CORE_LISTS else F.try_element_at(some(k), F.lit(-1)) for k, v in CORE.items()}
+    rows = rows.select(F.trim("header.identifier").alias("identifier"), *[c.alias(k) for k, c in cols.items()], F.current_timestamp().alias("last_updated"), F.lit(None).cast("timestamp").alias("last_harvested"))
+    return _first(rows.select(*[F.col(f.name).cast(f.dataType) for f in RAW_OAI.fields]), limit)
+
+
+def read_preprints(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Preprint records in the raw table's shape; records without metadata left
     out. Authors as ``keyname,forenames;``; a keyname of ``;`` alone is dropped."""
     raw = spark.read.format("xml").option("rowTag", "record").option("attributePrefix", "_").option("ignoreNamespace", "true").schema(PREPRINT_XML).load(path)
@@ -95,4 +91,4 @@ def read_preprints(spark: SparkSession, path: str) -> DataFrame:
         m["msc-class"].alias("mscclass"), m["acm-class"].alias("acmclass"), m["report-no"].alias("reportno"), m["journal-ref"].alias("journalref"), m["comments"].alias("comments"), F.trim(m["abstract"]).alias("description"),
         m["categories"].alias("categories"), m["doi"].alias("doi"), parse_mdate(F.col("header.datestamp")).alias("mdate"), F.current_timestamp().alias("last_updated"), none.alias("last_harvested"), none.alias("last_referenced"),
     )
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in RAW_PREPRINT.fields])
+    return _first(rows.select(*[F.col(f.name).cast(f.dataType) for f in RAW_PREPRINT.fields]), limit)

@@ -6,25 +6,50 @@ import html.entities
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import without_tags
 from ..functions.values import parse_mdate, parse_year
 from ..schemas import DUMP_FIELDS, DUMP_TAGS, DUMP_XML, RAW_DUMP
 
 
-def expand_entities(xml: str) -> str:
-    """Named entities of a document type as characters, XML's own ones kept.
-    Spark's reader does not load document type definitions."""
+def expand_entities(xml: str | None) -> str | None:
+    """Named entities of a document type as characters, XML's own ones kept, and
+    unknown ones as their name. Spark's reader does not load document type
+    definitions."""
     keep = {"amp", "lt", "gt", "quot", "apos"}
     known = html.entities.name2codepoint
-    return re.sub(r"&(\w+);", lambda m: m[0] if m[1] in keep or m[1] not in known else chr(known[m[1]]), xml)
+    return None if xml is None else re.sub(r"&(\w+);", lambda m: m[0] if m[1] in keep else chr(known[m[1]]) if m[1] in known else m[1], xml)
+
+
+@F.pandas_udf(StringType())
+def _expanded(xml: pd.Series) -> pd.Series:
+    return xml.map(expand_entities)
+
+
+BROKEN = "_broken"
 
 
 def read_records(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
-    """Raw elements of the given tags with their kind; every child as an array."""
-    parts = [spark.read.format("xml").option("rowTag", t).option("attributePrefix", "_").schema(DUMP_XML).load(path).withColumn("type", F.lit(t)) for t in tags or DUMP_TAGS]
+    """Raw elements of the given tags with their kind; every child as an array.
+
+    The reader gives back what it cannot parse, among it all records with named
+    entities; only those are expanded, in batches, and parsed again. Records that
+    cannot be parsed even so have no key.
+    """
+    known = DUMP_XML
+    options = {"attributePrefix": "_", "columnNameOfCorruptRecord": BROKEN, "mode": "PERMISSIVE", "useLegacyXMLParser": "true"}  # record by record
+    with_broken = StructType([*known.fields, StructField(BROKEN, StringType())])
+    parts = []
+    for t in tags or DUMP_TAGS:
+        raw = spark.read.format("xml").options(rowTag=t, **options).schema(with_broken).load(path)
+        again = F.from_xml(_expanded(BROKEN), DUMP_XML, {"attributePrefix": "_"})
+        fixed = raw.withColumn("_again", F.when(F.col(BROKEN).isNotNull(), again))
+        fields = [F.coalesce(F.col(f"_again.{f.name}"), F.col(f.name)).alias(f.name) for f in known.fields]
+        parts.append(fixed.select(*fields, F.lit(t).alias("type")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -53,6 +78,11 @@ def parse_records(raw: DataFrame, start: str | None = None, end: str | None = No
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in RAW_DUMP.fields])
 
 
+def with_title(rows: DataFrame, default: str = "Test") -> DataFrame:
+    """Raw rows with a title where it is null."""
+    return rows.withColumn("title", F.coalesce("title", F.lit(default)))
+
+
 def in_range(c: str, start: str | None, end: str | None) -> Column:
     """Closed range; a missing bound is open."""
     v = F.col(c)

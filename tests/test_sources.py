@@ -36,8 +36,20 @@ def test_dump_window_and_limit(spark, dump, start, end, limit, n):
     assert xml_dump.harvest(spark, dump, start=start, end=end, limit=limit)[0].count() == n
 
 
-def test_entities():
-    assert xml_dump.expand_entities("J&uuml;rgen &amp; &unknown; &lt;") == "Jürgen &amp; &unknown; &lt;"
+def test_entities(spark, tmp_path):
+    assert xml_dump.expand_entities("J&uuml;rgen &amp; &unknown; &lt;") == "Jürgen &amp; unknown &lt;"
+    p = tmp_path / "dump.xml"
+    p.write_text(
+        """<?xml version="1.0"?><!DOCTYPE dblp SYSTEM "dblp.dtd"><dblp>
+<article key="a/1" mdate="2011-01-11"><author>J&uuml;rgen &Ouml;z</author><title>Gr&ouml;&szlig;e &amp; <i>Ma&szlig;</i></title><year>1999</year></article>
+<article key="a/2" mdate="2011-01-11"><author>Plain</author><title>Plain &lt; T</title><year>2000</year></article>
+<book key="b/1" mdate="2011-01-12"><author>&Aacute;b</author><title>B&eacute;</title><year>2001</year></book></dblp>"""
+    )
+    rows = {r["dblp_key"]: r for r in xml_dump.harvest(spark, str(p))[0].collect()}
+    assert {k: (r["author"], r["title"], r["type"]) for k, r in rows.items()} == {"a/1": ("Jürgen Öz;", "Größe & Maß", "article"), "a/2": ("Plain;", "Plain < T", "article"), "b/1": ("Áb;", "Bé", "book")}
+    two = xml_dump.harvest(spark, str(p), tags=["book", "article"])[0]
+    assert two.count() == 3 and xml_dump.harvest(spark, str(p), tags=["book"])[0].count() == 1
+    assert xml_dump.with_title(two.withColumn("title", xml_dump.F.lit(None).cast("string"))).first()["title"] == "Test"
 
 
 def test_canonical_dump(spark, dump):
@@ -79,6 +91,46 @@ def test_core(spark, tmp_path):
     assert c["local_url"] == "oai:c0" and c["keywords"] == ["k1", "k2"] and c["publication"]["date_published"] == 2004
 
 
+def test_core_limit_and_repeated_values(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.xml").write_text(CORE.replace("c;1", f"c;{i}"))
+    assert [r["identifier"] for r in oai.read_core(spark, str(tmp_path), 2).collect()] == ["oai:c;0", "oai:c;1"]
+
+
+def test_feed(spark, tmp_path):
+    asked = []
+
+    def fetch(params):
+        asked.append(params)
+        n = len(asked)
+        token = f"<resumptionToken cursor='0'>t&amp;{n}</resumptionToken>" if n < 3 else "<resumptionToken/>"
+        return CORE.replace("c;1", f"c;{n}").replace("</ListRecords>", token + "</ListRecords>")
+
+    feed = oai.Feed(fetch)
+    assert feed.save(spark, str(tmp_path / "pages"), "2010-01-01", "2010-02-01") == 3
+    assert asked[0] == {"verb": "ListRecords", "metadataPrefix": "oai_dc", "from": "2010-01-01", "until": "2010-02-01"} and asked[1] == {"verb": "ListRecords", "resumptionToken": "t&1"}
+    assert oai.read_core(spark, str(tmp_path / "pages")).count() == 3
+    asked.clear()
+    assert len(list(feed.pages(limit=3))) == 2  # two records a page
+    assert list(oai.Feed(lambda p: "<OAI-PMH><error code='noRecordsMatch'/></OAI-PMH>").pages()) == []
+    with pytest.raises(ValueError):
+        list(oai.Feed(lambda p: '<error code="badArgument">x</error>').pages())
+    with pytest.raises(ValueError):
+        list(feed.pages(limit=0))
+
+
+def test_tei_names_titles_dates(spark, tmp_path):
+    person = lambda *parts: "<author><persName>" + "".join(f'<forename type="{t}">{n}</forename>' if t else f"<surname>{n}</surname>" for t, n in parts) + "</persName></author>"
+    p = tmp_path / "t.xml"
+    p.write_text(
+        "<TEI><listBibl><biblStruct><analytic><title>First</title><title>Last</title>"
+        + person(("middle", "B"), ("first", "A"), ("first", "Ann"), ("middle", "Cc"), ("other", "D"), ("", "Eff")) + person(("", "Alone")) + person(("first", "G"))
+        + '</analytic><monogr><title>J</title><imprint><date when="2001"/><date when="2002-05"/></imprint></monogr></biblStruct></listBibl></TEI>'
+    )
+    (row,) = tei.read_references(spark, str(p), 1).collect()
+    assert (row["title"], row["authors"], str(row["date"])) == ("Last", "A. Ann B. Cc D. Eff;Alone;G.", "2002-01-01")
+
+
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><listBibl>
 <biblStruct><analytic><title level="a">Article</title><author><persName><forename type="first">A</forename><forename type="middle">B</forename><surname>Cee</surname></persName></author></analytic><monogr><title level="j">Journal</title><imprint><date type="published" when="2004-05"/></imprint></monogr></biblStruct>
 <biblStruct><monogr><title>Book</title><author><persName><forename type="first">Dan</forename><surname>Ee</surname></persName></author><imprint><date when="1999"/></imprint></monogr></biblStruct>
