@@ -676,10 +676,10 @@ def window_harvest(spark, d):
     return w.select(F.unix_timestamp("window.start").alias("start_s"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("SELECT event_type, bucket, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_type, event_id, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 500) * 500 AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
+@query("SELECT event_type, bucket, count(*) AS n, round(sum(value), 2) AS seconds FROM (SELECT event_type, value, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 500) * 500 AS BIGINT) AS bucket FROM events) GROUP BY 1, 2")
 def track_buckets(spark, d):
-    rows = upsert.running_index(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], [F.col("event_id")])
-    return rows.groupBy("event_type", long_("bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    rows = upsert.times_by_bucket(table(spark, d, "events").select("event_type", "event_id", F.col("value").alias("seconds")), ["event_type"], [F.col("event_id")], "seconds")
+    return rows.select("event_type", long_("bucket").alias("bucket"), "n", F.round("seconds", 2).alias("seconds"))
 
 
 # ---- difference trees ----------------------------------------------------------------------

@@ -7,6 +7,8 @@ in order of first arrival; bit i of a bitvector stands for url_ids[i].
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,3 +139,21 @@ def to_json(trees: DataFrame) -> DataFrame:
 def from_json(rows: DataFrame, url_type: str = "bigint") -> DataFrame:
     schema = f"url_ids array<{url_type}>, attrs map<string,array<struct<value:string,votes:int,bitvector:bigint>>>"
     return rows.select("pub", F.from_json("tree", schema).alias("t")).select("pub", "t.url_ids", "t.attrs")
+
+
+def bench(rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str] = ATTRIBUTES) -> dict[str, float]:
+    """Seconds to merge rows into trees, to insert the later half of them into the
+    trees of the earlier, and to read the trees back by source. Results go nowhere."""
+    mid = rows.agg(F.expr(f"percentile_approx({seq}, 0.5)")).first()[0]
+    early, late = rows.where(F.col(seq) <= mid), rows.where(F.col(seq) > mid)
+    steps = {
+        "merge": lambda: merge(rows, pub, url, seq, attributes),
+        "insert": lambda: insert(merge(early, pub, url, seq, attributes), late, pub, url, seq, attributes),
+        "sources": lambda: per_source(merge(rows, pub, url, seq, attributes)),
+    }
+    times = {}
+    for name, step in steps.items():
+        began = time.perf_counter()
+        step().write.format("noop").mode("overwrite").save()
+        times[name] = time.perf_counter() - began
+    return times

@@ -53,3 +53,9 @@ def running_index(rows: DataFrame, partition: list[str], order: list[Column], st
     """Bucket of every ``step`` rows of a partition, in order."""
     n = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
     return rows.withColumn("bucket", F.floor((n - 1) / step) * step)
+
+
+def times_by_bucket(rows: DataFrame, partition: list[str], order: list[Column], seconds: str, step: int = 500) -> DataFrame:
+    """(partition, bucket, n, seconds): how many rows each bucket of a partition
+    has and how long they took together."""
+    return running_index(rows, partition, order, step).groupBy(*partition, "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(seconds).alias(seconds))

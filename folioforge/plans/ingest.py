@@ -19,6 +19,7 @@ from ..functions.text import normalize_title
 from ..operators import difftree, entities, match, upsert
 from ..schemas import SEED_TYPES
 from ..storage import written
+from .canonical import REGISTRY
 
 STORE_SCHEMAS = {
     "source_records": "url_id long, source string, local_url string, type_id long, cluster_id long",
@@ -100,6 +101,13 @@ class Store:
         return Store(tables, fresh, self.path, self.batches)
 
 
+def ingest_source(store: Store, raw: DataFrame, name: str) -> tuple[Store, DataFrame]:
+    """Ingest raw rows of a registered source."""
+    if name not in REGISTRY:
+        raise ValueError(f"no source {name!r}; there are {sorted(REGISTRY)}")
+    return ingest(store, REGISTRY[name].to_canonical(raw), name)
+
+
 def first_of(batch: DataFrame, key: str) -> DataFrame:
     """One record of each key: the one whose columns come first."""
     rest = [c for c in batch.columns if c != key]

@@ -71,6 +71,56 @@ def test_same_author(spark, a, b, expected):
     assert row["r"] is expected
 
 
+def plain_aligned(a, b, most=1, short=True):
+    """One pass over a: each word takes the next free word of b that it fits."""
+    at = hits = shortens = lengthens = 0
+    for x in a:
+        found = next((i for i in range(at, len(b)) if x == b[i] or short and (len(x) == 1 and b[i].startswith(x) or len(b[i]) == 1 and x.startswith(b[i]))), None)
+        if found is None:
+            at = len(b)
+            continue
+        hits, at = hits + 1, found + 1
+        if x != b[found]:
+            shortens, lengthens = shortens + (len(x) == 1), lengthens + (len(x) != 1)
+    extra = len(a) - hits, len(b) - hits
+    return not (shortens and lengthens) and not (extra[0] and extra[1]) and max(extra) <= most and not (max(extra) and (shortens or lengthens))
+
+
+def plain_same(a, b):
+    if a == b:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    turn = lambda w, k: w[k % len(w) :] + w[: k % len(w)]
+    if any(len(w) == 1 for w in x) or len(x[-1]) > 3 and sum(map(len, x)) // len(x) >= 4:
+        if x[-1] != y[-1] or len(x) < 2 or len(y) < 2 or not (x[0].startswith(y[0]) or y[0].startswith(x[0])):
+            return False
+        common = x[-1] in text.AMBIGUOUS_NAMES
+        return plain_aligned(turn(x, -1), turn(y, -1), 0 if common else 1, not common)
+    return any(plain_aligned(t, y) or plain_aligned(y, t) for t in (x, turn(x, -1), turn(x, 1)))
+
+
+def test_same_author_equals_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["ann", "a", "anna", "smith", "s", "lee", "li", "xin", "x", "xinzhi", "hallberg", "h", "m", "garcia", "wang", "zhang", "j", "jose"]
+    pairs = []
+    for _ in range(3000):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 4))]
+        b = list(a) if rng.random() < 0.6 else [rng.choice(words) for _ in range(rng.randint(1, 4))]
+        if rng.random() < 0.5:
+            i = rng.randrange(len(b))
+            b[i] = b[i][0]
+        if rng.random() < 0.4:
+            b.insert(rng.randint(0, len(b)), rng.choice(words))
+        if rng.random() < 0.3:
+            rng.shuffle(b)
+        pairs.append((" ".join(a), " ".join(b)))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", names.same_author("a", "b").alias("r")).collect()
+    assert 300 < sum(r["r"] for r in rows) < 2700
+    assert [(r["a"], r["b"]) for r in rows if r["r"] != plain_same(r["a"], r["b"])] == []
+
+
 def test_rotate_score_phonetic(spark):
     row = spark.range(1).select(
         names.rotate(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1).alias("l"), names.rotate(F.array(F.lit("a"), F.lit("b"), F.lit("c")), -1).alias("r"), names.name_score(F.array(F.lit("j"), F.lit("kim"), F.lit("abcdefghi"))).alias("s")

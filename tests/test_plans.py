@@ -212,6 +212,42 @@ def test_difftree_votes(spark):
     assert run("c", 2) == ["c", "b", "a"] and run("b", 1) == ["a", "b", "c"] and run("zz", 9) == ["a", "b", "c"]
 
 
+def test_difftree_default_ids_and_bench(spark):
+    rows = spark.createDataFrame([(1, 10, 1, "7", "t"), (2, 10, 2, None, "u")], "pub long, url long, seq long, type_ids string, title string")
+    trees = difftree.merge(rows, "pub", "url", "seq")
+    assert {r["pub"]: r["d"] for r in trees.select("pub", difftree.default_id("type_ids", F.lit(2).cast("long")).alias("d")).collect()} == {1: 7, 2: 2}
+    times = difftree.bench(rows, "pub", "url", "seq")
+    assert list(times) == ["merge", "insert", "sources"] and min(times.values()) > 0
+
+
+def test_registered_sources(spark):
+    from folioforge.schemas import RAW_OAI
+
+    raw = spark.createDataFrame([("oai:1", "Ann Smithson;", "First Long Title", "1999;")], "identifier string, author string, title string, dates string")
+    raw = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_OAI.fields])
+    store, counts = ingest.ingest_source(ingest.Store.empty(spark), raw, "core")
+    assert {r["outcome"]: r["n"] for r in counts.collect()} == {"added": 1} and store["source_records"].first()["source"] == "core"
+    with pytest.raises(ValueError):
+        ingest.ingest_source(store, raw, "nobody")
+
+
+def test_runs_do_not_overlap(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    with harvest.Running(spark, path, "dump") as first, harvest.Running(spark, path, "dump") as second, harvest.Running(spark, path, "other") as third:
+        assert (first, second, third) == (True, False, True)
+    with harvest.Running(spark, path, "dump") as again:
+        assert again
+        with harvest.Running(spark, path, "dump", stale=-1) as taken:
+            assert taken
+
+
+def test_id_lists(spark, tmp_path):
+    from folioforge.sources.delimited import write_id_lists
+
+    write_id_lists(spark.createDataFrame([("a", [1, 2]), ("b", [])], "k string, ids array<long>").coalesce(1), "k", "ids", str(tmp_path / "ids"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "ids")).collect()) == ["a,1 2", 'b,""']
+
+
 def test_difftree_round_trip(spark):
     rows = spark.createDataFrame([(1, 10, 1, "t", ["x", "y"]), (1, 11, 2, "u", ["y"]), (1, 12, 3, "t", None)], "pub long, url long, seq long, title string, author_ids array<string>")
     back = difftree.per_source(difftree.merge(rows, "pub", "url", "seq")).collect()
