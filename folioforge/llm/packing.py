@@ -10,6 +10,7 @@ which need no padding.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from .wordbpe import compiled
 
 BUCKETS, DIMS, BITS = 256, 4, 6
 SALT_BITS = 30
+#: Tokens of a range, and the most documents of a sample.
+RANGE, MOST_SAMPLE = 1 << 25, 1 << 20
 
 
 def project(ids: np.ndarray) -> np.ndarray:
@@ -93,14 +96,16 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
     ``length`` tokens, or a smaller power of two. Curve cells and range bounds
     come from a hashed sample of about ``max_sample`` documents; they move only
     the order and the balance, never a token. Equal keys are ordered by id, and
-    the salt spreads copies over ranges. Ids may be null or repeat; an empty
+    the salt spreads copies over ranges. There are as many ranges as shuffle
+    partitions, or more, so that none has much over RANGE tokens; for very many
+    the sample grows to MOST_SAMPLE documents. Ids may be null or repeat; an empty
     table gives an empty result; other columns are not read. The token ids are
     shuffled once.
     """
-    n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.count()
-    share = int(1_000_003 * min(1.0, max_sample / max(total, 1))) + 1
+    wanted = max(max_sample, min(MOST_SAMPLE, total // 1000))
+    share = int(1_000_003 * min(1.0, wanted / max(total, 1))) + 1
     picked = rows.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(1_000_003)) < share)
 
     def coords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +114,9 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
                 ids = [np.frombuffer(x, dtype="<u2") for x in compiled(vocab).encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) + 1 for x in ids], type=pa.int64()), pa.array([project(x).tolist() for x in ids], type=pa.list_(pa.float64()))], names=["id", "n", "x"])
 
-    sample = picked.mapInArrow(coords, "id long, n long, x array<double>").limit(2 * max_sample).toPandas()
+    sample = picked.mapInArrow(coords, "id long, n long, x array<double>").limit(2 * wanted).toPandas()
+    most = total * float(sample["n"].mean()) / RANGE if len(sample) else 0
+    n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(most))
     if len(sample):
         x = np.array(sample["x"].tolist()).reshape(-1, DIMS)
         cuts = np.quantile(x, np.arange(1, 1 << BITS) / (1 << BITS), axis=0).T
