@@ -11,9 +11,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.upsert import latest_per_key, upsert
+from ..operators.upsert import latest_per_key
 
 #: Days of a harvest window.
 CADENCES = {"all": None, "monthly": 30, "weekly": 7, "daily": 1}
@@ -99,23 +99,45 @@ def in_window(df: DataFrame, column: str, schedule: Schedule) -> DataFrame:
     return df.where(c <= F.lit(schedule.end)) if schedule.end else df
 
 
-def upsert_stream(spark: SparkSession, source: str, schema: StructType, target: str, keys: list[str], order: list[Column], checkpoint: str, keep: list[str] = ()) -> StreamingQuery:
-    """Merge new files of a folder into versions of a table, exactly once.
+#: Partition column of a log; tables must not have one of that name.
+VERSION = "version_no"
 
-    Each batch writes ``target/v=<batch id>`` from the version before; a batch
-    that is run again writes the same folder again.
+
+def upsert_stream(spark: SparkSession, source: str, schema: StructType, target: str, keys: list[str], order: list[Column], checkpoint: str) -> StreamingQuery:
+    """Append the changes of new files to a table's log, exactly once.
+
+    Each batch writes its latest row of each key to ``target/version_no=<batch id>`` and
+    nothing else; a batch that is run again writes the same folder again. Read the
+    table with ``current``.
     """
     raw = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = latest_per_key(batch, keys, order)
-        if n:
-            new = upsert(spark.read.parquet(f"{target}/v={n - 1}"), new, keys, keep)
-        new.write.mode("overwrite").parquet(f"{target}/v={n}")
+        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{target}/{VERSION}={n}")
 
     return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, schema: StructType, target: str, keys: list[str], keep: list[str] = ()) -> DataFrame:
+    """The table of a log: each key's latest row, but its first values of ``keep``.
+    Versions before a key's latest are combined before the shuffle."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField(VERSION, LongType())])).parquet(target)
+    new = [f.name for f in schema.fields if f.name not in keys and f.name not in keep]
+    parts = [F.max_by(F.struct(*new), VERSION).alias("new")] if new else []
+    parts += [F.min_by(F.struct(*keep), VERSION).alias("old")] if keep else []
+    found = rows.groupBy(*keys).agg(*parts) if parts else rows.select(*keys).distinct()
+    return found.select(*keys, *(["new.*"] if new else []), *(["old.*"] if keep else [])).select(*schema.names)
+
+
+def compact(spark: SparkSession, schema: StructType, target: str, keys: list[str], to: str, keep: list[str] = ()) -> int:
+    """Write the table of a log to another folder as its first version, from which a
+    log goes on with later ones; the number of the last version in it. The log
+    itself stays until its readers have moved."""
+    last = spark.read.parquet(target).agg(F.max(VERSION)).first()[0]
+    current(spark, schema, target, keys, keep).write.mode("overwrite").parquet(f"{to}/{VERSION}={last}")
+    return last
+
+
 def ingest_stream(spark: SparkSession, source: str, schema: StructType, to_batch: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
     """Any batch function over new files, once each, with a checkpoint as the mark of what was harvested."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

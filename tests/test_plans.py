@@ -287,16 +287,21 @@ def test_schedule():
 
 
 def test_upsert_stream(spark, tmp_path):
-    src, schema = tmp_path / "in", spark.createDataFrame([], "k long, v string, n long, seen string").schema
+    src, out, schema = tmp_path / "in", str(tmp_path / "out"), spark.createDataFrame([], "k long, v string, n long, seen string").schema
 
-    def put(rows):
+    def put(rows, target=out):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        harvest.upsert_stream(spark, str(src), schema, str(tmp_path / "out"), ["k"], [F.col("n")], str(tmp_path / "cp"), keep=["seen"]).awaitTermination()
+        harvest.upsert_stream(spark, str(src), schema, target, ["k"], [F.col("n")], str(tmp_path / "cp")).awaitTermination()
 
+    table = lambda target=out: {r["k"]: (r["v"], r["seen"]) for r in harvest.current(spark, schema, target, ["k"], ["seen"]).collect()}
     put([(1, "a", 1, "x"), (1, "b", 2, "x"), (2, "c", 1, "x")])
     put([(1, "d", 3, "new"), (3, "e", 1, "new")])
-    got = {r["k"]: (r["v"], r["seen"]) for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()}
-    assert got == {1: ("d", "x"), 2: ("c", "x"), 3: ("e", "new")}
+    assert table() == {1: ("d", "x"), 2: ("c", "x"), 3: ("e", "new")}
+    assert spark.read.parquet(f"{out}/version_no=1").count() == 2  # only what changed is written
+    to = str(tmp_path / "small")
+    assert harvest.compact(spark, schema, out, ["k"], to, ["seen"]) == 1
+    put([(2, "f", 9, "newer")], to)
+    assert table(to) == {1: ("d", "x"), 2: ("f", "x"), 3: ("e", "new")}
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):
