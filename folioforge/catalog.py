@@ -67,6 +67,52 @@ def sql_similarity(a: str, b: str) -> str:
     return f"CAST(floor((1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE)) * 100) AS BIGINT)"
 
 
+def sql_aligned(a: str, b: str, most: str = "1", short: str = "true") -> str:
+    """Whether word lists align (see names.aligned): a fold over the words of a."""
+    y = f"{b}[j + 1]"
+    fits = f"(e.w = {y} OR {short} AND (length(e.w) = 1 AND starts_with({y}, e.w) OR length({y}) = 1 AND starts_with(e.w, {y})))"
+    at = f"list_filter(range(acc.n, len({b})), lambda j: {fits})[1]"
+    state = lambda n, h, x, y, w: f"{{'n': CAST({n} AS BIGINT), 'h': CAST({h} AS BIGINT), 's': CAST({x} AS BIGINT), 'l': CAST({y} AS BIGINT), 'w': {w}}}"
+    differs = f"e.w <> {b}[i + 1] AND length(e.w)"
+    hit = state("i + 1", "acc.h + 1", f"acc.s + CASE WHEN {differs} = 1 THEN 1 ELSE 0 END", f"acc.l + CASE WHEN {differs} <> 1 THEN 1 ELSE 0 END", "''")
+    step = f"list_transform([{at}], lambda i: CASE WHEN i IS NULL THEN {state(f'len({b})', 'acc.h', 'acc.s', 'acc.l', chr(39) * 2)} ELSE {hit} END)[1]"
+    zero = state(0, 0, 0, 0, "''")
+    fold = f"list_reduce(list_prepend({zero}, list_transform({a}, lambda w: {state(0, 0, 0, 0, 'w')})), lambda acc, e: {step})"
+    left = f"greatest(len({a}), len({b})) - r.h"
+    return f"list_transform([{fold}], lambda r: NOT (r.s > 0 AND r.l > 0) AND NOT (len({a}) > r.h AND len({b}) > r.h) AND {left} <= {most} AND NOT ({left} > 0 AND r.s + r.l > 0))[1]"
+
+
+def sql_turned(x: str) -> list[str]:
+    """A word list as it is, its last word first, and its first word last."""
+    return [x, f"list_concat({x}[len({x}):], {x}[1:len({x}) - 1])", f"list_concat({x}[2:], {x}[1:1])"]
+
+
+def sql_any_aligned(most: str = "1", short: str = "true") -> str:
+    return "(" + " OR ".join(f"{sql_aligned(t, 'y', most, short)} OR {sql_aligned('y', t, most, short)}" for t in sql_turned("x")) + ")"
+
+
+def sql_same_author(a: str, b: str) -> str:
+    """names.same_author of a and b, whose words are in the columns x and y."""
+    common = f"(x[-1] IN ({AMBIGUOUS_SQL}))"
+    western = "(len(list_filter(x, lambda w: length(w) = 1)) > 0 OR length(x[-1]) > 3 AND floor(list_sum(list_transform(x, lambda w: length(w))) / len(x)) >= 4)"
+    by_surname = f"(x[-1] = y[-1] AND len(x) >= 2 AND len(y) >= 2 AND (starts_with(x[1], y[1]) OR starts_with(y[1], x[1])) AND {sql_aligned(sql_turned('x')[1], sql_turned('y')[1], f'CASE WHEN {common} THEN 0 ELSE 1 END', f'NOT {common}')})"
+    return f"({a} = {b} OR CASE WHEN {western} THEN {by_surname} ELSE {sql_any_aligned()} END)"
+
+
+def sql_same_scored() -> str:
+    """names.same_author_scored of the words in the columns x and y."""
+    worth = f"CASE WHEN length(w) = 1 OR w IN ({AMBIGUOUS_SQL}) THEN 0 WHEN length(w) <= 5 THEN 1 WHEN length(w) <= 8 THEN 2 ELSE 3 END"
+    score = f"(list_sum(list_transform(x, lambda w: {worth})) - 1)"
+    return f"CASE WHEN length(x[-1]) > 5 AND NOT list_contains(y, x[-1]) THEN false ELSE {sql_any_aligned(f'floor({score} / 2)', f'({score} >= 2)')} END"
+
+
+def sql_tokens(rows: str, key: str) -> str:
+    """(key, need): words a matching name must have, of rows(key, n)."""
+    return f"""(SELECT {key}, list(w) AS need FROM (SELECT *, coalesce(sum(clear) OVER (PARTITION BY {key} ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
+    (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY length(w) DESC, i DESC) AS r, CASE WHEN w IN ({AMBIGUOUS_SQL}) THEN 0 ELSE 1 END AS clear FROM
+    (SELECT {key}, unnest(string_split(n, ' ')) AS w, generate_subscripts(string_split(n, ' '), 1) AS i FROM {rows}) WHERE length(w) > 1)) WHERE before < 3 GROUP BY 1)"""
+
+
 STOP_SQL = ", ".join(quoted(w) for w in text.STOP_WORDS)
 AMBIGUOUS_SQL = ", ".join(quoted(w) for w in text.AMBIGUOUS_NAMES)
 PAGE_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -175,7 +221,12 @@ def bit_lists(spark, d):
     return rows.select("p_partkey", "bits", F.array_join(values.bit_indexes("bits").cast("array<string>"), ",").alias("indexes"))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_name, {sql_author('p_name')} AS name, string_split(p_name, ' ') AS n FROM part),
+    f AS (SELECT DISTINCT name, unnest([p_name, substr(n[1], 1, 1) || ' ' || n[2], n[2] || ' ' || n[1], n[1] || ' q ' || n[2]]) AS other, unnest(range(4)) AS i FROM p),
+    j AS (SELECT *, {sql_same_author('name', 'other')} AS same, {sql_same_scored()} AS same_scored FROM (SELECT *, string_split(name, ' ') AS x, string_split(other, ' ') AS y FROM f))
+    SELECT p_partkey, name, other, same, same_scored FROM p JOIN j USING (name)"""
+)
 def author_similarity(spark, d):
     """Pairs of name forms of each part's name, with both similarity rules."""
     n = F.split("p_name", " ")
@@ -380,7 +431,14 @@ def title_match_exact(spark, d):
     return match.match_exact_title(asked_titles(spark, d), "p_partkey", "title", known, pubs)
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT p_partkey, p_size, p_name || ' ' || p_brand AS name, {sql_author('p_name')} AS normal FROM part), k AS (SELECT p_partkey AS id, normal AS block_name, name AS alias FROM q WHERE p_size <= 3),
+    al AS (SELECT q.p_partkey, normal, count(DISTINCT k.id) AS n, min(k.id) AS hit FROM q LEFT JOIN k ON k.alias = q.name GROUP BY 1, 2),
+    nm AS (SELECT DISTINCT normal, normal AS n FROM q), need AS {sql_tokens('nm', 'normal')}, bl AS (SELECT DISTINCT block_name FROM k),
+    pr AS (SELECT normal, block_name, string_split(normal, ' ') AS x, string_split(block_name, ' ') AS y FROM need JOIN bl ON list_has_all(string_split(block_name, ' '), need.need)), sm AS (SELECT normal, block_name FROM pr WHERE {sql_same_author('normal', 'block_name')}),
+    f AS (SELECT p_partkey, count(DISTINCT k.id) AS n, min(k.id) AS hit FROM al LEFT JOIN sm USING (normal) LEFT JOIN k USING (block_name) WHERE al.n = 0 GROUP BY 1)
+    SELECT p_partkey, {OUTCOME_SQL}, CASE WHEN n > 1 THEN 'AMB_ALIAS' END AS reason FROM al WHERE n > 0 UNION ALL SELECT p_partkey, {OUTCOME_SQL}, CASE WHEN n > 1 THEN 'AMB_NAME_BLOCK' END FROM f"""
+)
 def author_match_outcome(spark, d):
     """Authors of each part name, by alias and then by name block."""
     rows = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"), text.normalize_author("p_name").alias("normal"))
@@ -398,7 +456,15 @@ def phrase_link(spark, d):
     return match.link_by_phrase(left, "p_name", "p_name", table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS n FROM part), f AS (SELECT p_partkey * 3 + unnest(range(3)) AS key, unnest([p_name, substr(n[1], 1, 1) || '. ' || n[2], n[1] || ' q. ' || n[2]]) AS name FROM p),
+    c AS (SELECT normal, min(key) AS id, count(*) AS rows, string_split(normal, ' ') AS words FROM (SELECT key, {sql_author('name')} AS normal FROM f) GROUP BY 1),
+    e AS (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM c), picked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(w) DESC, i DESC) AS r FROM e WHERE w NOT IN ({STOP_SQL})),
+    best AS (SELECT id, list(w) AS words, bool_and(length(w) < 4) AS short FROM picked WHERE r <= 3 GROUP BY 1),
+    asked AS (SELECT c.id, normal, rows, c.words AS x, CASE WHEN short IS NULL OR short THEN c.words ELSE best.words END AS need FROM c LEFT JOIN best USING (id)),
+    pairs AS (SELECT a.id, b.id AS other, a.normal, b.normal AS other_name, a.rows, b.rows AS other_rows, a.x, b.words AS y FROM asked a JOIN c b ON a.id <> b.id AND list_has_any(a.need, b.words))
+    SELECT id, other, rows, other_rows FROM pairs WHERE {sql_same_author('normal', 'other_name')}"""
+)
 def similar_names(spark, d):
     """Name forms of the suppliers and parts that are alike, with the number of rows of either name."""
     n = F.split("p_name", " ")
