@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .phonetic import double_metaphone
 from .text import AMBIGUOUS_NAMES, normalize_title
 
 #: Words of a surname that stand before its main word, and suffixes.
@@ -137,75 +138,12 @@ def same_author_scored(a: Column | str, b: Column | str) -> Column:
     return F.when((F.length(last) > 5) & ~F.array_contains(y, last), False).otherwise(found)
 
 
-VOWELS = set("AEIOUY")
-
-
-def metaphone(word: str) -> str:
-    """A primary phonetic key in the manner of double metaphone, at most four
-    letters: vowels count at the start only, and letters of like sound share
-    one. A compact rule set, not the full published table."""
-    s = "".join(ch for ch in word.upper() if "A" <= ch <= "Z")
-    for pair in ("GN", "KN", "PN", "WR", "PS"):
-        if s.startswith(pair):
-            s = s[1:]
-    out, i = [], 0
-    while i < len(s) and len(out) < 4:
-        c, nxt, prev = s[i], s[i + 1 : i + 2], s[i - 1 : i] if i else ""
-        step, code = 1, ""
-        if c in VOWELS:
-            code = "A" if i == 0 else ""
-        elif c == "C":
-            if nxt == "H":
-                code, step = ("K" if s[i + 2 : i + 3] in ("R", "L") or (i == 0 and s[i + 2 : i + 5] in ("EMI", "ARA")) else "X"), 2
-            elif nxt in ("I", "E", "Y"):
-                code = "X" if s[i : i + 3] == "CIA" else "S"
-            else:
-                code, step = "K", 2 if nxt in ("K", "Q") else 1
-        elif c == "D":
-            code, step = ("J", 3) if s[i : i + 3] in ("DGE", "DGI", "DGY") else ("T", 2 if nxt in ("D", "T") else 1)
-        elif c == "G":
-            if nxt == "H":
-                code, step = ("K" if i == 0 or (prev and prev not in VOWELS) else ""), 2
-            elif nxt == "N":
-                code, step = "N", 2
-            else:
-                code, step = ("J" if nxt in ("E", "I", "Y") else "K"), 2 if nxt == "G" else 1
-        elif c == "H":
-            code = "H" if (i == 0 or prev in VOWELS) and nxt in VOWELS and nxt else ""
-        elif c == "P":
-            code, step = ("F", 2) if nxt == "H" else ("P", 2 if nxt in ("P", "B") else 1)
-        elif c == "S":
-            if nxt == "H" or s[i : i + 3] in ("SIO", "SIA"):
-                code, step = "X", 2
-            elif s[i : i + 3] == "SCH":
-                code, step = "X", 3
-            else:
-                code, step = "S", 2 if nxt in ("S", "Z") else 1
-        elif c == "T":
-            if nxt == "H":
-                code, step = "0", 2
-            elif s[i : i + 3] in ("TIO", "TIA") or s[i : i + 3] == "TCH":
-                code, step = "X", 3
-            else:
-                code, step = "T", 2 if nxt in ("T", "D") else 1
-        elif c == "W":
-            code = "A" if i == 0 and nxt in VOWELS and nxt else ""
-        elif c == "X":
-            code = "S" if i == 0 else "KS"
-        else:
-            code = {"B": "P", "Q": "K", "V": "F", "Z": "S"}.get(c, c)
-            step = 2 if nxt == c else 1
-        if code and not (c in VOWELS and i):
-            out += list(code)
-        i += step
-    return "".join(out[:4])
-
-
 @F.pandas_udf(StringType())
 def metaphone_name(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Phonetic keys of a name's words, joined by spaces. No native expression
-    exists; soundex is the nearest and coarser."""
-    known: dict[str, str] = {}
+    """Primary phonetic keys of a name's words, joined by spaces; made once for each
+    distinct word of a batch. No native expression exists; soundex is the nearest
+    and coarser."""
     for s in names:
-        yield s.map(lambda n: None if n is None else " ".join(known.setdefault(w, metaphone(w)) if len(known) < 100_000 else metaphone(w) for w in n.split()))
-
+        words = s.str.split(" ")
+        known = {w: double_metaphone(w)[0] for w in set(words.dropna().explode().dropna())}
+        yield words.map(lambda x, known=known: " ".join(map(known.__getitem__, x)) if isinstance(x, list) else None)

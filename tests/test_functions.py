@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import names, text, values
+from folioforge.functions.phonetic import double_metaphone
 
 
 def one(spark, value, fn):
@@ -126,8 +127,23 @@ def test_rotate_score_phonetic(spark):
         names.rotate(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1).alias("l"), names.rotate(F.array(F.lit("a"), F.lit("b"), F.lit("c")), -1).alias("r"), names.name_score(F.array(F.lit("j"), F.lit("kim"), F.lit("abcdefghi"))).alias("s")
     ).first()
     assert (row["l"], row["r"], row["s"]) == (["b", "c", "a"], ["c", "a", "b"], 2)
-    assert names.metaphone("Smith") == names.metaphone("Smyth") == "SM0"
-    assert one(spark, "philip knuth", names.metaphone_name) == "FLP N0"
+    assert one(spark, "philip knuth", names.metaphone_name) == "FLP N0" and one(spark, "a  b", names.metaphone_name) == "A  P" and one(spark, "", names.metaphone_name) == ""
+    assert spark.createDataFrame([(None,)], "n string").select(names.metaphone_name("n").alias("m")).first()["m"] is None
+
+
+@pytest.mark.parametrize(
+    ("word", "primary", "secondary"),
+    [
+        ("Smith", "SM0", "XMT"), ("Smyth", "SM0", "XMT"), ("Schmidt", "XMT", "SMT"), ("Thompson", "TMPSN", ""), ("Michael", "MKL", "MXL"), ("Knight", "NT", ""), ("Caesar", "SSR", ""), ("Chianti", "KNT", ""), ("architect", "ARKTKT", ""),
+        ("focaccia", "FKX", ""), ("bacchus", "PKS", ""), ("edge", "AJ", ""), ("Edgar", "ATKR", ""), ("laugh", "LF", ""), ("Jose", "HS", ""), ("Wright", "RT", ""), ("Wasserman", "ASRMN", "FSRMN"), ("Arnow", "ARN", "ARNF"),
+        ("Filipowicz", "FLPTS", "FLPFX"), ("Zhao", "J", ""), ("Xavier", "SF", "SFR"), ("Breaux", "PR", ""), ("sugar", "XKR", "SKR"), ("island", "ALNT", ""), ("Cabrillo", "KPRL", "KPR"), ("Gallegos", "KLKS", "KKS"), ("thumb", "0M", "TM"),
+        ("Resnais", "RSN", "RSNS"), ("Campbell", "KMPL", ""), ("raspberry", "RSPR", ""), ("Hochmeier", "HKMR", ""), ("Tichner", "TXNR", "TKNR"), ("McLaughlin", "MKLFLN", ""), ("orchestra", "ARKSTR", ""), ("Bertucci", "PRTX", ""),
+        ("accident", "AKSTNT", ""), ("Macgregor", "MKRKR", ""), ("Cagney", "KKN", ""), ("Jankelowicz", "JNKLTS", "ANKLFX"), ("school", "SKL", ""), ("Schneider", "XNTR", "SNTR"), ("Szabo", "SP", "XP"), ("Garçon", "KRSN", ""), ("Müller", "MLR", ""),
+        ("Ghislane", "JLN", ""), ("Ghiradelli", "JRTL", ""), ("Peña", "PN", ""), ("", "", ""), ("1", "", ""),
+    ],
+)
+def test_double_metaphone(word, primary, secondary):
+    assert double_metaphone(word) == (primary, secondary)
 
 
 def test_similarity(spark):
