@@ -526,14 +526,19 @@ def link_report(spark, d):
     return stats.link_report(link_outcomes(spark, d), "l_orderkey", "l_partkey", titles)
 
 
-SWEEP = [(100, 36, 0), (90, 53, 1), (80, 54, 1), (70, 55, 2), (60, 57, 7), (50, 62, 33), (40, 63, 169), (30, 50, 594)]
+SWEEP = [100, 90, 80, 70, 60, 50, 0]
 
 
 @query(
-    f"SELECT threshold, tp, fp, round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS f1 FROM (SELECT *, tp / CAST(tp + fp AS DOUBLE) AS a, tp / CAST(tp + 63 AS DOUBLE) AS b FROM (SELECT CAST(t AS BIGINT) AS threshold, CAST(x AS BIGINT) AS tp, CAST(y AS BIGINT) AS fp FROM (VALUES {', '.join(map(str, SWEEP))}) v(t, x, y)))"
+    f"""WITH t AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 25), p AS (SELECT l_orderkey, l_partkey, max(100 - 5 * CAST(round(l_discount * 100) AS BIGINT)) AS s FROM lineitem WHERE l_linenumber < 6 GROUP BY 1, 2),
+    j AS (SELECT s, t.l_orderkey IS NOT NULL AS good FROM p FULL JOIN t USING (l_orderkey, l_partkey)), x AS (SELECT CAST(unnest({SWEEP}) AS BIGINT) AS threshold),
+    c AS (SELECT threshold, count(*) FILTER (good AND coalesce(s >= threshold, false)) AS tp, count(*) FILTER (NOT good AND s >= threshold) AS fp, count(*) FILTER (good AND NOT coalesce(s >= threshold, false)) AS missing FROM j CROSS JOIN x GROUP BY 1),
+    m AS (SELECT *, tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS a, tp / nullif(CAST(tp + missing AS DOUBLE), 0) AS b FROM c) SELECT threshold, tp, fp, missing, round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / nullif(a + b, 0), 6) AS f1 FROM m"""
 )
 def quality_sweep(spark, d):
-    return stats.quality_measures(spark.createDataFrame(SWEEP, "threshold long, tp long, fp long"))
+    li = table(spark, d, "lineitem")
+    scored = li.where("l_linenumber < 6").select("l_orderkey", "l_partkey", (100 - 5 * F.round(F.col("l_discount") * 100).cast("long")).alias("score"))
+    return stats.quality_sweep(li.where("l_quantity > 25"), scored, ["l_orderkey", "l_partkey"], "score", SWEEP, None)
 
 
 def citation_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -750,22 +755,34 @@ def track_buckets(spark, d):
 
 # ---- difference trees ----------------------------------------------------------------------
 
-TREE_ATTRS = ["title", "pages", "number"]
-TREE_SQL = """
-rows AS (SELECT user_id AS pub, event_type AS url, event_id AS seq, props AS title, CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR) AS pages, CAST(event_id % 7 AS VARCHAR) AS number FROM events),
+#: Every attribute of a tree as an expression that both engines read; arrays as their elements.
+TREE = {
+    "title": ["props"], "pages": ["floor(value / 20)"], "note": ["event_id % 2"], "doi": ["user_id % 11"], "abstract": ["props"], "copyright": ["CASE WHEN event_id % 3 = 0 THEN event_id % 5 END"], "date_published": ["2000 + event_id % 5"],
+    "volume": ["event_id % 13"], "number": ["event_id % 7"], "keyword_ids": ["user_id % 3", "event_id % 6"], "author_ids": ["event_id % 25", "event_id % 30"], "pub_source_ids": ["event_id % 4"], "type_ids": ["event_id % 3"], "study_field_ids": ["CASE WHEN event_id % 2 = 0 THEN 1 END"],
+}
+
+
+def tree_value(attr: str, x: str) -> str:
+    return x if x == "props" else f"CAST(CAST({x} AS BIGINT) AS {'VARCHAR' if attr else 'STRING'})"
+
+
+TREE_SQL = f"""
+rows AS (SELECT user_id AS pub, event_type AS url, event_id AS seq, * FROM events),
 places AS (SELECT pub, url, row_number() OVER (PARTITION BY pub ORDER BY f, url) - 1 AS place FROM (SELECT pub, url, min(seq) AS f FROM rows GROUP BY 1, 2)),
-melted AS (SELECT pub, url, seq, 'title' AS attr, title AS value FROM rows UNION ALL SELECT pub, url, seq, 'pages', pages FROM rows UNION ALL SELECT pub, url, seq, 'number', number FROM rows),
+melted AS ({' UNION ALL '.join(f"SELECT pub, url, seq * 2 + {i} AS seq, '{attr}' AS attr, {tree_value(attr, x)} AS value FROM rows" for attr, xs in TREE.items() for i, x in enumerate(xs))}),
 grouped AS (SELECT pub, attr, value, CAST(0 AS BIGINT) AS votes, bit_or(CAST(1 AS BIGINT) << CAST(place AS INTEGER)) AS bitvector, min(seq) AS ord FROM melted JOIN places USING (pub, url) WHERE value IS NOT NULL GROUP BY 1, 2, 3),
 nodes AS (SELECT pub, attr, value, votes, bitvector, row_number() OVER (PARTITION BY pub, attr ORDER BY ord) - 1 AS pos FROM grouped)"""
+PLAIN_ATTRS = [a for a in TREE if a not in difftree.ID_ATTRIBUTES]
 
 
 def tree_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("pub"), F.col("event_type").alias("url"), F.col("event_id").alias("seq"), F.col("props").alias("title"), F.floor(F.col("value") / 20).cast("bigint").cast("string").alias("pages"), (F.col("event_id") % 7).cast("string").alias("number"))
+    one = lambda x: F.expr(tree_value("", x))
+    cols = [(F.array(*map(one, xs)) if len(xs) > 1 else one(xs[0])).alias(attr) for attr, xs in TREE.items()]
+    return table(spark, d, "events").select(F.col("user_id").alias("pub"), F.col("event_type").alias("url"), F.col("event_id").alias("seq"), *cols)
 
 
 def trees(spark: SparkSession, d: str) -> DataFrame:
-    return difftree.merge(tree_rows(spark, d), "pub", "url", "seq", TREE_ATTRS)
+    return difftree.merge(tree_rows(spark, d), "pub", "url", "seq")
 
 
 @query(f"WITH {TREE_SQL} SELECT pub, attr, pos, value, votes, bitvector FROM nodes")
@@ -773,9 +790,9 @@ def difftree_merge(spark, d):
     return difftree.nodes(trees(spark, d)).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
 
 
-@query(f"WITH {TREE_SQL} SELECT pub, max(value) FILTER (attr = 'title') AS title, max(value) FILTER (attr = 'pages') AS pages, max(value) FILTER (attr = 'number') AS number FROM nodes WHERE pos = 0 GROUP BY 1")
+@query(f"WITH {TREE_SQL} SELECT pub, {', '.join(f"max(value) FILTER (attr = '{a}') AS {a}" for a in PLAIN_ATTRS)} FROM nodes WHERE pos = 0 GROUP BY 1")
 def difftree_defaults(spark, d):
-    return difftree.defaults(trees(spark, d), TREE_ATTRS)
+    return difftree.defaults(trees(spark, d))
 
 
 @query("WITH " + TREE_SQL + " SELECT m.pub, m.url, m.attr, string_agg(m.value, '|' ORDER BY n.pos) AS vals FROM (SELECT DISTINCT pub, url, attr, value FROM melted WHERE value IS NOT NULL) m JOIN nodes n USING (pub, attr, value) GROUP BY 1, 2, 3")
@@ -800,7 +817,7 @@ def difftree_insert(spark, d):
     rows = tree_rows(spark, d)
     mid = rows.agg(F.expr("percentile_approx(seq, 0.5)").alias("m"))
     early, late = (rows.join(F.broadcast(mid), F.col("seq") <= F.col("m") if first else F.col("seq") > F.col("m")).drop("m") for first in (True, False))
-    t = difftree.insert(difftree.merge(early, "pub", "url", "seq", TREE_ATTRS), late, "pub", "url", "seq", TREE_ATTRS)
+    t = difftree.insert(difftree.merge(early, "pub", "url", "seq"), late, "pub", "url", "seq")
     return difftree.nodes(t).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
 
 

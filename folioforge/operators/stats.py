@@ -112,6 +112,17 @@ def quality_measures(counts: DataFrame, missed: int | None = 63) -> DataFrame:
     return n.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+def quality_sweep(truth: DataFrame, scored: DataFrame, on: list[str], score: str, thresholds: list[int], missed: int | None = 63) -> DataFrame:
+    """(threshold, tp, fp, missing, precision, recall, f1): how good the links are
+    whose best score reaches each threshold. One pass over the links."""
+    t = truth.select(*on).distinct().withColumn("_t", F.lit(True))
+    p = scored.groupBy(*on).agg(F.max(score).alias("_s")).join(t, on, "full_outer")
+    reached = lambda x: F.coalesce(F.col("_s") >= x, F.lit(False))
+    known = F.col("_t").isNotNull()
+    counts = [F.struct(F.lit(x).cast("long").alias("threshold"), F.count_if(reached(x) & known).alias("tp"), F.count_if(reached(x) & ~known).alias("fp"), F.count_if(~reached(x) & known).alias("missing")) for x in thresholds]
+    return quality_measures(p.agg(F.array(*counts).alias("c")).select(F.inline("c")), missed)
+
+
 def kinds_by_year(rows: DataFrame, year: str, kind: str, kinds: dict[str, str]) -> DataFrame:
     """(year, a column for each of kinds): how many rows of each kind a year has."""
     return rows.groupBy(year).agg(*[F.count_if(F.col(kind) == value).alias(name) for name, value in kinds.items()])
