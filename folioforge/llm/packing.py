@@ -86,7 +86,7 @@ def keys(coords: np.ndarray, cuts: np.ndarray, doc_ids: list) -> np.ndarray:
     return hilbert(cells) << SALT_BITS | np.array([salt(i) for i in doc_ids], dtype=np.int64)
 
 
-def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, max_sample: int = 8192, partitions: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1, max_sample: int = 4096, partitions: int | None = None) -> DataFrame:
     """One row per piece: (id_col, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, ids).
 
@@ -114,7 +114,8 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
                 ids = [np.frombuffer(x, dtype="<u2") for x in compiled(vocab).encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) + 1 for x in ids], type=pa.int64()), pa.array([project(x).tolist() for x in ids], type=pa.list_(pa.float64()))], names=["id", "n", "x"])
 
-    sample = picked.mapInArrow(coords, "id long, n long, x array<double>").limit(2 * wanted).toPandas()
+    # Ordered, so that the bound holds in one job: each task keeps its first rows only.
+    sample = picked.mapInArrow(coords, "id long, n long, x array<double>").orderBy(F.xxhash64("id", "n"), "id", "n").limit(2 * wanted).toPandas()
     most = total * float(sample["n"].mean()) / RANGE if len(sample) else 0
     n = partitions or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(most))
     if len(sample):

@@ -183,8 +183,9 @@ class WordBPE:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        self.most_words, self.words, self.odd = most_words, {}, set()
+        self.most_words, self.odd = most_words, set()
         self.number, self.counts = Numbers(), np.zeros(0, dtype=np.int64)
+        self.known, self.length, self.start, self.flat = Numbers(), *self.nothing()
         self.library = Tokenizer.from_file(path)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -240,13 +241,6 @@ class WordBPE:
             rank[inside] = self._ranks(sym[inside], sym[inside + 1])
         return tuple(np.concatenate([d[i] for d in done]) for i in (0, 1))
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each word, all words together."""
-        sym, word = self.merged(words)
-        order = np.argsort(word, kind="stable")
-        flat, ends = sym[order].astype("<u2").tobytes(), np.cumsum(np.bincount(word, minlength=len(words)))
-        return [flat[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
     def parts(self, texts: list[str | None]) -> tuple[list[str], list[int]]:
         """Normalised texts, cut at special strings, and whose each part is; a
         special string's part has the owner -i - 1."""
@@ -267,7 +261,8 @@ class WordBPE:
         ``odd``."""
         plain = ["" if o < 0 else p for p, o in zip(parts, owner, strict=True)]
         joined = " " + " ".join(plain) + " "
-        classes = char_class()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        classes = char_class()[codes]
         unknown = np.flatnonzero(classes == C_UNKNOWN)
         classes[unknown] = C_OTHER
         starts = np.flatnonzero(word_starts(classes))
@@ -275,43 +270,44 @@ class WordBPE:
         words, ends = starts[some], np.append(starts[1:], len(classes))[some]
         bounds = np.cumsum([1, *(1 + len(p) for p in plain)])
         self.odd = {owner[k] if owner[k] >= 0 else -owner[k] - 1 for k in np.searchsorted(bounds, unknown, side="right") - 1}
-        return [joined[s:e] for s, e in zip(words.tolist(), ends.tolist(), strict=True)], ends, bounds, len(classes)
+        # All words are cut out at once: their characters alone, with a blank before each.
+        inside = classes != C_SPACE
+        spaced = np.insert(codes[inside], (np.cumsum(inside) - 1)[words], 32)
+        return spaced.tobytes().decode("utf-32-le", "surrogatepass").split(" ")[1:], ends, bounds, len(classes)
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these words one after the other, and how many each has.
+        Known words are kept up to a bound, then all are forgotten, which costs time
+        only."""
+        if len(self.known) > self.most_words:
+            self.known, self.length, self.start, self.flat = Numbers(), *self.nothing()
+        numbers, new = self.known.of(words)
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            sym, word = self.merged(part)
+            size = np.bincount(word, minlength=len(part))
+            self.start = np.concatenate([self.start, np.cumsum(size) - size + len(self.flat)])
+            self.length = np.concatenate([self.length, size])
+            self.flat = np.concatenate([self.flat, sym[np.argsort(word, kind="stable")].astype(np.uint16)])
+        size = self.length[numbers]
+        return self.flat[np.repeat(self.start[numbers] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
+
+    @staticmethod
+    def nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint16)
 
-    def split(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text; a special string stands as a word of its own."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 16-bit integers."""
         parts, owner = self.parts(texts)
         words, closes, bounds, _ = self.closed(parts, owner)
-        cut = np.searchsorted(closes, bounds).tolist()
-        out: list[list[str]] = [[] for _ in texts]
+        flat, size = self.ids_of(words)
+        cuts = (2 * np.concatenate([[0], np.cumsum(size)])[np.searchsorted(closes, bounds)]).tolist()
+        data, out = flat.astype("<u2").tobytes(), [b""] * len(texts)
         for k, (p, o) in enumerate(zip(parts, owner, strict=True)):
             if o < 0:
-                out[-o - 1].append(p)
+                out[-o - 1] += np.array([self.special[p]], dtype="<u2").tobytes()
             else:
-                own = words[cut[k] : cut[k + 1]]
-                out[o] = out[o] + own if out[o] else own
-        return out
-
-    def learn(self, words: list[list[str]]) -> dict[str, bytes]:
-        """Ids of all these words. Known words are kept up to a bound; then all
-        are forgotten, which costs time only."""
-        new = set().union(*words) - self.words.keys()
-        if len(self.words) + len(new) > self.most_words:
-            self.words = {}
-            new = set().union(*words)
-        plain = [w for w in new if w not in self.special]
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
-            self.words.update(zip(part, self.encode_words(part), strict=True))
-        self.words.update({w: np.array([self.special[w]], dtype="<u2").tobytes() for w in new if w in self.special})
-        return self.words
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 16-bit integers."""
-        words = self.split(texts)
-        for i in self.odd:
-            words[i] = []
-        get = self.learn(words).__getitem__
-        out = [b"".join(map(get, w)) for w in words]
+                out[o] = out[o] + data[cuts[k] : cuts[k + 1]] if out[o] else data[cuts[k] : cuts[k + 1]]
         for i in self.odd:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype="<u2").tobytes()
         return out

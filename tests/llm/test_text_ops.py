@@ -508,7 +508,7 @@ def test_counts_are_emitted_by_closing_transitions(docs, library, monkeypatch):
     w = wordbpe.compiled(WORD_BPE)
     texts = [r["text"] for r in docs.select("text").collect()]
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
-    monkeypatch.setattr(w, "encode_words", None)  # no ids are made
+    monkeypatch.setattr(w, "ids_of", None)  # no ids are made
     for chunk in (1, 7, 64, wordbpe.CHUNK):
         monkeypatch.setattr(wordbpe, "CHUNK", chunk)
         some = slice(0, 40 if chunk < 64 else None)
