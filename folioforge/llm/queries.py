@@ -16,8 +16,11 @@ from .packing import pack
 from .quality import classify_quality
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .spelling import ORACLE as SPELLING_ORACLE
+from .spelling import spelling_variants
 from .token_count import count_tokens
 from .vector_dedup import vector_components
+from .whitening import whiten
 
 #: Where the tokenizers' vocabulary files are; never copied.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -64,13 +67,21 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_site_quality, op2_language_mixture, op3_hilbert_packing, op4_cross_polytope_components, op5_secret_scan,
-        op6_simhash_components, op7_nbest_pieces, op8_posting_list_neighbours, op9_license_scan, op10_token_count,
+        op6_simhash_components, op7_nbest_pieces, op8_posting_list_neighbours, op9_license_scan, op10_token_count, op12_tsqr_whitening, op13_anagram_variants,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_anagram_variants": SPELLING_ORACLE}
