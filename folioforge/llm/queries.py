@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .common import table
+from .completion import pack_best
 from .langid import identify
 from .licenses import scan_licenses
 from .nbest import segment
@@ -24,6 +25,7 @@ from .whitening import whiten
 
 #: Where the tokenizers' vocabulary files are; never copied.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -67,6 +69,10 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best(table(spark, sf_dir, "documents"), BYTE_BPE).drop("ids")
+
+
 def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -78,7 +84,7 @@ def op13_anagram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_site_quality, op2_language_mixture, op3_hilbert_packing, op4_cross_polytope_components, op5_secret_scan,
-        op6_simhash_components, op7_nbest_pieces, op8_posting_list_neighbours, op9_license_scan, op10_token_count, op12_tsqr_whitening, op13_anagram_variants,
+        op6_simhash_components, op7_nbest_pieces, op8_posting_list_neighbours, op9_license_scan, op10_token_count, op11_bin_completion, op12_tsqr_whitening, op13_anagram_variants,
     )
     return {f.__name__: f for f in every}
 
