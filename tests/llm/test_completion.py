@@ -63,7 +63,7 @@ def test_search_beats_best_fit():
 
 def test_bound_and_dominance():
     assert completion.least_bins(np.bincount([700] * 1000, minlength=2049)) == 500
-    assert completion.dominates([7, 4], [5, 4, 2]) and not completion.dominates([7, 4], [4, 4, 3]) and completion.dominates([3], [])
+    assert completion.dominates([7, 4], [5, 4, 2]) and not completion.dominates([6, 5], [4, 4, 3]) and completion.dominates([3], [])
     assert not completion.dominates([5, 5], [6])
 
 
