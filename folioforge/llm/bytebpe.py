@@ -43,7 +43,10 @@ class ByteBPE:
         if self.ranked is None:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
         allowed = "all" if any(s in text for s in self.special) else set()
-        return self.ranked.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype(self.dtype)
+        try:
+            return self.ranked.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype(self.dtype)
+        except ValueError:  # very long white space is beyond its pattern's stack
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
 
 @lru_cache(maxsize=2)

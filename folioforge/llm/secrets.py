@@ -31,8 +31,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key)"
 CONTEXT = re.compile(
     rf"""(?ai)(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z]))){NAME}"""
-    r"""(?:["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)|(?<=bearer)\x20+)["']?([^\s"'<>,;]{6,})"""
+    r"""(?:["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)|(?<=bearer)\x20+)["']?(?=[^\s"'<>,;]{6})"""
 )
+#: A value goes on to the next of these.
+RUN = re.compile(r"""[^\s"'<>,;]*""")
 NAMED = re.compile(rf"(?ai){NAME}(?![a-z0-9])")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -92,73 +94,102 @@ def sequence_cost(n: int) -> float:
     return math.log10(62 * 2 * n)
 
 
+class Costs:
+    """Guess costs of all suffixes of one value, which share their tables."""
+
+    def __init__(self, value: str, ranks: Ranks) -> None:
+        self.value, self.ranks = value, ranks
+        self.low = "".join(c.lower()[0] for c in value)  # one character each
+        self.plain = self.low.translate(LEET)
+        self.kinds = [0] * (len(value) + 1)  # which character sets a suffix has
+        for i in range(len(value) - 1, -1, -1):
+            c = value[i]
+            self.kinds[i] = self.kinds[i + 1] | c.islower() | c.isupper() << 1 | c.isdigit() << 2 | (not c.isalnum()) << 3
+        self.blocks: dict[str, float] = {}
+        self.made: dict[int, tuple[list[float], list[tuple[str, int]]]] = {}
+
+    def of(self, start: int = 0) -> float:
+        """log10 of the guesses of the cheapest segmentation from start to the end."""
+        return self._table(start)[0][start]
+
+    def spans(self) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of the cheapest segmentation of the whole value."""
+        out, i, (_, on) = [], 0, self._table(0)
+        while i < len(self.value):
+            kind, j = on[i]
+            out.append((kind, i, j))
+            i = j
+        return out
+
+    def _table(self, start: int) -> tuple[list[float], list[tuple[str, int]]]:
+        """Suffixes with the same character sets differ in where they begin only, so
+        a value has a few tables, however many starts are asked for."""
+        kind = self.kinds[start]
+        if kind not in self.made:
+            self.made[kind] = self._fill(self.kinds.index(kind), math.log10(_charset(self.value[start:])) if start < len(self.value) else 0.0)
+        return self.made[kind]
+
+    def _fill(self, first: int, per_char: float) -> tuple[list[float], list[tuple[str, int]]]:
+        value, low, plain, ranks = self.value, self.low, self.plain, self.ranks
+        n = len(value)
+        best, brute = [math.inf] * n + [0.0], [math.inf] * (n + 1)
+        on: list[tuple[str, int]] = [("", n)] * (n + 1)
+        until = [n] * (n + 1)  # where the brute-force span ends that begins here cheapest
+        alike = [0] * (BLOCK + 1)  # how many characters from here equal those a block after
+        walk = line = n  # where the walk and the sequence that begin here end
+        way: tuple[int, int] | None = None
+        step = 0
+        for i in range(n - 1, first - 1, -1):
+            c = low[i]
+            if i + 1 < n:
+                p = low[i + 1]
+                at, after = PLACE.get(c), PLACE.get(p)
+                now = (after[0] - at[0], after[1] - at[1]) if at and after else None
+                if now is None or now == (0, 0) or max(map(abs, now)) > 1:
+                    walk, way = i + 1, None
+                elif way is not None and now[0] * way[0] + now[1] * way[1] < 0:
+                    walk, way = i + 2, now
+                else:
+                    way = now
+                d = ord(p) - ord(c)
+                if abs(d) != 1 or not (c.isalnum() and p.isalnum()):
+                    line, step = i + 1, 0
+                elif d != step:
+                    line, step = i + 2, d
+            new, further = best[i + 1] + START + per_char, brute[i + 1] + per_char
+            brute[i], until[i] = (further, until[i + 1]) if further <= new else (new, i + 1)
+            found = [(brute[i], "brute", until[i])]
+            if m := DATE.match(value, i):
+                found.append((best[m.end()] + date_cost(m.end() - i), "date", m.end()))
+            for size in range(1, min(BLOCK, n - i - 1) + 1):
+                alike[size] = alike[size] + 1 if c == low[i + size] else 0
+                times = alike[size] // size + 1
+                if times >= (3 if size == 1 else 2):
+                    block = value[i : i + size]
+                    if block not in self.blocks:
+                        self.blocks[block] = math.log10(_charset(block)) if size == 1 else guess_cost(block, ranks)[0]
+                    found.append((best[i + times * size] + self.blocks[block] + math.log10(times), "repeat", i + times * size))
+            if walk - i >= 4:
+                found.append((best[walk] + walk_cost(walk - i), "walk", walk))
+            if line - i >= 3:
+                found.append((best[line] + sequence_cost(line - i), "sequence", line))
+            for j in range(i + 3, min(n, i + ranks.longest) + 1):
+                if low[i:j] in ranks or plain[i:j] in ranks:
+                    found.append((best[j] + word_cost(value[i:j], ranks), "word", j))
+            best[i], kind, j = min(found)
+            on[i] = (kind, j)
+        return best, on
+
+
 def guess_cost(value: str, ranks: Ranks) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses of the cheapest segmentation, and its (kind, start, end).
 
-    Walks, sequences and repeats that end at a place begin as far left as they
+    Walks, sequences and repeats that begin at a place end as far right as they
     go. A repeat is three or more of one character or whole blocks of up to BLOCK
     characters, twice or more, and costs its block and their number.
     """
-    n, low = len(value), "".join(c.lower()[0] for c in value)  # one character each
-    plain = low.translate(LEET)
-    per_char = math.log10(_charset(value)) if n else 0.0
-    best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
-    back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    since = [0] * (n + 1)  # where the brute-force span begins that ends here cheapest
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if m := DATE.match(value, i):
-            dates.setdefault(m.end(), []).append(i)
-    alike = [0] * (BLOCK + 1)  # how many characters up to here equal those a block before
-    blocks: dict[str, float] = {}
-    walk = line = 0  # where the walk and the sequence that end here begin
-    way: tuple[int, int] | None = None
-    step = 0
-    for j in range(1, n + 1):
-        c = low[j - 1]
-        if j > 1:
-            p = low[j - 2]
-            at, before = PLACE.get(c), PLACE.get(p)
-            now = (at[0] - before[0], at[1] - before[1]) if at and before else None
-            if now is None or now == (0, 0) or max(map(abs, now)) > 1:
-                walk, way = j - 1, None
-            elif way is not None and now[0] * way[0] + now[1] * way[1] < 0:
-                walk, way = j - 2, now
-            else:
-                way = now
-            d = ord(c) - ord(p)
-            if abs(d) != 1 or not (c.isalnum() and p.isalnum()):
-                line, step = j - 1, 0
-            elif d != step:
-                line, step = j - 2, d
-        new, on = best[j - 1] + START + per_char, brute[j - 1] + per_char
-        brute[j], since[j] = (on, since[j - 1]) if on <= new else (new, j - 1)
-        found = [(brute[j], "brute", since[j])]
-        for i in dates.get(j, ()):
-            found.append((best[i] + date_cost(j - i), "date", i))
-        for size in range(1, min(BLOCK, j - 1) + 1):
-            alike[size] = alike[size] + 1 if c == low[j - 1 - size] else 0
-            times = alike[size] // size + 1
-            if times >= (3 if size == 1 else 2):
-                i, block = j - times * size, value[j - size : j]
-                if block not in blocks:
-                    blocks[block] = math.log10(_charset(block)) if size == 1 else guess_cost(block, ranks)[0]
-                found.append((best[i] + blocks[block] + math.log10(times), "repeat", i))
-        if j - walk >= 4:
-            found.append((best[walk] + walk_cost(j - walk), "walk", walk))
-        if j - line >= 3:
-            found.append((best[line] + sequence_cost(j - line), "sequence", line))
-        for i in range(max(0, j - ranks.longest), j - 2):
-            if low[i:j] in ranks or plain[i:j] in ranks:
-                found.append((best[i] + word_cost(value[i:j], ranks), "word", i))
-        best[j], kind, i = min(found)
-        back[j] = (kind, i)
-    spans, j = [], n
-    while j:
-        kind, i = back[j]
-        spans.append((kind, i, j))
-        j = i
-    return best[n], spans[::-1]
+    costs = Costs(value, ranks)
+    return costs.of(), costs.spans()
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -172,13 +203,19 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 def guess_spans(text: str, ranks: Ranks, least: float) -> list[tuple[int, int, float]]:
     """Credential-context values whose guess cost is at least ``least``. A value that
-    is or begins with a context name is scanned for a context of its own."""
-    out, at = [], 0
+    is or begins with a context name is scanned for a context of its own; such values
+    end with the same run of characters and share its tables, so the time is in
+    proportion to the text."""
+    out, at, stop, costs, base = [], 0, -1, None, 0
     while m := CONTEXT.search(text, at):
-        cost, _ = guess_cost(m[1].rstrip(".)]}"), ranks)
-        if cost >= least:
-            out.append((m.start(1), m.start(1) + len(m[1].rstrip(".)]}")), cost))
-        at = m.start(1) if NAMED.match(m[1]) else m.end()
+        start = m.end()
+        if start >= stop:
+            stop = RUN.match(text, start).end()
+            run = text[start:stop].rstrip(".)]}")
+            costs, base = Costs(run, ranks), start
+        if start <= base + len(costs.value) and (cost := costs.of(start - base)) >= least:
+            out.append((start, base + len(costs.value), cost))
+        at = start if NAMED.match(text, start) else stop
     return out
 
 

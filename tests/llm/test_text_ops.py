@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -272,18 +273,18 @@ def plain_atoms(value, s, e, ranks):
     if secrets.DATE.match(value, s) and secrets.DATE.match(value, s).end() == e:
         yield secrets.date_cost(n)
     for size in range(1, min(16, n // 2) + 1):
-        times, block = n // size, low[e - size : e]
+        times, block = n // size, low[s : s + size]
         whole = n % size == 0 and low[s:e] == block * times
-        if whole and times >= (3 if size == 1 else 2) and low[max(0, s - size) : s] != block:
-            yield (np.log10(secrets._charset(value[e - size : e])) if size == 1 else plain_guess_cost(value[e - size : e], ranks)) + np.log10(times)
+        if whole and times >= (3 if size == 1 else 2) and low[e : e + size] != block:
+            yield (np.log10(secrets._charset(value[s : s + size])) if size == 1 else plain_guess_cost(value[s : s + size], ranks)) + np.log10(times)
     steps = [adjacent(a, b) for a, b in itertools.pairwise(low)]
     turns = lambda i: i > 0 and steps[i - 1] and steps[i] and steps[i][0] * steps[i - 1][0] + steps[i][1] * steps[i - 1][1] < 0
     inside = range(s, e - 1)
-    longer = s > 0 and steps[s - 1] and n > 1 and not turns(s)
+    longer = e < len(low) and steps[e - 1] and n > 1 and not turns(e - 1)
     if n >= 4 and all(steps[i] for i in inside) and not any(turns(i) for i in inside if i > s) and not longer:
         yield secrets.walk_cost(n)
     moves = [ord(b) - ord(a) if a.isalnum() and b.isalnum() and abs(ord(b) - ord(a)) == 1 else 0 for a, b in itertools.pairwise(low)]
-    if n >= 3 and moves[s] and len({moves[i] for i in inside}) == 1 and not (s > 0 and moves[s - 1] == moves[s]):
+    if n >= 3 and moves[s] and len({moves[i] for i in inside}) == 1 and not (e < len(low) and moves[e - 1] == moves[s]):
         yield secrets.sequence_cost(n)
 
 
@@ -309,6 +310,24 @@ def test_guess_cost_of_random_values():
         assert secrets.guess_cost(value, ranks)[0] == pytest.approx(plain_guess_cost(value, ranks)), value
 
 
+def test_guess_cost_of_every_suffix():
+    """The tables that suffixes share give each what it costs alone."""
+    ranks = secrets.word_ranks(WORD_BPE)
+    for value in ("Token=Secret=passpasspass2001-07-04qwertyX9", "ABCabc123123!!!", "token=token=token=aaaa", "x"):
+        costs = secrets.Costs(value, ranks)
+        assert [costs.of(i) for i in range(len(value))] == [secrets.guess_cost(value[i:], ranks)[0] for i in range(len(value))]
+
+
+@pytest.mark.parametrize("unit", ["token=", "password=password=", "secret:x1 ", "Token=aB3$", "password=aaaaaaaaaaaa"])
+def test_repeated_contexts_take_linear_time(unit):
+    """A hundred thousand characters of contexts within contexts."""
+    ranks, text = secrets.word_ranks(WORD_BPE), (unit * 20_000)[:100_000] + "Zq9!xK#2vw"
+    began = time.process_time()
+    spans = secrets.guess_spans(text, ranks, 8.0)
+    assert time.process_time() - began < 60
+    assert all(e <= len(text) and c >= 8.0 for _, e, c in spans)
+
+
 def plain_base(text):
     """The base rules as the contract has them, by a plain scan for each kind."""
     found = []
