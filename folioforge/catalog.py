@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text, values
-from .operators import difftree, fts, match, stats, upsert
+from .operators import difftree, fts, match, sequence, stats, upsert
 from .plans import canonical, serve
 from .schemas import RAW_DUMP
 from .streaming import harvest
@@ -419,6 +419,31 @@ def title_match_decision(spark, d):
     return match.decide_title(titles, "p_partkey", match.title_candidates(titles, "p_partkey", "title", known), pubs)
 
 
+BATCH_SQL = f"""q AS (SELECT doc_id, {sql_title('substr(text, 1, 60)')} AS name FROM documents),
+cl AS (SELECT name, min(doc_id) AS born, row_number() OVER (ORDER BY min(doc_id)) AS k FROM q WHERE name <> '' GROUP BY 1),
+w0 AS (SELECT k, unnest(string_split(name, ' ')) AS w, generate_subscripts(string_split(name, ' '), 1) AS i FROM cl), w1 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY length(w) DESC, i DESC) AS r FROM w0 WHERE w NOT IN ({STOP_SQL})),
+plain AS (SELECT k FROM cl WHERE k NOT IN (SELECT k FROM w1 WHERE r <= 3 AND length(w) >= 4)), asked AS (SELECT DISTINCT k, w FROM w1 WHERE r <= 3 AND k NOT IN (FROM plain) UNION SELECT k, w FROM w0 WHERE k IN (FROM plain)),
+met AS (SELECT DISTINCT a.k, b.k AS other FROM asked a JOIN w0 b USING (w) WHERE a.k <> b.k), near AS (SELECT met.k, other FROM met JOIN cl x USING (k) JOIN cl y ON y.k = other WHERE {sql_similarity('x.name', 'y.name')} >= 80),
+prior AS (SELECT k, list(other) AS others FROM near GROUP BY 1),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS made UNION ALL SELECT cl.k, CASE WHEN list_has_any(made, coalesce(others, [])) THEN made ELSE list_append(made, cl.k) END FROM walk JOIN cl ON cl.k = walk.k + 1 LEFT JOIN prior ON prior.k = cl.k),
+made AS (SELECT name, born, k FROM cl WHERE k IN (SELECT unnest(made) FROM (SELECT made FROM walk ORDER BY k DESC LIMIT 1))),
+hits AS (SELECT q.doc_id, q.name, own.born AS own, count(m.k) AS n, min(m.born) AS hit FROM q LEFT JOIN made own ON own.name = q.name AND own.born < q.doc_id LEFT JOIN cl ON cl.name = q.name LEFT JOIN near ON near.k = cl.k LEFT JOIN made m ON m.k = near.other AND m.born < q.doc_id GROUP BY 1, 2, 3)"""
+
+
+@query(
+    f"""WITH RECURSIVE {BATCH_SQL} SELECT doc_id, CASE WHEN own IS NULL AND n > 1 THEN 'LIMBO' ELSE 'SAFE' END AS status, CASE WHEN own IS NOT NULL OR n = 1 THEN 'SINGLE_MATCH' WHEN n = 0 THEN 'NO_MATCH' ELSE 'MULTI_MATCH' END AS match,
+    CASE WHEN own IS NOT NULL THEN own WHEN n = 1 THEN hit END AS hit FROM hits"""
+)
+def ingest_batch(spark, d):
+    """What each of the documents, by their first 60 characters, becomes when all come in one batch: a new cluster, a match with one of an earlier document, or ambiguous."""
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("url_id"), F.coalesce(text.normalize_title(F.substring("text", 1, 60)), F.lit("")).alias("name"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    who = none("url_id long, priority int, original_name string, parsed_name string, normal string")
+    titles, _ = sequence.Batch(records, who, none("id long, name string"), none("cluster_id long"), none("id long, block_name string"), none("alias string, id long")).resolve()
+    made = records.groupBy(F.xxhash64("name").alias("id")).agg(F.min("url_id").alias("hit"))
+    return titles.join(made, "id", "left").select(F.col("url_id").alias("doc_id"), "status", "match", "hit")
+
+
 @query(
     f"""WITH c AS (SELECT {sql_title('p_name')} AS name, min(p_partkey) AS id FROM part GROUP BY 1), q AS (SELECT p_partkey, {sql_title("CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || 's' END")} AS name FROM part),
     pubs AS (SELECT c.id, count(*) AS pubs FROM part p JOIN c ON c.name = {sql_title('p.p_name')} WHERE p_size = 1 GROUP BY 1)

@@ -25,7 +25,7 @@ def create_authors(matches: DataFrame, rows: DataFrame, authors: DataFrame, key:
     """
     safe = rows.join(matches.where("status = 'SAFE'").select(*key, "match", F.col("id").alias("hit")), key)
     named = safe.withColumn("author_id", F.when(F.col("match") == NO_MATCH, F.xxhash64("normal")).otherwise(F.col("hit")))
-    new = named.where(F.col("match") == NO_MATCH).groupBy("author_id", F.col("normal").alias("block_name")).agg(F.min("parsed_name").alias("main_name"))
+    new = named.where(F.col("match") == NO_MATCH).groupBy("author_id", F.col("normal").alias("block_name")).agg(F.min_by("parsed_name", F.struct(*key)).alias("main_name"))
     new = insert_absent(authors, new.select(F.col("author_id").alias("id"), "main_name", "block_name"), ["id"])
     aliases = named.select("author_id", F.explode(F.array_distinct(F.array("original_name", "parsed_name"))).alias("alias"), "url_id").distinct()
     edges = named.groupBy("url_id", "author_id").agg(F.min("priority").alias("priority"))

@@ -1,9 +1,8 @@
 """Ingestion of a batch of canonical records into the integrated store.
 
-Every record of a batch sees the store before the batch; records of equal
-normalised titles in a batch collapse into one cluster, which recovers most of
-what record-at-a-time ingestion would see. With batches of one record the
-result is the sequential one.
+Every record sees the store and the records before it in its batch, in the order
+of record ids (see operators.sequence): one batch gives the store that batches of
+one record give.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
-from ..operators import difftree, entities, match, upsert
+from ..operators import difftree, entities, match, sequence, upsert
 from ..schemas import SEED_TYPES
 from ..storage import written
 from .canonical import REGISTRY
@@ -127,12 +126,9 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
     fresh = match.skip_known(rows, store["source_records"], ["source", "local_url"])
     fresh = written(fresh.withColumn("title", F.col("publication.title")).withColumn("name", normalize_title("title")), "fresh")
 
-    found = match.title_candidates(fresh, "url_id", "title", store["clusters"])
-    titles = written(match.decide_title(fresh, "url_id", found, store["publications"]), "titles")
     who = written(entities.exploded_authors(fresh), "names")
-    keyed = who.withColumn("key", F.struct("url_id", "priority"))
-    people = match.match_authors(keyed, "key", "original_name", "normal", store["authors"].select("id", "block_name"), store["author_aliases"].select("alias", F.col("author_id").alias("id")))
-    people = written(people.select("key.url_id", "key.priority", "status", "match", "id", "reason"), "people")
+    aliases = store["author_aliases"].select("alias", F.col("author_id").alias("id"))
+    titles, people = sequence.Batch(fresh.select("url_id", "name"), who, store["clusters"], store["publications"], store["authors"], aliases).resolve()
 
     bad = titles.where("status = 'LIMBO'").select("url_id").union(people.where("status = 'LIMBO'").select("url_id")).distinct()
     bad = written(bad, "bad")
@@ -185,7 +181,7 @@ def _named(rows: DataFrame, key: str, known: DataFrame, aliases: DataFrame) -> t
     # A block that nobody has gets one entity; where several share it, a name that the ladder cannot place gets its own.
     own = F.xxhash64("block_name", F.when(F.col("blocks") > 1, F.col("name_")))
     made = found.withColumn("block_name", normalize_title("name_")).withColumn("id", F.coalesce("id", F.when(F.col("how") == "create", own)))
-    new = made.where("how = 'create'").groupBy("id", "block_name").agg(F.min("name_").alias("main_name"))
+    new = made.where("how = 'create'").groupBy("id", "block_name").agg(F.min_by("name_", F.struct(key, "name_")).alias("main_name"))
     new = upsert.insert_absent(known, new, ["id"])
     links = made.select("id", F.col("name_").alias("alias")).distinct()
     return new, upsert.insert_absent(aliases, links, ["id", "alias"]), made.select(key, "id")
