@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text, values
-from .operators import difftree, fts, match, sequence, stats, upsert
+from .operators import difftree, fts, match, postings, sequence, stats, upsert
 from .plans import canonical, serve
 from .schemas import RAW_DUMP
+from .storage import scratch
 from .streaming import harvest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,6 +377,28 @@ def fts_ranked(spark, d):
     return found.select("item_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+def indexed(spark: SparkSession, d: str) -> postings.PostingIndex:
+    """A positional index of the documents, appended in two batches."""
+    docs, index = table(spark, d, "documents"), postings.PostingIndex(spark, scratch(spark, "index"))
+    for part in (0, 1):
+        index.append(docs.where(F.pmod("doc_id", F.lit(2)) == part), "doc_id", "text")
+    return index
+
+
+@query(ORACLES["fts_operators"])
+def index_search(spark, d):
+    """The searches of fts_operators from postings."""
+    return indexed(spark, d).search_many(list(FTS)).select("query", F.col("key").alias("doc_id"))
+
+
+@query(ORACLES["fts_ranked"])
+def index_ranked(spark, d):
+    """The matches of fts_ranked from postings and kept counts."""
+    asked = table(spark, d, "benchmark").select("item_id", F.split(text.normalize_title("text"), " ").alias("words"))
+    found = indexed(spark, d).best(asked, "item_id", "words", 5)
+    return found.select("item_id", F.col("key").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(text.normalize_title("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
 
@@ -846,6 +869,18 @@ def difftree_insert(spark, d):
     return difftree.nodes(t).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
 
 
+@query(
+    f"""WITH {TREE_SQL}, gone AS (SELECT pub, url FROM places WHERE place = 0 AND pub % 3 = 0), stay AS (SELECT pub, url, row_number() OVER (PARTITION BY pub ORDER BY place) - 1 AS place FROM places WHERE (pub, url) NOT IN (SELECT pub, url FROM gone)),
+    bits AS (SELECT pub, attr, value, bit_or(CAST(1 AS BIGINT) << CAST(place AS INTEGER)) AS bitvector FROM melted JOIN stay USING (pub, url) WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT pub, attr, row_number() OVER (PARTITION BY pub, attr ORDER BY n.pos) - 1 AS pos, value, n.votes, bits.bitvector FROM bits JOIN nodes n USING (pub, attr, value)"""
+)
+def difftree_retract(spark, d):
+    """Trees without the first source of every third record."""
+    t = trees(spark, d)
+    gone = t.where("pub % 3 = 0").select("pub", F.get("url_ids", F.lit(0)).alias("url_id"))
+    return difftree.nodes(difftree.retract(t, gone)).select("pub", "attr", long_("at").alias("pos"), "value", long_("votes").alias("votes"), "bitvector")
+
+
 @query(f"WITH {TREE_SQL} SELECT pub, attr, pos, value, votes, bitvector FROM nodes")
 def difftree_json(spark, d):
     back = difftree.from_json(difftree.to_json(trees(spark, d)), "string")

@@ -64,13 +64,15 @@ def merge(rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str] =
 
 def insert(trees: DataFrame, rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """Trees with the values of more rows: the old tree is read back as rows
-    that arrived before, so that old nodes keep their order; votes stay."""
+    that arrived before, whatever the new rows' seq, so that old nodes keep their
+    order; votes stay."""
+    arrived = lambda generation, at: F.struct(F.lit(generation).alias("generation"), at.cast("long").alias("at")).alias("seq")
     old_nodes = nodes(trees)
     back = old_nodes.withColumn("i", F.explode(bit_indexes("bitvector")))
-    back = back.select("pub", F.get("url_ids", F.col("i")).alias("url_id"), F.lit(-1).cast("long").alias("seq"), "attr", "value", "at")
-    places = trees.select("pub", F.posexplode("url_ids").alias("p", "url_id")).select("pub", "url_id", (F.col("p") - 1_000_000).cast("long").alias("seq"))
-    fresh = melt(rows, pub, url, seq, attributes).withColumn("seq", F.col("seq").cast("long"))
-    arrivals = places.unionByName(rows.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), F.col(seq).cast("long").alias("seq")))
+    back = back.select("pub", F.get("url_ids", F.col("i")).alias("url_id"), arrived(0, F.lit(0)), "attr", "value", "at")
+    places = trees.select("pub", F.posexplode("url_ids").alias("p", "url_id")).select("pub", "url_id", arrived(0, F.col("p")))
+    fresh = melt(rows, pub, url, seq, attributes).withColumn("seq", arrived(1, F.col("seq")))
+    arrivals = places.unionByName(rows.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), arrived(1, F.col(seq))))
     spots = source_bits(arrivals, "pub", "url_id", "seq")
     each = back.unionByName(fresh).join(spots.select("pub", "url_id", bit("place").alias("bit")), ["pub", "url_id"])
     grown = each.groupBy("pub", "attr", "value").agg(F.bit_or("bit").alias("bitvector"), F.min(F.struct("seq", "at")).alias("ord"))
@@ -80,6 +82,23 @@ def insert(trees: DataFrame, rows: DataFrame, pub: str, url: str, seq: str, attr
     return spots.select("pub", "url_ids").distinct().join(attrs, "pub", "left")
 
 
+def retract(trees: DataFrame, gone: DataFrame) -> DataFrame:
+    """Trees without the sources gone(pub, url_id): their bits leave all nodes, nodes
+    that no source is left for leave with their votes, the rest keep their order;
+    the bits of later sources move down. A tree without sources leaves. Sources
+    that a tree does not have are ignored."""
+    lost = gone.select("pub", "url_id").distinct().groupBy("pub").agg(F.collect_set("url_id").alias("_gone"))  # of those a record has, 63 at most
+    kept = trees.select("pub", F.explode("url_ids").alias("url_id")).join(gone.select("pub", "url_id").distinct(), ["pub", "url_id"], "left_semi").select("pub").distinct()
+    there = F.filter(F.sequence(F.lit(0), F.size("url_ids") - 1), lambda i: ~F.array_contains("_gone", F.get("url_ids", i)))
+    # Bit i of what is left stands for the i-th source that stays.
+    moved = lambda v: F.aggregate(F.transform("_there", lambda p, i: F.when(F.getbit(v, p) == 1, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    node = lambda n: F.struct(n["value"].alias("value"), n["votes"].alias("votes"), moved(n["bitvector"]).alias("bitvector"))
+    attrs = F.map_filter(F.transform_values("attrs", lambda _, nodes_: F.filter(F.transform(nodes_, node), lambda n: n["bitvector"] != 0)), lambda _, v: F.size(v) > 0)
+    touched = trees.join(kept, "pub", "left_semi").join(lost, "pub").where(F.size("url_ids") > 0).withColumn("_there", there).where(F.size("_there") > 0)
+    touched = touched.select("pub", F.transform("_there", lambda i: F.get("url_ids", i)).alias("url_ids"), attrs.alias("attrs"))
+    return trees.join(kept, "pub", "left_anti").select("pub", "url_ids", "attrs").unionByName(touched)
+
+
 def nodes(trees: DataFrame) -> DataFrame:
     """(pub, url_ids, attr, at, value, votes, bitvector): trees unnested."""
     each = trees.select("pub", "url_ids", F.explode("attrs").alias("attr", "list"))

@@ -136,10 +136,10 @@ def token_weights(index: DataFrame, key: str) -> DataFrame:
 COMMON = 0.01
 
 
-def best_matches(queries: DataFrame, qkey: str, qtokens: str, index: DataFrame, key: str, total: int, limit: int | None = 5) -> DataFrame:
+def best_matches(queries: DataFrame, qkey: str, qtokens: str, index: DataFrame, key: str, total: int, limit: int | None = 5, weights: DataFrame | None = None) -> DataFrame:
     """(qkey, key, score, rank): index entries that share a token with a query,
     by the sum of log(1 + total / df) of the shared tokens; ties by key. limit
-    None keeps all, without ranks.
+    None keeps all, without ranks. weights(token, df) are counted where not given.
 
     Common tokens meet most entries and say little. So entries are first scored by
     a query's other tokens. Where the ``limit``-th of them scores more than all
@@ -148,7 +148,7 @@ def best_matches(queries: DataFrame, qkey: str, qtokens: str, index: DataFrame,
     queries are joined with all their tokens.
     """
     index = written(index.select("token", key), "index")
-    weights = token_weights(index, key).withColumn("w", F.log(1 + F.lit(total) / F.col("df")))
+    weights = (token_weights(index, key) if weights is None else weights).withColumn("w", F.log(1 + F.lit(total) / F.col("df")))
     asked = queries.select(qkey, F.explode(F.array_distinct(qtokens)).alias("token")).join(weights, "token")
     if limit is None:
         return asked.join(index, "token").groupBy(qkey, key).agg(F.round(F.sum("w"), 6).alias("score"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key. An aggregate, combined before the shuffle."""
@@ -50,9 +52,25 @@ def numbered(rows: DataFrame, keys: list[str], start: int = 0, name: str = "id")
 
 
 def running_index(rows: DataFrame, partition: list[str], order: list[Column], step: int = 500) -> DataFrame:
-    """Bucket of every ``step`` rows of a partition, in order."""
-    n = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
-    return rows.withColumn("bucket", F.floor((n - 1) / step) * step)
+    """Bucket of every ``step`` rows of a partition, in order; rows of equal order are
+    told apart by a hash of all their columns.
+
+    No task sorts a whole partition: rows are dealt to ranges of (partition, order),
+    counted by range, and numbered in their range from the counts before it. The
+    ranges are a written table, so that they stay as they were counted.
+    """
+    order = [*order, F.xxhash64(*rows.columns)]
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = rows.withColumns(dict(zip(names, order, strict=True)))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(keyed.repartitionByRange(n, *partition, *names).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*partition, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*partition).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(partition)], F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(partition)]
+    numbered_ = dealt.withColumn("__i", F.row_number().over(W.partitionBy("__range", *partition).orderBy(*names)))
+    numbered_ = numbered_.join(counts, [F.col("__range") == F.col("__r"), *same])
+    return numbered_.select(*rows.columns, (F.floor((F.col("__before") + F.col("__i") - 1) / step) * step).alias("bucket"))
 
 
 def times_by_bucket(rows: DataFrame, partition: list[str], order: list[Column], seconds: str, step: int = 500) -> DataFrame:

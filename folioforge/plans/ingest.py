@@ -7,17 +7,17 @@ one record give.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
 from ..operators import difftree, entities, match, sequence, upsert
 from ..schemas import SEED_TYPES
-from ..storage import written
+from ..storage import claim, names_in, written
 from .canonical import REGISTRY
 
 STORE_SCHEMAS = {
@@ -34,6 +34,7 @@ STORE_SCHEMAS = {
     "keyword_edges": "url_id long, keyword_id long",
     "values": "pub long, url_id long, seq long, attr string, value string, place int",
     "limbo": "source string, local_url string, title string, reason string",
+    "tombstones": "url_id long, at long",
     "limbo_authors": "source string, local_url string, priority int, name string, reason string",
 }
 
@@ -42,9 +43,11 @@ STORE_SCHEMAS = {
 class Store:
     """The integrated store as named DataFrames.
 
-    On disk a batch is a partition of every table, and counts only once its
-    number is in ``commits``: a save that breaks off leaves the store as it was,
-    and the next one overwrites what it left. Only new rows are written.
+    On disk a batch is a folder of every table, with a name of its own, and counts
+    only once its number is claimed in ``commits``: a save that breaks off leaves
+    the store as it was. Only new rows are written. Of two writers that loaded the
+    same store the second to save gets an error, as its batch has not seen the
+    first's. ``tombstones`` names records that no longer count.
     """
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -59,30 +62,44 @@ class Store:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Store:
         """The store at a path; an empty one where none was saved."""
-        try:
-            commits = spark.read.schema("batch int").parquet(f"{path}/commits")
-            last = commits.agg(F.max("batch")).first()[0]
-        except AnalysisException:
-            last = None
-        if last is None:
+        names = names_in(spark, f"{path}/commits")
+        if not names:
             return replace(cls.empty(spark), path=path)
-        of = lambda n, s: spark.read.schema(f"{s}, batch int").parquet(f"{path}/{n}").where(F.col("batch") <= last).drop("batch")
-        return cls({n: of(n, s) for n, s in STORE_SCHEMAS.items()}, {}, path, last + 1)
+        batches = [r["value"] for r in spark.read.text([f"{path}/commits/{n}" for n in names], wholetext=True).collect()]
+        number = F.create_map(*[F.lit(x) for i, b in enumerate(batches) for x in (b, i)])
+        of = lambda n, s: spark.read.schema(f"{s}, batch string").option("basePath", f"{path}/{n}").parquet(*[f"{path}/{n}/batch={b}" for b in batches]).withColumn("batch", number[F.col("batch")])
+        tables = {n: of(n, s) for n, s in STORE_SCHEMAS.items()}
+        dead = tables["tombstones"].groupBy("url_id").agg(F.max("at").alias("at"))
+        if dead.isEmpty():
+            return cls({n: df.drop("batch") for n, df in tables.items()}, {}, path, len(names))
+        return cls(_without(tables, dead, F.col("batch") < F.col("at"), ["batch"]), {}, path, len(names))
 
     def save(self, path: str) -> Store:
         """Write what is new since the store was loaded from this path, or all of
         it to another one; the store as it is there now."""
-        own = path == self.path
-        if not own:
-            there = Store.load(self._spark(), path)
-            if there.batches:
-                raise ValueError(f"there is another store at {path}")
-        n = self.batches if own else 0
+        own, spark = path == self.path, self._spark()
+        if not own and names_in(spark, f"{path}/commits"):
+            raise ValueError(f"there is another store at {path}")
+        n, batch = self.batches if own else 0, uuid.uuid4().hex
         for name, df in self.tables.items():
-            new = reduce(DataFrame.unionByName, self.fresh.get(name, []), self._spark().createDataFrame([], STORE_SCHEMAS[name])) if own else df
-            new.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
-        self._spark().createDataFrame([(n,)], "batch int").write.mode("append").parquet(f"{path}/commits")
-        return Store.load(self._spark(), path)
+            new = reduce(DataFrame.unionByName, self.fresh.get(name, []), spark.createDataFrame([], STORE_SCHEMAS[name])) if own else df
+            new.write.parquet(f"{path}/{name}/batch={batch}")
+        if not claim(spark, f"{path}/commits/{n:09d}", batch):
+            raise ValueError(f"another writer saved batch {n} at {path}: load the store and ingest again")
+        return Store.load(spark, path)
+
+    def forget(self, records: DataFrame) -> Store:
+        """The store without records(url_id): their values, names and edges go, and
+        clusters, publications and authors that only they had. A tombstone keeps them
+        away from what is on disk; they can be ingested again."""
+        gone = written(self["source_records"].join(records.select("url_id").distinct(), "url_id", "left_semi").select("url_id", F.lit(self.batches).cast("long").alias("at")), "gone")
+        dead = gone.select("url_id", "at")
+        fresh = {n: [_apart(p, dead) if "url_id" in p.columns else p for p in parts] for n, parts in self.fresh.items()}
+        orphans = {n: df.select("id") for n, df in self.tables.items() if n in ORPHANS}
+        tables = _without(self.tables, dead, F.lit(True), [])
+        lost = {n: ids.join(tables[n], "id", "left_anti") for n, ids in orphans.items()}
+        fresh = {n: [p.join(lost[n], "id", "left_anti") if n in lost else p for p in parts] for n, parts in fresh.items()}
+        return Store({n: written(df, n) for n, df in tables.items()}, {n: [written(p, n) for p in parts] for n, parts in fresh.items()}, self.path, self.batches).plus(tombstones=gone)
 
     def _spark(self) -> SparkSession:
         return next(iter(self.tables.values())).sparkSession
@@ -100,6 +117,39 @@ class Store:
         return Store(tables, fresh, self.path, self.batches)
 
 
+def _apart(df: DataFrame, dead: DataFrame, older: Column | None = None, drop: list[str] = ()) -> DataFrame:
+    """Rows whose record is not dead, or younger than its tombstone."""
+    hit = df.join(dead, "url_id", "left")
+    gone = F.col("at").isNotNull() & (F.lit(True) if older is None else older)
+    return hit.where(~gone).select(*[c for c in df.columns if c not in drop])
+
+
+#: Entities that go with the last record that names them: the table of their records, and its column.
+ORPHANS = {"clusters": ("source_records", "cluster_id"), "publications": ("source_records", "cluster_id"), "authors": ("author_edges", "author_id")}
+
+
+def _without(tables: dict[str, DataFrame], dead: DataFrame, older: Column, drop: list[str]) -> dict[str, DataFrame]:
+    """Tables without what dead(url_id, at) records left in them."""
+    out = {}
+    for name, df in tables.items():
+        if "url_id" in df.columns and name != "tombstones":
+            out[name] = _apart(df, dead, older, drop)
+        else:
+            out[name] = df.drop(*drop)
+    for name, (used, column) in ORPHANS.items():
+        # What dead records named and no living one does.
+        was = tables[used].select(F.col(column).alias("k")).join(out[used].select(F.col(column).alias("k")), "k", "left_anti").distinct()
+        out[name] = out[name].join(was, out[name]["cluster_id" if name == "publications" else "id"] == was["k"], "left_anti")
+    return out
+
+
+def change(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFrame]:
+    """Ingest a batch of new and changed records: what the store has of them is
+    forgotten first, so that the result is the new state's."""
+    ids = batch.select(F.xxhash64(F.lit(source), "local_url").alias("url_id"))
+    return ingest(store.forget(ids), batch, source)
+
+
 def ingest_source(store: Store, raw: DataFrame, name: str) -> tuple[Store, DataFrame]:
     """Ingest raw rows of a registered source."""
     if name not in REGISTRY:
