@@ -1,14 +1,17 @@
 """Licence scans: winnowed fingerprints find candidates, alignment confirms them.
 
-Templates are split into words; of each window of word k-gram hashes the
-smallest is kept in an inverted index. A text's k-grams are looked up there,
-hits on about the same diagonal form a candidate, and a banded alignment of the
-template with the words around it gives matched words and the span.
+Templates are split into words; of each window of word pairs the one with the
+smallest hash is kept in an inverted index, which every pair of a text is looked up
+in. Only templates with a hit, and only diagonals near one of their hits, are
+candidates; of these, places where too few of a template's words stand in the band
+cannot match and leave. A banded alignment of the template with the words around a
+candidate gives matched words and the span.
 
-Fingerprints alone would miss matches with changed words. So every place where
-a template's words stand densely enough for a match is a candidate as well: a
-diagonal around which as many of its words occur, within the band, as a match
-needs. No alignment with enough words can lack one.
+A template's window is as wide as its length allows: a match that has ``least`` of
+its words and breaks at no more than one and a half times as many places (changed,
+lost or added words) as that leaves words over has a run of words that holds a
+whole window, and so a fingerprint. The longest run such a match must have is three
+words for most templates, two for the shortest lines.
 """
 
 from __future__ import annotations
@@ -92,20 +95,28 @@ WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
 class Index:
-    def __init__(self, templates: dict[str, str], k: int = 3, window: int = 3, band: int = 6) -> None:
+    """Templates of two words or more, for matches of ``least`` of their words."""
+
+    def __init__(self, templates: dict[str, str], least: float = 0.8, k: int = 2, band: int = 6) -> None:
         self.k, self.band, self.names = k, band, list(templates)
         self.words: dict[str, int] = {}
-        self.tokens = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in WORD.findall(t.lower())], dtype=np.int64) for t in templates.values()]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.tokens = [np.array([self.words.setdefault(w.lower(), len(self.words) + 1) for w in WORD.findall(t)], dtype=np.int64) for t in templates.values()]
+        #: The inverted index: fingerprints, which templates have them, and by template where.
+        self.postings: dict[int, set[int]] = {}
+        self.prints: list[tuple[np.ndarray, np.ndarray]] = []
         for t, tokens in enumerate(self.tokens):
-            grams = self.grams(tokens)
-            picked = set()
+            grams, picked, window = self.grams(tokens), set(), self.window(len(tokens), least)
             for i in range(max(1, len(grams) - window + 1) if len(grams) else 0):
                 part = grams[i : i + window]
                 picked.add(i + len(part) - 1 - int(part[::-1].argmin()))  # the rightmost smallest
-            for i in sorted(picked):
-                self.postings.setdefault(int(grams[i]), []).append((t, i))
+            at = np.array(sorted(picked, key=lambda i: (grams[i], i)), dtype=np.int64)
+            self.prints.append((grams[at], at))
+            for i in picked:
+                self.postings.setdefault(int(grams[i]), set()).add(t)
         self.known = np.array(sorted(self.postings), dtype=np.int64)
+        self.holders = np.zeros((len(self.known), len(self.tokens)), dtype=bool)
+        for row, gram in zip(self.holders, self.known.tolist(), strict=True):
+            row[list(self.postings[gram])] = True
         self.share = np.zeros((len(self.tokens), len(self.words) + 1), dtype=np.int64)  # places of a word in a template
         self.places: list[tuple[np.ndarray, np.ndarray]] = []  # the places by word, and where each word's begin
         for t, tokens in enumerate(self.tokens):
@@ -114,6 +125,12 @@ class Index:
 
         self.weight = self.share.astype(np.float32)
 
+    def window(self, size: int, least: float) -> int:
+        """Pairs of a window: those of the run that a match must have."""
+        need = math.ceil(least * size - EPS)
+        breaks = (size - need) * 3 // 2
+        return max(1, -(-need // (breaks + 1)) - self.k + 1)
+
     def grams(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens) - self.k + 1
         h = np.zeros(max(n, 0), dtype=np.uint64)
@@ -124,10 +141,8 @@ class Index:
     def scan(self, text: str | None, least: float) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end) in text order; of matches that overlap
         the one with more matched words, then the larger coverage, stays."""
-        low = (text or "").lower()
-        words = WORD.findall(low)
-        get = self.words.get
-        tokens = np.array([get(w, 0) for w in words], dtype=np.int64)
+        text, get = text or "", self.words.get
+        tokens = np.array([get(w.lower(), 0) for w in WORD.findall(text)], dtype=np.int64)
         begins = self.candidates(tokens, least)
         if not begins:
             return []
@@ -153,33 +168,28 @@ class Index:
                 kept.append(f)
         if not kept:
             return []
-        if len(low) != len(text):  # lower case changed lengths: find the words in the text itself
-            spans = [m.span() for m in WORD.finditer(text)]
-        else:
-            spans = [m.span() for m in WORD.finditer(low)]
-        top = len(spans) - 1
-        return sorted([(name, cov, spans[min(a, top)][0], spans[min(b - 1, top)][1]) for _, cov, name, a, b in kept], key=lambda x: (x[2], x[3], x[0]))
+        spans = [m.span() for m in WORD.finditer(text)]  # each word is folded by itself, so these are its places
+        return sorted([(name, cov, spans[a][0], spans[b - 1][1]) for _, cov, name, a, b in kept], key=lambda x: (x[2], x[3], x[0]))
 
     def candidates(self, tokens: np.ndarray, least: float) -> dict[int, list[int]]:
-        """For each template the starts around which a match can lie: those with
-        fingerprints first, then by their words in the band and on the diagonal."""
-        hits: dict[int, set[int]] = {}
+        """For each template with a fingerprint in the text the starts around which a
+        match can lie: near one of its hits, with enough of its words in the band;
+        those on a hit first, then by their words."""
         some = np.flatnonzero(tokens)
         inside = some[: max(0, len(some) - self.k + 1)]
         inside = inside[some[self.k - 1 :] - inside == self.k - 1]  # grams of words that templates have
-        if len(inside) and len(self.known):
-            h = self.grams(tokens)[inside]
-            found = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            for at, gram in zip(inside[self.known[found] == h].tolist(), h[self.known[found] == h].tolist(), strict=True):
-                for t, i in self.postings[gram]:
-                    hits.setdefault(t, set()).add(at - i)
-        if not len(some):
+        if not len(inside) or not len(self.known):
             return {}
+        h = self.grams(tokens)[inside]
+        found = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        hit = self.known[found] == h
+        inside, h, found = inside[hit], h[hit], found[hit]
+        holds = self.holders[np.unique(found)].any(axis=0)
         present = np.zeros(len(self.words) + 1, dtype=np.float32)
         present[tokens[some]] = 1
         begins: dict[int, list[int]] = {}
         need = [max(1, math.ceil(least * len(t) - EPS)) for t in self.tokens]
-        for t in np.flatnonzero(self.weight @ present >= need).tolist():
+        for t in np.flatnonzero(holds & (self.weight @ present >= need)).tolist():
             size, least_words = len(self.tokens[t]), need[t]
             at = some[self.share[t][tokens[some]] > 0]
             if len(at) < least_words:
@@ -198,14 +208,24 @@ class Index:
             # The words in a band are on its diagonals: too few there, too few in the band.
             upto = np.concatenate([[0], np.cumsum(exact)])
             around = upto[np.searchsorted(starts, starts + self.band, side="right")] - upto[np.searchsorted(starts, starts - self.band)]
-            starts, exact = starts[around >= least_words], exact[around >= least_words]
+            hits = self.diagonals(t, inside, h)
+            by_hit = np.searchsorted(hits, starts + self.band, side="right") > np.searchsorted(hits, starts - self.band)
+            starts, exact = starts[(around >= least_words) & by_hit], exact[(around >= least_words) & by_hit]
             near = self.near(self.tokens[t], tokens, starts, 0, len(tokens))
-            ok, printed = near >= least_words, hits.get(t, ())
+            ok, printed = near >= least_words, set(hits.tolist())
             if ok.any():
                 ranked = sorted((s not in printed, -n, -e, s) for s, n, e in zip(starts[ok].tolist(), near[ok].tolist(), exact[ok].tolist(), strict=True))
                 begins[t] = [x[3] for x in ranked]
         return begins
 
+    def diagonals(self, t: int, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Where the template would begin for each of its fingerprints in the text, rising."""
+        known, place = self.prints[t]
+        first = np.searchsorted(known, grams)
+        times = np.searchsorted(known, grams, side="right") - first
+        which = np.repeat(first - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        return np.unique(np.repeat(at, times) - place[which])
+
     def near(self, t: np.ndarray, doc: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """How many words of the template occur in their band around each start."""
         out, rows = np.zeros(len(starts), dtype=np.int64), max(1, (1 << 20) // max(len(t), 1))
@@ -255,8 +275,8 @@ class Index:
 
 
 @lru_cache(maxsize=2)
-def compiled(entries: tuple[tuple[str, str], ...]) -> Index:
-    return Index(dict(entries))
+def compiled(entries: tuple[tuple[str, str], ...], least: float = 0.8) -> Index:
+    return Index(dict(entries), least)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
@@ -266,14 +286,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     share of a template's words that matched (0 if none), spans their
     "template:start:end" in code points, ends exclusive, comma-joined. Every
     word of a text is looked up. Without ``templates`` they are all_templates():
-    whole licences, notices and identifiers. Null, empty and short texts have none.
+    whole licences, notices and identifiers; a template has two words or more. Null, empty and short texts have none.
     One pass, no shuffle; rows repeat as in docs, ids may be null; other columns
     are not read.
     """
     entries = tuple((templates or all_templates()).items())
 
     def run(cols: list[list]) -> list:
-        index = compiled(entries)
+        index = compiled(entries, least)
         out: list[list] = [[] for _ in range(5)]
         for doc, text in zip(*cols, strict=True):
             found = index.scan(text, least)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import time
 import re
@@ -797,6 +798,36 @@ def test_scan_finds_what_full_alignment_finds():
             assert got == [], trial
 
 
+def test_nothing_is_found_without_the_index():
+    """Every match comes from a fingerprint of its template."""
+    texts = licenses.all_templates()
+    index = licenses.Index(texts)
+    assert all(name in [f[0] for f in index.scan(f"so {text} it is", 0.8)] or len(text.split()) < 9 for name, text in texts.items() if not name.endswith("spdx"))
+    index.prints = [(p[:0], i[:0]) for p, i in index.prints]
+    assert all(index.scan(text, 0.8) == [] for text in texts.values())
+    index = licenses.Index(texts)
+    index.known, index.holders = index.known[:0], index.holders[:0]
+    assert all(index.scan(text, 0.8) == [] for text in texts.values())
+
+
+def test_evenly_broken_templates_have_a_fingerprint():
+    """The runs that the window promises: as many words as allowed are changed, evenly."""
+    rng = random.Random(9)
+    for size in [*range(2, 41), 60, 100, 333]:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        index = licenses.Index({"t": " ".join(words)})
+        changed = size - math.ceil(0.8 * size - 1e-9)
+        for shift in range(3):
+            at = {int((i + 0.5) * size / changed) + shift - 1 for i in range(changed)}
+            text = " ".join("zz" if i in at else w for i, w in enumerate(words))
+            assert [f[0] for f in index.scan(f"q {text} q", 0.8)] == ["t"], (size, shift)
+
+
+def test_folding_that_changes_lengths_moves_no_span():
+    text = "İstanbul İzmir word one two. Licensed under the Apache License, Version 2.0 tail words"
+    assert [text[s:e] for _, _, s, e in licenses.Index(licenses.all_templates()).scan(text, 0.8)] == ["Licensed under the Apache License, Version 2.0"]
+
+
 def test_alignment_equals_the_whole_table():
     rng = random.Random(3)
     index = licenses.Index({"t": " ".join(f"w{i % 9}" for i in range(14))}, band=14)
