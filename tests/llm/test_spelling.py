@@ -6,6 +6,7 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from folioforge.llm import spelling
@@ -90,3 +91,10 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert spelling.spelling_variants(no_docs).count() == 0
     got = sorted(tuple(r) for r in spelling.spelling_variants(odd_docs).collect())
     assert got == brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+
+
+def test_equals_oracle(spark):
+    docs = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{docs}'")
+    assert sorted(tuple(r) for r in spelling.spelling_variants(spark.read.parquet(docs)).collect()) == sorted(con.sql(spelling.ORACLE).fetchall())
