@@ -12,10 +12,12 @@ def _strings(*names: str) -> list[T.StructField]:
 #: Record tags of a bibliography dump.
 DUMP_TAGS = ["article", "inproceedings", "proceedings", "book", "incollection", "phdthesis", "mastersthesis", "www", "person", "data"]
 
+#: Child elements of a record.
 DUMP_FIELDS = ["pages", "year", "volume", "journal", "number", "ee", "url", "cite", "crossref", "booktitle", "school", "address", "publisher", "isbn", "series"]
 #: As read: every child as an array, of which the last entry counts.
 DUMP_XML = T.StructType([*_strings("_key", "_mdate"), *[T.StructField(n, T.ArrayType(T.StringType())) for n in ("author", "title", *DUMP_FIELDS)]])
 
+#: The columns of the raw tables.
 RAW_DUMP = T.StructType(
     [
         *_strings("dblp_key"), T.StructField("mdate", T.DateType()), *_strings("author", "title", "pages"), T.StructField("pub_year", T.DateType()),
@@ -39,6 +41,7 @@ RAW_PREPRINT = T.StructType(
     ]
 )
 
+#: The fields of a canonical record.
 PUBLICATION = T.StructType(
     [
         *_strings("title", "pages", "note", "doi", "abstract", "copyright"), T.StructField("date_added", T.IntegerType()), T.StructField("date_published", T.IntegerType()),
@@ -54,6 +57,6 @@ CANONICAL = T.StructType(
     ]
 )
 
-#: Seed dimensions.
+#: Seed dimensions.
 SEED_SOURCES = [(1, "publications"), (2, "users")]
 SEED_TYPES = [(1, "article"), (2, "misc"), (3, "inproceedings"), (4, "mastersthesis"), (5, "phdthesis")]
