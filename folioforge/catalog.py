@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text, values
-from .operators import difftree, fts, match, postings, sequence, stats, upsert
+from .operators import difftree, fts, match, postings, sequence, stats, upsert, votelog
+from .operators.related import Relation
 from .plans import canonical, serve
 from .schemas import RAW_DUMP
 from .storage import scratch
@@ -859,6 +860,27 @@ def difftree_votes(spark, d):
     return difftree.nodes(difftree.apply_votes(t, cast)).select("pub", "attr", "value", long_("votes").alias("votes"), long_("at").alias("pos"))
 
 
+VOTE_NODE = "struct_pack(value := {}, votes := {}, bitvector := {})"
+VOTE_STEP = f"""list_transform([list_transform(acc.l, lambda x: {VOTE_NODE.format("x.value", "x.votes + CASE WHEN x.value = e.v THEN e.k ELSE 0 END", "x.bitvector")})], lambda c:
+    list_transform([coalesce(list_position(list_transform(c, lambda x: x.value), e.v), 1)], lambda i: {{'l': CASE WHEN c[i].votes > c[1].votes THEN list_transform(c, lambda x, j: CASE WHEN j = 1 THEN c[i] WHEN j = i THEN c[1] ELSE x END) ELSE c END, 'v': '', 'k': CAST(0 AS BIGINT)}})[1])[1]"""
+
+
+@query(
+    f"""WITH {TREE_SQL}, log AS (SELECT pub, 'number' AS attr, CAST(seq * 5 % 8 AS VARCHAR) AS v, 1 + seq % 3 AS k, seq FROM rows UNION ALL SELECT pub, 'volume', CAST(seq % 4 * 3 AS VARCHAR), CAST(1 AS BIGINT), seq FROM rows),
+    lists AS (SELECT pub, attr, list({VOTE_NODE.format("value", "votes", "bitvector")} ORDER BY pos) AS l FROM nodes GROUP BY 1, 2),
+    logs AS (SELECT pub, attr, list({{'v': v, 'k': k}} ORDER BY seq) AS log FROM log GROUP BY 1, 2),
+    after AS (SELECT pub, attr, CASE WHEN log IS NULL THEN l ELSE list_reduce(list_prepend({{'l': l, 'v': '', 'k': CAST(0 AS BIGINT)}}, list_transform(log, lambda g: {{'l': l[1:0], 'v': g.v, 'k': g.k}})), lambda acc, e: {VOTE_STEP}).l END AS l FROM lists LEFT JOIN logs USING (pub, attr))
+    SELECT pub, attr, n.value, n.votes, n.bitvector, pos FROM (SELECT pub, attr, unnest(l) AS n, generate_subscripts(l, 1) - 1 AS pos FROM after)"""
+)
+def difftree_vote_log(spark, d):
+    """Every event votes for a number, of which one is in no tree, and for a volume."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("pub"), F.col("event_id").alias("at"))
+    number = e.select("pub", "at", F.lit("number").alias("attr"), (F.col("at") * 5 % 8).cast("string").alias("value"), (1 + F.col("at") % 3).alias("votes"))
+    volume = e.select("pub", "at", F.lit("volume").alias("attr"), (F.col("at") % 4 * 3).cast("string").alias("value"), F.lit(1).cast("long").alias("votes"))
+    t = votelog.apply_vote_log(trees(spark, d), number.unionByName(volume))
+    return difftree.nodes(t).select("pub", "attr", "value", long_("votes").alias("votes"), "bitvector", long_("at").alias("pos"))
+
+
 @query(f"WITH {TREE_SQL} SELECT pub, attr, pos, value, votes, bitvector FROM nodes")
 def difftree_insert(spark, d):
     """The later half of the stream inserted into the tree of the earlier half gives the same tree."""
@@ -912,6 +934,22 @@ def author_search(spark, d):
     return serve.search_publications(table(spark, d, "supplier"), "s_name", "0007", "s_suppkey", page=1).select("s_suppkey", "s_name")
 
 
+@query(
+    f"""WITH t AS (SELECT o_orderkey AS k, o_orderpriority AS x FROM orders UNION ALL SELECT l_orderkey, p_name FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey
+    UNION ALL SELECT DISTINCT l_orderkey, n_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+    words AS (SELECT k, ' ' || y || ' ' AS y FROM t JOIN (SELECT x, {sql_title("x")} AS y FROM (SELECT DISTINCT x FROM t)) USING (x))
+    SELECT k AS id FROM words GROUP BY 1 HAVING bool_or(contains(y, ' cold widget ')) AND (bool_or(contains(y, ' nation3 ')) OR bool_or(contains(y, ' nation1'))) AND NOT bool_or(contains(y, ' medium ')) AND NOT bool_or(contains(y, ' nation5 '))"""
+)
+def related_search(spark, d):
+    """Publications by their own words, their keywords' and their authors' nations'."""
+    li, supplier, nation = table(spark, d, "lineitem"), table(spark, d, "supplier"), table(spark, d, "nation")
+    places = Relation(nation, "n_nationkey", supplier.select("s_suppkey", "s_nationkey"))
+    author = Relation(supplier, "s_suppkey", li.select("l_orderkey", "l_suppkey"), {"nation": places})
+    keyword = Relation(table(spark, d, "part"), "p_partkey", li.select("l_orderkey", "l_partkey"))
+    pubs = serve.SearchManager(table(spark, d, "orders"), ["o_orderpriority", "author__nation__n_name", "keyword__p_name"], "o_orderkey", {"author": author, "keyword": keyword})
+    return pubs.search('+"cold widget" +(nation3 nation1*) -medium -nation5').select(F.col("o_orderkey").alias("id"))
+
+
 @query("SELECT s.s_suppkey AS url_id, n.n_name || '/' || s.s_name AS url FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey")
 def source_detail(spark, d):
     records = table(spark, d, "supplier").select(F.col("s_suppkey").alias("url_id"), F.col("s_name").alias("local_url"), F.col("s_nationkey").alias("domain_id"))

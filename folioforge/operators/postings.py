@@ -107,7 +107,7 @@ class PostingIndex:
         """(key): texts that match a query (see fts.parse and fts.matches). Each word
         or phrase gives its keys; a key's set of them decides. MOST bounds them."""
         leaves: list[tuple[tuple[str, ...], bool]] = []
-        decision = _decide(parse(query, mode), leaves)
+        decision = decide(parse(query, mode), leaves)
         if not leaves:
             return self.spark.createDataFrame([], f"key {self.key_type}")
         rows = self._all("postings") if rows is None else rows
@@ -129,12 +129,12 @@ class PostingIndex:
         return best_matches(queries, qkey, qtokens, rows, "key", self.texts(), limit, weights=counts)
 
 
-def _decide(terms: list[Term] | tuple[Term, ...], leaves: list[tuple[tuple[str, ...], bool]]) -> Column:
+def decide(terms: list[Term] | tuple[Term, ...], leaves: list[tuple[tuple[str, ...], bool]]) -> Column:
     """Whether a text's set of leaves matches; leaves are numbered as they come."""
     any_of, all_of = F.lit(False), F.lit(True)
     for t in terms:
         if t.kind == "group":
-            own = _decide(t.terms, leaves)
+            own = decide(t.terms, leaves)
         else:
             leaf = (t.words, t.kind == "prefix")
             if leaf not in leaves:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import difftree, fts
+from ..operators.related import Relation, search_related
 
 PER_PAGE = 10
 
@@ -20,13 +21,16 @@ def search_publications(df: DataFrame, column: str, part: str, order: str, page:
 
 
 class SearchManager:
-    """Full-text search over fixed columns of a (joined) table."""
+    """Full-text search over fixed columns of a table; with a key also over those of
+    related tables, as ``relation__column``."""
 
-    def __init__(self, df: DataFrame, fields: list[str]) -> None:
-        self.df, self.fields = df, fields
+    def __init__(self, df: DataFrame, fields: list[str], key: str | None = None, relations: dict[str, Relation] | None = None) -> None:
+        self.df, self.fields, self.key, self.relations = df, fields, key, relations
 
     def search(self, query: str, fields: list[str] | None = None, mode: str | None = None) -> DataFrame:
-        return fts.search(self.df, fields or self.fields, query, mode)
+        if self.key is None:
+            return fts.search(self.df, fields or self.fields, query, mode)
+        return search_related(self.df, self.key, fields or self.fields, query, self.relations, mode)
 
     def count(self, query: str) -> int:
         return self.search(query).count()
