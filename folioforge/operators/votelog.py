@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
 from . import difftree, upsert
 
 #: Rows of a chunk of one attribute's log, and chunks composed in one step.
@@ -31,8 +32,8 @@ def apply_vote_log(trees: DataFrame, log: DataFrame, at: str = "at", chunk: int
     keys = ["pub", "attr"]
     rows = log.select("pub", "attr", "value", F.col("votes").cast("long").alias("votes"), F.col(at).alias("at")).dropna()
     rows = rows.withColumn("votes", F.when(F.col("votes") < 0, F.raise_error(F.lit("a vote log has no negative votes")).cast("long")).otherwise(F.col("votes")))
-    rows = upsert.running_index(rows, keys, [F.col("at"), F.col("value"), F.col("votes")], 1).withColumnRenamed("bucket", "n")
-    trees = difftree.apply_votes(trees, rows.where("n = 0").select("pub", "attr", "value", F.col("votes").cast("int").alias("votes")))
+    rows = written(upsert.running_index(rows, keys, [F.col("at"), F.col("value"), F.col("votes")], 1).withColumnRenamed("bucket", "n"), "log")
+    trees = written(difftree.apply_votes(trees, rows.where("n = 0").select("pub", "attr", "value", F.col("votes").cast("int").alias("votes"))), "first_votes")
     rest = rows.where("n > 0 and votes > 0").select(*keys, "value", "votes", "n", F.floor(F.col("n") / chunk).alias("chunk"))
     change = _changes(trees, rest, fan).groupBy("pub").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.struct("perm", "added")))).alias("_log"))
     after = F.transform_values("attrs", lambda k, v: _rearranged(v, F.try_element_at("_log", k)))
@@ -51,18 +52,19 @@ def _changes(trees: DataFrame, rest: DataFrame, fan: int) -> DataFrame:
     Heads of trees have the most votes of their list."""
     keys = ["pub", "attr"]
     nodes = difftree.nodes(trees).select(*keys, "value", F.col("at").cast("int").alias("p"), F.col("votes").cast("long").alias("base"))
-    totals = rest.groupBy(*keys, "chunk", "value").agg(F.sum("votes").alias("s")).join(nodes, [*keys, "value"])
+    lists = nodes.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("m"), F.max("base").alias("top"))
+    totals = rest.groupBy(*keys, "chunk", "value").agg(F.sum("votes").alias("s")).join(nodes, [*keys, "value"]).join(lists, keys)
     past = W.partitionBy(*keys, "value").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.col("base") + F.coalesce(F.sum("s").over(past), F.lit(0)))
-    peaks = totals.groupBy(*keys, "chunk").agg(F.max(F.col("before") + F.col("s")).alias("peak"))
-    lists = difftree.nodes(trees).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("m"), F.max("votes").cast("long").alias("top"))
+    totals = written(totals.withColumn("before", F.col("base") + F.coalesce(F.sum("s").over(past), F.lit(0))), "chunk_votes")
+    peaks = totals.groupBy(*keys, "chunk", "m", "top").agg(F.max(F.col("before") + F.col("s")).alias("peak"))
     chunks_before = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    peaks = peaks.join(lists, keys).select(*keys, "chunk", "m", F.greatest("top", F.max("peak").over(chunks_before)).alias("most"))
+    peaks = peaks.select(*keys, "chunk", "m", F.greatest("top", F.max("peak").over(chunks_before)).alias("most"))
     each = rest.join(totals.select(*keys, "chunk", "value", "p", "before"), [*keys, "chunk", "value"]).join(peaks, [*keys, "chunk"])
     count = F.col("before") + F.sum("votes").over(W.partitionBy(*keys, "chunk", "value").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
     in_chunk = W.partitionBy(*keys, "chunk").orderBy("n")
     each = each.withColumn("count", count).withColumn("seen", F.max("count").over(in_chunk.rowsBetween(W.unboundedPreceding, -1)))
-    heads = each.where(F.col("count") > F.greatest("most", "seen")).select(*keys, "chunk", "m", "n", "p").withColumn("prev", F.lag("p").over(in_chunk))
+    heads = each.where(F.col("count") > F.greatest("most", "seen")).select(*keys, "chunk", "m", "n", "p")
+    heads = written(heads.withColumn("prev", F.lag("p").over(in_chunk)), "heads")
     # The head at a chunk's start is the last of a chunk before it that has one; at the log's start it is in front.
     last = heads.groupBy(*keys, "chunk").agg(F.max_by("p", "n").alias("last"))
     last = last.select(*keys, "chunk", F.coalesce(F.last("last").over(chunks_before), F.lit(0)).alias("start"))
@@ -72,8 +74,8 @@ def _changes(trees: DataFrame, rest: DataFrame, fan: int) -> DataFrame:
     perms = perms.select(*keys, "chunk", F.aggregate("swaps", _identity("m"), exchanged).alias("perm"))
     for width in (fan, fan, None):
         perms = _composed(perms, keys, width)
-    added = totals.groupBy(*keys, "p").agg(F.sum("s").alias("s")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", "s"))).alias("added"))
-    return added.join(lists.select(*keys, "m"), keys).join(perms.select(*keys, "perm"), keys, "left").select(*keys, F.coalesce("perm", _identity("m")).alias("perm"), "added")
+    added = totals.groupBy(*keys, "m", "p").agg(F.sum("s").alias("s")).groupBy(*keys, "m").agg(F.map_from_entries(F.collect_list(F.struct("p", "s"))).alias("added"))
+    return added.join(perms.select(*keys, "perm"), keys, "left").select(*keys, F.coalesce("perm", _identity("m")).alias("perm"), "added")
 
 
 def _identity(m: str) -> Column:
