@@ -26,6 +26,20 @@ CORE_LISTS = {"creator", "date", "subject", "contributor", "relation", "source",
 CORE_XML = f"header STRUCT<identifier: STRING, datestamp: STRING, _status: STRING>, metadata STRUCT<dc: STRUCT<{', '.join(f'`{k}`: ARRAY<STRING>' for k in CORE)}>>"
 
 
+def is_empty(page: str) -> bool:
+    """Whether a response says that no record matches; other errors are raised."""
+    error = re.search(r"<error\s[^>]*code=[\"'](\w+)[\"']", page)
+    if error and error[1] != "noRecordsMatch":
+        raise ValueError(f"the feed answers {error[1]}")
+    return error is not None
+
+
+def following(page: str) -> dict[str, str] | None:
+    """The request for the page after this one; None after the last."""
+    token = re.search(r"<resumptionToken[^>]*>\s*([^<\s][^<]*?)\s*</resumptionToken>", page)
+    return {"verb": "ListRecords", "resumptionToken": html.unescape(token[1])} if token else None
+
+
 class Feed:
     """A feed's ListRecords pages: ``fetch`` gives the response to a request's
     parameters as text. Pages follow each other by resumption token."""
@@ -41,16 +55,13 @@ class Feed:
         asked, n = {"verb": "ListRecords", "metadataPrefix": self.prefix, **{k: v for k, v in (("from", start), ("until", end)) if v}}, 0
         while True:
             page = self.fetch(asked)
-            if error := re.search(r"<error\s[^>]*code=[\"'](\w+)[\"']", page):
-                if error[1] == "noRecordsMatch":
-                    return
-                raise ValueError(f"the feed answers {error[1]}")
+            if is_empty(page):
+                return
             yield page
             n += len(re.findall(r"<record[\s>]", page))
-            token = re.search(r"<resumptionToken[^>]*>\s*([^<\s][^<]*?)\s*</resumptionToken>", page)
-            if token is None or limit is not None and n >= limit:
+            asked = following(page)
+            if asked is None or limit is not None and n >= limit:
                 return
-            asked = {"verb": "ListRecords", "resumptionToken": html.unescape(token[1])}
 
     def save(self, spark: SparkSession, folder: str, start: str | None = None, end: str | None = None, limit: int | None = None) -> int:
         """Write the pages to a folder, a file each, and say how many there were."""
