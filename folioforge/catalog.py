@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, text, values
-from .operators import difftree, fts, match, postings, sequence, stats, upsert, votelog
+from .operators import difftree, fts, keyed, match, postings, sequence, stats, upsert, votelog
 from .operators.related import Relation
 from .plans import canonical, serve
 from .schemas import RAW_DUMP
@@ -774,6 +774,22 @@ def selective_upsert(spark, d):
     return upsert.upsert(old, new, ["user_id", "event_type"], keep=["props"])
 
 
+@query(
+    """WITH v AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS version FROM events),
+    e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, version ORDER BY event_id DESC) AS r FROM v) WHERE r = 1),
+    w AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY version) AS up, row_number() OVER (PARTITION BY user_id, event_type ORDER BY version DESC) AS down FROM e)
+    SELECT a.user_id, a.event_type, b.value, a.props FROM w a JOIN w b USING (user_id, event_type) WHERE a.up = 1 AND b.down = 1"""
+)
+def keyed_upsert(spark, d):
+    """Three harvests of events come into a table in buckets; props stay as they came first."""
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "props", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    kept = keyed.KeyedTable(spark, scratch(spark, "keyed"), rows.select("user_id", "event_type", "value", "props").schema, ["user_id", "event_type"], 16, ["props"])
+    cuts = [F.lit(f"2024-01-{x} 00:00:00").cast("timestamp_ntz") for x in (10, 20)]
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        kept.upsert(upsert.latest_per_key(rows.where(part).drop("ts"), ["user_id", "event_type"], [F.col("event_id")]))
+    return kept.current()
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)")
 def incremental_scan(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", F.lit(None).cast("string").alias("last_harvested"), "event_type", "value")

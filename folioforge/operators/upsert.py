@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 
+#: Partition column of a log; tables must not have one of that name.
+VERSION = "version_no"
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key. An aggregate, combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
@@ -35,6 +39,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
     return both.select(*keys, *[pick(c).cast(old.schema[c].dataType).alias(c) for c in rest])
 
 
+def newest(log: DataFrame, names: list[str], keys: list[str], keep: list[str] = ()) -> DataFrame:
+    """The table of a log of versions: each key's latest row, but its first values
+    of ``keep``. Versions before a key's latest are combined before the shuffle."""
+    new = [c for c in names if c not in keys and c not in keep]
+    parts = [F.max_by(F.struct(*new), VERSION).alias("new")] if new else []
+    parts += [F.min_by(F.struct(*keep), VERSION).alias("old")] if keep else []
+    found = log.groupBy(*keys).agg(*parts) if parts else log.select(*keys).distinct()
+    of = {**dict.fromkeys(new, "new"), **dict.fromkeys(keep, "old")}
+    return found.select(*[F.col(of[c])[c].alias(c) if c in of else F.col(c) for c in names])
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """get-or-create: new rows whose key old lacks, once per key."""
     return new.join(old.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)

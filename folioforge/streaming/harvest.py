@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.upsert import latest_per_key
+from ..operators.upsert import VERSION, latest_per_key, newest
 
 #: Days of a harvest window.
 CADENCES = {"all": None, "monthly": 30, "weekly": 7, "daily": 1}
@@ -99,10 +99,6 @@ def in_window(df: DataFrame, column: str, schedule: Schedule) -> DataFrame:
     return df.where(c <= F.lit(schedule.end)) if schedule.end else df
 
 
-#: Partition column of a log; tables must not have one of that name.
-VERSION = "version_no"
-
-
 def upsert_stream(spark: SparkSession, source: str, schema: StructType, target: str, keys: list[str], order: list[Column], checkpoint: str) -> StreamingQuery:
     """Append the changes of new files to a table's log, exactly once.
 
@@ -119,14 +115,9 @@ def upsert_stream(spark: SparkSession, source: str, schema: StructType, target:
 
 
 def current(spark: SparkSession, schema: StructType, target: str, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """The table of a log: each key's latest row, but its first values of ``keep``.
-    Versions before a key's latest are combined before the shuffle."""
+    """The table of a log, see operators.upsert.newest."""
     rows = spark.read.schema(StructType([*schema.fields, StructField(VERSION, LongType())])).parquet(target)
-    new = [f.name for f in schema.fields if f.name not in keys and f.name not in keep]
-    parts = [F.max_by(F.struct(*new), VERSION).alias("new")] if new else []
-    parts += [F.min_by(F.struct(*keep), VERSION).alias("old")] if keep else []
-    found = rows.groupBy(*keys).agg(*parts) if parts else rows.select(*keys).distinct()
-    return found.select(*keys, *(["new.*"] if new else []), *(["old.*"] if keep else [])).select(*schema.names)
+    return newest(rows, schema.names, keys, keep)
 
 
 def compact(spark: SparkSession, schema: StructType, target: str, keys: list[str], to: str, keep: list[str] = ()) -> int:
