@@ -11,7 +11,7 @@ import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title
@@ -165,7 +165,7 @@ def first_of(batch: DataFrame, key: str) -> DataFrame:
 
 def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFrame]:
     """The store with a batch of canonical records, and outcome counts
-    (added, limbo, duplicate).
+    (added, limbo, duplicate), which are observed while the batch is written.
 
     Values arrive in the order of batches, within one in the order of record ids.
     Of records that repeat a url in a batch the first by its columns counts.
@@ -173,7 +173,8 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
     spark = batch.sparkSession
     seq = store["values"].agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("seq"))
     rows = first_of(batch, "local_url").withColumn("source", F.lit(source)).withColumn("url_id", F.xxhash64("source", "local_url"))
-    fresh = match.skip_known(rows, store["source_records"], ["source", "local_url"])
+    seen, held_back = Observation("seen"), Observation("held_back")
+    fresh = _unknown(rows, store["source_records"], ["source", "local_url"], seen)
     fresh = written(fresh.withColumn("title", F.col("publication.title")).withColumn("name", normalize_title("title")), "fresh")
 
     who = written(entities.exploded_authors(fresh), "names")
@@ -181,7 +182,7 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
     titles, people = sequence.Batch(fresh.select("url_id", "name"), who, store["clusters"], store["publications"], store["authors"], aliases).resolve()
 
     bad = titles.where("status = 'LIMBO'").select("url_id").union(people.where("status = 'LIMBO'").select("url_id")).distinct()
-    bad = written(bad, "bad")
+    bad = written(bad.observe(held_back, F.count(F.lit(1)).alias("n")), "bad")
     held = fresh.join(bad, "url_id", "left_semi")
     reasons = titles.select("url_id", F.col("reason"))
     limbo = held.join(reasons, "url_id").select("source", "local_url", "title", F.coalesce("reason", F.lit("None")).alias("reason"))
@@ -214,8 +215,9 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
     wide = wide.withColumn("seq", seq.scalar())
     each = difftree.melt(wide, "pub", "url_id", "seq", difftree.ATTRIBUTES).withColumnRenamed("at", "place")
 
-    outcome = rows.select("url_id").join(fresh.select("url_id", F.lit(True).alias("is_new")), "url_id", "left").join(bad.withColumn("is_bad", F.lit(True)), "url_id", "left")
-    counts = outcome.groupBy(F.when(F.col("is_new").isNull(), "duplicate").when(F.col("is_bad"), "limbo").otherwise("added").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    n = {"duplicate": seen.get["known"], "limbo": held_back.get["n"]}
+    n["added"] = seen.get["n"] - sum(n.values())
+    counts = spark.createDataFrame([x for x in n.items() if x[1]], "outcome string, n long")
     grown = store.plus(
         source_records=facts.select("url_id", "source", "local_url", "type_id", "cluster_id"), clusters=new_clusters, publications=new_pubs, authors=new_authors, author_aliases=aliases, author_edges=edges, media=media, media_aliases=media_aliases,
         keywords=keywords, keyword_aliases=keyword_aliases, keyword_edges=keyword_of.select("url_id", F.col("id").alias("keyword_id")).distinct(), values=each, limbo=limbo, limbo_authors=limbo_authors,
@@ -223,6 +225,15 @@ def ingest(store: Store, batch: DataFrame, source: str) -> tuple[Store, DataFram
     return grown, counts
 
 
+def _unknown(rows: DataFrame, known: DataFrame, on: list[str], seen: Observation) -> DataFrame:
+    """Rows whose key is not known yet. Whoever runs this plan counts all rows and
+    the known ones on the way, after its last shuffle, where a task that is run
+    again counts once."""
+    marked = rows.join(known.select(*on).distinct().withColumn("_known", F.lit(True)), on, "left")
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("n"), F.count("_known").alias("known"))
+    return marked.where("_known is null").select(*rows.columns)
+
+
 def _named(rows: DataFrame, key: str, known: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new entities, new aliases, (key, id)) of media or keywords by the block ladder."""
     named = rows.where(F.col("name_").isNotNull()).withColumn("k", F.struct(key, "name_"))
