@@ -20,7 +20,7 @@ from .operators.related import Relation
 from .plans import canonical, serve
 from .schemas import RAW_DUMP
 from .storage import scratch
-from .streaming import harvest
+from .streaming import harvest, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -640,6 +640,37 @@ def download_summary(spark, d):
     return download_round_of(spark, d)[1]
 
 
+@query(
+    """WITH a AS (SELECT l_orderkey AS key, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 0 END AS n, l_partkey AS hit, l_shipdate AS t FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, n, hit) AS i FROM a), e AS (SELECT key, least(count(*), 5) AS made, min(i) FILTER (WHERE n > 0 AND i <= 5) AS stop FROM r GROUP BY 1)
+    SELECT e.key, CASE WHEN r.n = 1 THEN 'FIN' WHEN r.n = 2 OR made = 5 THEN 'LIM' ELSE 'INC' END AS status, CAST(coalesce(stop - 1, made) AS BIGINT) AS tries, CASE WHEN r.n = 1 THEN r.hit END AS cluster_id FROM e LEFT JOIN r ON r.key = e.key AND r.i = e.stop"""
+)
+def reference_stream(spark, d):
+    """Lines as attempts at the references of orders, followed by a stream with state and timers."""
+    n = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0)
+    attempts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), n.alias("n"), F.col("l_partkey").alias("hit"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    folder, log, mark = (scratch(spark, x) for x in ("attempts", "log", "mark"))
+    attempts.write.parquet(folder)
+    states.reference_stream(spark, folder, log, mark).awaitTermination()
+    return states.references(spark, log).select("key", "status", "tries", "cluster_id")
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS k, CASE l_returnflag WHEN 'R' THEN 200 WHEN 'A' THEN 404 ELSE 503 END AS s, l_shipdate AS t FROM lineitem),
+    e AS (SELECT k, arg_min(s, CAST(t AS VARCHAR) || s) FILTER (WHERE s < 500) AS s, count(*) FILTER (WHERE s >= 500) AS refused FROM a GROUP BY 1)
+    SELECT CAST(o_orderkey AS VARCHAR) AS source, CASE s WHEN 200 THEN 'successful' WHEN 404 THEN 'invalid' ELSE 'queued' END AS status, CAST(CASE WHEN s IS NULL THEN coalesce(refused, 0) ELSE 0 END AS BIGINT) AS tries FROM orders LEFT JOIN e ON k = o_orderkey"""
+)
+def download_stream(spark, d):
+    """Orders as queued downloads and lines as answers, followed by a stream with state and timers."""
+    status = F.when(F.col("l_returnflag") == "R", 200).when(F.col("l_returnflag") == "A", 404).otherwise(503)
+    answers = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("source"), status.alias("http_status"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    queued = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("source"), F.lit(None).cast("int").alias("http_status"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    folder, log, mark = (scratch(spark, x) for x in ("answers", "log", "mark"))
+    answers.unionByName(queued).write.parquet(folder)
+    states.download_stream(spark, folder, log, mark).awaitTermination()
+    return states.queue(spark, log).select("source", "status", "tries")
+
+
 # ---- statistics ---------------------------------------------------------------------------
 
 
