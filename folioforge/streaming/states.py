@@ -43,6 +43,17 @@ _NONE = -1  # no attempt, no answer
 _NEVER, _BEFORE = 2**63 - 1, -(2**63)
 
 
+def _moved(handle: StatefulProcessorHandle, old: int | None, new: int | None) -> int | None:
+    """A key's one timer at another time, or none. The time is kept in the key's
+    state, as asking for its timers is a call of its own; one that fired is not
+    there any more, and deleting it changes nothing."""
+    if old is not None:
+        handle.deleteTimer(old)
+    if new is not None:
+        handle.registerTimer(new)
+    return new
+
+
 class References(StatefulProcessor):
     """The rules of weave.resolve_references for one reference. A try without a hit
     sets a timer, at which the reference is due again."""
@@ -52,11 +63,11 @@ class References(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("reference", "status string, tries long, cluster_id long, at long")
+        self.state = handle.getValueState("reference", "status string, tries long, cluster_id long, at long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         was = self.state.get()
-        status, tries, hit, last = was if was else (OPEN, 0, None, None)
+        status, tries, hit, last, timer = was if was else (OPEN, 0, None, None, None)
         if status in (FINISHED, LIMIT):
             return
         # After MAX_TRIES attempts no reference is left open.
@@ -76,17 +87,14 @@ class References(StatefulProcessor):
             else:
                 status, hit = (FINISHED, r["hit"] if r["known"] else None) if r["n"] == 1 else (LIMIT, None)
         last = added if last is None else last
-        self.state.update((status, tries, hit, last))
         if attempts:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if status == INCOMPLETE:
-                self.handle.registerTimer(last // 1000 + self.wait)
+            timer = _moved(self.handle, timer, last // 1000 + self.wait if status == INCOMPLETE else None)
+        self.state.update((status, tries, hit, last, timer))
         if attempts or not was:
             yield Row(key=key[0], status=status, tries=tries, cluster_id=hit, at=last, due=status == OPEN)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        status, tries, hit, last = self.state.get()
+        status, tries, hit, last, _ = self.state.get()
         yield Row(key=key[0], status=status, tries=tries, cluster_id=hit, at=last, due=True)
 
     def close(self) -> None:
@@ -103,11 +111,11 @@ class Downloads(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("download", "status string, tries long, at long")
+        self.state = handle.getValueState("download", "status string, tries long, at long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
         was = self.state.get()
-        status, tries, last = was if was else (None, 0, None)
+        status, tries, last, timer = was if was else (None, 0, None, None)
         if status not in (None, "queued"):
             return
         added, end, skipped, refused = _NEVER, (_NEVER, _NONE), 0, _BEFORE
@@ -122,15 +130,12 @@ class Downloads(StatefulProcessor):
         else:
             status, tries = "queued", tries + skipped
             last = refused if skipped else added
-        self.state.update((status, tries, last))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if status == "queued" and skipped:
-            self.handle.registerTimer(last // 1000 + self.wait)
+        timer = _moved(self.handle, timer, last // 1000 + self.wait if status == "queued" and skipped else None)
+        self.state.update((status, tries, last, timer))
         yield Row(source=key[0], status=status, tries=tries, at=last, due=status == "queued" and not skipped)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        status, tries, last = self.state.get()
+        status, tries, last, _ = self.state.get()
         yield Row(source=key[0], status=status, tries=tries, at=last, due=True)
 
     def close(self) -> None:
