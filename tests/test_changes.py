@@ -40,16 +40,6 @@ def test_deleted_and_changed_records(spark, tmp_path):
     assert plain(again, "values") == plain(want, "values") and plain(again, "authors") == plain(want, "authors")
 
 
-def test_counts_come_with_the_batch(spark):
-    """Known, new and repeated records in one batch, and a batch without any."""
-    make = lambda *rows: spark.createDataFrame(list(rows), CANONICAL)
-    store, counts = ingest.ingest(ingest.Store.empty(spark), make(record("a/1", "Deep Graph Matching", ["Ann Smithson"]), record("a/2", "Other Words Entirely", ["Cyd Norbury"])), "A")
-    assert counts.collect() == [("added", 2)]
-    _, counts = ingest.ingest(store, make(record("a/1", "Deep Graph Matching", ["Ann Smithson"]), record("a/3", "Sparse Tensor Methods", ["Bob Hallberg"]), record("a/3", "Sparse Tensor Methods", ["Bob Hallberg"])), "A")
-    assert {r["outcome"]: r["n"] for r in counts.collect()} == {"added": 1, "duplicate": 1}
-    assert ingest.ingest(store, make(), "A")[1].collect() == []
-
-
 def test_retraction_keeps_order_and_votes(spark):
     rows = spark.createDataFrame([(1, "u1", 1, "a"), (1, "u2", 2, "b"), (1, "u3", 3, "a"), (2, "u1", 1, "x")], "pub long, url string, seq long, title string")
     t = difftree.apply_votes(difftree.merge(rows, "pub", "url", "seq", ["title"]), spark.createDataFrame([(1, "title", "b", 2)], "pub long, attr string, value string, votes int"))
