@@ -1,4 +1,4 @@
-"""References and the download queue as streams: state by key, with timers.
+"""References and the download queue as streams: state by bucket of keys, with timers.
 
 Attempts arrive as files; what became of each key is appended to a log by batch, as
 streaming.harvest.upsert_stream does, and read with ``current``. The state, its
@@ -7,17 +7,19 @@ run again writes the same folder again. Rows of a batch count in order of time,
 whole batches in order of arrival. Keys that are null are left out; a time that is
 null counts as the first of all.
 
-Rows of one key are combined in each Arrow batch before the shuffle, and folded in
-constant memory after it, so that a key may have any share of the rows.
+Rows of one key are combined in each Arrow batch before the shuffle, and after it
+folded batch by batch, so that a key may have any share of the rows; a task holds
+what counts of one bucket's keys.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -42,112 +44,170 @@ _ANSWERED = "source string, queued long, ended long, end_status int, skipped lon
 _NONE = -1  # no attempt, no answer
 _NEVER, _BEFORE = 2**63 - 1, -(2**63)
 
+#: Buckets that the keys are dealt to, whatever their number; with another number a
+#: stream needs a new checkpoint.
+BUCKETS = 1024
 
-def _moved(handle: StatefulProcessorHandle, old: int | None, new: int | None) -> int | None:
-    """A key's one timer at another time, or none. The time is kept in the key's
-    state, as asking for its timers is a call of its own; one that fired is not
-    there any more, and deleting it changes nothing."""
-    if old is not None:
-        handle.deleteTimer(old)
-    if new is not None:
-        handle.registerTimer(new)
-    return new
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch, out = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
-class References(StatefulProcessor):
-    """The rules of weave.resolve_references for one reference. A try without a hit
-    sets a timer, at which the reference is due again."""
+
+class _Bucket(StatefulProcessor):
+    """The keys of one bucket: their states as one table, and one timer at the
+    earliest of their times. A key's own state costs several calls to the state
+    store, a bucket's costs the same for all of its keys."""
+
+    key: str
+    #: A new key's state; ``due`` is when its wait ends, in milliseconds.
+    first: dict
 
     def __init__(self, retry_seconds: int) -> None:
         self.wait = retry_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("reference", "status string, tries long, cluster_id long, at long, timer long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        was = self.state.get()
-        status, tries, hit, last, timer = was if was else (OPEN, 0, None, None, None)
-        if status in (FINISHED, LIMIT):
-            return
-        # After MAX_TRIES attempts no reference is left open.
-        attempts, added = [], _NEVER
-        for r in rows:
-            if r["n"] == _NONE:
-                added = min(added, r["at"])
-            else:
-                attempts = heapq.nsmallest(MAX_TRIES, [*attempts, r], key=lambda r: (r["at"], r["n"], r["hit"]))
-        for r in attempts:
-            if status in (FINISHED, LIMIT):
-                break
-            last = r["at"]
-            if r["n"] == 0:
-                tries += 1
-                status = INCOMPLETE if tries < MAX_TRIES else LIMIT
-            else:
-                status, hit = (FINISHED, r["hit"] if r["known"] else None) if r["n"] == 1 else (LIMIT, None)
-        last = added if last is None else last
-        if attempts:
-            timer = _moved(self.handle, timer, last // 1000 + self.wait if status == INCOMPLETE else None)
-        self.state.update((status, tries, hit, last, timer))
-        if attempts or not was:
-            yield Row(key=key[0], status=status, tries=tries, cluster_id=hit, at=last, due=status == OPEN)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        status, tries, hit, last, _ = self.state.get()
-        yield Row(key=key[0], status=status, tries=tries, cluster_id=hit, at=last, due=True)
+        self.state = handle.getValueState("bucket", "rows binary, timer long")
+
+    def _keep(self, rows: dict[str, np.ndarray], old: int | None) -> None:
+        """A bucket's states, and its one timer at another time, or none. Deleting
+        one that fired changes nothing."""
+        new = int(rows["due"].min(initial=_NEVER))
+        new = None if new == _NEVER else new
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+        self.state.update((_packed(pd.DataFrame(rows)), new))
+
+    def _with(self, was: pd.DataFrame | None, keys: pd.Series) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The columns of states and of first states for new keys, and which are new."""
+        index = pd.Index(keys.unique())
+        added = index if was is None else index.difference(pd.Index(was[self.key]), sort=False)
+        more = pd.DataFrame({self.key: added.to_numpy(), **{c: np.full(len(added), v) for c, v in self.first.items()}})
+        rows = more if was is None else pd.concat([was, more], ignore_index=True)
+        return {c: rows[c].to_numpy(copy=True) for c in rows.columns}, np.arange(len(rows)) >= len(rows) - len(added)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        new = None
+        for part in rows:
+            new = self.fold(part if new is None else pd.concat([new, part]))
+        kept = self.state.get()
+        states, changed = self.after(pa.ipc.open_stream(kept[0]).read_pandas() if kept else None, new)
+        if changed.any():
+            self._keep(states, kept[1] if kept else None)
+            yield self.out(states, changed, self.due(states))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        packed, timer = self.state.get()
+        rows = pa.ipc.open_stream(packed).read_pandas()
+        states = {c: rows[c].to_numpy(copy=True) for c in rows.columns}
+        over = states["due"] <= timerValues.getCurrentProcessingTimeInMs()
+        states["due"][over] = _NEVER
+        self._keep(states, timer)
+        if over.any():
+            yield self.out(states, over, np.ones(len(over), dtype=bool))
 
     def close(self) -> None:
         pass
 
 
-class Downloads(StatefulProcessor):
-    """The rules of weave.after_download for one source. The first answer that ends
-    a request decides; refused requests count tries and set a timer. A source that
+class References(_Bucket):
+    """The rules of weave.resolve_references for references. A try without a hit
+    sets a time, at which the reference is due again."""
+
+    key = "key"
+    names = np.array([OPEN, INCOMPLETE, FINISHED, LIMIT], dtype=object)
+    first = {"status": 0, "tries": 0, "hit": 0, "known": False, "at": _NEVER, "due": _NEVER}
+
+    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return _first_of_keys(rows)
+
+    def after(self, was: pd.DataFrame | None, new: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        s, fresh = self._with(was, new["key"])
+        status, tries, at = s["status"], s["tries"], s["at"]
+        new = new.assign(place=pd.Index(s["key"]).get_indexer(new["key"]))
+        new = new[status[new["place"]] <= 1]  # what is closed stays
+        made = new["n"] != _NONE
+        attempts, tried = new[made], np.zeros(len(status), dtype=bool)
+        tried[attempts["place"]] = True
+        added = new[~made & fresh[new["place"]]]
+        np.minimum.at(at, added["place"].to_numpy(), added["at"].to_numpy())
+        rank = attempts.groupby("key").cumcount().to_numpy()
+        for i in range(MAX_TRIES):
+            r = attempts[rank == i]
+            r = r[status[r["place"]] <= 1]
+            p, n = r["place"].to_numpy(), r["n"].to_numpy()
+            at[p] = r["at"]
+            tries[p[n == 0]] += 1
+            status[p] = np.select([n == 0, n == 1], [np.where(tries[p] < MAX_TRIES, 1, 3), 2], 3)
+            hit = n == 1
+            s["hit"][p[hit]], s["known"][p[hit]] = r["hit"].to_numpy()[hit], r["known"].to_numpy()[hit]
+        s["due"][tried] = np.where(status[tried] == 1, at[tried] // 1000 + self.wait, _NEVER)
+        return s, tried | fresh
+
+    def due(self, s: dict[str, np.ndarray]) -> np.ndarray:
+        return s["status"] == 0
+
+    def out(self, s: dict[str, np.ndarray], some: np.ndarray, due: np.ndarray) -> pd.DataFrame:
+        hit = pd.arrays.IntegerArray(s["hit"][some], ~s["known"][some])
+        return pd.DataFrame({"key": s["key"][some], "status": self.names[s["status"][some]], "tries": s["tries"][some], "cluster_id": hit, "at": s["at"][some], "due": due[some]})
+
+
+class Downloads(_Bucket):
+    """The rules of weave.after_download for sources. The first answer that ends
+    a request decides; refused requests count tries and set a time. A source that
     left stays away; answers for sources that were never queued change nothing."""
 
-    def __init__(self, retry_seconds: int) -> None:
-        self.wait = retry_seconds * 1000
+    key = "source"
+    names = np.array(["queued", "successful", "invalid"], dtype=object)
+    first = {"status": 0, "tries": 0, "at": _NEVER, "due": _NEVER}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("download", "status string, tries long, at long, timer long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        was = self.state.get()
-        status, tries, last, timer = was if was else (None, 0, None, None)
-        if status not in (None, "queued"):
-            return
-        added, end, skipped, refused = _NEVER, (_NEVER, _NONE), 0, _BEFORE
-        for r in rows:
-            added, end = min(added, r["queued"]), min(end, (r["ended"], r["end_status"]))
-            skipped, refused = skipped + r["skipped"], max(refused, r["last"])
-        ended = end[0] != _NEVER
-        if (not was and added == _NEVER) or (was and not ended and not skipped):
-            return
-        if ended:
-            status, last = "successful" if end[1] < BAD else "invalid", end[0]
-        else:
-            status, tries = "queued", tries + skipped
-            last = refused if skipped else added
-        timer = _moved(self.handle, timer, last // 1000 + self.wait if status == "queued" and skipped else None)
-        self.state.update((status, tries, last, timer))
-        yield Row(source=key[0], status=status, tries=tries, at=last, due=status == "queued" and not skipped)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        status, tries, last, _ = self.state.get()
-        yield Row(source=key[0], status=status, tries=tries, at=last, due=True)
+    def fold(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return _summed_answers(rows)
+
+    def after(self, was: pd.DataFrame | None, new: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        there = new["queued"] != _NEVER
+        new = new[there if was is None else there | new["source"].isin(was["source"])]
+        s, fresh = self._with(was, new["source"])
+        status, at, changed = s["status"], s["at"], np.zeros(len(fresh), dtype=bool)
+        new = new.assign(place=pd.Index(s["source"]).get_indexer(new["source"]))
+        new = new[(status[new["place"]] == 0) & (fresh[new["place"]] | (new["ended"] != _NEVER) | (new["skipped"] > 0))]
+        p, ended, skipped = new["place"].to_numpy(), (new["ended"] != _NEVER).to_numpy(), new["skipped"].to_numpy()
+        status[p] = np.where(ended, np.where(new["end_status"] < BAD, 1, 2), 0)
+        s["tries"][p] += np.where(ended, 0, skipped)
+        at[p] = np.select([ended, skipped > 0], [new["ended"], new["last"]], new["queued"])
+        s["due"][p] = np.where(~ended & (skipped > 0), at[p] // 1000 + self.wait, _NEVER)
+        changed[p] = True
+        return s, changed
+
+    def due(self, s: dict[str, np.ndarray]) -> np.ndarray:
+        return (s["status"] == 0) & (s["due"] == _NEVER)
+
+    def out(self, s: dict[str, np.ndarray], some: np.ndarray, due: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"source": s["source"][some], "status": self.names[s["status"][some]], "tries": s["tries"][some], "at": s["at"][some], "due": due[some]})
 
-    def close(self) -> None:
-        pass
+
+def _first_of_keys(b: pd.DataFrame) -> pd.DataFrame:
+    """Of each key the attempts that can count, in order, and one row that adds it."""
+    b = b.sort_values(["at", "n", "hit"], kind="stable")
+    made = b["n"] != _NONE
+    return pd.concat([b[made].groupby("key").head(MAX_TRIES), b[~made].groupby("key").head(1)])
 
 
 def _first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each key the attempts that can count, and one row that adds it."""
     for b in batches:
-        b = b.sort_values(["at", "n", "hit"], kind="stable")
-        made = b["n"] != _NONE
-        yield pd.concat([b[made].groupby("key").head(MAX_TRIES), b[~made].groupby("key").head(1)])
+        yield _first_of_keys(b)
+
+
+def _summed_answers(b: pd.DataFrame) -> pd.DataFrame:
+    """One row for each source."""
+    by = b.sort_values(["ended", "end_status"], kind="stable").groupby("source", as_index=False)
+    return by.agg(queued=("queued", "min"), ended=("ended", "first"), end_status=("end_status", "first"), skipped=("skipped", "sum"), last=("last", "max"))
 
 
 def _combined_answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,9 +216,7 @@ def _combined_answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         none = b["http_status"] == _NONE
         ends = ~none & ((b["http_status"] < BAD) | (b["http_status"] == MISSING))
         skips = ~none & ~ends
-        b = b.assign(queued=b["at"].where(none, _NEVER), ended=b["at"].where(ends, _NEVER), end_status=b["http_status"].where(ends, _NONE), skipped=skips.astype("int64"), last=b["at"].where(skips, _BEFORE))
-        by = b.sort_values(["ended", "end_status"], kind="stable").groupby("source", as_index=False)
-        yield by.agg(queued=("queued", "min"), ended=("ended", "first"), end_status=("end_status", "first"), skipped=("skipped", "sum"), last=("last", "max"))
+        yield _summed_answers(b.assign(queued=b["at"].where(none, _NEVER), ended=b["at"].where(ends, _NEVER), end_status=b["http_status"].where(ends, _NONE), skipped=skips.astype("int64"), last=b["at"].where(skips, _BEFORE)))
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -178,7 +236,8 @@ def _run(spark: SparkSession, source: str, schema: str, given: list[Column], com
     key = out.split()[0]
     at = F.coalesce(F.unix_micros("at"), F.lit(0)).alias("at")
     rows = own.readStream.schema(schema).parquet(source).where(F.col(key).isNotNull()).select(key, *given, at)
-    changes = rows.mapInPandas(combine, combined).groupBy(key).transformWithState(processor, out.replace("timestamp", "long"), "Update", "ProcessingTime")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+    changes = rows.mapInPandas(combine, combined).select(bucket, "*").groupBy("bucket").transformWithStateInPandas(processor, out.replace("timestamp", "long"), "Update", "ProcessingTime")
     changes = changes.withColumn("at", F.timestamp_micros("at"))
 
     def append(batch: DataFrame, n: int) -> None:
