@@ -115,3 +115,24 @@ def test_timer_fires_without_new_rows(spark, tmp_path):
         assert seen[0]["status"] == "INC" and states.references(spark, where[1]).first()["due"] and q.exception() is None
     finally:
         q.stop()
+
+
+def test_state_is_kept_by_buckets(spark, tmp_path, monkeypatch):
+    """The state store holds rows and timers of buckets, however many keys they have; results are a key's own."""
+    monkeypatch.setattr(states, "BUCKETS", 4)
+    where = [str(tmp_path / n) for n in ("in", "log", "checkpoint")]
+    rng, made = random.Random(3), {k: [] for k in range(500)}
+    for run in range(2):
+        rows = []
+        for k in rng.sample(sorted(made), 400):
+            at, n = PAST + dt.timedelta(days=40_000 if k % 7 == 0 else run), rng.choice([0, 0, 1, 2])
+            made[k].append((n, k if n else None, at))
+            rows.append((k, *made[k][-1]))
+        spark.createDataFrame(rows, states.ATTEMPTS).write.mode("append").parquet(where[0])
+        q = states.reference_stream(spark, *where)
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4 * 4
+    got = {r["key"]: r for r in states.references(spark, where[1]).collect()}
+    want = {k: folded([(n, h) for n, h, _ in a]) for k, a in made.items() if a}
+    assert {k: (r["status"], r["tries"], r["cluster_id"]) for k, r in got.items()} == want
+    assert {k for k, r in got.items() if r["due"]} == {k for k, w in want.items() if w[0] == "INC" and k % 7}
