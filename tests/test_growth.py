@@ -56,3 +56,19 @@ def test_equal_names_are_compared_once(spark, rows_of, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     found = catalog.author_similarity(spark, str(tmp_path))
     assert max(rows_of(found, "Generate")) <= 8 and found.count() == 400
+
+
+def test_equal_names_are_transformed_once(spark):
+    """Rows that share a name are one call of the transformation, and one of either side's names."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def lower(name):
+        calls.add(1)
+        return name.lower()
+
+    names = spark.range(300).select(F.col("id").alias("key"), F.when(F.col("id") % 2 == 0, "Red Bolt").otherwise("R Bolt").alias("name"))
+    pairs, members = match.similar_names(names, "key", "name", lower)
+    assert {(r["id"], r["other"]) for r in pairs.collect()} == {(0, 1), (1, 0)}
+    assert {(r["key"], r["id"]) for r in members.collect()} == {(k, k % 2) for k in range(300)}
+    assert calls.value == 2
