@@ -345,8 +345,12 @@ class Pieces:
             return [total], [{}]
         most = float(self.more[numbers[at]].max()) if len(at) == n - 1 else math.inf  # one change in each of them
         found = self.nbest(tuple(words[i] for i in at), n, most)
-        top, best = found[0]
-        return [total + score - top for score, _ in found], [{i: own for i, own, first in zip(at, ids, best, strict=True) if own != first} for _, ids in found]
+        scores, ways = [total + score - found[0][0] for score, _ in found], [ids for _, ids in found]
+        # The best is the one of the learned ids; of several that cost as little, the search may name another first.
+        best = tuple(tuple(self.ids_of(numbers[i : i + 1]).tolist()) for i in at)
+        if ways[0] != best:
+            ways = [best, *[w for w in ways if w != best]][: len(ways)]
+        return scores, [{i: own for i, own, first in zip(at, ids, best, strict=True) if own != first} for ids in ways]
 
 
 def _smallest(cost: np.ndarray, n: int) -> list[int]:
@@ -365,14 +369,17 @@ def loaded(path: str, scores: str | None = None) -> Pieces:
 
 def segment(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", n: int = 4, scores: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: (id_col, n_pieces, ids_crc32, best_score, n_found,
-    scores, changed, round_trip), and ids ``with_ids``.
+    scores, changed, round_trip), and ids and changed_ids ``with_ids``.
 
     ids are those of the best segmentation of the whole text, n_pieces their
     number and ids_crc32 their checksum (unsigned, of little-endian unsigned
     32-bit ids). scores are those of the up to n best, best first; changed has,
     for each of them, the words in which it differs from the best; round_trip
-    says that the best decodes to the text. What ``scores`` are: see Pieces. Of
-    segmentations that cost the same, those that change earlier words are found.
+    says that the best decodes to the text. changed_ids has, for each word that
+    changed names, its ids, which replace ``length`` of the best's ids from
+    ``start`` on (from 0): so all n segmentations are there whole. What ``scores``
+    are: see Pieces. Of segmentations that cost the same, those that change earlier
+    words are found.
     A null or empty text has no pieces, score 0 and one (empty) segmentation.
     One pass, no shuffle; rows repeat as in docs, ids may be null; other columns
     are not read.
@@ -384,17 +391,21 @@ def segment(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         numbers = p.learn(list(chain.from_iterable(split)))
         ends = np.cumsum([0, *map(len, split)])
         out: list[list] = [[] for _ in range(6)]
+        other: list[list] = []
         flat, cuts = p.ids_of(numbers), np.concatenate([[0], np.cumsum(p.size[numbers])])[ends]
         for words, text, a, b, lo, hi in zip(split, cols[1], ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             of, changes = p.text_nbest(words, numbers[a:b], n)
             whole = not text or bool(p.good[numbers[a:b]].all()) and sum(map(len, words)) == len(text) + 1
             for c, v in zip(out, (hi - lo, zlib.crc32(flat[lo:hi].astype("<u4").tobytes()), of, len(of), [sorted(x) for x in changes], whole), strict=True):
                 c.append(v)
-        ids = [pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(flat.astype(np.int32)))] if with_ids else []
+            size = p.size[numbers[a:b]]
+            start = np.cumsum(size) - size
+            other.append([[{"start": int(start[i]), "length": int(size[i]), "ids": list(x[i])} for i in sorted(x)] for x in changes])
+        ids = [pa.ListArray.from_arrays(pa.array(cuts, type=pa.int32()), pa.array(flat.astype(np.int32))), other] if with_ids else []
         return [cols[0], out[0], out[1], [s[0] for s in out[2]], out[3], out[2], out[4], out[5], *ids]
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_pieces long, ids_crc32 long, best_score double, n_found int, scores array<double>, changed array<array<int>>, round_trip boolean" + ", ids array<int>" * with_ids
+    schema = "id long, n_pieces long, ids_crc32 long, best_score double, n_found int, scores array<double>, changed array<array<int>>, round_trip boolean" + ", ids array<int>, changed_ids array<array<struct<start:int,length:int,ids:array<int>>>>" * with_ids
     return map_rows(rows, schema, run).withColumnRenamed("id", id_col)
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioforge.llm import langid, licenses, nbest, packing, quality, secrets, simhash, similar, token_count, wordbpe
-from folioforge.llm.queries import PIECE_BPE, WORD_BPE
+from folioforge.llm.queries import PIECE_BPE, WORD_BPE, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -856,3 +856,23 @@ def test_whole_licences():
     assert [f[0] for f in index.scan(texts["bsd-3-clause/text"], 0.8)] == ["bsd-3-clause/text"]
     assert [f[0] for f in index.scan("# SPDX-License-Identifier: GPL-2.0-only\n# SPDX-License-Identifier: MIT", 0.8)] == ["gpl-2.0-only/spdx", "mit/spdx"]
     assert index.scan("the license of this software: the mit one, version 2.0 or later, is free " * 40, 0.8) == []
+
+
+def test_nbest_query_returns_every_segmentation_whole(spark):
+    """The ids of all of the n best, not of the first alone: each spells the text and has its score."""
+    rows = queries()["op7_nbest_pieces"](spark, "/root/testdata/sf0.001").collect()
+    p, found = nbest.loaded(PIECE_BPE), 0
+    cost = {i: s for i, s in p.pieces.values()}
+    for r in rows:
+        assert zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] and len(r["changed_ids"]) == r["n_found"]
+        whole = []
+        for changed in r["changed_ids"]:
+            ids, at = [], 0
+            for c in changed:
+                ids += r["ids"][at : c["start"]] + c["ids"]
+                at = c["start"] + c["length"]
+            whole.append([*ids, *r["ids"][at:]])
+        assert len(set(map(tuple, whole))) == len(whole) and {p.spelled(x) for x in whole} == {p.spelled(r["ids"])}
+        assert [sum(cost.get(i, p.worst) for i in x) for x in whole] == pytest.approx(r["scores"])
+        found += len(whole)
+    assert found > 3 * len(rows)
