@@ -13,13 +13,17 @@ earliest entities that a title, name or alias meets: none, one, or several.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.distance import BITS, edit_distances
 from ..functions.names import same_author
-from ..functions.text import author_tokens, relevant_words, title_similarity
+from ..functions.text import author_tokens, near_length, relevant_words, title_similarity
 from ..storage import written
 from .match import AMB_ALIAS, AMB_CLUSTER, AMB_NAME_BLOCK, AMB_PUB, LIMBO, MULTI_MATCH, NO_MATCH, SAFE, SINGLE_MATCH, all_tokens_match
 
@@ -29,16 +33,55 @@ def similar_titles(asked: DataFrame, held: DataFrame, key: str, threshold: int =
     and have one of its search words. All titles are normalised; asked is distinct.
 
     The join is by word and class of length, which similar titles share or have next
-    to each other, with similarity as its condition: only similar pairs leave it.
+    to each other. A pair leaves it once, at the first search word that it shares, if
+    its sets of letter pairs are near enough; then edit distances are taken of many
+    pairs at once, or by the join's condition where both titles have over BITS letters.
     """
     step = math.log(100 / threshold)
     size = lambda c: F.floor(F.log(F.length(c)) / step).cast("int")
     few = F.forall(relevant_words("name"), lambda w: F.length(w) < 4)
-    words = F.explode(F.array_distinct(F.when(few, F.split("name", " ")).otherwise(relevant_words("name")))).alias("word")
-    asked = asked.where("name != ''").select("name", words, size("name").alias("size"))
-    asked = asked.select("name", "word", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    held = held.where("other != ''").select(key, "other", F.explode(F.array_distinct(F.split("other", " "))).alias("word"), size("other").alias("size"))
-    return asked.join(held, ["word", "size"]).where(title_similarity("name", "other") >= threshold).select("name", key, "other").distinct()
+    search = F.array_distinct(F.when(few, F.split("name", " ")).otherwise(relevant_words("name")))
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.where("name != ''").withColumn("_pairs", _letter_pairs("name")).withColumn("_search", search)
+    asked = asked.select("name", *_bits("a"), "_search", size("name").alias("size"), F.posexplode("_search").alias("i", "word"))
+    asked = asked.select("name", *_BITS_OF["a"], "word", F.slice("_search", F.lit(1), F.col("i")).alias("past"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    held = held.where("other != ''").select(key, "other").distinct().withColumn("_pairs", _letter_pairs("other")).withColumn("words", F.array_distinct(F.split("other", " ")))
+    held = held.select(key, "other", *_bits("b"), "words", size("other").alias("size"), F.explode("words").alias("word"))
+    longer, shorter = (f(F.length("name"), F.length("other")) for f in (F.greatest, F.least))
+    # An edit takes and adds at most two letter pairs; one more edit than allowed is let through, so that rounding decides nothing.
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_BITS_OF["a"], _BITS_OF["b"], strict=True)), F.lit(0))
+    near = near_length("name", "other", threshold) & (100 * apart <= 4 * ((100 - threshold) * longer + 100)) & ~F.arrays_overlap("past", "words")
+    near = near & ((shorter <= BITS) | (title_similarity("name", "other") >= threshold))
+    pairs = asked.repartition(parts, "word", "size").join(held.repartition(parts, "word", "size"), ["word", "size"]).where(near).select("name", key, "other")
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                a, b = part.column(0).to_pylist(), part.column(2).to_pylist()
+                sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+                found = sizes.min(axis=1) > BITS
+                ask = np.flatnonzero(~found)
+                if len(ask):
+                    d = edit_distances([a[i] for i in ask], [b[i] for i in ask])
+                    found[ask] = np.floor((1 - d / sizes[ask].max(axis=1)) * 100) >= threshold
+                yield part.filter(pa.array(found))
+
+    return pairs.mapInArrow(similar, pairs.schema)
+
+
+#: Pairs of titles that are compared in one step.
+CHUNK = 4096
+#: A title's letter pairs as a set of 256 bits, in four longs.
+_BITS_OF = {side: [f"_{side}{i}" for i in range(4)] for side in "ab"}
+
+
+def _letter_pairs(name: str) -> Column:
+    return F.expr(f"transform(sequence(1, greatest(length({name}) - 1, 1)), i -> cast(pmod(xxhash64(substring({name}, i, 2)), 256) as int))")
+
+
+def _bits(side: str) -> list[Column]:
+    return [F.expr(f"aggregate(_pairs, 0L, (s, h) -> s | if(h div 64 = {i}, shiftleft(1L, h % 64), 0L))").alias(c) for i, c in enumerate(_BITS_OF[side])]
 
 
 def similar_authors(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
@@ -76,7 +119,8 @@ class Batch:
     in the order of url_id."""
 
     def __init__(self, records: DataFrame, who: DataFrame, clusters: DataFrame, publications: DataFrame, authors: DataFrame, aliases: DataFrame) -> None:
-        self.records, self.who = records, who
+        # A title goes by the hash of itself that is the id of the cluster it creates.
+        self.records, self.who = records.withColumn("k", F.xxhash64("name")), who
         names, people = written(records.select("name").distinct(), "titles"), written(who.select("normal").distinct(), "names")
         pubs = publications.groupBy("cluster_id").agg(F.count("*").alias("pubs"))
         stored = similar_titles(names, clusters.select("id", F.col("name").alias("other")), "id").join(pubs.withColumnRenamed("cluster_id", "id"), "id", "left")
@@ -88,7 +132,7 @@ class Batch:
         # A title that the store has is never created, and meets nothing but itself.
         known = self.stored.where("exact").select("name").distinct()
         inside = inside.join(known, "name", "left_anti").join(self.stored.select(F.col("name").alias("other")).distinct(), "other", "left_anti")
-        self.titles = written(inside.select("name", "other"), "title_pairs")
+        self.titles = written(inside.select(F.xxhash64("name").alias("k"), F.xxhash64("other").alias("o")), "title_pairs")
         held = authors.select("id", F.col("block_name").alias("other"))
         self.people = written(similar_authors(people, held, "id").select("normal", "id"), "stored_names")
         # The other name stands for itself: all_tokens_match needs a key of its own.
@@ -100,21 +144,21 @@ class Batch:
     def titles_after(self, state: DataFrame | None) -> DataFrame:
         """(url_id, status, match, id, reason) by what the records of a state create."""
         since = F.lit(None).cast("long").alias("since")
-        hits = self.stored.select("name", "id", since, "pubs")
+        hits = self.stored.select(F.xxhash64("name").alias("k"), "id", since, "pubs")
         own = None
         if state is not None:
-            made = state.where("safe and title_match = 'NO_MATCH'").groupBy(F.col("name").alias("other")).agg(F.min("url_id").alias("since"))
-            near = self.titles.join(made, "other")
-            new = near.where("name != other").select("name", F.xxhash64("other").alias("id"), "since", F.lit(1).cast("long").alias("pubs"))
-            hits, own = hits.unionByName(new), near.where("name = other").select("name", F.col("since").alias("own"))
-        both = self.records.select("url_id", "name").join(_two(hits, "name", ["pubs"]), "name", "left")
-        both = both.join(own, "name", "left") if own is not None else both.withColumn("own", F.lit(None).cast("long"))
+            made = state.where("safe and title_match = 'NO_MATCH'").groupBy(F.col("k").alias("o")).agg(F.min("url_id").alias("since"))
+            near = self.titles.join(made, "o")
+            new = near.where("k != o").select("k", F.col("o").alias("id"), "since", F.lit(1).cast("long").alias("pubs"))
+            hits, own = hits.unionByName(new), near.where("k = o").select("k", F.col("since").alias("own"))
+        both = self.records.select("url_id", "k").join(_two(hits, "k", ["pubs"]), "k", "left")
+        both = both.join(own, "k", "left") if own is not None else both.withColumn("own", F.lit(None).cast("long"))
         n = _there("first", F.col("url_id")) + _there("second", F.col("url_id"))
-        n, pubs, id_ = F.when(F.col("own") < F.col("url_id"), 1).otherwise(n), F.when(F.col("own") < F.col("url_id"), 1).otherwise(F.col("first.pubs")), F.when(F.col("own") < F.col("url_id"), F.xxhash64("name")).otherwise(F.col("first.id"))
-        both = both.select("url_id", "name", n.alias("n"), pubs.alias("pubs"), id_.alias("id"))
+        n, pubs, id_ = F.when(F.col("own") < F.col("url_id"), 1).otherwise(n), F.when(F.col("own") < F.col("url_id"), 1).otherwise(F.col("first.pubs")), F.when(F.col("own") < F.col("url_id"), F.col("k")).otherwise(F.col("first.id"))
+        both = both.select("url_id", "k", n.alias("n"), pubs.alias("pubs"), id_.alias("id"))
         lone = (F.col("n") == 1) & (F.col("pubs") != 1)  # one cluster, but not one publication
         ok = (F.col("n") <= 1) & ~F.coalesce(lone, F.lit(False))
-        return both.select("url_id", "name", F.when(ok, SAFE).otherwise(LIMBO).alias("status"), F.when(ok, _match(F.col("n"))).otherwise(MULTI_MATCH).alias("match"), F.when(ok & (F.col("n") == 1), F.col("id")).alias("id"), F.when(~ok, F.when(F.col("n") == 1, AMB_PUB).otherwise(AMB_CLUSTER)).alias("reason"))
+        return both.select("url_id", "k", F.when(ok, SAFE).otherwise(LIMBO).alias("status"), F.when(ok, _match(F.col("n"))).otherwise(MULTI_MATCH).alias("match"), F.when(ok & (F.col("n") == 1), F.col("id")).alias("id"), F.when(~ok, F.when(F.col("n") == 1, AMB_PUB).otherwise(AMB_CLUSTER)).alias("reason"))
 
     def people_after(self, state: DataFrame | None, people: DataFrame | None) -> DataFrame:
         """(url_id, priority, status, match, id, reason) likewise: by alias, and for

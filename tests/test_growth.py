@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge import catalog
-from folioforge.operators import match
+from folioforge.functions.distance import edit_distances
+from folioforge.operators import match, sequence
 
 
 @pytest.fixture
@@ -72,3 +73,18 @@ def test_equal_names_are_transformed_once(spark):
     assert {(r["id"], r["other"]) for r in pairs.collect()} == {(0, 1), (1, 0)}
     assert {(r["key"], r["id"]) for r in members.collect()} == {(k, k % 2) for k in range(300)}
     assert calls.value == 2
+
+
+def test_a_pair_of_titles_is_compared_once(spark, rows_of):
+    """Titles that share several words leave the join as one pair; those over 64 letters are compared there."""
+    tails = ["".join(chr(97 + (i * 7 + j * j) % 26) for j in range(5)) for i in range(20)]
+    short, long_ = [f"learning representations structured {t}" for t in tails], [f"{'learning representations structured ' * 2}{t}" for t in tails]
+    asked = spark.createDataFrame([(n,) for n in short + long_], "name string")
+    found = sequence.similar_titles(asked, asked.select(F.col("name").alias("other"), F.lit(0).alias("k")), "k")
+    assert max(rows_of(found, "Join")) == 2 * 20 * 20
+    assert {(r["name"], r["other"]) for r in found.collect()} == {(a, b) for group in (short, long_) for a in group for b in group}
+
+
+def test_edit_distances():
+    plain = {("kitten", "sitting"): 3, ("a", "a"): 0, ("a", "b"): 1, ("abc" * 21 + "x", "abc" * 30): 27, ("aé😀", "é😀ab"): 3, ("x" * 64, "y" * 80): 80}
+    assert edit_distances([a for a, _ in plain], [b for _, b in plain]).tolist() == list(plain.values())
