@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import bit, bit_indexes
+from ..storage import written
 
 #: The attributes of a tree, and those that hold ids.
 ATTRIBUTES = ["title", "pages", "note", "doi", "abstract", "copyright", "date_published", "volume", "number", "keyword_ids", "author_ids", "pub_source_ids", "type_ids", "study_field_ids"]
@@ -40,46 +41,63 @@ def _entry(attr: str):
 def source_bits(rows: DataFrame, pub: str, url: str, seq: str) -> DataFrame:
     """(pub, url_ids, url_id, place): sources by first arrival. The sources of a
     record are at most 63, so that a record's list is bounded."""
+    lists = _source_lists(rows, pub, url, seq)
+    return lists.select("pub", "url_ids", F.posexplode("url_ids").alias("place", "url_id"))
+
+
+def _source_lists(rows: DataFrame, pub: str, url: str, seq: str) -> DataFrame:
+    """(pub, url_ids): each record's sources by first arrival."""
     first = rows.groupBy(F.col(pub).alias("pub"), F.col(url).alias("url_id")).agg(F.min(seq).alias("first"))
     lists = first.groupBy("pub").agg(F.array_sort(F.collect_list(F.struct("first", "url_id"))).alias("s"))
-    lists = lists.select("pub", F.transform("s", lambda x: x["url_id"]).alias("url_ids"))
-    return lists.select("pub", "url_ids", F.posexplode("url_ids").alias("place", "url_id"))
+    return lists.select("pub", F.transform("s", lambda x: x["url_id"]).alias("url_ids"))
+
+
+def _placed(rows: DataFrame, lists: DataFrame, pub: str, url: str) -> DataFrame:
+    """Rows with the bit of their source in lists(pub, url_ids), in the record's
+    partition: what is grouped by record and more has no further exchange. Values
+    are melted after it, so that a row is shuffled once, not once for each value."""
+    known = rows.where(F.col(url).isNotNull()).join(lists.select(F.col("pub").alias("_pub"), "url_ids"), F.col(pub) == F.col("_pub"))
+    return known.withColumn("_bit", bit(F.array_position("url_ids", F.col(url)) - 1)).drop("_pub", "url_ids")
+
+
+def _melted_bits(rows: DataFrame, lists: DataFrame, pub: str, url: str, seq: str, attributes: list[str]) -> DataFrame:
+    """(pub, attr, value, bit, seq, at): melted rows with their source's bit."""
+    each = melt(_placed(rows, lists, pub, url), pub, "_bit", seq, attributes)
+    return each.withColumnRenamed("url_id", "bit")
 
 
 def node_rows(rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """(pub, attr, value, votes, bitvector, ord): the nodes, unnested."""
-    places = source_bits(rows, pub, url, seq).select("pub", "url_id", bit("place").alias("bit"))
-    each = melt(rows, pub, url, seq, attributes).join(places, ["pub", "url_id"])
+    each = _melted_bits(rows, _source_lists(rows, pub, url, seq), pub, url, seq, attributes)
     return each.groupBy("pub", "attr", "value").agg(F.lit(0).alias("votes"), F.bit_or("bit").alias("bitvector"), F.min(F.struct("seq", "at")).alias("ord"))
 
 
+def _nested(grown: DataFrame) -> DataFrame:
+    """(pub, attrs) of nodes in their order."""
+    lists = grown.groupBy("pub", "attr").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("value", "votes", "bitvector").alias("node")))).alias("nodes"))
+    return lists.groupBy("pub").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.transform("nodes", lambda x: x["node"])))).alias("attrs"))
+
+
 def merge(rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str] = ATTRIBUTES) -> DataFrame:
     """One tree (pub, url_ids, attrs) per record, from rows in order of seq."""
-    node = F.struct("value", "votes", "bitvector")
-    lists = node_rows(rows, pub, url, seq, attributes).groupBy("pub", "attr").agg(F.array_sort(F.collect_list(F.struct("ord", node.alias("node")))).alias("nodes"))
-    trees = lists.groupBy("pub").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.transform("nodes", lambda x: x["node"])))).alias("attrs"))
-    urls = source_bits(rows, pub, url, seq).select("pub", "url_ids").distinct()
-    return urls.join(trees, "pub", "left")
+    return _source_lists(rows, pub, url, seq).join(_nested(node_rows(rows, pub, url, seq, attributes)), "pub", "left")
 
 
 def insert(trees: DataFrame, rows: DataFrame, pub: str, url: str, seq: str, attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """Trees with the values of more rows: the old tree is read back as rows
-    that arrived before, whatever the new rows' seq, so that old nodes keep their
-    order; votes stay."""
+    """Trees with the values of more rows: old nodes and sources keep their order,
+    whatever the new rows' seq, and new ones come after them; votes stay. As new
+    sources get new bits, old bitvectors stay as they are. Nodes without a source
+    leave. The trees are written once, as they are read three times."""
     arrived = lambda generation, at: F.struct(F.lit(generation).alias("generation"), at.cast("long").alias("at")).alias("seq")
-    old_nodes = nodes(trees)
-    back = old_nodes.withColumn("i", F.explode(bit_indexes("bitvector")))
-    back = back.select("pub", F.get("url_ids", F.col("i")).alias("url_id"), arrived(0, F.lit(0)), "attr", "value", "at")
+    trees = written(trees.select("pub", "url_ids", "attrs"), "trees")
     places = trees.select("pub", F.posexplode("url_ids").alias("p", "url_id")).select("pub", "url_id", arrived(0, F.col("p")))
-    fresh = melt(rows, pub, url, seq, attributes).withColumn("seq", arrived(1, F.col("seq")))
-    arrivals = places.unionByName(rows.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), arrived(1, F.col(seq))))
-    spots = source_bits(arrivals, "pub", "url_id", "seq")
-    each = back.unionByName(fresh).join(spots.select("pub", "url_id", bit("place").alias("bit")), ["pub", "url_id"])
-    grown = each.groupBy("pub", "attr", "value").agg(F.bit_or("bit").alias("bitvector"), F.min(F.struct("seq", "at")).alias("ord"))
-    grown = grown.join(old_nodes.select("pub", "attr", "value", "votes"), ["pub", "attr", "value"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
-    lists = grown.groupBy("pub", "attr").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("value", "votes", "bitvector").alias("node")))).alias("nodes"))
-    attrs = lists.groupBy("pub").agg(F.map_from_entries(F.collect_list(F.struct("attr", F.transform("nodes", lambda x: x["node"])))).alias("attrs"))
-    return spots.select("pub", "url_ids").distinct().join(attrs, "pub", "left")
+    fresh = rows.withColumn(seq, arrived(1, F.col(seq)))
+    arrivals = places.unionByName(fresh.select(F.col(pub).alias("pub"), F.col(url).alias("url_id"), F.col(seq).alias("seq")))
+    lists = _source_lists(arrivals, "pub", "url_id", "seq")
+    old = nodes(trees).where("bitvector != 0").select("pub", "attr", "value", F.col("bitvector").alias("bit"), arrived(0, F.lit(0)), "at", "votes")
+    more = _melted_bits(fresh, lists, pub, url, seq, attributes).select("pub", "attr", "value", "bit", "seq", "at", F.lit(0).alias("votes"))
+    grown = old.unionByName(more).groupBy("pub", "attr", "value").agg(F.max("votes").alias("votes"), F.bit_or("bit").alias("bitvector"), F.min(F.struct("seq", "at")).alias("ord"))
+    return lists.join(_nested(grown), "pub", "left")
 
 
 def retract(trees: DataFrame, gone: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioforge import catalog
 from folioforge.functions.distance import edit_distances
-from folioforge.operators import match, sequence
+from folioforge.operators import difftree, match, sequence
 
 
 @pytest.fixture
@@ -88,3 +88,26 @@ def test_a_pair_of_titles_is_compared_once(spark, rows_of):
 def test_edit_distances():
     plain = {("kitten", "sitting"): 3, ("a", "a"): 0, ("a", "b"): 1, ("abc" * 21 + "x", "abc" * 30): 27, ("aé😀", "é😀ab"): 3, ("x" * 64, "y" * 80): 80}
     assert edit_distances([a for a, _ in plain], [b for _, b in plain]).tolist() == list(plain.values())
+
+
+def test_values_of_a_tree_are_not_shuffled_for_their_sources(spark):
+    """Rows are dealt by record once, before they are melted: no exchange has (pub, attr, value) or more keys."""
+    rows = spark.range(40).select((F.col("id") % 4).alias("pub"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("url"), F.col("id").alias("seq"), (F.col("id") % 5).alias("title"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = difftree.merge(rows, "pub", "url", "seq")
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        got = {(r["pub"], r["value"]): r["bitvector"] for r in difftree.nodes(merged).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert not [line for line in plan.splitlines() if "Exchange" in line and ("attr" in line or "value" in line)]
+    want: dict = {}
+    for pub in range(4):
+        mine = [i for i in range(40) if i % 4 == pub]
+        order = list(dict.fromkeys(i % 3 for i in mine))
+        for i in mine:
+            if i % 3:
+                want[pub, str(i % 5)] = want.get((pub, str(i % 5)), 0) | 1 << order.index(i % 3)
+    assert got == want
