@@ -176,7 +176,7 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
             cols = list(zip(*rows_, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole)):
             out: list[tuple] = []
             for pid, doc, ids in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if pid != now:

@@ -167,7 +167,7 @@ def byte_alphabet() -> list[str]:
 class WordBPE:
     """Compiled from a tokenizers JSON file with a word-end suffix."""
 
-    def __init__(self, path: str, most_words: int = 300_000) -> None:
+    def __init__(self, path: str, most_words: int = 100_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

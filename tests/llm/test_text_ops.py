@@ -876,3 +876,12 @@ def test_nbest_query_returns_every_segmentation_whole(spark):
         assert [sum(cost.get(i, p.worst) for i in x) for x in whole] == pytest.approx(r["scores"])
         found += len(whole)
     assert found > 3 * len(rows)
+
+
+def test_a_tokenizer_forgets_words_before_they_fill_a_worker():
+    model = wordbpe.WordBPE(WORD_BPE)
+    for i in range(0, 240_000, 20_000):
+        texts = [" ".join(f"w{n:06d}x" for n in range(i, i + 20_000))]
+        got = np.frombuffer(model.encode(texts)[0], dtype="<u2").tolist()
+        assert len(model.known) <= 125_000
+    assert got == model.library.encode(texts[0], add_special_tokens=False).ids
