@@ -7,9 +7,10 @@ run again writes the same folder again. Rows of a batch count in order of time,
 whole batches in order of arrival. Keys that are null are left out; a time that is
 null counts as the first of all.
 
-Rows of one key are combined in each Arrow batch before the shuffle, and after it
-folded batch by batch, so that a key may have any share of the rows; a task holds
-what counts of one bucket's keys.
+Rows of one key are combined in each piece of a file before the shuffle, and after it
+folded piece by piece, so that a key may have any share of the rows; a task holds
+what counts of one bucket's keys. Spark takes rows of a group one by one in Python;
+so a bucket's rows of a piece go there packed as one.
 """
 
 from __future__ import annotations
@@ -39,23 +40,67 @@ ANSWERS = "source string, http_status int, at timestamp"
 QUEUE = "source string, status string, tries long, at timestamp, due boolean"
 
 # Inside, times are microseconds and nothing is null: integers with nulls would become floats in pandas.
-_TRIED = "key long, n int, hit long, known boolean, at long"
-_ANSWERED = "source string, queued long, ended long, end_status int, skipped long, last long"
+# Packed rows: key, n, hit, known and at; or source, queued, ended, end_status, skipped and last.
 _NONE = -1  # no attempt, no answer
 _NEVER, _BEFORE = 2**63 - 1, -(2**63)
 
 #: Buckets that the keys are dealt to, whatever their number; with another number a
 #: stream needs a new checkpoint.
 BUCKETS = 1024
+#: Rows that are combined at a time, at least, where there are as many.
+PIECE = 1 << 17
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
-    batch, out = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+def _batch(rows: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(rows, preserve_index=False).replace_schema_metadata()
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batch.schema) as writer:
         writer.write_batch(batch)
     return out.getvalue().to_pybytes()
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= PIECE:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
+def _packed_by_bucket(combine: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(bucket, rows): the combined rows of each bucket of a piece, without their bucket."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in _pieces(b for b in batches if len(b)):
+            rows = combine(piece).sort_values("bucket", kind="stable")
+            bucket, batch = rows["bucket"].to_numpy(), _batch(rows.drop(columns="bucket"))
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            sizes = np.diff(np.append(starts, len(bucket)))
+            yield pd.DataFrame({"bucket": bucket[starts], "rows": [_packed(batch.slice(i, n)) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]})
+
+    return pack
+
+
+def _unpacked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of packed ones, by PIECE at most or a packed one more."""
+    held, n = [], 0
+    for part in parts:
+        for packed in part["rows"]:
+            held.append(pa.ipc.open_stream(packed).read_all())
+            n += held[-1].num_rows
+            if n >= PIECE:
+                yield pa.concat_tables(held).to_pandas()
+                held, n = [], 0
+    if held:
+        yield pa.concat_tables(held).to_pandas()
+
+
 class _Bucket(StatefulProcessor):
     """The keys of one bucket: their states as one table, and one timer at the
     earliest of their times. A key's own state costs several calls to the state
@@ -82,7 +127,7 @@ class _Bucket(StatefulProcessor):
                 self.handle.deleteTimer(old)
             if new is not None:
                 self.handle.registerTimer(new)
-        self.state.update((_packed(pd.DataFrame(rows)), new))
+        self.state.update((_packed(_batch(pd.DataFrame(rows))), new))
 
     def _with(self, was: pd.DataFrame | None, keys: pd.Series) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """The columns of states and of first states for new keys, and which are new."""
@@ -92,10 +137,19 @@ class _Bucket(StatefulProcessor):
         rows = more if was is None else pd.concat([was, more], ignore_index=True)
         return {c: rows[c].to_numpy(copy=True) for c in rows.columns}, np.arange(len(rows)) >= len(rows) - len(added)
 
+    def _folded(self, parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """What counts of all rows. Folded once as many rows wait as were kept, so
+        that a row is folded a few times, however many batches there are."""
+        new, waiting, n = None, [], 0
+        for part in parts:
+            waiting.append(part)
+            n += len(part)
+            if new is None or n >= len(new):
+                new, waiting, n = self.fold(pd.concat([*([] if new is None else [new]), *waiting])), [], 0
+        return self.fold(pd.concat([new, *waiting])) if waiting else new
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = None
-        for part in rows:
-            new = self.fold(part if new is None else pd.concat([new, part]))
+        new = self._folded(_unpacked(rows))
         kept = self.state.get()
         states, changed = self.after(pa.ipc.open_stream(kept[0]).read_pandas() if kept else None, new)
         if changed.any():
@@ -194,29 +248,26 @@ class Downloads(_Bucket):
 
 def _first_of_keys(b: pd.DataFrame) -> pd.DataFrame:
     """Of each key the attempts that can count, in order, and one row that adds it."""
-    b = b.sort_values(["at", "n", "hit"], kind="stable")
-    made = b["n"] != _NONE
-    return pd.concat([b[made].groupby("key").head(MAX_TRIES), b[~made].groupby("key").head(1)])
-
-
-def _first_attempts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield _first_of_keys(b)
+    made = (b["n"] != _NONE).to_numpy()
+    order = np.lexsort([*(b[c].to_numpy() for c in ("hit", "n", "at")), made, b["key"].to_numpy()])
+    key, made, place = b["key"].to_numpy()[order], made[order], np.arange(len(order))
+    first = np.append(True, (key[1:] != key[:-1]) | (made[1:] != made[:-1]))[: len(order)]
+    rank = place - np.maximum.accumulate(np.where(first, place, 0))
+    return b.iloc[order[rank < np.where(made, MAX_TRIES, 1)]]
 
 
 def _summed_answers(b: pd.DataFrame) -> pd.DataFrame:
-    """One row for each source."""
-    by = b.sort_values(["ended", "end_status"], kind="stable").groupby("source", as_index=False)
+    """One row for each source; before the shuffle with its bucket."""
+    by = b.sort_values(["ended", "end_status"], kind="stable").groupby([c for c in ("bucket", "source") if c in b], as_index=False)
     return by.agg(queued=("queued", "min"), ended=("ended", "first"), end_status=("end_status", "first"), skipped=("skipped", "sum"), last=("last", "max"))
 
 
-def _combined_answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each source of an Arrow batch."""
-    for b in batches:
-        none = b["http_status"] == _NONE
-        ends = ~none & ((b["http_status"] < BAD) | (b["http_status"] == MISSING))
-        skips = ~none & ~ends
-        yield _summed_answers(b.assign(queued=b["at"].where(none, _NEVER), ended=b["at"].where(ends, _NEVER), end_status=b["http_status"].where(ends, _NONE), skipped=skips.astype("int64"), last=b["at"].where(skips, _BEFORE)))
+def _combined_answers(b: pd.DataFrame) -> pd.DataFrame:
+    """One row for each source of a piece."""
+    none = b["http_status"] == _NONE
+    ends = ~none & ((b["http_status"] < BAD) | (b["http_status"] == MISSING))
+    skips = ~none & ~ends
+    return _summed_answers(b.assign(queued=b["at"].where(none, _NEVER), ended=b["at"].where(ends, _NEVER), end_status=b["http_status"].where(ends, _NONE), skipped=skips.astype("int64"), last=b["at"].where(skips, _BEFORE)))
 
 
 def _session(spark: SparkSession) -> SparkSession:
@@ -228,16 +279,15 @@ def _session(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _run(spark: SparkSession, source: str, schema: str, given: list[Column], combine: Callable, combined: str, processor: StatefulProcessor, out: str, target: str, checkpoint: str, every: str | None) -> StreamingQuery:
+def _run(spark: SparkSession, source: str, schema: str, given: list[Column], combine: Callable, processor: StatefulProcessor, out: str, target: str, checkpoint: str, every: str | None) -> StreamingQuery:
     own = _session(spark)
     if every is None:
         # Where a run ends with its files, timers wait for the next one's.
         own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     key = out.split()[0]
     at = F.coalesce(F.unix_micros("at"), F.lit(0)).alias("at")
-    rows = own.readStream.schema(schema).parquet(source).where(F.col(key).isNotNull()).select(key, *given, at)
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
-    changes = rows.mapInPandas(combine, combined).select(bucket, "*").groupBy("bucket").transformWithStateInPandas(processor, out.replace("timestamp", "long"), "Update", "ProcessingTime")
+    rows = own.readStream.schema(schema).parquet(source).where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket"), key, *given, at)
+    changes = rows.mapInPandas(_packed_by_bucket(combine), "bucket int, rows binary").groupBy("bucket").transformWithStateInPandas(processor, out.replace("timestamp", "long"), "Update", "ProcessingTime")
     changes = changes.withColumn("at", F.timestamp_micros("at"))
 
     def append(batch: DataFrame, n: int) -> None:
@@ -253,13 +303,13 @@ def reference_stream(spark: SparkSession, source: str, target: str, checkpoint:
     is due again ``retry_seconds`` after its last attempt. Runs on every ``every``,
     or ends with the files that are there."""
     given = [F.coalesce("n", F.lit(_NONE)).alias("n"), F.coalesce("hit", F.lit(0)).cast("long").alias("hit"), F.col("hit").isNotNull().alias("known")]
-    return _run(spark, source, ATTEMPTS, given, _first_attempts, _TRIED, References(retry_seconds), REFERENCES, target, checkpoint, every)
+    return _run(spark, source, ATTEMPTS, given, _first_of_keys, References(retry_seconds), REFERENCES, target, checkpoint, every)
 
 
 def download_stream(spark: SparkSession, source: str, target: str, checkpoint: str, retry_seconds: int = 86_400, every: str | None = None) -> StreamingQuery:
     """Follow the ANSWERS that are written to ``source``, as reference_stream does."""
     given = [F.coalesce("http_status", F.lit(_NONE)).alias("http_status")]
-    return _run(spark, source, ANSWERS, given, _combined_answers, _ANSWERED, Downloads(retry_seconds), QUEUE, target, checkpoint, every)
+    return _run(spark, source, ANSWERS, given, _combined_answers, Downloads(retry_seconds), QUEUE, target, checkpoint, every)
 
 
 def references(spark: SparkSession, target: str) -> DataFrame:
