@@ -1,7 +1,7 @@
 """A positional index that grows by batches.
 
-On disk: ``postings/batch=b/slot=s`` holds (token, key, positions), sorted by token,
-a row for each token of a text; ``counts`` in the same folders holds in how many
+On disk: ``postings/batch=b/slot=s`` holds (token, keys, positions), sorted by token,
+a row for each token of some texts, with the texts' keys; ``counts`` in the same folders holds in how many
 texts of the batch each token is. A token's slot comes from its first two letters,
 so a query reads the slots of its tokens (and of a prefix) only, and in them, by
 Parquet's statistics, little more than its tokens' rows. A batch is written to a
@@ -13,8 +13,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +30,50 @@ from .fts import Term, best_matches, parse
 SLOTS, PARTS = 64, 8
 #: Terms of a query and words of a phrase: one bit each.
 MOST = 63
-POSTINGS, COUNTS = "token string, key {}, positions array<int>, batch string, slot int", "token string, df long, batch string, slot int"
+#: Bytes of texts whose words are sorted at once, at most, or one text.
+BYTES = 16 << 20
+POSTINGS, COUNTS = "token string, keys array<{}>, positions array<array<int>>, batch string, slot int", "token string, df long, batch string, slot int"
 
 
 def slot_of(token: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(SLOTS)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, keys, positions) of some texts at a time, of (key, normalised text)."""
+    for b in batches:
+        b = b.filter(pc.is_valid(b.column("text")))
+        part = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) // BYTES
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        for start, size in zip(starts, np.diff(np.append(starts, len(part))), strict=True):
+            yield _postings_of(b.slice(start, size))
+
+
+def _postings_of(texts: pa.RecordBatch) -> pa.RecordBatch:
+    words = pc.split_pattern(texts.column("text"), " ")
+    coded = words.flatten().dictionary_encode()
+    sizes = pc.list_value_length(words).to_numpy()
+    code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    blank = coded.dictionary.index("").as_py()
+    code, row, at = (x[code != blank] for x in (code, row, at))
+    # Words come in order of text and place, which a stable sort keeps.
+    order = np.argsort(code, kind="stable")
+    code, row, at = code[order], row[order], at[order]
+    new = np.append(True, code[1:] != code[:-1])[: len(code)]
+    first = np.flatnonzero(new | np.append(True, row[1:] != row[:-1])[: len(code)])  # of a token in a text
+    tokens = np.flatnonzero(new[first])
+    lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+    positions = lists(tokens, lists(first, pa.array(at, pa.int32())))
+    token, keys = coded.dictionary.take(pa.array(code[first][tokens])), lists(tokens, texts.column("key").take(pa.array(row[first])))
+    return pa.RecordBatch.from_arrays([token, keys, positions], ["token", "keys", "positions"])
+
+
+def _by_key(rows: DataFrame, *kept: str) -> DataFrame:
+    """(kept, key, positions): rows of the index, one for each text."""
+    return rows.select(*kept, F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("positions").alias("positions"))).alias("one")).select(*kept, "one.key", "one.positions")
+
+
 class PostingIndex:
     """The index at a path. Keys are of one type; a text is indexed once, and texts
     of one key count as its parts."""
@@ -50,15 +91,19 @@ class PostingIndex:
         """Add the texts of df. Null texts and texts without words count as texts, and
         have no token. Of writers at the same time each gets a number of its own."""
         n, batch = len(names_in(self.spark, f"{self.path}/commits")), uuid.uuid4().hex
-        rows = df.select(F.col(key).cast(self.key_type).alias("key"), F.split(normalize_title(text), " ").alias("words"))
-        each = rows.select("key", F.posexplode("words").alias("at", "token")).where("token != ''")
-        each = each.groupBy("token", "key").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("slot", slot_of(F.col("token")))
-        dealt = each.repartition("slot", F.pmod(F.xxhash64("key"), F.lit(PARTS))).sortWithinPartitions("slot", "token", "key")
+        rows = df.select(F.col(key).cast(self.key_type).alias("key"), normalize_title(text).alias("text"))
+        texts, most = rows.groupBy("key").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+        each = rows.mapInArrow(_postings, f"token string, keys array<{self.key_type}>, positions array<array<int>>")
+        if most > 1:  # only then can a token and key come twice
+            parts = _by_key(each, "token").groupBy("token", "key").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+            each = parts.select("token", F.array("key").alias("keys"), F.array("positions").alias("positions"))
+        each = each.withColumn("slot", slot_of(F.col("token")))
+        dealt = each.repartition("slot", F.pmod(F.xxhash64("keys"), F.lit(PARTS))).sortWithinPartitions("slot", "token")
         dealt.write.partitionBy("slot").parquet(f"{self.path}/postings/batch={batch}")
         # Read back with its schema: a batch without tokens has no files.
-        df_of = self._read("postings", [batch]).groupBy("slot", "token").agg(F.count("*").alias("df"))
+        df_of = self._read("postings", [batch]).groupBy("slot", "token").agg(F.sum(F.size("keys")).alias("df"))
         df_of.repartition("slot").sortWithinPartitions("token").write.partitionBy("slot").parquet(f"{self.path}/counts/batch={batch}")
-        content = json.dumps({"batch": batch, "texts": rows.count()})
+        content = json.dumps({"batch": batch, "texts": texts})
         while not claim(self.spark, f"{self.path}/commits/{n:09d}", content):
             n += 1
         return self
@@ -78,7 +123,7 @@ class PostingIndex:
 
     def postings(self, tokens: list[str]) -> DataFrame:
         """(token, key, positions) of a few tokens."""
-        return self._of("postings", tokens).select("token", "key", "positions")
+        return _by_key(self._of("postings", tokens), "token")
 
     def document_frequencies(self, tokens: list[str] | None = None) -> DataFrame:
         """(token, df): in how many texts each token is, from the batches' counts."""
@@ -95,11 +140,11 @@ class PostingIndex:
         for i, w in enumerate(words):
             open_end = prefix and i == len(words) - 1
             mine = rows if open_end and len(w) < 2 else rows.where(F.col("slot") == slot_of(F.lit(w)))
-            hits.append(mine.where(F.startswith("token", F.lit(w)) if open_end else F.col("token") == w).select("key", "positions"))
+            hits.append(mine.where(F.startswith("token", F.lit(w)) if open_end else F.col("token") == w))
         if len(words) == 1:
-            return hits[0].select("key").distinct()
+            return hits[0].select(F.explode("keys").alias("key")).distinct()
         # A place where the phrase begins is one that every word names.
-        named = [h.select("key", F.explode("positions").alias("at")).select("key", (F.col("at") - i).alias("start"), F.lit(1 << i).cast("long").alias("bit")) for i, h in enumerate(hits)]
+        named = [_by_key(h).select("key", F.explode("positions").alias("at")).select("key", (F.col("at") - i).alias("start"), F.lit(1 << i).cast("long").alias("bit")) for i, h in enumerate(hits)]
         places = reduce(DataFrame.unionByName, named).groupBy("key", "start").agg(F.bit_or("bit").alias("seen"))
         return places.where(F.col("seen") == (1 << len(words)) - 1).select("key").distinct()
 
@@ -124,7 +169,7 @@ class PostingIndex:
         postings of the queries' tokens."""
         asked = queries.select(F.explode(qtokens).alias("token")).where("token != ''").distinct()
         slots = [r[0] for r in asked.select(slot_of(F.col("token"))).distinct().collect()]  # SLOTS at most
-        rows = self._all("postings").where(F.col("slot").isin(slots)).join(asked, "token", "left_semi").select("token", "key")
+        rows = self._all("postings").where(F.col("slot").isin(slots)).join(asked, "token", "left_semi").select("token", F.explode("keys").alias("key"))
         counts = self._all("counts").where(F.col("slot").isin(slots)).groupBy("token").agg(F.sum("df").alias("df"))
         return best_matches(queries, qkey, qtokens, rows, "key", self.texts(), limit, weights=counts)
 

@@ -1,8 +1,9 @@
 """The maintained index against scans."""
 
+import pyarrow as pa
 import pytest
 
-from folioforge.operators import fts
+from folioforge.operators import fts, postings
 from folioforge.operators.postings import PostingIndex
 from folioforge.storage import claim
 
@@ -62,6 +63,22 @@ def test_a_query_reads_its_slots(index):
     assert "PartitionFilters: [isnotnull(slot" in plan and "EqualTo(token,graph)" in plan
 
 
+def test_postings_of_a_batch_are_not_regrouped(spark, monkeypatch, tmp_path):
+    """Texts give a row for each token of several of them (before: a row for each word, grouped
+    by a shuffle), in pieces of any size; texts of one key are its parts."""
+    df = spark.createDataFrame(ROWS, "id long, title string").coalesce(1)
+    made = PostingIndex(spark, str(tmp_path / "i")).append(df, "id", "title")
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).where("token = 'graph'").count() == 1
+    pieces = lambda: [r for b in postings._postings([pa.RecordBatch.from_pydict({"key": [1, 2, 3, 4], "text": ["b a b", None, "", "a  c"]})]) for r in b.to_pylist()]
+    assert pieces() == [{"token": "b", "keys": [1], "positions": [[0, 2]]}, {"token": "a", "keys": [1, 4], "positions": [[1], [0]]}, {"token": "c", "keys": [4], "positions": [[2]]}]
+    monkeypatch.setattr(postings, "BYTES", 1)
+    assert sorted((p["token"], p["keys"]) for p in pieces()) == [("a", [1]), ("a", [4]), ("b", [1]), ("c", [4])]
+    twice = PostingIndex(spark, str(tmp_path / "j")).append(df.unionByName(df.where("id < 3")), "id", "title")
+    assert {r["token"]: r["df"] for r in twice.document_frequencies(["graph", "net"]).collect()} == {"graph": 3} and twice.texts() == 9
+    assert {r["key"]: r["positions"] for r in twice.postings(["graph"]).collect()} == {1: [0, 0, 3, 3], 2: [2, 2], 5: [1]}
+    assert made.texts() == 7
+
+
 def test_empty(spark, tmp_path):
     none = PostingIndex(spark, str(tmp_path / "none"))
     assert none.search("graph").count() == 0 and none.texts() == 0 and none.document_frequencies().count() == 0
