@@ -169,13 +169,20 @@ def best_matches(queries: DataFrame, qkey: str, qtokens: str, index: DataFrame,
     return able.unionByName(open_).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def rarest_token_match(queries: DataFrame, qkey: str, qtokens: str, rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(qkey, need, key): rows whose token array holds the rarest of a query's
+    tokens, need. Only tokens that a query has are counted and joined."""
+    asked = queries.select(qkey, F.array_distinct(qtokens).alias("need")).where(F.size("need") > 0)
+    each = asked.select(qkey, "need", F.explode("need").alias("token"))
+    index = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(each.select("token").distinct(), "token", "left_semi")
+    index = written(index, "asked_index")
+    rare = each.join(token_weights(index, key), "token", "left").groupBy(qkey)
+    rare = rare.agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"), F.first("need").alias("need"))
+    return rare.join(index, "token").select(qkey, "need", key)
+
+
 def all_tokens_match(queries: DataFrame, qkey: str, qtokens: str, rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """(qkey, key): rows whose token array holds every token of the query. The
     join runs on the query's rarest token only; the rest is a filter."""
-    index = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
-    freq = token_weights(index, key)
-    asked = queries.select(qkey, F.array_distinct(qtokens).alias("need")).where(F.size("need") > 0)
-    rare = asked.select(qkey, "need", F.explode("need").alias("token")).join(freq, "token", "left")
-    rare = rare.groupBy(qkey).agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"), F.first("need").alias("need"))
-    found = rare.join(index, "token").select(qkey, "need", key).join(rows.select(key, F.col(tokens).alias("has")), key)
+    found = rarest_token_match(queries, qkey, qtokens, rows, key, tokens).join(rows.select(key, F.col(tokens).alias("has")), key)
     return found.where(F.forall("need", lambda t: F.array_contains(F.col("has"), t))).select(qkey, key)

@@ -111,3 +111,12 @@ def test_values_of_a_tree_are_not_shuffled_for_their_sources(spark):
             if i % 3:
                 want[pub, str(i % 5)] = want.get((pub, str(i % 5)), 0) | 1 << order.index(i % 3)
     assert got == want
+
+
+def test_texts_are_normalised_once_for_phrases(spark):
+    """What links phrases reads a table of normalised texts; before, each of its joins normalised them anew."""
+    left = spark.createDataFrame([("Deep-Graph",), ("graph deep",), ("nosuch graph",), ("the",), ("",), (None,)], "name string")
+    right = spark.createDataFrame([(1, "A deep graph"), (2, "Deep, graph deep"), (3, "other words of the text"), (4, None)], "id long, body string")
+    found = match.link_by_phrase(left, "name", "name", right, "id", "body")
+    assert "body" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("Deep-Graph", 2), ("graph deep", 2), ("the", 3)}
