@@ -120,3 +120,13 @@ def test_texts_are_normalised_once_for_phrases(spark):
     found = match.link_by_phrase(left, "name", "name", right, "id", "body")
     assert "body" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("Deep-Graph", 2), ("graph deep", 2), ("the", 3)}
+
+
+def test_rows_of_titles_meet_a_written_search(spark):
+    """The tasks that join rows with what was found for their titles hold nothing of the search (before, its window and its joins too)."""
+    clusters = spark.createDataFrame([(1, "deep graph matching"), (2, "other words")], "id long, name string")
+    titles = spark.createDataFrame([(1, "Deep graph matching"), (2, "deep graph matchings"), (3, "none of them"), (4, None)], "k long, title string")
+    found = match.title_candidates(titles, "k", "title", clusters)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 100, True), (2, 1, 95, False)}
