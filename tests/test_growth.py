@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge import catalog
-from folioforge.functions.distance import edit_distances
+from folioforge.functions.distance import edit_distances, letter_pairs
 from folioforge.operators import difftree, match, sequence
 
 
@@ -85,6 +85,35 @@ def test_a_pair_of_titles_is_compared_once(spark, rows_of):
     assert {(r["name"], r["other"]) for r in found.collect()} == {(a, b) for group in (short, long_) for a in group for b in group}
 
 
+def test_a_family_of_titles_meets_its_clusters_alone(spark, monkeypatch):
+    """Of 400 near-equal titles, pairs are kept with what the batch's first part creates (before, all 160,000)."""
+    monkeypatch.setattr(sequence, "FIRST", 100, raising=False)
+    kept, plain = {}, sequence.written
+
+    def seen(df, name):
+        made = plain(df, name)
+        kept[name] = kept.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(sequence, "written", seen)
+    records = spark.range(400).select(F.col("id").alias("url_id"), F.concat(F.lit("learning structured representations of graphs "), F.col("id")).alias("name"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    titles, _ = sequence.Batch(records, none("url_id long, priority int, original_name string, parsed_name string, normal string"), none("id long, name string"), none("cluster_id long"), none("id long, block_name string"), none("alias string, id long")).resolve()
+    assert {(r["match"], r["n"]) for r in titles.groupBy("match").agg(F.count("*").alias("n")).collect()} == {("NO_MATCH", 1), ("SINGLE_MATCH", 399)}
+    assert kept["title_pairs"] + kept["stored_titles"] < 20000
+
+
+def test_letter_pairs_bound_the_edits():
+    """No more than two elements are gone for each edit, and of texts that share none, all."""
+    texts = ["", "a", "ab", "abab", "ababab", "deep graph matching", "deep graf matchin", "x" * 70, "é😀 a\0b"]
+    sets = [{i for i, bit in enumerate("".join(f"{int(x) & (1 << 64) - 1:064b}"[::-1] for x in row)) if bit == "1"} for row in letter_pairs(texts)]
+    assert list(map(len, sets))[:5] == [0, 0, 1, 3, 5]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if 1 <= min(len(a), len(b)) <= 64:
+                assert len(sets[i] - sets[j]) <= 2 * edit_distances([a], [b])[0]
+
+
 def test_edit_distances():
     plain = {("kitten", "sitting"): 3, ("a", "a"): 0, ("a", "b"): 1, ("abc" * 21 + "x", "abc" * 30): 27, ("aé😀", "é😀ab"): 3, ("x" * 64, "y" * 80): 80}
     assert edit_distances([a for a, _ in plain], [b for _, b in plain]).tolist() == list(plain.values())

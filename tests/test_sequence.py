@@ -78,6 +78,27 @@ def test_equals_record_after_record(spark, seed):
     assert {"NO_MATCHNone", "SINGLE_MATCHNone", "MULTI_MATCHAMB_CLUSTER", "MULTI_MATCHAMB_PUB"} <= kinds
 
 
+def test_parts_of_a_batch_give_what_the_batch_gives(spark, monkeypatch):
+    """Parts of 20 and 40 records, with words dealt out to shares, against the whole batch at once."""
+    rng = random.Random(5)
+    base = ["deep graph matching networks", "deep graph matching network", "deep graph matchin networks", "deep graph watching networkx", "relational storage layouts", "relational storage layoutsss", "a b c", "quantum codes", "query planss", "", None]
+    names = ["Ann Smithson", "A. Smithson", "Anna Smithson", "Bob Hallberg", "B. Hallberg", "Robert Wu", "R. Wu"]
+    rows = [(rng.randrange(-(2**60), 2**60), rng.choice(base), [rng.choice(names) for _ in range(rng.choice([0, 1, 2]))]) for _ in range(60)]
+    frame = lambda r, s: spark.createDataFrame(r, s)
+    records = frame([(u, t) for u, t, _ in rows], "url_id long, name string")
+    who = frame([(u, p, n) for u, _, each in rows for p, n in enumerate(each)], "url_id long, priority int, original_name string")
+    who = who.withColumn("parsed_name", F.col("original_name")).withColumn("normal", normalize_author("original_name"))
+    stored = (frame([(1, "quantum codes"), (2, "query plans")], "id long, name string"), frame([(1,), (2,), (2,)], "cluster_id long"), frame([(5, "robert wu")], "id long, block_name string"), frame([("Bob Hallberg", 6)], "alias string, id long"))
+    got = []
+    for first, share in ((10**6, 1000), (20, 2)):
+        monkeypatch.setattr(sequence, "FIRST", first)
+        monkeypatch.setattr(sequence, "GROWTH", 3)
+        monkeypatch.setattr(sequence, "SHARE", share)
+        got.append([sorted(map(str, df.collect())) for df in sequence.Batch(records, who, *stored).resolve()])
+    assert got[0] == got[1]
+    assert len(got[0][0]) == 60 and len(got[0][1]) == who.count()
+
+
 def test_similar_titles_are_all_found(spark):
     """The classes of length lose no pair."""
     rng = random.Random(3)
